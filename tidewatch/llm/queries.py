@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .simhash import op7_simhash
+from .token_store import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_token_files": op3_token_files,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}
