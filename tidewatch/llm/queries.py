@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sharding
 from .bpe import op2_bpe
+from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .token_store import op3_token_files
 
@@ -14,6 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op7_simhash": op7_simhash,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_sharding": sharding.ORACLE,
+}
