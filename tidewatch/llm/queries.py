@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import pii, sharding
 from .bpe import op2_bpe
+from .pii import op1_pii
 from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .token_store import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op7_simhash": op7_simhash,
@@ -20,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pii": pii.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
