@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding
+from . import pii, secret_scan, sharding
 from .bpe import op2_bpe
 from .pii import op1_pii
+from .secret_scan import op9_secrets
 from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .token_store import op3_token_files
@@ -18,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op7_simhash": op7_simhash,
+    "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op1_pii": pii.ORACLE,
+    "op9_secrets": secret_scan.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
