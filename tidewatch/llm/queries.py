@@ -13,12 +13,14 @@ from .secret_scan import op9_secrets
 from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .token_store import op3_token_files
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
