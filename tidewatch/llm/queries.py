@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import pii, secret_scan, sharding
 from .bpe import op2_bpe
+from .decontaminate import op6_decontaminate
+from .embed_dedup import op4_embed_dedup
+from .language import op5_language_id
 from .pii import op1_pii
 from .secret_scan import op9_secrets
 from .sharding import op10_sharding
@@ -19,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
+    "op4_embed_dedup": op4_embed_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
