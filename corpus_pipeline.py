@@ -1,14 +1,47 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Documents whose language isn't found go; of each group of near-duplicates one stays; documents that
+cover a benchmark item go; secrets are replaced in the texts; what is left is encoded and decoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.llm import bpe, decontaminate, language, secret_scan, simhash
 from tidewatch.llm.common import fresh_path, table
 
-STAGES: list = []
 
-#: The stages of language identification, near-duplicates, tiling and BPE have no SQL form.
+def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.accepted(docs, language.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.without_secrets(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language", find_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("benchmark", drop_benchmark),
+    ("secrets", replace_secrets),
+    ("encode", encode),
+]
+
+#: Trigram posteriors, fingerprint components, tiling and byte-pair merges have no SQL form.
 ORACLE_SQL = None
 
 

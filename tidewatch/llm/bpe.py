@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_bytes
-from .pieces import mapped, offsets_of, slices, space_starts
+from .pieces import Remembered, mapped, offsets_of, piece_starts, slices
 
-#: Words and pieces kept between slices by one worker; a cache is emptied when it is full.
-CACHE_WORDS = 800_000
+#: New pieces after which one worker forgets those it did not meet again.
+CACHE_WORDS = 300_000
 #: Bytes of text that are encoded and decoded together.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Above so many bytes the recursion, quadratic in a word's length, gives way to a heap of pairs.
 LONG_WORD = 400
 
@@ -118,48 +118,46 @@ class Coder:
         #: token ids that begin with a space
         self.spaced = np.zeros(1 + max(self.rank.values()), bool)
         self.spaced[[r for t, r in ranks if t[:1] == b" "]] = True
-        #: word or piece -> its ids, run of ids -> its bytes; ids are little-endian 32-bit integers
-        self.cache: dict[bytes, bytes] = {}
-        self.spelt: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words that are not in the cache."""
-        fresh = []
-        for w in words:
+        #: piece -> its ids, run of ids -> its bytes; ids are little-endian 32-bit integers
+        self.known = Remembered(self.ids_of, CACHE_WORDS)
+        self.spelt = Remembered(self.spell, CACHE_WORDS)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: of the vocabulary, or contracted by the recursive query."""
+        out = [b""] * len(words)
+        rows = []
+        for k, w in enumerate(words):
             if (r := self.rank.get(w)) is not None:
-                self.cache[w] = r.to_bytes(4, "little")
+                out[k] = r.to_bytes(4, "little")
             elif len(w) > LONG_WORD:
-                self.cache[w] = np.array(merge_long(w, self.rank), "<u4").tobytes()
+                out[k] = np.array(merge_long(w, self.rank), "<u4").tobytes()
             else:
-                fresh.append(w)
-        if not fresh:
-            return
+                rows.append(k)
+        if not rows:
+            return out
+        fresh = [words[k] for k in rows]
         toks = pa.ListArray.from_arrays(pa.array(offsets_of(fresh), pa.int32()), pa.array(self.byte_id[np.frombuffer(b"".join(fresh), np.uint8)]))
-        rows = pa.table({"w": pa.array(range(len(fresh)), pa.int32()), "toks": toks})
-        self.db.register("fresh", rows)
+        self.db.register("fresh", pa.table({"w": pa.array(range(len(fresh)), pa.int32()), "toks": toks}))
         done = self.db.sql(ENCODE_SQL).to_arrow_table().combine_chunks()
         self.db.unregister("fresh")
         lists = done["toks"].chunk(0)
         flat = lists.flatten().to_numpy().astype("<u4").tobytes()
         offs = ((lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4).tolist()
-        self.cache.update((w, flat[a:b]) for w, a, b in zip(fresh, offs[:-1], offs[1:], strict=True))
-
-    def known(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece of text."""
-        fresh = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + 2 * len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = pieces
-        found = {p: [w.encode() for w in self.find(p.decode("utf-8", "replace"))] for p in fresh}
-        self.learn([w for w in {w for ws in found.values() for w in ws} if w not in self.cache])
-        get = self.cache.__getitem__
-        self.cache.update([(p, b"".join(map(get, ws))) for p, ws in found.items()])
-        return [self.cache[p] for p in pieces]
+        for k, a, b in zip(rows, offs[:-1], offs[1:], strict=True):
+            out[k] = flat[a:b]
+        return out
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece of text, word by word."""
+        words = [[w.encode() for w in self.find(p.decode("utf-8", "replace"))] for p in pieces]
+        distinct = list({w for ws in words for w in ws})
+        of = dict(zip(distinct, self.merge(distinct), strict=True))
+        return [b"".join([of[w] for w in ws]) for ws in words]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
         data, docs = b"".join(texts), offsets_of(texts)
-        return mapped(data, space_starts(np.frombuffer(data, np.uint8), docs), docs, self.known)
+        return mapped(data, piece_starts(np.frombuffer(data, np.uint8), docs), docs, self.known)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each text. Runs of ids that start with a space are decoded once where they repeat."""
@@ -167,21 +165,18 @@ class Coder:
         flat = np.frombuffer(data, "<u4")
         begins = self.spaced[flat]
         begins[docs[:-1][np.diff(docs) > 0] // 4] = True
-        return mapped(data, np.flatnonzero(begins) * 4, docs, self.spell)
+        return mapped(data, np.flatnonzero(begins) * 4, docs, self.spelt)
 
     def spell(self, runs: list[bytes]) -> list[bytes]:
-        fresh = [r for r in runs if r not in self.spelt]
-        if len(self.spelt) + len(fresh) > CACHE_WORDS:
-            self.spelt.clear()
-            fresh = runs
-        if fresh:
-            offs = offsets_of(fresh) // 4
-            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(fresh), "<i4")))
-            self.db.register("coded", pa.table({"d": pa.array(range(len(fresh)), pa.int32()), "ids": lists}))
-            got = self.db.sql(DECODE_SQL).to_arrow_table()
-            self.db.unregister("coded")
-            self.spelt.update((fresh[d], s.encode("latin-1")) for d, s in zip(got["d"].to_pylist(), got["s"].to_pylist(), strict=True))
-        return [self.spelt[r] for r in runs]
+        offs = offsets_of(runs) // 4
+        lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(runs), "<i4")))
+        self.db.register("coded", pa.table({"d": pa.array(range(len(runs)), pa.int32()), "ids": lists}))
+        got = self.db.sql(DECODE_SQL).to_arrow_table()
+        self.db.unregister("coded")
+        out = [b""] * len(runs)
+        for d, s in zip(got["d"].to_pylist(), got["s"].to_pylist(), strict=True):
+            out[d] = s.encode("latin-1")
+        return out
 
 
 _coders: dict[tuple, Coder] = {}
@@ -202,8 +197,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         coder = _coders[key]
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for texts in slices(batch.column(1).to_pylist(), SLICE_BYTES):
-                ids = coder.encode(texts)
+            for a, b in slices(batch.column(1), SLICE_BYTES):
+                ids = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
                 n += [len(x) // 4 for x in ids]
                 ids_sha += [hashlib.sha256(x).hexdigest() for x in ids]
                 text_sha += [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)]

@@ -45,9 +45,8 @@ def text_bytes(name: str = "text") -> Column:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node for each node of ``edges`` (columns ``a``, ``b``); returns (node, root).
 
-    Each round hooks every node to its smallest neighbour, follows that pointer once more, and
-    rewrites the edges between the roots; components shrink at least by half a round, so a chain
-    of n nodes takes O(log n) rounds. Both sides of every join are written copies, which lets
+    Each round hooks every node to its smallest neighbour, follows the pointers to the roots (each pass
+    doubles their reach), and rewrites the edges between roots, until no edge is left. Both sides of every join are written copies, which lets
     adaptive execution split a node that holds many edges. Self links and nulls are ignored.
     """
     work = cut(
@@ -63,8 +62,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hook = cut(
             both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
         )
-        up = hook.toDF("u2", "p2")
-        hook = cut(hook.join(up, hook.p == up.u2).select("u", F.col("p2").alias("p")))
+        while True:
+            up = hook.toDF("u2", "p2")
+            further = cut(hook.join(up, hook.p == up.u2).select("u", F.col("p2").alias("p"), (F.col("p2") != F.col("p")).alias("moved")))
+            hook = further.select("u", "p")
+            if further.where("moved").isEmpty():
+                break
         ra, rb = hook.toDF("a", "ra"), hook.toDF("b", "rb")
         moved = work.join(ra, "a").select("b", "ra").join(rb, "b").where("ra <> rb")
         work = cut(

@@ -6,10 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that may follow a cut: not white space, and no lead byte of a character that is white space.
 _MAY_FOLLOW = np.ones(256, bool)
 _MAY_FOLLOW[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+#: Second bytes, after 0xC3, of letters (U+00C0 to U+00FF without the two arithmetic signs).
+_SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_PUNCTUATION = np.array([b == 10 or 33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
 
 def offsets_of(parts: list[bytes]) -> np.ndarray:
@@ -18,16 +23,21 @@ def offsets_of(parts: list[bytes]) -> np.ndarray:
     return out
 
 
-def space_starts(flat: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def piece_starts(flat: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Starts of the pieces of texts that lie one after another in ``flat`` (``docs``: their offsets).
 
-    A piece begins with its text, and at each space that a visible character follows. Patterns of
-    byte-level BPE begin a match at each such space, so the matches of a text are those of its pieces.
+    A piece begins with its text, at each space that a visible character follows, at ASCII punctuation
+    or a line's end after a Latin letter, and at a visible character after a line's end. Patterns of
+    byte-level BPE begin a match at each of these, so the matches of a text are those of its pieces.
     """
     begins = np.zeros(len(flat), bool)
     if len(flat):
-        begins[:-1] = (flat[:-1] == 32) & _MAY_FOLLOW[flat[1:]]
-        begins[docs[1:-1] - 1] = False  # a space at the end of a text: what follows is another text
+        visible = _MAY_FOLLOW[flat]
+        begins[:-1] = (flat[:-1] == 32) & visible[1:]
+        letter = _LETTER[flat[:-1]]
+        letter[1:] |= (flat[:-2] == 0xC3) & _SECOND[flat[1:-1]]
+        begins[1:] |= (letter & _PUNCTUATION[flat[1:]]) | ((flat[:-1] == 10) & visible[1:])
+        begins[docs[1:-1] - 1] &= flat[docs[1:-1] - 1] != 32  # what follows a text's last space is another text
         begins[docs[:-1][np.diff(docs) > 0]] = True
     return np.flatnonzero(begins)
 
@@ -52,14 +62,46 @@ def mapped(data: bytes, starts: np.ndarray, docs: np.ndarray, work: Callable[[li
     return [whole[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
 
 
-def slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
-    """Consecutive texts of ``most`` bytes together, at least one."""
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > most:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a binary column that hold ``most`` bytes together, a row at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+class Remembered:
+    """Results of ``work`` for pieces seen lately: when ``most`` are new, those not asked for since go."""
+
+    def __init__(self, work: Callable[[list[bytes]], list[bytes]], most: int):
+        self.work, self.most = work, most
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """``pieces`` are different from each other."""
+        new, old = self.new, self.old
+        out = [new.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(out) if x is None]
+        fresh = []
+        for i in missing:
+            p = pieces[i]
+            x = old.get(p)
+            if x is None:
+                fresh.append(i)
+            else:
+                out[i] = new[p] = x
+        if fresh:
+            asked = [pieces[i] for i in fresh]
+            made = self.work(asked)
+            new.update(zip(asked, made, strict=True))
+            for i, x in zip(fresh, made, strict=True):
+                out[i] = x
+        if len(new) > self.most:
+            self.new, self.old = {}, new
+        return out

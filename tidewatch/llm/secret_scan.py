@@ -148,6 +148,14 @@ def redacted(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, end)).otherwise(text)
 
 
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, n_chars, ...) with every secret replaced; n_chars follows where the text changes. No row goes."""
+    found = scan(docs, limits(docs)).withColumn("_text", redacted(F.col("text"), F.col("secrets")))
+    some = F.size("secrets") > 0
+    changed = found.withColumns({"text": F.when(some, F.col("_text")).otherwise(F.col("text")), "n_chars": F.when(some, F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))})
+    return changed.select(docs.columns)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, limits(docs))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, table, text_bytes
@@ -201,5 +201,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that are first in their group: those of least doc_id.
+
+    Of rows that share this id, the one whose text has the least hash stays. Rows without an id have no
+    place in the order and all stay. Columns stay as they are.
+    """
+    named = docs.where("doc_id is not null")
+    first = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("_hash")
+    kept = named.withColumn("_hash", F.xxhash64("text")).join(first, "doc_id", "left_semi").withColumn("_hash", F.row_number().over(order))
+    return kept.where("_hash = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

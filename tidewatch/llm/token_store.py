@@ -7,6 +7,7 @@ of a range of documents, without reading the rest.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table, text_bytes
-from .pieces import mapped, offsets_of, slices, space_starts
+from .pieces import Remembered, mapped, offsets_of, piece_starts, slices
 
-#: Pieces kept between slices by one worker; the cache is emptied when it is full.
-CACHE_PIECES = 800_000
+#: New pieces after which one worker forgets those it did not meet again.
+CACHE_PIECES = 450_000
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 8_000_000
 #: Bytes of a row group and of a page.
@@ -39,40 +40,48 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_str(json)
-        vocab = self.of.get_vocab()
-        self.spaced = np.zeros(1 + max(vocab.values()), bool)
-        self.spaced[[i for t, i in vocab.items() if t[:1] == "Ġ"]] = True  # how byte-level vocabularies write a space
-        self.cache: dict[bytes, bytes] = {}
+        self.line = self.of.token_to_id("Ċ")  # how byte-level vocabularies write a line's end
+        #: byte -> the character that byte-level vocabularies write for it
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelt = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.known = Remembered(self.ids_of, CACHE_PIECES)
 
     def one_by_one(self, pieces: list[bytes]) -> list[bytes]:
         found = self.of.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def joined(self, pieces: list[bytes]) -> list[bytes]:
-        """Pieces that begin with their only space: the ids of their join are cut before each token with a space."""
-        ids = np.array(self.of.encode(b"".join(pieces).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-        begins = np.flatnonzero(self.spaced[ids]) * 4
-        if len(begins) != len(pieces):
+        """Pieces of one word: the ids of their lines are cut at the ids of the lines' ends."""
+        text = b"\n".join(pieces).decode("utf-8", "replace")
+        ids = np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != len(pieces) - 1:
             return self.one_by_one(pieces)
-        data, ends = ids.tobytes(), [*begins[1:].tolist(), len(ids) * 4]
-        return [data[a:b] for a, b in zip(begins.tolist(), ends, strict=True)]
-
-    def known(self, pieces: list[bytes]) -> list[bytes]:
-        fresh = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_PIECES:
-            self.cache.clear()
-            fresh = pieces
-        plain = [p for p in fresh if p.rfind(b" ") == 0]
-        odd = [p for p in fresh if p.rfind(b" ") != 0]
-        self.cache.update(zip(odd, self.one_by_one(odd), strict=True))
-        for k in range(0, len(plain), JOINED):
-            some = plain[k : k + JOINED]
-            self.cache.update(zip(some, self.joined(some), strict=True))
-        return [self.cache[p] for p in pieces]
+        data, ends = ids.tobytes(), (ends * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(ids) * 4], strict=True)]
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Words of letters are the model's own unit; what else there is goes through the whole tokenizer."""
+        out = [b""] * len(pieces)
+        merge, spelt, pack = self.of.model.tokenize, self.spelt, struct.pack
+        plain, odd = [], []
+        for k, p in enumerate(pieces):
+            if p.decode("utf-8", "replace").removeprefix(" ").isalpha():
+                ids = [t.id for t in merge(p.decode("latin-1").translate(spelt))]
+                out[k] = pack(f"<{len(ids)}I", *ids)
+            else:
+                (plain if p.split() == [p.removeprefix(b" ")] else odd).append(k)
+        for k, x in zip(odd, self.one_by_one([pieces[k] for k in odd]), strict=True):
+            out[k] = x
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            for k, x in zip(some, self.joined([pieces[k] for k in some]), strict=True):
+                out[k] = x
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         data, docs = b"".join(texts), offsets_of(texts)
-        return mapped(data, space_starts(np.frombuffer(data, np.uint8), docs), docs, self.known)
+        return mapped(data, piece_starts(np.frombuffer(data, np.uint8), docs), docs, self.known)
 
 
 _tokens: dict[str, Tokens] = {}
@@ -93,17 +102,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, place: str, end_id: int =
         if tokenizer_path not in _tokens:
             _tokens[tokenizer_path] = Tokens(json.value)
         part, first = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            got: list[bytes] = []
-            for texts in slices(batch.column("t").to_pylist(), SLICE_BYTES):
-                got += [x + end for x in _tokens[tokenizer_path].encode(texts)]
-            offs = offsets_of(got) // 4
-            ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
-            starts = pa.array(offs[:-1] + first, pa.int64())
-            first += int(offs[-1])
-            named = [(c, batch.column(c)) for c in (id_col, *meta)]
-            named += [("part", pa.array(np.full(len(got), part, np.int32))), ("first", starts), ("n_tokens", pa.array(np.diff(offs), pa.int64())), ("ids", ids)]
-            yield pa.RecordBatch.from_arrays([x for _, x in named], names=[n for n, _ in named])
+        for whole in batches:
+            for a, b in slices(whole.column("t"), SLICE_BYTES):
+                batch = whole.slice(a, b - a)
+                got = [x + end for x in _tokens[tokenizer_path].encode(batch.column("t").to_pylist())]
+                offs = offsets_of(got) // 4
+                ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                starts = pa.array(offs[:-1] + first, pa.int64())
+                first += int(offs[-1])
+                named = [(c, batch.column(c)) for c in (id_col, *meta)]
+                named += [("part", pa.array(np.full(len(got), part, np.int32))), ("first", starts), ("n_tokens", pa.array(np.diff(offs), pa.int64())), ("ids", ids)]
+                yield pa.RecordBatch.from_arrays([x for _, x in named], names=[n for n, _ in named])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (id_col, *meta)), "part int, first long, n_tokens long, ids array<int>"])
