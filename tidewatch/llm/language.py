@@ -27,6 +27,8 @@ BUCKETS = 1 << 16
 TEMPER = 0.25
 #: The class of texts unlike every language: trigrams drawn at random from so many.
 OTHER, OTHER_TRIGRAMS, OTHER_PRIOR = "und", 20_000, 0.001
+#: Share of names and foreign words in the text of any language.
+FOREIGN = 0.2
 #: Weight of the level above in a prior, in rows.
 SMOOTH = 20.0
 #: Rows whose best posterior is lower are rejected, as are those of class OTHER.
@@ -36,11 +38,18 @@ SLICE_BYTES = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
+#: Bytes of words: ASCII letters, apostrophe and space, and all of other characters.
+_WORDY = np.array([b >= 128 or chr(b).isalpha() or b in (32, 39) for b in range(256)])
+
+
 def buckets(data: bytes) -> np.ndarray:
-    """Bucket of the trigram at each byte but the last two; ASCII letters in lower case, digits alike."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-    return (code * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    """Bucket of the trigram at each byte but the last two; BUCKETS if it holds more than letters and spaces."""
+    raw = np.frombuffer(data, np.uint8)
+    wordy = _WORDY[raw]
+    b = raw.astype(np.uint32)
+    code = (((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    code[~(wordy[:-2] & wordy[1:-1] & wordy[2:])] = BUCKETS
+    return code
 
 
 def plain(text: bytes) -> bytes:
@@ -50,22 +59,25 @@ def plain(text: bytes) -> bytes:
 @dataclass
 class Trigrams:
     langs: list[str]  # OTHER is the last
-    logp: np.ndarray  # BUCKETS x languages
+    logp: np.ndarray  # BUCKETS and a row of zeros x languages
 
     def likelihoods(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log likelihood of a trigram under each language times their number, tempered; 0 without letters."""
+        """Tempered log likelihood of each text under each language. A text without words is OTHER until told otherwise."""
         parts = [plain(t) for t in texts]
         out = np.zeros((len(texts), len(self.langs)))
         offs = offsets_of(parts)
         data = b"".join(parts)
         if len(data) < 3:
+            out[:, -1] = -np.log(OTHER_PRIOR)
             return out
         codes = buckets(data)
         # of each text: its own trigrams, without the two that reach into the next
         sums = np.zeros((len(codes) + 1, len(self.langs)))
         np.cumsum(self.logp[codes], axis=0, out=sums[1:])
         ends = np.maximum(np.minimum(offs[1:] - 2, len(codes)), offs[:-1])
-        return TEMPER * (sums[ends] - sums[np.minimum(offs[:-1], len(codes))])
+        out = TEMPER * (sums[ends] - sums[np.minimum(offs[:-1], len(codes))])
+        out[out[:, -1] == 0, -1] = -np.log(OTHER_PRIOR)
+        return out
 
 
 def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Trigrams:
@@ -79,20 +91,21 @@ def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Trigrams:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = plain(text or b"")
                 if len(data) > 2:
-                    seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    seen[lang] += np.bincount(buckets(data), minlength=BUCKETS)
+                    seen.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                    seen[lang] += np.bincount(buckets(data), minlength=BUCKETS + 1)
         for lang, n in seen.items():
-            at = np.flatnonzero(n)
+            at = np.flatnonzero(n[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
     got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
-    logp = np.full((BUCKETS, len(langs) + 1), -np.log(OTHER_TRIGRAMS))
+    logp = np.full((BUCKETS + 1, len(langs) + 1), -np.log(OTHER_TRIGRAMS))
     for k, lang in enumerate(langs):
-        n = np.full(BUCKETS, 0.05)
         mine = got[got["lang"] == lang]
-        n[mine["bucket"].to_numpy()] += mine["n"].to_numpy()
-        logp[:, k] = np.log(n / n.sum())
+        share = np.zeros(BUCKETS + 1)
+        share[mine["bucket"].to_numpy()] = mine["n"].to_numpy() / max(1, mine["n"].sum())
+        logp[:, k] = np.log((1 - FOREIGN) * share + FOREIGN / OTHER_TRIGRAMS)
+    logp[BUCKETS] = 0
     return Trigrams([*langs, OTHER], logp)
 
 
