@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import let
 from ..functions.predicates import Predicate, all_of, any_of, first_match, gate, ignored, sure
 
 
@@ -51,22 +52,35 @@ def rule_hit(rule: Rule, number: int, message: Column, of: dict[str, Column]) ->
 
 def match_rules(lines: DataFrame, rules: list[Rule], message: str, fields: list[str]) -> DataFrame:
     """Add ``hits``: the array of rules that match each line, in the order of the list. Rules never multiply lines."""
-    of = {f: F.col(f).cast("string") for f in fields}
-    return lines.withColumn("hits", F.array_compact(F.array(*(rule_hit(r, k, F.col(message), of) for k, r in enumerate(rules)))))
+    record = F.struct(F.col(message).alias("message"), *(F.col(f).cast("string").alias(f"f_{f}") for f in fields))
+
+    def hits(r: Column) -> Column:
+        of = {f: r[f"f_{f}"] for f in fields}
+        return F.array_compact(F.array(*(rule_hit(rule, k, r["message"], of) for k, rule in enumerate(rules))))
+
+    return lines.withColumn("hits", let(record, hits))
 
 
 def overlap(hits: Column, mode: str) -> Column:
     """Which hits of a line judge. 'first': those up to the first that consumes it; 'shadow': all, later ones demoted;
     'all': all. Adds ``demoted`` to each hit."""
-    first = F.array_min(F.transform(F.filter(hits, lambda h: h["consumes"]), lambda h: h["rule_int"]))
-    with_flag = lambda flag: F.transform(hits, lambda h: h.withField("demoted", flag(h)))
-    if mode == "first":
-        return F.filter(with_flag(lambda h: F.lit(False)), lambda h: F.coalesce(h["rule_int"] <= first, F.lit(True)))
-    if mode == "shadow":
-        return with_flag(lambda h: h["consumes"] & F.coalesce(h["rule_int"] > first, F.lit(False)))
-    if mode == "all":
-        return with_flag(lambda h: F.lit(False))
-    raise ValueError(mode)
+    if mode not in ("first", "shadow", "all"):
+        raise ValueError(mode)
+
+    def judged(hits: Column) -> Column:
+        with_flag = lambda flag: F.transform(hits, lambda h: h.withField("demoted", flag(h)))
+        if mode == "all":
+            return with_flag(lambda h: F.lit(False))
+        consumers = F.transform(F.filter(hits, lambda h: h["consumes"]), lambda h: h["rule_int"])
+
+        def split(first: Column) -> Column:
+            if mode == "first":
+                return F.filter(with_flag(lambda h: F.lit(False)), lambda h: F.coalesce(h["rule_int"] <= first, F.lit(True)))
+            return with_flag(lambda h: h["consumes"] & F.coalesce(h["rule_int"] > first, F.lit(False)))
+
+        return let(F.array_min(consumers), split)
+
+    return let(hits, judged)
 
 
 def explode_hits(lines: DataFrame) -> DataFrame:

@@ -490,7 +490,7 @@ def union_watchers(spark, sf):  # noqa: ANN001, ANN201
     return M.union_watchers({"web": rows.where("event_type = 'error'"), "app": rows.where("event_type = 'click'")}).groupBy("watcher", "ip").agg(F.count("*").alias("n"))
 
 
-@query(SQL + """, l as (select user_id, ip, min(ord) as at from h group by user_id, ip) select user_id as watcher, ip as rule, row_number() over (partition by user_id order by at)::int as place from l""")
+@query(SQL + """, l as (select user_id, ip, min(ord) as first_ord from h group by user_id, ip) select user_id as watcher, ip as rule, (row_number() over (partition by user_id order by first_ord))::int as place from l""")
 def dedupe_rules(spark, sf):  # noqa: ANN001, ANN201
     rows = hits(spark, sf).select("user_id", "ip", "ord")
     groups = rows.select(F.concat(F.lit("g"), "ord").alias("name"), F.array("ip", "ip").alias("rules"))
@@ -587,7 +587,7 @@ def subnet_score(spark, sf):  # noqa: ANN001, ANN201
     return C.subnet_crossings(rows, 24, DAY, 30).drop("bucket").withColumn("members", F.array_join("members", ","))
 
 
-@query(fold_sql("user_id", "1", DAY, 5) + f"""select ord, us, key, n from (select *, count(*) over (partition by key order by us range between {7 * DAY * 1_000_000 - 1} preceding and current row) as n from st where crossed) where n >= 2""")
+@query(fold_sql("user_id", "1", DAY, 5) + f"""select ord, us, key, times as n from (select *, count(*) over (partition by key order by us range between {7 * DAY * 1_000_000 - 1} preceding and current row) as times from st where crossed) where times >= 2""")
 def recidive(spark, sf):  # noqa: ANN001, ANN201
     bans = threshold_crossings(spark, sf).select("ord", "us", F.lit("web").alias("kur"), F.col("key").alias("ip"))
     return C.recidive(bans, 7 * DAY, 2).select("ord", "us", F.col("ip").alias("key"), F.col("count").alias("n"))
