@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tidewatch.plans import more_queries  # noqa: F401
 from tidewatch.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
