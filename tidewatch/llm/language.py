@@ -146,8 +146,12 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
 
     Rows without text are decided by the other evidence, and rejected if that doesn't suffice; without any
     evidence the most common language is not enough. Repeated rows are decided each; an empty table gives
-    no rows; ties go to the first language in alphabetical order.
+    no rows; ties go to the first language in alphabetical order. A model of no labelled rows knows no language,
+    and rejects every row.
     """
+    if len(model.langs) == 1:
+        none = rows.select("doc_id", "page_id", "h", "host", "declared")
+        return none.withColumns({"lang": F.lit(OTHER), "confidence": F.lit(1.0), "kept": F.lit(False)})
     names = [f"l{k}" for k in range(len(model.langs))]
     keys = ["doc_id", "page_id", "h", "declared", "host", "domain", "suffix"]
 
