@@ -63,10 +63,13 @@ def test_other_parsers(spark):
     (predicates.Predicate("word", "re", ["^A.C$"], nocase=True), True), (predicates.Predicate("word", "re", ["^A.C$"]), False),
     (predicates.Predicate("word", "startswith", ["a", "b"], all=True), False), (predicates.Predicate("url", "contains", ["../"], decode=["url"]), True),
     (predicates.Predicate("url", "contains", ["+ "], decode=["url"]), False), (predicates.Predicate("dash", "eq", ["-x"], decode=["windash"]), True),
+    (predicates.Predicate("six", "cidr", ["10.0.0.0/8", "2001:db8::/32"]), True), (predicates.Predicate("ip", "cidr", ["2001:db8::/32", "junk"]), False),
+    (predicates.Predicate("coded", "contains", ["needle"], decode=["base64offset"]), True), (predicates.Predicate("wide", "contains", ["ne"], decode=["wide"]), True),
+    (predicates.Predicate("word", "contains", ["ne"], decode=["wide"]), False),
     (predicates.Predicate("ip", "cidr", ["10.0.0.0/8"]), True), (predicates.Predicate("word", "cidr", ["10.0.0.0/8"]), False),
 ])
 def test_predicate(spark, predicate, want):
-    of = {"n": F.lit("5"), "word": F.lit("abc"), "url": F.lit("a+%2e%2e%2f"), "dash": F.lit("–x"), "ip": F.lit("::ffff:10.1.2.3")}
+    of = {"n": F.lit("5"), "word": F.lit("abc"), "url": F.lit("a+%2e%2e%2f"), "dash": F.lit("–x"), "ip": F.lit("::ffff:10.1.2.3"), "six": F.lit("2001:DB8:0::9"), "coded": F.lit("eG5lZWRsZSBoZXJl"), "wide": F.lit("n\x00e\x00")}
     assert one(spark, predicate.column(of)) is want
 
 
@@ -234,3 +237,10 @@ def test_state_round_trip(spark, tmp_path):
     h, m = logs.seed_state(spark, str(tmp_path / "s"), 15 * SECOND, idle=10)
     assert [(r.key, r.w) for r in h.collect()] == [("k", 1)]
     assert [r.key for r in m.collect()] == ["k"]
+
+
+def test_networks_of_both_families(spark):
+    rows = [("b", ip, t * SECOND, t, 1, None, None) for t, ip in enumerate(["10.1.1.1", "10.1.1.1", "2001:db8::1", "10.1.1.9", "2001:db8::2", "x"])]
+    got = score.subnet_crossings(spark.createDataFrame(rows, HITS), 24, 100, 2, prefix_v6=64).collect()
+    assert sorted((r.cidr, r.ord, r.members) for r in got) == [("10.1.1.0/24", 1, ["10.1.1.1"]), ("2001:db8::/64", 4, ["2001:db8::1", "2001:db8::2"])]
+    assert score.subnet_crossings(spark.createDataFrame(rows, HITS), 24, 100, 2).count() == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ip import v4_network, v4_number
+from .ip import v4_network, v4_number, v6_network
 
 NUMERIC = r"^-?\d+(\.\d+)?$"
 #: Named pieces of match patterns; each is one capture group of the compiled pattern.
@@ -109,6 +110,22 @@ def decode(candidates: Column, steps: list[str]) -> Column:
     return candidates
 
 
+#: Decoders that change the needle, not the value.
+FORMS = ("base64offset", "wide")
+
+
+def in_network(value: Column, cidr: str) -> Column:
+    """Is the address in the network, of either family? What is no address or no network never is."""
+    try:
+        net = ipaddress.ip_network(cidr, strict=False)
+    except ValueError:
+        return F.lit(False)
+    if net.version == 6:
+        return sure(v6_network(F.when(value.contains(":"), value), F.lit(net.prefixlen)) == F.lit(str(net)))
+    first = int(net.network_address)
+    return sure(v4_number(value).between(first, first + net.num_addresses - 1))
+
+
 @dataclass
 class Predicate:
     """One test of a field. ``op``: eq contains startswith endswith re gt lt ge le cidr exists."""
@@ -131,11 +148,17 @@ class Predicate:
                 raise ValueError("exists takes no value")
             test = value.isNotNull()
         else:
-            needles = [of.get(v, absent) if self.fieldref else F.lit(str(v)) for v in self.values]
             join = all_of if self.all else any_of
-            if self.decode:
-                candidates = decode(F.array(value), self.decode)
+            forms = [s for s in self.decode if s in FORMS]
+            steps = [s for s in self.decode if s not in FORMS]
+            needles = [of.get(v, absent) if self.fieldref else F.lit(str(v)) for v in self.values]
+            if forms:  # the value is searched for what the needle looks like when coded
+                test = join([any_of([sure(self._one(value, F.lit(n))) for f in forms for n in needle_forms(str(v), f)]) for v in self.values])
+            elif steps:
+                candidates = decode(F.array(value), steps)
                 test = join([_some(candidates, self, n) for n in needles])
+            elif self.op == "cidr" and not self.fieldref:
+                test = join([in_network(value, str(v)) for v in self.values])
             else:
                 test = join([sure(self._one(value, n)) for n in needles])
         return ~test if self.negate else test

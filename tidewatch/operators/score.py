@@ -12,7 +12,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ip import v4_network, v4_number, v4_text
+from ..functions.ip import ip_network, v4_network, v4_number, v6_network
 from .common import SECOND, ordered_fold
 
 
@@ -113,12 +113,14 @@ def value_counts(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
     return up.unionByName(down).withColumn("score", running).where((F.col("_kind") == 1) & (F.col("score") >= max_score)).select("bucket", "key", "us", "ord", "offender", "score")
 
 
-def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int) -> DataFrame:
-    """Hits (key: IPv4 address) re-keyed on their networks: (bucket, cidr, us, ord, score, hits, members, first, last) of crossings.
+def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None) -> DataFrame:
+    """Hits (key: address) re-keyed on their networks: (bucket, cidr, us, ord, score, hits, members, first, last) of crossings.
 
-    ``members`` are the different addresses of the window in the order of first sight.
+    IPv6 addresses are counted only with a ``prefix_v6``. ``members`` are the different addresses of the window in the order of first sight.
     """
-    net = F.concat(v4_text(v4_network(v4_number(F.col("key")), F.lit(prefix_v4))), F.lit(f"/{prefix_v4}"))
+    net = ip_network(F.col("key"), F.lit(prefix_v4), with_v6=False)
+    if prefix_v6 is not None:
+        net = F.coalesce(net, v6_network(F.when(F.col("key").contains(":"), F.col("key")), F.lit(prefix_v6)))
     rows = hits.select("bucket", net.alias("net"), "us", "ord", "w", F.col("key").alias("ip")).where("net is not null")
     span = find_time * SECOND
 

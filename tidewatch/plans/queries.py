@@ -498,7 +498,7 @@ def dedupe_rules(spark, sf):  # noqa: ANN001, ANN201
     return M.dedupe_rules(lists, groups)
 
 
-@query(RULE_SQL + """select name as rule, count(*) as cases, sum((found = case name when 'errors' then r0 when 'any' then r3 else r2 end::int)::int) as passed
+@query(RULE_SQL + """select name as rule, count(*) as cases, sum((found = case name when 'errors' then r0 when 'any' then r3 else r2 end::int)::int)::bigint as passed
     from (select *, 1 as found, unnest(['errors', 'odd', 'any']) as name from r) group by name""")
 def evaluate_rules(spark, sf):  # noqa: ANN001, ANN201
     rows = _matched(spark, sf).drop("hits")
@@ -711,7 +711,7 @@ def active_bans(spark, sf):  # noqa: ANN001, ANN201
 
 
 @query(LEDGER_SQL + """, a as (select kur, ip from held, now where forever or until > t), o as (select kur, count(distinct ip) as banned from a group by kur)
-select * from o where kur <> 'kur2' union all select 'kur2', count(distinct ip) from a where kur in ('kur0', 'kur1') union all select '', coalesce(sum(banned), 0) from o""")
+select * from o where kur <> 'kur2' union all select 'kur2', count(distinct ip) from a where kur in ('kur0', 'kur1') union all select '', coalesce(sum(banned), 0)::bigint from o""")
 def ban_tally(spark, sf):  # noqa: ANN001, ANN201
     return R.ban_tally(active_bans(spark, sf), values(spark, "gate string, kur string", [("kur2", "kur0"), ("kur2", "kur1")]))
 
