@@ -165,3 +165,18 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD, id_col: str =
 
 def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = f"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select *, sqrt(list_dot_product(e, e)) as norm from v),
+link as (select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+         where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {THRESHOLD}),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a),
+component as (select a as vec_id, min(b) as component_id from reach group by a),
+degree as (select a as vec_id, count(*) as n_links from link group by a)
+select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept from component c left join degree using (vec_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secret_scan, sharding
+from . import embed_dedup, pii, secret_scan, sharding
 from .bpe import op2_bpe
 from .decontaminate import op6_decontaminate
 from .embed_dedup import op4_embed_dedup
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_pii": pii.ORACLE,
+    "op4_embed_dedup": embed_dedup.ORACLE,
     "op9_secrets": secret_scan.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
