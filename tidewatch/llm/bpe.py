@@ -23,7 +23,7 @@ from .common import table, text_bytes
 from .pieces import Remembered, mapped, offsets_of, piece_starts, slices
 
 #: New pieces after which one worker forgets those it did not meet again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 240_000
 #: Bytes of text that are encoded and decoded together.
 SLICE_BYTES = 4_000_000
 #: Above so many bytes the recursion, quadratic in a word's length, gives way to a heap of pairs.
