@@ -124,19 +124,20 @@ def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score:
     rows = hits.select("bucket", net.alias("net"), "us", "ord", "w", F.col("key").alias("ip")).where("net is not null")
     span = find_time * SECOND
 
-    def step(live: deque, row: tuple) -> list[tuple]:
-        bucket, net, us, order, w, ip = row
+    def step(state: list, row: tuple) -> list[tuple]:
+        live, (bucket, net, us, order, w, ip) = state[0], row
         while live and us - live[0][0] >= span:
-            live.popleft()
+            state[1] -= live.popleft()[1]
         live.append((us, w, ip))
-        score = sum(x[1] for x in live)
-        if score < max_score:
+        state[1] += w
+        if state[1] < max_score:
             return []
-        out = (bucket, net, us, order, score, len(live), list(dict.fromkeys(x[2] for x in live)), live[0][0], us)
+        out = (bucket, net, us, order, state[1], len(live), list(dict.fromkeys(x[2] for x in live)), live[0][0], us)
         live.clear()
+        state[1] = 0
         return [out]
 
-    return ordered_fold(rows, ["bucket", "net"], ["us", "ord"], deque, step, "bucket string, cidr string, us long, ord long, score long, hits long, members array<string>, first long, last long")
+    return ordered_fold(rows, ["bucket", "net"], ["us", "ord"], lambda: [deque(), 0], step, "bucket string, cidr string, us long, ord long, score long, hits long, members array<string>, first long, last long")
 
 
 def recidive(ledger: DataFrame, find_time: int = 604_800, max_score: int = 5, kur: str = "recidive") -> DataFrame:
