@@ -69,6 +69,33 @@ def test_bpe_is_tiktoken(spark, sf):
         assert got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def lines_and_tokens():
+    """White space of every kind before a word, added tokens whole and cut, and random mixtures of them."""
+    before = ["\n\n", "\n\n\n\n", " \n", "\r\n", "\t\n", "\xa0\n", "\u3000\n", "\n", "<|endoftext|>"]
+    texts = [a + b + c for a in ("", "a", "é", "x.", "日", "<|endoftext|>") for b in before for c in ("word", "1", "-", " word", "")]
+    texts += ["left <|endo", "ftext|> right", "a<|endoftext|", ">"]
+    rng = random.Random(8)
+    parts = ["a", "Word", "é", "à", "日", "。", ".", "'", "'s", "<|", "endoftext", "|>", "<|endoftext|>", "7", " ", " ", "\n", "\n", "\r", "\t", "\xa0", "\u3000", "\u2028", "\x85", "\x1c"]
+    return texts + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
+
+
+def test_bpe_pieces_keep_white_space():
+    ranks = bpe.load_ranks(RANKS)  # it has no token of two line ends, so words cut amiss would have the same ids
+    ranks += [(b, len(ranks) + k) for k, b in enumerate((b"\n\n", b"\r\n", b" \n", b"\t\n"))]
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(ranks), special_tokens={})
+    texts = lines_and_tokens()
+    got = bpe.Coder(ranks, public_tokenizers.PATTERN).encode([t.encode() for t in texts])
+    assert [t for t, x in zip(texts, got, strict=True) if np.frombuffer(x, "<u4").tolist() != own.encode_ordinary(t)] == []
+
+
+def test_token_pieces_keep_white_space_and_added_tokens():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, texts = Tokenizer.from_file(path), lines_and_tokens()
+    with open(path, encoding="utf-8") as f:
+        got = token_store.Tokens(f.read()).encode([t.encode() for t in texts])
+    assert [t for t, x in zip(texts, got, strict=True) if np.frombuffer(x, "<u4").tolist() != library.encode(t, add_special_tokens=False).ids] == []
+
+
 def test_bpe_long_words_merge_alike():
     coder = bpe.Coder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
     rng = random.Random(1)

@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 #: Bytes that may follow a cut: not white space, and no lead byte of a character that is white space.
 _MAY_FOLLOW = np.ones(256, bool)
 _MAY_FOLLOW[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: Bytes that end no white space: neither that of ASCII nor the last byte of a longer one.
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(9, 14), *range(28, 33), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 #: Second bytes, after 0xC3, of letters (U+00C0 to U+00FF without the two arithmetic signs).
 _SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
@@ -23,12 +26,25 @@ def offsets_of(parts: list[bytes]) -> np.ndarray:
     return out
 
 
-def piece_starts(flat: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def inside(data: bytes, words: list[bytes]) -> np.ndarray:
+    """Places in ``data`` that lie within an occurrence of a word, after its first byte."""
+    out = []
+    for w in words:
+        at = data.find(w)
+        while at >= 0:
+            out.append(np.arange(at + 1, at + len(w)))
+            at = data.find(w, at + 1)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def piece_starts(flat: np.ndarray, docs: np.ndarray, never: np.ndarray | None = None) -> np.ndarray:
     """Starts of the pieces of texts that lie one after another in ``flat`` (``docs``: their offsets).
 
     A piece begins with its text, at each space that a visible character follows, at ASCII punctuation
-    or a line's end after a Latin letter, and at a visible character after a line's end. Patterns of
-    byte-level BPE begin a match at each of these, so the matches of a text are those of its pieces.
+    or a line's end after a Latin letter, and at a visible character after a line's end that stands alone.
+    Patterns of byte-level BPE begin a match at each of these, so the matches of a text are those of its
+    pieces. They also set apart the last of several white spaces before a visible character, so longer
+    white space that ends with a line stays with what follows. No piece of a text begins at places of ``never``.
     """
     begins = np.zeros(len(flat), bool)
     if len(flat):
@@ -36,8 +52,11 @@ def piece_starts(flat: np.ndarray, docs: np.ndarray) -> np.ndarray:
         begins[:-1] = (flat[:-1] == 32) & visible[1:]
         letter = _LETTER[flat[:-1]]
         letter[1:] |= (flat[:-2] == 0xC3) & _SECOND[flat[1:-1]]
-        begins[1:] |= (letter & _PUNCTUATION[flat[1:]]) | ((flat[:-1] == 10) & visible[1:])
+        begins[1:] |= letter & _PUNCTUATION[flat[1:]]
+        begins[2:] |= (_SOLID[flat[:-2]] | letter[:-1]) & (flat[1:-1] == 10) & visible[2:]
         begins[docs[1:-1] - 1] &= flat[docs[1:-1] - 1] != 32  # what follows a text's last space is another text
+        if never is not None:
+            begins[never] = False
         begins[docs[:-1][np.diff(docs) > 0]] = True
     return np.flatnonzero(begins)
 

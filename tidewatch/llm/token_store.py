@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table, text_bytes
-from .pieces import Remembered, mapped, offsets_of, piece_starts, slices
+from .pieces import Remembered, inside, mapped, offsets_of, piece_starts, slices
 
 #: New pieces after which one worker forgets those it did not meet again.
 CACHE_PIECES = 350_000
@@ -40,6 +40,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_str(json)
+        self.added = [t.content.encode() for t in self.of.get_added_tokens_decoder().values()]  # taken whole wherever a text has them
         self.line = self.of.token_to_id("Ċ")  # how byte-level vocabularies write a line's end
         #: byte -> the character that byte-level vocabularies write for it
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -81,7 +82,7 @@ class Tokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         data, docs = b"".join(texts), offsets_of(texts)
-        return mapped(data, piece_starts(np.frombuffer(data, np.uint8), docs), docs, self.known)
+        return mapped(data, piece_starts(np.frombuffer(data, np.uint8), docs, inside(data, self.added)), docs, self.known)
 
 
 _tokens: dict[str, Tokens] = {}
