@@ -102,6 +102,15 @@ def test_membership_of_both_families(spark):
     assert [r.e for r in same.select(addr_equal(F.col("a"), F.col("b")).alias("e")).collect()] == [True, True, False]
 
 
+def test_gates_know_both_families(spark):
+    rows = spark.createDataFrame([("10.1.2.3",), ("10.9.0.1",), ("2001:db8::5",), ("2001:DB8:0:0::6",), ("2001:db9::1",), ("host",)], "ip string")
+    nets = spark.createDataFrame([("10.1.0.0/16",), ("2001:db8::/32",)], "cidr string")
+    left = ["10.9.0.1", "2001:db9::1", "host"]
+    assert sorted(r.ip for r in gates.drop_ignored(rows, nets).collect()) == left
+    assert sorted(r.ip for r in gates.ban_not_internal(rows, nets).collect()) == left
+    assert sorted(r.ip for r in gates.blocklist_gate(rows, [("ip", [nets], "cidr")]).collect()) == ["10.1.2.3", "2001:DB8:0:0::6", "2001:db8::5"]
+
+
 def test_scalars(spark):
     assert one(spark, scalars.category(F.lit("odd-newThing"))) == "Odd NewThing"
     assert one(spark, scalars.sid(F.lit("abc"))) == int(__import__("hashlib").md5(b"abc").hexdigest()[:8], 16) & 0x7FFFFFFF

@@ -91,8 +91,8 @@ def split_cidrs(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
     return v4.unionByName(v6).distinct()
 
 
-def ip_in_any(rows: DataFrame, ip: str, cidrs: DataFrame, out: str, with_v6: bool = False) -> DataFrame:
-    """Add the boolean ``out``: is the address in a listed network? Non-addresses never are.
+def ip_in_any(rows: DataFrame, ip: str, cidrs: DataFrame, out: str, with_v6: bool = True) -> DataFrame:
+    """Add the boolean ``out``: is the address in a listed network of its family? Non-addresses never are.
 
     The list's prefix lengths are few: each address gives its network of every length once, and the rest
     is an equality join, not a scan of ranges.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -243,6 +243,11 @@ def compose_fields(spark, sf):  # noqa: ANN001, ANN201
 # --- addresses
 
 
+def _mixed(ip: str, odd: str) -> Column:
+    """10.a.b.c, or the IPv6 address 2001:db9:a:b::c where ``odd`` is an odd number: lists name networks of both."""
+    return F.when(F.pmod(odd, F.lit(2)) == 1, F.regexp_replace(ip, r"^10\.(\d+)\.(\d+)\.(\d+)$", "2001:db9:$1:$2::$3")).otherwise(F.col(ip))
+
+
 @query(SQL + """select event_id, 'v4' as family, concat('10.', user_id % 4, '.', k % 8, '.0/24') as net24, concat('10.', user_id % 4, '.', k % 8 - k % 4, '.0/22') as net22, null::varchar as bad,
     'v6' as family6, concat('2001:db8:', case when user_id % 50 + 1 > 0 then printf('%x', user_id % 50 + 1) end, '::/48') as net6 from h""")
 def ip_functions(spark, sf):  # noqa: ANN001, ANN201
@@ -255,8 +260,8 @@ def ip_functions(spark, sf):  # noqa: ANN001, ANN201
 
 @query(SQL + """select event_id, user_id % 4 = 1 or (user_id % 4 = 2 and k % 8 < 2) or ip = '10.3.0.8' as listed from h""")
 def ip_in_list(spark, sf):  # noqa: ANN001, ANN201
-    nets = values(spark, "cidr string", [("10.1.0.0/16",), ("10.2.0.0/23",), ("10.3.0.8",), ("junk/99",), ("2001:db8::/32",)])
-    return ip_in_any(hits(spark, sf), "ip", nets, "listed").select("event_id", "listed")
+    nets = values(spark, "cidr string", [("10.1.0.0/16",), ("10.2.0.0/23",), ("10.3.0.8",), ("junk/99",), ("2001:db8::/32",), ("2001:db9:1::/48",), ("2001:DB9:2::/63",), ("2001:db9:3:0::8",)])
+    return ip_in_any(hits(spark, sf).withColumn("addr", _mixed("ip", "event_id")), "addr", nets, "listed").select("event_id", "listed")
 
 
 # --- gates
@@ -264,12 +269,13 @@ def ip_in_list(spark, sf):  # noqa: ANN001, ANN201
 
 @query(SQL + """select event_id, ip from h where not (user_id % 4 = 0) or event_type = 'view'""")
 def drop_ignored(spark, sf):  # noqa: ANN001, ANN201
-    return G.drop_ignored(hits(spark, sf), values(spark, "cidr string", [("10.0.0.0/16",)]), exempt=F.col("event_type") == "view").select("event_id", "ip")
+    return G.drop_ignored(hits(spark, sf).withColumn("addr", _mixed("ip", "event_id")), values(spark, "cidr string", [("10.0.0.0/16",), ("2001:db9:0::/48",)]), "addr", exempt=F.col("event_type") == "view").select("event_id", "ip")
 
 
 @query(SQL + """select event_id, ip from h where user_id % 4 in (1, 3) and not (user_id % 4 = 3 and k % 8 = 7)""")
 def ban_not_internal(spark, sf):  # noqa: ANN001, ANN201
-    return G.ban_not_internal(hits(spark, sf), values(spark, "cidr string", [("10.0.0.0/16",), ("10.2.0.0/16",), ("10.3.7.0/24",)])).select("event_id", "ip")
+    own = [("10.0.0.0/16",), ("10.2.0.0/16",), ("10.3.7.0/24",), ("2001:db9:0::/48",), ("2001:db9:2::/48",), ("2001:db9:3:7::/64",)]
+    return G.ban_not_internal(hits(spark, sf).withColumn("addr", _mixed("ip", "event_id")), values(spark, "cidr string", own), "addr").select("event_id", "ip")
 
 
 def _number(a: int, b: int, c: int, d: int) -> int:
@@ -289,9 +295,9 @@ def country_gate(spark, sf):  # noqa: ANN001, ANN201
 
 @query(SQL + """select event_id from h where (user_id % 4 = 1 or k % 8 = 3 and user_id % 4 = 0) and event_type in ('error', 'click')""")
 def blocklist_gate(spark, sf):  # noqa: ANN001, ANN201
-    a, b = values(spark, "cidr string", [("10.1.0.0/16",)]), values(spark, "cidr string", [("10.0.3.0/24",)])
+    a, b = values(spark, "cidr string", [("10.1.0.0/16",), ("2001:db9:0:3::/64",)]), values(spark, "cidr string", [("10.0.3.0/24",), ("2001:db9:1::/48",)])
     words = values(spark, "entry string", [("ERROR",), ("Click",)])
-    return G.blocklist_gate(hits(spark, sf), [("ip", [a, b], "cidr"), ("event_type", [words], "nocase")]).select("event_id")
+    return G.blocklist_gate(hits(spark, sf).withColumn("addr", _mixed("ip", "event_id")), [("addr", [a, b], "cidr"), ("event_type", [words], "nocase")]).select("event_id")
 
 
 @query(SQL + """select event_id, (dow in (1, 2) and hm between 900 and 1700) or hm >= 2200 or hm <= 130 as active, not ((dow in (1, 2) and hm between 900 and 1700) or hm >= 2200 or hm <= 130) as inactive, false as unread
@@ -480,7 +486,7 @@ def explode_subjects(spark, sf):  # noqa: ANN001, ANN201
 @query(RULE_SQL + "select event_id, rule, user_id % 4 <> 0 as fired, case when user_id % 4 <> 0 then ip end as ip from m")
 def fired(spark, sf):  # noqa: ANN001, ANN201
     rows = M.explode_hits(_matched(spark, sf))
-    left = G.drop_ignored(M.explode_offenders(rows), values(spark, "cidr string", [("10.0.0.0/16",)]))
+    left = G.drop_ignored(M.explode_offenders(rows).withColumn("addr", _mixed("ip", "event_id")), values(spark, "cidr string", [("10.0.0.0/16",), ("2001:db9:0::/48",)]), "addr")
     return M.fired(rows, left, ["event_id", "rule"]).select("event_id", "rule", "fired", "ip")
 
 
