@@ -396,6 +396,38 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()) == [(k, k) for k in range(12)]
 
 
+def test_hits_are_edit_distance():
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(11)
+    lexicon = toxicity._lexicon([toxicity.Term("stupid", False), toxicity.Term("idiot", True), toxicity.Term("scum", False)], {})
+    for text in ("stup1d", "stu*id", "1diot", "ztupid", "tupid", "xstupid", "stu_pid", "idi0ts", "diots", "they said: stu.id!", "Stu\u2019pid"):
+        assert len(lexicon.hits(text)[1]) == 1, text
+    for text in ("stup1", "stu**id", "stu id", "scun", "s1upxd", "1d1ot", "", "2+2"):
+        assert not lexicon.hits(text)[1], text
+    assert lexicon.hits("a stu*id idiot's say")[1] == [(0, toxicity.INSIDE, True), (1, toxicity.EXACT, True)]
+    terms = list({"".join(rng.choices("abc", k=rng.randint(5, 7))): rng.random() < 0.4 for _ in range(15)}.items())
+    lexicon = toxicity._lexicon([toxicity.Term(*t) for t in terms], {})
+    for _ in range(3000):
+        word = "".join(rng.choices("abc", k=rng.randint(3, 8)))
+        if rng.random() < 0.6:
+            at = rng.randrange(len(word) + 1)
+            word = word[:at] + rng.choice("1*_") + word[at + rng.randint(0, 1) :]
+        heads = [word[:k] for k in range(1, len(word) + 1)]
+        want = any(near(h, t) <= 1 for t, stem in terms for h in (heads if stem else [word]))
+        # a symbol at an end is no part of the word
+        parts = [word.strip("1*_")] if word.strip("1*_") else []
+        parts += re.findall("[a-c]+", word)
+        want = want or any(near(h, t) <= 1 for p in parts for t, stem in terms for h in ([p[:k] for k in range(1, len(p) + 1)] if stem else [p]))
+        assert bool(lexicon.hits(word)[1]) == want, word
+
+
 def test_automaton_is_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))

@@ -2,7 +2,7 @@
 
 The lexicon (whole words, and stems that any ending may follow) and all weights are learned from labelled
 documents. A word is looked up by the product of the trie and an automaton of one edit, made
-deterministic as words ask for it. A hit counts as quoted when it stands in quotation marks or near a
+deterministic as words ask for it; so are two words with one symbol or digit between them. A hit counts as quoted when it stands in quotation marks or near a
 reporting verb; quoted and other hits are separate evidence of a logistic model.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,10 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 CACHE_WORDS = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
+#: A word, and the next one that a single digit or symbol parts from it.
+PARTED = re.compile(r"(?<![^\W\d_])([^\W\d_]++)(?=([\d_]|[^\w\s])([^\W\d_]++))")
+#: Kinds of a hit, each with its own lift: exact, an edit, an edit of the first letter, a symbol or digit inside.
+EXACT, EDITED, FIRST, INSIDE = KINDS = range(4)
 
 
 @dataclass
@@ -48,9 +53,11 @@ class Term:
 
 
 class Lexicon:
-    """Deterministic product of the trie of terms and the one-edit automaton, built as it is walked."""
+    """Deterministic product of the trie of terms and the one-edit automaton, built as it is walked. Only with ``first``
+    may the edit be that of the first letter."""
 
-    def __init__(self, terms: list[Term]):
+    def __init__(self, terms: list[Term], first: bool = False):
+        self.first = first
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.terms = terms
@@ -66,15 +73,15 @@ class Lexicon:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
-        self.whole: list[tuple[int, int] | None] = []  # (edits, term) at the end of a word
+        self.whole: list[tuple[int, int] | None] = []  # (kind, term) at the end of a word
         self.open: list[tuple[int, int] | None] = []  # the same for stems, wherever a word gets to
         self.begin = self.state({(0, 0)})
         self.seen: dict[str, tuple[int, int] | None] = {}
 
     def state(self, at: set[tuple[int, int]]) -> int:
-        # a missing letter: go down the trie without reading; the first letter of a word is never wrong
-        at |= {(c, 1) for node, e in at if e == 0 and node for c in self.child[node].values()}
-        key = frozenset(x for x in at if x[1] == 0 or (x[0], 0) not in at)
+        # a missing letter: go down the trie without reading
+        at |= {(c, self.edit(node)) for node, e in at if e == 0 and (node or self.first) for c in self.child[node].values()}
+        key = frozenset(x for x in at if not any((x[0], e) in at for e in range(x[1])))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
@@ -84,19 +91,23 @@ class Lexicon:
             self.open.append(min((x for x in found if self.terms[x[1]].stem), default=None))
         return self.ids[key]
 
+    @staticmethod
+    def edit(node: int) -> int:
+        return EDITED if node else FIRST
+
     def step(self, state: int, c: str) -> int:
         to = set()
         for node, e in self.sets[state]:
             if c in self.child[node]:
                 to.add((self.child[node][c], e))
-            if e == 0 and node:
-                to.add((node, 1))  # a letter too many
-                to |= {(x, 1) for x in self.child[node].values()}  # another letter
+            if e == 0 and (node or self.first):
+                to.add((node, self.edit(node)))  # a letter too many
+                to |= {(x, self.edit(node)) for x in self.child[node].values()}  # another letter
         made = self.next[state][c] = self.state(to)
         return made
 
     def look(self, word: str) -> tuple[int, int] | None:
-        """(edits, term) of the best match of a whole word."""
+        """(kind, term) of the best match of a whole word."""
         if word in self.seen:
             return self.seen[word]
         state, best = self.begin, None
@@ -117,24 +128,31 @@ class Lexicon:
         return best
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, int, bool]]]:
-        """Number of words, and (term, edits, quoted) of each hit."""
+        """Number of words, and (term, kind, quoted) of each hit.
+
+        Words parted by a single digit or symbol are also looked up as one; they count for a term that neither is a hit of."""
         low = text.lower()
         words = WORD.findall(low)
         look, seen = self.look, self.seen
         for w in set(words).difference(seen):
             look(w)
         at = [i for i, w in enumerate(words) if look(w) is not None]
-        if not at:
+        found = [(i, i + 1, *look(words[i])) for i in at]
+        parted = [(m.start(), m[1], m[3], best[1]) for m in PARTED.finditer(low) if (best := look(m[1] + m[2] + m[3])) is not None]
+        if not found and not parted:
             return len(words), []
         where = [m.span() for m in WORD.finditer(low)]
+        for start, a, b, term in parted:
+            if all(x is None or x[1] != term for x in (look(a), look(b))):
+                i = bisect_left(where, (start, 0))
+                found.append((i, i + 2, INSIDE, term))
         inside = quoted_ranges(low)
         out = []
-        for i in at:
-            edits, term = look(words[i])
-            near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
+        for i, j, kind, term in sorted(found):
+            near = words[max(0, i - WINDOW) : i] + words[j : j + WINDOW]
             k = int(np.searchsorted(inside[:, 0], where[i][0], "right")) - 1
-            quoted = not REPORTING.isdisjoint(near) or (k >= 0 and where[i][1] <= inside[k, 1])
-            out.append((term, edits, quoted))
+            quoted = not REPORTING.isdisjoint(near) or (k >= 0 and where[j - 1][1] <= inside[k, 1])
+            out.append((term, kind, quoted))
         return len(words), out
 
 
@@ -201,15 +219,15 @@ def learn_terms(train: DataFrame) -> list[Term]:
 @dataclass
 class Model:
     terms: list[Term]
-    lift: np.ndarray  # terms x edits
+    lift: np.ndarray  # terms x kinds
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
 
     def features(self, n_words: int, hits: list[tuple[int, int, bool]]) -> list[float]:
         plain = quoted = most = 0.0
-        for term, edits, inside in hits:
-            x = self.lift[term, edits]
+        for term, kind, inside in hits:
+            x = self.lift[term, kind]
             if inside:
                 quoted += x
             else:
@@ -227,7 +245,7 @@ def _lexicon(terms: list[Term], held: dict[tuple, Lexicon]) -> Lexicon:
     key = tuple((t.text, t.stem) for t in terms)
     if key not in held:
         held.clear()
-        held[key] = Lexicon(terms)
+        held[key] = Lexicon(terms, first=True)
     return held[key]
 
 
@@ -247,16 +265,16 @@ def fit(train: DataFrame) -> Model:
     got = train.select("text", F.col("toxic").cast("int")).mapInPandas(find, "toxic int, n int, hits array<int>").collect()
     y = np.array([r.toxic for r in got], float)
     hits = [[(h[i], h[i + 1], bool(h[i + 2])) for i in range(0, len(h), 3)] for h in (r.hits for r in got)]
-    # lifts of exact and of edited forms, each by its own occurrences
-    times = np.zeros((2, len(terms), 2))
+    # lifts of each kind by its own occurrences
+    times = np.zeros((2, len(terms), len(KINDS)))
     words = np.ones(2)
     for r, hs in zip(got, hits, strict=True):
         words[r.toxic] += r.n
-        for term, edits, _ in hs:
-            times[r.toxic, term, edits] += 1
+        for term, kind, _ in hs:
+            times[r.toxic, term, kind] += 1
     lift = np.log((times[1] + 0.5) / words[1]) - np.log((times[0] + 0.5) / words[0])
     if len(terms):
-        lift[:, 1] = np.where(times[:, :, 1].sum(axis=0) == 0, lift[:, 0] / 2, lift[:, 1])
+        lift[:, 1:] = np.where(times[:, :, 1:].sum(axis=0) == 0, lift[:, :1] / 2, lift[:, 1:])
     lift = np.maximum(lift, 0)
     model = Model(terms, lift, np.zeros(7), np.zeros(6), np.ones(6))
     x = np.array([model.features(r.n, hs) for r, hs in zip(got, hits, strict=True)]).reshape(-1, 6)
