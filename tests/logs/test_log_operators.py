@@ -253,3 +253,16 @@ def test_networks_of_both_families(spark):
     got = score.subnet_crossings(spark.createDataFrame(rows, HITS), 24, 100, 2, prefix_v6=64).collect()
     assert sorted((r.cidr, r.ord, r.members) for r in got) == [("10.1.1.0/24", 1, ["10.1.1.1"]), ("2001:db8::/64", 4, ["2001:db8::1", "2001:db8::2"])]
     assert score.subnet_crossings(spark.createDataFrame(rows, HITS), 24, 100, 2).count() == 1
+
+
+def test_rule_lists_are_rows(spark, sf):
+    from tidewatch.plans.queries import QUERIES
+
+    plan = QUERIES["dedupe_rules"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "min(struct" in plan
+    groups = spark.createDataFrame([("g", ["b", "a", "b"])], "name string, rules array<string>")
+    listed = spark.createDataFrame([("w", 30, "a"), ("w", 7, "c"), ("w", 9, "g"), ("v", 1, "g")], "watcher string, i long, name string")
+    arrays = spark.createDataFrame([("w", ["c", "g", "a"]), ("v", ["g"])], "watcher string, names array<string>")
+    want = [("v", "a", 2), ("v", "b", 1), ("w", "a", 3), ("w", "b", 2), ("w", "c", 1)]
+    assert sorted(map(tuple, match.dedupe_listed(listed, groups).collect())) == want
+    assert sorted(map(tuple, match.dedupe_rules(arrays, groups).collect())) == want

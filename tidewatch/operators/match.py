@@ -116,7 +116,11 @@ def dedupe_rules(rules: DataFrame, groups: DataFrame) -> DataFrame:
     """(watcher, rule, place): groups in a watcher's list replaced by their rules, each rule at its first place.
 
     ``rules``: (watcher, names array); ``groups``: (name, rules array)."""
-    named = rules.select("watcher", F.posexplode("names").alias("i", "name"))
+    return dedupe_listed(rules.select("watcher", F.posexplode("names").alias("i", "name")), groups)
+
+
+def dedupe_listed(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """``dedupe_rules`` of lists that are rows (watcher, i, name), ``i`` in the list's order: no list is one array."""
     each = named.join(groups.withColumnRenamed("name", "_g"), F.col("name") == F.col("_g"), "left").select("watcher", "i", F.posexplode(F.coalesce("rules", F.array("name"))).alias("j", "rule"))
     first = each.groupBy("watcher", "rule").agg(F.min(F.struct("i", "j")).alias("at"))
     return first.select("watcher", "rule", F.row_number().over(Window.partitionBy("watcher").orderBy("at")).alias("place"))

@@ -500,8 +500,7 @@ def union_watchers(spark, sf):  # noqa: ANN001, ANN201
 def dedupe_rules(spark, sf):  # noqa: ANN001, ANN201
     rows = hits(spark, sf).select("user_id", "ip", "ord")
     groups = rows.select(F.concat(F.lit("g"), "ord").alias("name"), F.array("ip", "ip").alias("rules"))
-    lists = rows.groupBy(F.col("user_id").alias("watcher")).agg(F.sort_array(F.collect_list("ord")).alias("o")).select("watcher", F.transform("o", lambda o: F.concat(F.lit("g"), o)).alias("names"))
-    return M.dedupe_rules(lists, groups)
+    return M.dedupe_listed(rows.select(F.col("user_id").alias("watcher"), F.col("ord").alias("i"), F.concat(F.lit("g"), "ord").alias("name")), groups)
 
 
 @query(RULE_SQL + """select name as rule, count(*) as cases, sum((found = case name when 'errors' then r0 when 'any' then r3 else r2 end::int)::int)::bigint as passed
