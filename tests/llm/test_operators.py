@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -303,6 +304,44 @@ def test_secrets_are_replaced(spark):
     assert [got[k].n_chars for k in range(5)] == [10, 0, 0, 12, 19]
 
 
+def test_tokens_of_padding_and_rules(spark):
+    """Underlines, padding and single symbols are no tokens that can be tested; the others are as before."""
+    secret = "x9" + "".join(random.Random(3).choices(secret_scan.BASE64[:62], k=300))
+    texts = ["Title\n" + "=" * 24 + "\nbody", "A" + "=" * 22, "a1" + "=" * 40, "a1" + "=" * 30 + "b", "-" * 50, "_" * 50 + "1a", "JBSWY3DPEHPK3PXP====", "MFRGGZDFMZTWQ2LKNNWG23TPOA======", "1" * 40, "a" * 40, f"key {secret} end", "1a" * 200]
+    docs = frame(spark, texts)
+    got = {r.doc_id: [x.kind for x in r.secrets] for r in secret_scan.scan(docs, secret_scan.limits(docs)).collect()}
+    assert "random" in got[10] and "random" not in got[11]
+    assert all("random" not in got[k] for k in (0, 1, 2, 3, 4, 5, 8, 9))
+    assert secret_scan.without_secrets(docs).count() == len(texts)
+
+
+def test_chi_squared(spark):
+    # fixed values: upper tails at their table points
+    table = [(7.815, 4, 0.05), (14.067, 8, 0.05), (24.996, 16, 0.05), (61.098, 32, 0.001), (82.529, 64, 0.05), (0.0, 8, 1.0), (1e7, 64, 0.0)]
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(table)], "k int, x double, parts int, p double")
+    for r in rows.select("p", secret_scan.chi_squared(F.col("x"), F.col("parts")).alias("got")).collect():
+        assert abs(r.got - r.p) < 2e-4
+
+
+def test_spans_take_no_square_of_the_matches(spark):
+    numbers = ",".join(f"{k % 1000}.{k % 256}.1.{k % 256}" for k in range(200_000))
+    text = numbers + " é " + "0641917ea4e9feb9cda83477b57ac2654884f485 é " * 20_000
+    began = time.perf_counter()
+    (r,) = pii.scan(frame(spark, [text])).select(F.size("pii").alias("n"), F.element_at("pii", -1).alias("last")).collect()
+    assert r.n == sum(k % 1000 <= 255 for k in range(200_000))
+    assert text[r["last"].s : r["last"].e] == "255.87.1.87"  # of k = 199 255
+    docs = frame(spark, [text])
+    (x,) = secret_scan.without_secrets(docs).select("text").collect()
+    assert x.text == text.replace("0641917ea4e9feb9cda83477b57ac2654884f485", "[SECRET]")
+    assert time.perf_counter() - began < 90
+
+
+def test_columns_with_the_same_names_stay(spark):
+    docs = frame(spark, ["token = abcdefghijklmnop", "plain"]).withColumns({"secrets": F.lit(7), "_text": F.lit("mine"), "_row": F.lit(1), "_secret_hex": F.lit(2)})
+    out = secret_scan.without_secrets(docs).orderBy("doc_id").collect()
+    assert [(r.text, r.secrets, r["_text"], r["_row"], r["_secret_hex"]) for r in out] == [("[SECRET]", 7, "mine", 1, 2), ("plain", 7, "mine", 1, 2)]
+
+
 # --- shards
 
 

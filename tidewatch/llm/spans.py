@@ -1,7 +1,7 @@
 """Spans of regular expressions as columns. DataFrame operations only.
 
 ``regexp_extract_all`` gives the matches and ``split`` with the same pattern what stands between them;
-running lengths give positions in code points. Patterns must match at least one character.
+running lengths give positions in code points, n matches in n log n steps. Patterns must match at least one character.
 """
 
 from __future__ import annotations
@@ -16,20 +16,33 @@ NEAR = 40
 FOUND = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for each row, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: object) -> Column:
+    """Running results of an associative ``combine`` over an array: the n-th joins the first n values.
+
+    Each pass combines every place with the one twice as far before it, so n values take log2(n) passes over the array.
+    """
+
+    def further(acc: Column, k: Column) -> Column:
+        gap = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(zero), gap), F.slice(acc, F.lit(1), F.size(acc) - gap)), combine)
+
+    passes = lambda v: F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)
+    return let(values, lambda v: F.when(F.size(v) > 1, F.aggregate(passes(v), v, further)).otherwise(v))
+
+
 def positions(matches: Column, between: Column) -> Column:
     """FOUND: start, end, match and neighbouring text of each match, from matches and the pieces between them."""
     n = F.size(matches)
-    before_after = F.zip_with(F.slice(between, 1, n), F.slice(between, 2, n), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
-    rows = F.zip_with(matches, before_after, lambda m, x: F.struct(m.alias("m"), x["b"].alias("b"), x["a"].alias("a")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["b"])
-        end = start + F.char_length(x["m"])
-        one = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), F.right(x["b"], F.lit(NEAR)).alias("before"), F.left(x["a"], F.lit(NEAR)).alias("after"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
-    return F.when(n > 0, F.aggregate(rows, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(FOUND))
+    lengths = F.zip_with(F.slice(between, 1, n), matches, lambda b, m: F.char_length(b) + F.char_length(m))
+    rows = F.zip_with(matches, running(lengths, lambda x, y: x + y, 0), lambda m, e: F.struct(m.alias("m"), e.alias("e")))
+    beside = F.zip_with(F.slice(between, 1, n), F.slice(between, 2, n), lambda b, a: F.struct(F.right(b, F.lit(NEAR)).alias("b"), F.left(a, F.lit(NEAR)).alias("a")))
+    one = lambda x, y: F.struct((x["e"] - F.char_length(x["m"])).alias("s"), x["e"].alias("e"), x["m"].alias("m"), y["b"].alias("before"), y["a"].alias("after"))
+    return F.when(n > 0, F.zip_with(rows, beside, one)).otherwise(F.array().cast(FOUND))
 
 
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str], prefix: str = "_") -> DataFrame:
