@@ -218,7 +218,9 @@ def test_ledger_round_trip(spark, tmp_path):
     (tmp_path / "l" / "old.csv").write_text("epoch,kur,ip\n200,k,9.9.9.9\nmangled\n")
     got = sorted(map(tuple, logs.read_ledger(spark, str(tmp_path / "l")).collect()))
     assert got == [(100, "k", "1.2.3.4", 'r"q,', "w"), (200, "k", "9.9.9.9", None, None), (10**9, "k", "5.6.7.8", "r", None)]
-    assert logs.compact_ledger(logs.read_ledger(spark, str(tmp_path / "l")), 10**9, keep=5, recidive_find_time=6).count() == 1
+    logs.compact_ledger(spark, str(tmp_path / "l"), str(tmp_path / "c"), 10**9, keep=5, recidive_find_time=6)
+    assert [r.ip for r in logs.read_ledger(spark, str(tmp_path / "c")).collect()] == ["5.6.7.8"]
+    assert sorted(r.ip for r in logs.read_ledger(spark, str(tmp_path / "l"), since=150).collect()) == ["5.6.7.8", "9.9.9.9"]
     assert reports.span_seconds("7d") == 604_800
 
 
@@ -242,10 +244,16 @@ def test_blocklist_and_lines(spark, tmp_path):
 def test_state_round_trip(spark, tmp_path):
     hits = spark.createDataFrame([("b", "k", 10 * SECOND, 1, None, "v"), ("b", "idle", 0, 2, 3, None)], "bucket string, key string, us long, ord long, w long, of string")
     marks = spark.createDataFrame([("m", "k", "v", 10**12, 5), ("m", "gone", "v", 1, 1)], "name string, key string, value string, expires long, first_set long")
-    logs.snapshot_state(hits, marks, str(tmp_path / "s"))
-    h, m = logs.seed_state(spark, str(tmp_path / "s"), 15 * SECOND, idle=10)
-    assert [(r.key, r.w) for r in h.collect()] == [("k", 1)]
-    assert [r.key for r in m.collect()] == ["k"]
+    tracks = spark.createDataFrame([("t", "k", 10**12, {"a": "1"}), ("t", "gone", 1, {})], "name string, key string, expires long, fields map<string,string>")
+    deposits = spark.createDataFrame([("b", "10.1.1.0/24", 10 * SECOND, 1, 2, "10.1.1.1"), ("b", "10.1.2.0/24", 0, 2, 2, "10.1.2.1")], "bucket string, key string, us long, ord long, w long, member string")
+    logs.snapshot_state(str(tmp_path / "s"), hits, marks, tracks, deposits)
+    seed = logs.seed_state(spark, str(tmp_path / "s"), 15 * SECOND, idle=10)
+    assert [(r.key, r.w, r.of) for r in seed.hits.collect()] == [("k", 1, "v")]
+    assert [r.key for r in seed.marks.collect()] == ["k"]
+    assert [(r.key, r.fields) for r in seed.tracks.collect()] == [("k", {"a": "1"})]
+    assert [(r.key, r.member) for r in seed.deposits.collect()] == [("10.1.1.0/24", "10.1.1.1")]
+    logs.snapshot_state(str(tmp_path / "t"), hits, marks)
+    assert logs.seed_state(spark, str(tmp_path / "t"), 15 * SECOND).tracks.count() == 0
 
 
 def test_networks_of_both_families(spark):

@@ -10,19 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .parse import let
+
 _V4 = r"^(?:::ffff:)?(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 
 def v4_number(ip: Column) -> Column:
     """The 32 bits of an IPv4 address (plain or mapped into IPv6) as a long, else null."""
-    octets = F.split(F.regexp_replace(ip, "^(?i)::ffff:", ""), r"\.")
-    number = sum((F.element_at(octets, k + 1).try_cast("long") * (1 << (24 - 8 * k)) for k in range(1, 4)), F.element_at(octets, 1).try_cast("long") * (1 << 24))
-    return F.when(F.lower(ip).rlike(_V4), number)
+    octets = lambda x: F.split(F.substring_index(x, ":", -1), r"\.")
+    return let(ip, lambda x: F.when(F.lower(x).rlike(_V4), F.aggregate(octets(x), F.lit(0).cast("long"), lambda acc, o: acc * 256 + o.try_cast("long"))))
 
 
 def v4_text(number: Column) -> Column:
-    octets = [F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
-    return F.concat(octets[0], *(x for o in octets[1:] for x in (F.lit("."), o)))
+    octet = lambda n, k: F.shiftright(n, k).bitwiseAND(F.lit(255)).cast("string")
+    dot = F.lit(".")
+    return let(number, lambda n: F.concat(octet(n, 24), dot, octet(n, 16), dot, octet(n, 8), dot, octet(n, 0)))
 
 
 @F.pandas_udf(T.StringType())
@@ -40,6 +42,21 @@ def v6_canonical(ips: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def v6_key(ips: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The 32 hex digits of an IPv6 address that isn't mapped IPv4, else null: their order is that of the addresses."""
+
+    def one(x):
+        try:
+            a = ipaddress.IPv6Address(x)
+        except (ValueError, TypeError):
+            return None
+        return None if a.ipv4_mapped or a.scope_id else a.packed.hex()
+
+    for s in ips:
+        yield s.map(one)
+
+
 @F.pandas_udf(T.StringType())
 def v6_network(ips: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for ip, prefix in ips:
@@ -77,8 +94,17 @@ def addr_equal(a: Column, b: Column) -> Column:
     return F.coalesce(canonical(a) == canonical(b), F.lit(False))
 
 
+def v6_prefix(key: Column, bits: int) -> Column:
+    """The first ``bits`` bits of a v6_key, as hex digits: equal for the addresses of one network."""
+    whole, rest = divmod(bits, 4)
+    if not rest:
+        return F.left(key, F.lit(whole))
+    digit = F.conv(F.substring(key, whole + 1, 1), 16, 10).cast("int").bitwiseAND(F.lit(16 - (1 << (4 - rest))))
+    return F.concat(F.left(key, F.lit(whole)), F.lower(F.hex(digit.cast("long"))))
+
+
 def split_cidrs(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
-    """(family, prefix, net): the first address of each listed network, v4 as a decimal number, v6 canonical.
+    """(family, prefix, net): listed networks, v4 by the number of the first address, v6 by the hex digits that hold the prefix.
 
     A bare address is a network of its own; entries that aren't networks are dropped."""
     halves = F.split(F.trim(col), "/")
@@ -87,7 +113,8 @@ def split_cidrs(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
     v4 = rows.withColumn("n", v4_number(F.col("ip"))).withColumn("prefix", F.coalesce("given", F.lit(32)))
     v4 = v4.select(F.lit("v4").alias("family"), "prefix", v4_network(F.col("n"), F.col("prefix")).cast("string").alias("net")).where("net is not null")
     v6 = rows.where("ip like '%:%'").withColumn("prefix", F.coalesce("given", F.lit(128)))
-    v6 = v6.select(F.lit("v6").alias("family"), "prefix", F.substring_index(v6_network(F.col("ip"), F.col("prefix")), "/", 1).alias("net")).where("net is not null")
+    first = v6_key(F.substring_index(v6_network(F.col("ip"), F.col("prefix")), "/", 1))
+    v6 = v6.select(F.lit("v6").alias("family"), "prefix", F.left(first, F.ceil(F.col("prefix") / 4).cast("int")).alias("net")).where("net is not null")
     return v4.unionByName(v6).distinct()
 
 
@@ -98,18 +125,17 @@ def ip_in_any(rows: DataFrame, ip: str, cidrs: DataFrame, out: str, with_v6: boo
     is an equality join, not a scan of ranges.
     """
     nets = split_cidrs(cidrs)
-    lengths = [r.prefix for r in nets.where("family = 'v4'").select("prefix").distinct().collect()]  # 32 at most
-    address = F.col("_ip")
-    number = v4_number(address)
-    keys = [F.concat_ws("/", F.lit("v4"), F.lit(p), v4_network(number, F.lit(p)).cast("string")) for p in lengths]
-    if with_v6:
-        lengths6 = [r.prefix for r in nets.where("family = 'v6'").select("prefix").distinct().collect()]  # 128 at most
-        text = F.when(address.contains(":"), address)
-        keys += [F.concat_ws("/", F.lit("v6"), F.lit(p), F.substring_index(v6_network(text, F.lit(p)), "/", 1)) for p in lengths6]
-    if not keys:
-        return rows.withColumn(out, F.lit(False))
+    lengths: dict[str, list[int]] = {"v4": [], "v6": []}
+    for r in nets.select("family", "prefix").distinct().collect():  # 32 and 128 at most
+        lengths[r.family].append(r.prefix)
     listed = nets.select(F.concat_ws("/", "family", "prefix", "net").alias("_net"))
     # distinct addresses, then their networks: the large side is joined once, on the address
-    found = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct()
+    found = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_number", v4_number(F.col("_ip")))
+    keys = [F.concat_ws("/", F.lit("v4"), F.lit(p), v4_network(F.col("_number"), F.lit(p)).cast("string")) for p in sorted(lengths["v4"])]
+    if with_v6 and lengths["v6"]:
+        found = found.withColumn("_key", v6_key(F.when(F.col("_ip").contains(":"), F.col("_ip"))))
+        keys += [F.concat_ws("/", F.lit("v6"), F.lit(p), v6_prefix(F.col("_key"), p)) for p in sorted(lengths["v6"])]
+    if not keys:
+        return rows.withColumn(out, F.lit(False))
     found = found.select("_ip", F.explode(F.array(*keys)).alias("_net")).join(listed, "_net", "left_semi").select("_ip").distinct().withColumn("_in", F.lit(True))
     return rows.join(found, rows[ip] == found["_ip"], "left").withColumn(out, F.coalesce("_in", F.lit(False))).drop("_ip", "_in")

@@ -1,6 +1,7 @@
 """Log line parsers: each takes a string column and returns a struct column, null where the line does not fit.
 
-A line is matched once: the replacement writes its groups with separators, and the parts become fields.
+A line is matched once: the replacement writes its groups with separators, and the parts become fields. Lines that
+hold separators of their own are matched group by group.
 """
 
 from __future__ import annotations
@@ -28,10 +29,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def parts(line: Column, pattern: str, names: list[str]) -> Column:
-    """Struct of the pattern's groups in order (empty and absent ones null), or null. One pass over the line."""
-    written = F.regexp_replace(line, F.lit(f"(?s)^{pattern}$"), F.lit(_HIT + _GROUP.join(f"${k + 1}" for k in range(len(names)))))
-    named = lambda f: F.when(f.isNotNull(), F.struct(*(F.nullif(F.element_at(f, k + 2), F.lit("")).alias(n) for k, n in enumerate(names))))
-    return let(written, lambda w: let(F.when(w.startswith(_HIT) & ~line.startswith(_HIT), F.split(w, f"[{_HIT}{_GROUP}]", len(names) + 1)), named))
+    """Struct of the pattern's groups in order (empty and absent ones null), or null.
+
+    One pass over the line writes its groups with separators between them. A line that holds separators of its own
+    could forge groups so, and has them extracted one by one."""
+    whole = f"(?s)^{pattern}$"
+    written = F.regexp_replace(line, F.lit(whole), F.lit(_HIT + _GROUP.join(f"${k + 1}" for k in range(len(names)))))
+    fields = lambda of: F.struct(*(F.nullif(of(k), F.lit("")).alias(n) for k, n in enumerate(names)))
+    named = lambda f: F.when(f.isNotNull(), fields(lambda k: F.element_at(f, k + 2)))
+    split = let(written, lambda w: let(F.when(w.startswith(_HIT), F.split(w, f"[{_HIT}{_GROUP}]", len(names) + 1)), named))
+    forging = F.contains(line, F.lit(_HIT)) | F.contains(line, F.lit(_GROUP))
+    return F.when(forging, F.when(line.rlike(whole), fields(lambda k: F.regexp_extract(line, whole, k + 1)))).otherwise(split)
 
 
 def _known(names: list[str], aliases: dict[str, int] | None = None) -> Column:
@@ -256,5 +264,12 @@ def parse_key_value(message: Column) -> Column:
     pair = r'(?:^|[\s,])([A-Za-z_][\w.-]*)=("(?:[^"\\]|\\.)*"|[^\s,"]*)'
     keys, values = (F.regexp_extract_all(message, F.lit(pair), F.lit(k)) for k in (1, 2))
     bare = F.transform(values, lambda v: F.regexp_replace(v, r'(?s)^"(.*)"$', "$1"))
-    first = F.filter(F.transform(F.arrays_zip(keys.alias("k"), bare.alias("v")), lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), (F.array_position(keys, x["k"]) == i + 1).alias("first"))), lambda x: x["first"])
-    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"], x["v"])))
+    # by key, then place: the first of each key is the one that differs from what stands before it
+    ordered = F.array_sort(F.transform(F.arrays_zip(keys.alias("k"), bare.alias("v")), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+
+    def firsts(rows: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.transform(F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: x["k"]))
+        marked = F.zip_with(rows, before, lambda x, b: F.struct(x.alias("x"), (x["k"] != b).alias("first")))
+        return F.transform(F.filter(marked, lambda m: F.coalesce(m["first"], F.lit(False))), lambda m: F.struct(m["x"]["k"], m["x"]["v"]))
+
+    return F.map_from_entries(let(ordered, firsts))

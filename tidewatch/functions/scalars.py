@@ -5,29 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Classification slugs whose prose isn't the slug's own words.
+# Classification slugs and their prose, by priority, then additions of network sensors and of log rules.
 CATEGORIES = {
-    "attempted-recon": "Attempted Information Leak",
-    "successful-recon-limited": "Information Leak",
-    "successful-recon-largescale": "Large Scale Information Leak",
-    "attempted-dos": "Attempted Denial of Service",
-    "successful-dos": "Denial of Service",
-    "attempted-user": "Attempted User Privilege Gain",
-    "unsuccessful-user": "Unsuccessful User Privilege Gain",
-    "successful-user": "Successful User Privilege Gain",
     "attempted-admin": "Attempted Administrator Privilege Gain",
+    "attempted-user": "Attempted User Privilege Gain",
+    "inappropriate-content": "Inappropriate Content was Detected",
+    "policy-violation": "Potential Corporate Privacy Violation",
+    "shellcode-detect": "Executable code was detected",
     "successful-admin": "Successful Administrator Privilege Gain",
+    "successful-user": "Successful User Privilege Gain",
     "trojan-activity": "A Network Trojan was detected",
+    "unsuccessful-user": "Unsuccessful User Privilege Gain",
     "web-application-attack": "Web Application Attack",
-    "misc-attack": "Misc Attack",
+    "attempted-dos": "Attempted Denial of Service",
+    "attempted-recon": "Attempted Information Leak",
+    "bad-unknown": "Potentially Bad Traffic",
     "default-login-attempt": "Attempt to login by a default username and password",
+    "denial-of-service": "Detection of a Denial of Service Attack",
+    "misc-attack": "Misc Attack",
+    "non-standard-protocol": "Detection of a non-standard protocol or event",
+    "rpc-portmap-decode": "Decode of an RPC Query",
+    "successful-dos": "Denial of Service",
+    "successful-recon-largescale": "Large Scale Information Leak",
+    "successful-recon-limited": "Information Leak",
+    "suspicious-filename-detect": "A suspicious filename was detected",
+    "suspicious-login": "An attempted login using a suspicious username was detected",
+    "system-call-detect": "A system call was detected",
+    "unusual-client-port-connection": "A client was using an unusual port",
+    "web-application-activity": "Access to a potentially vulnerable web application",
+    "icmp-event": "Generic ICMP event",
+    "misc-activity": "Misc activity",
+    "network-scan": "Detection of a Network Scan",
+    "not-suspicious": "Not Suspicious Traffic",
+    "protocol-command-decode": "Generic Protocol Command Decode",
+    "string-detect": "A suspicious string was detected",
+    "unknown": "Unknown Traffic",
+    "tcp-connection": "A TCP connection was detected",
+    "coin-mining": "Crypto Currency Mining Activity Detected",
+    "command-and-control": "Malware Command and Control Activity Detected",
+    "credential-theft": "Successful Credential Theft Detected",
+    "domain-c2": "Domain Observed Used for C2 Detected",
+    "exploit-kit": "Exploit Kit Activity Detected",
+    "external-ip-check": "Device Retrieving External IP Address Detected",
+    "pup-activity": "Possibly Unwanted Program Detected",
+    "social-engineering": "Possible Social Engineering Attempted",
+    "targeted-activity": "Targeted Malicious Activity was Detected",
+    "blocked": "Traffic the Sensor Blocked",
+    "brute-force": "Brute Force Attack",
+    "configuration-change": "Configuration Change",
+    "correlated-attack": "Correlated Attack",
+    "exploit-attempt": "Exploit Attempt",
+    "malware": "Malware Activity Detected",
+    "network-event": "Network Event",
+    "program-error": "Program Error",
+    "suspicious-traffic": "Suspicious Traffic",
+    "system-error": "System Error",
+    "system-event": "System Event",
+    "unsuccessful-admin": "Unsuccessful Administrator Privilege Gain",
 }
 
 
 def category(classtype: Column, known: dict[str, str] = CATEGORIES) -> Column:
     """Prose of a classification slug; an unknown one has its words' first letters raised, the rest untouched."""
     table = F.create_map(*(F.lit(x) for p in known.items() for x in p))
-    words = F.transform(F.split(classtype, "-"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20)))
+    words = F.transform(F.split(F.rtrim(classtype, F.lit("-")), "-+"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20)))
     return F.coalesce(F.try_element_at(table, classtype), F.array_join(words, " "))
 
 

@@ -29,9 +29,9 @@ def scored_events(hits: DataFrame, crossings: DataFrame, detection: Column, obse
     return out.withColumns({"event_type": classify_event(F.col("crossed"), detection, observing), "threshold": threshold})
 
 
-def enrich_country(events: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
+def enrich_country(events: DataFrame, ranges: DataFrame, ip: str = "ip", ranges6: DataFrame | None = None) -> DataFrame:
     """The banned address's country, null for networks and unlocated addresses."""
-    return locate(events, ip, ranges, "country")
+    return locate(events, ip, ranges, "country", ranges6)
 
 
 def triage(events: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ip import addr_equal, ip_in_any, v4_number
+from ..functions.ip import addr_equal, ip_in_any, v4_number, v6_key
 from ..functions.scalars import time_fields
 
 
@@ -21,35 +23,48 @@ def ban_not_internal(offenders: DataFrame, internal: DataFrame, ip: str = "ip")
     return drop_ignored(offenders, internal, ip)
 
 
-def locate(rows: DataFrame, ip: str, ranges: DataFrame, out: str = "country") -> DataFrame:
-    """Add the code of the range (first, last: IPv4 numbers; code) that holds the address, or null. As-of join on the starts.
+def locate(rows: DataFrame, ip: str, ranges: DataFrame, out: str = "country", ranges6: DataFrame | None = None) -> DataFrame:
+    """Add the code of the range that holds the address, or null. As-of join on the starts.
 
-    Different addresses are looked up once. Ranges do not overlap.
+    ``ranges``: (first, last, code) with IPv4 numbers; ``ranges6``: the same with IPv6 addresses as text. Different
+    addresses are looked up once. Ranges of a family do not overlap.
     """
-    asked = rows.select(F.col(ip).alias("_ip")).where(f"`{ip}` is not null").distinct().withColumn("at", v4_number(F.col("_ip"))).where("at is not null")
-    hold = F.struct("last", "code")
-    both = ranges.select(F.col("first").alias("at"), hold.alias("r"), F.lit(None).cast("string").alias("_ip")).unionByName(asked.select("at", F.lit(None).cast(ranges.select(hold.alias("r")).schema["r"].dataType).alias("r"), "_ip"))
-    # ranges are cut at /8 borders, so that the order is needed within a block of addresses alone
-    both = both.withColumn("_block", F.shiftright("at", 24))
-    first_of = _later_blocks(ranges, hold)
-    both = both.unionByName(first_of.select(F.shiftleft(F.col("_block"), 24).alias("at"), "r", F.lit(None).cast("string").alias("_ip"), "_block"))
+    asked = rows.select(F.col(ip).alias("_ip")).where(f"`{ip}` is not null").distinct()
+    # the order is needed within a block of addresses alone: /8 and /24
+    found = _in_ranges(asked.withColumn("at", v4_number(F.col("_ip"))), ranges, lambda at: F.shiftright(at, 24), lambda block: F.shiftleft(block, 24))
+    if ranges6 is not None:
+        key = lambda c: v6_key(F.when(F.col(c).contains(":"), F.col(c)))
+        starts = lambda block: F.rpad(F.lower(F.lpad(F.hex(block), 6, "0")), 32, "0")
+        six = ranges6.select(key("first").alias("first"), key("last").alias("last"), "code").where("first is not null and last is not null")
+        found = found.unionByName(_in_ranges(asked.withColumn("at", key("_ip")), six, lambda at: F.conv(F.left(at, F.lit(6)), 16, 10).cast("long"), starts))
+    return rows.join(found.withColumnRenamed("code", out), rows[ip] == F.col("_ip"), "left").drop("_ip")
+
+
+def _in_ranges(asked: DataFrame, ranges: DataFrame, block: Callable[[Column], Column], begin: Callable[[Column], Column]) -> DataFrame:
+    """(_ip, code) of each asked place ``at`` that a range holds; a range that spans blocks begins anew in each."""
+    hold = F.struct("last", "code").alias("r")
+    none = F.lit(None).cast("string").alias("_ip")
+    starts = ranges.select(F.col("first").alias("at"), hold, none, block(F.col("first")).alias("_block"))
+    wide = ranges.where(block(F.col("first")) < block(F.col("last"))).select(F.explode(F.sequence(block(F.col("first")) + 1, block(F.col("last")))).alias("_block"), hold)
+    again = wide.select(begin(F.col("_block")).alias("at"), "r", none, "_block")
+    probes = asked.where("at is not null").select("at", F.lit(None).cast(starts.schema["r"].dataType).alias("r"), "_ip", block(F.col("at")).alias("_block"))
     order = Window.partitionBy("_block").orderBy("at", F.col("_ip").isNotNull())
-    found = both.withColumn("r", F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_ip").isNotNull() & (F.col("r.last") >= F.col("at")))
-    return rows.join(found.select("_ip", F.col("r.code").alias(out)), rows[ip] == F.col("_ip"), "left").drop("_ip")
-
+    last = F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    both = starts.unionByName(again).unionByName(probes).withColumn("r", last)
+    return both.where(F.col("_ip").isNotNull() & (F.col("r.last") >= F.col("at"))).select("_ip", F.col("r.code").alias("code"))
 
-def _later_blocks(ranges: DataFrame, hold: Column) -> DataFrame:
-    wide = ranges.where(F.shiftright("first", 24) < F.shiftright("last", 24))
-    return wide.select(F.explode(F.sequence(F.shiftright("first", 24) + 1, F.shiftright("last", 24))).alias("_block"), hold.alias("r"))
 
+def country_gate(rows: DataFrame, ips: list[str], ranges: DataFrame, codes: list[str], negate: bool = False, ranges6: DataFrame | None = None, keep: str | None = None) -> DataFrame:
+    """Rows all of whose addresses lie in (``negate``: outside) the countries; an address that can't be located fails.
 
-def country_gate(rows: DataFrame, ips: list[str], ranges: DataFrame, codes: list[str], negate: bool = False) -> DataFrame:
-    """Rows all of whose addresses lie in (``negate``: outside) the countries; an address that can't be located fails."""
+    ``keep`` names a column for the country of the first address, which need not be looked up again then."""
     out = rows
     for k, ip in enumerate(ips):
-        out = locate(out, ip, ranges, f"_c{k}")
+        out = locate(out, ip, ranges, f"_c{k}", ranges6)
         test = F.col(f"_c{k}").isin(codes)
         out = out.where(~test if negate else test)
+    if keep is not None:
+        out = out.withColumn(keep, F.col("_c0"))
     return out.drop(*(f"_c{k}" for k in range(len(ips))))
 
 
@@ -106,15 +121,29 @@ def reverse_dns_gate(rows: DataFrame, ip: str, ptr: DataFrame, forward: DataFram
     return got.where(verdict).select(rows.columns)
 
 
-def resolve_hostnames(offenders: DataFrame, hosts: DataFrame, mode: str, max_addrs: int = 4, col: str = "offender") -> DataFrame:
+def resolve_hostnames(offenders: DataFrame, hosts: DataFrame, mode: str, max_addrs: int = 4, col: str = "offender", fences: list[DataFrame] | None = None) -> DataFrame:
     """Offenders that are no addresses: 'no' drops them, 'resolve' puts their addresses in their place (none if there are
-    more than max_addrs), 'keep' counts by name. ``hosts``: (name, addrs)."""
-    is_ip = v4_number(F.col(col)).isNotNull() | F.col(col).rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$")
+    more than max_addrs), 'keep' counts by name. ``hosts``: (name, addrs).
+
+    What stands in ``addrs`` and is no address is dropped, and so is what lies in a network of ``fences`` (ignored and
+    own ones); offenders that were addresses from the start are left to the gates."""
     if mode == "keep":
         return offenders
+    name = F.when(v4_number(F.col(col)).isNull(), F.lower(F.rtrim(F.col(col), F.lit("."))))
+    rows = offenders.withColumn("_name", name)
+    # only what has colons can be an IPv6 address
+    rows = rows.withColumn("_name", F.when(v6_key(F.when(F.col("_name").contains(":"), F.col("_name"))).isNull(), F.col("_name")))
     if mode == "no":
-        return offenders.where(is_ip)
-    table = hosts.where(F.size("addrs") <= max_addrs).select(F.lower("name").alias("_name"), "addrs")
-    got = offenders.withColumn("_name", F.when(~is_ip, F.lower(col))).join(table, "_name", "left")
-    each = got.withColumn(col, F.explode(F.when(F.col("_name").isNull(), F.array(col)).otherwise(F.coalesce("addrs", F.array().cast("array<string>")))))
-    return each.select(offenders.columns)
+        return rows.where("_name is null").drop("_name")
+    table = hosts.where(F.size("addrs") <= max_addrs).select(F.lower(F.rtrim("name", F.lit("."))).alias("_name"), F.explode(F.array_distinct("addrs")).alias("_addr"))
+    table = table.where(v4_number(F.col("_addr")).isNotNull() | v6_key(F.when(F.col("_addr").contains(":"), F.col("_addr"))).isNotNull())
+    for fence in fences or ():
+        table = drop_ignored(table, fence, "_addr")
+    named = rows.where("_name is not null").join(table, "_name").withColumn(col, F.col("_addr"))
+    return rows.where("_name is null").select(offenders.columns).unionByName(named.select(offenders.columns))
+
+
+def resolve_ban(crossings: DataFrame, hosts: DataFrame, fences: list[DataFrame], max_addrs: int = 4, col: str = "key") -> DataFrame:
+    """Crossings of offenders that were counted by name: each address of the name is banned at the crossing, but for those
+    in a network of ``fences``. A name without an answer, or with more than max_addrs addresses, bans nobody."""
+    return resolve_hostnames(crossings, hosts, "resolve", max_addrs, col, fences)

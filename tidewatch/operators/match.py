@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import let
 from ..functions.predicates import Predicate, all_of, any_of, first_match, gate, ignored, sure
+from .state import compound_key
+
+
+@dataclass
+class Mark:
+    """A brand that a fired match sets, or lifts: on the field ``vars[0]``, on a compound of several, or without any on
+    each offender that survived. ``value_var`` names the field whose value the mark carries."""
+
+    name: str
+    vars: list[str] = field(default_factory=list)
+    value_var: str | None = None
+    ttl: int = 3600
+    lift: bool = False
 
 
 @dataclass
@@ -29,6 +42,7 @@ class Rule:
     tests: list[Predicate] = field(default_factory=list)
     mark_only: bool = False
     weight: int = 1
+    marks: list[Mark] = field(default_factory=list)
 
 
 def match_type_gate(only: dict[str, list[str]], of: dict[str, Column]) -> Column:
@@ -106,6 +120,37 @@ def fired(matches: DataFrame, survivors: DataFrame, ids: list[str]) -> DataFrame
     return matches.join(left, ids, "left").withColumn("fired", ~had | F.col("ip").isNotNull())
 
 
+def apply_marks(matches: DataFrame, survivors: DataFrame, rules: list[Rule], ids: list[str]) -> DataFrame:
+    """Mark events (name, key, us, ord, op, value, ttl) of fired matches, for the operators on marks.
+
+    ``matches``: fired ones (ids, rule_int, data, us, ord); ``survivors``: their offenders that may be branded (ids, pos, ip).
+    ``ord`` becomes a struct of the line's order, the rule's place, and the mark's place in the rule (those that lift
+    after those that set): a rule sees the marks of rules before it in the list. A field that is absent, or a compound
+    with a part that is absent or empty, marks nothing.
+    """
+    order = lambda k: F.struct("ord", F.col("rule_int").cast("int").alias("rule_int"), F.lit(k).alias("place"))
+    value_of = lambda n: F.try_element_at("data", F.lit(n)) if n is not None else F.lit(None).cast("string")
+
+    def event(rule: int, k: int, mark: Mark, key: Column) -> Column:
+        one = F.struct(
+            F.lit(mark.name).alias("name"), key.alias("key"), order(k).alias("ord"), F.lit("unset" if mark.lift else "set").alias("op"),
+            F.when(F.lit(not mark.lift), value_of(mark.value_var)).alias("value"), F.lit(None if mark.lift else mark.ttl).cast("long").alias("ttl"),
+        )
+        return F.when((F.col("rule_int") == rule) & key.isNotNull(), one)
+
+    listed = [(r, k, m) for r, rule in enumerate(rules) for k, m in enumerate(sorted(rule.marks, key=lambda m: m.lift))]
+    keys = lambda m: value_of(m.vars[0]) if len(m.vars) == 1 else compound_key([value_of(v) for v in m.vars])
+    by_field = [event(r, k, m, keys(m)) for r, k, m in listed if m.vars]
+    by_offender = [event(r, k, m, F.col("ip")) for r, k, m in listed if not m.vars]
+    parts = [matches.select("us", F.explode(F.array_compact(F.array(*by_field))).alias("m"))] if by_field else []
+    if by_offender:
+        branded = survivors.select(*ids, "ip").join(matches, ids)
+        parts.append(branded.select("us", F.explode(F.array_compact(F.array(*by_offender))).alias("m")))
+    if not parts:
+        raise ValueError("no rule sets or lifts a mark")
+    return reduce(DataFrame.unionByName, parts).select("m.name", "m.key", "us", "m.ord", "m.op", "m.value", "m.ttl")
+
+
 def union_watchers(watchers: dict[str, DataFrame]) -> DataFrame:
     """Matches of all watchers of a kur, with their names, for one bucket."""
     named = [df.withColumn("watcher", F.lit(n)) for n, df in watchers.items()]

@@ -70,10 +70,14 @@ def ban_tally(held: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def stats(lines: DataFrame) -> DataFrame:
-    """Counters in all, by watcher and by rule, of lines (watcher, rule, parsed, matched, ignored, event_type)."""
+    """Counters in all, by watcher and by rule, of records (watcher, rule, parsed, matched, ignored, event_type), and where
+    these columns are there: n_lines (lines of the record), demoted, subnet_ban (its network crossed), recidivist (its
+    ban escalated)."""
     is_type = lambda *t: F.count_if(F.col("event_type").isin(*t))
     sums = {
         "lines": F.count("*"), "unparsed": F.count_if(~F.col("parsed")), "matched": F.count_if("matched"), "ignored": F.count_if("ignored"),
         "bans": is_type("banish"), "alerts": is_type("alert"), "sightings": is_type("sighting", "sighted"), "noted": is_type("noted"),
     }
+    more = {"joined": ("n_lines", F.count_if(F.col("n_lines") > 1)), "demoted": ("demoted", F.count_if("demoted")), "subnet_bans": ("subnet_ban", F.count_if("subnet_ban")), "recidivists": ("recidivist", F.count_if("recidivist"))}
+    sums |= {n: c for n, (column, c) in more.items() if column in lines.columns}
     return lines.groupingSets([[], [F.col("watcher")], [F.col("rule")]], "watcher", "rule").agg(F.grouping_id().cast("int").alias("level"), *(c.alias(n) for n, c in sums.items()))

@@ -12,7 +12,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ip import ip_network, v4_network, v4_number, v6_network
+from ..functions.ip import ip_network, v6_network
 from .common import SECOND, ordered_fold
 
 
@@ -48,11 +48,15 @@ def sessions(hits: DataFrame, find_time: int) -> DataFrame:
     return hits.withColumn("_opens", opens.cast("long")).withColumn("session", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
+def can_cross(split: DataFrame, total: Column, max_score: int) -> DataFrame:
+    """Rows of sessions whose whole ``total`` reaches max_score: no hit of the others can."""
+    whole = total.over(Window.partitionBy("bucket", "key", "session"))
+    return split.withColumn("_total", whole).where(F.col("_total") >= max_score).drop("_total")
+
+
 def threshold_crossings(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
     """(bucket, key, us, ord, score) of each hit that reaches max_score; a crossing empties the bucket."""
-    split = sessions(hits.select("bucket", "key", "us", "ord", "w"), find_time)
-    total = Window.partitionBy("bucket", "key", "session")
-    can = split.withColumn("_total", F.sum("w").over(total)).where(F.col("_total") >= max_score).drop("_total")
+    can = can_cross(sessions(hits.select("bucket", "key", "us", "ord", "w"), find_time), F.sum("w"), max_score)
     span = find_time * SECOND
 
     def step(state: list, row: tuple) -> list[tuple]:
@@ -72,17 +76,20 @@ def threshold_crossings(hits: DataFrame, find_time: int, max_score: int) -> Data
     return ordered_fold(can, ["bucket", "key", "session"], ["us", "ord"], lambda: [deque(), 0], step, schema)
 
 
-def distinct_scores(hits: DataFrame, find_time: int, max_score: int | None = None) -> DataFrame:
+def distinct_scores(hits: DataFrame, find_time: int, max_score: int | None = None, crossings_only: bool = False) -> DataFrame:
     """(bucket, key, us, ord, score, crossed): number of different ``of`` values last seen within find_time.
 
     Hits without a value are skipped. With max_score a hit that reaches it crosses and empties the set;
-    without, nothing is emptied (counting values of one key by another).
+    without, nothing is emptied (counting values of one key by another). Stretches between gaps are folded apart; with
+    ``crossings_only`` those with fewer hits than max_score are pruned.
     """
-    rows = hits.where("of is not null and of <> ''").select("bucket", "key", "us", "ord", "of")
+    rows = sessions(hits.where("of is not null and of <> ''").select("bucket", "key", "us", "ord", "of"), find_time)
+    if crossings_only:
+        rows = can_cross(rows, F.count("*"), max_score)
     span = find_time * SECOND
 
     def step(seen: dict, row: tuple) -> list[tuple]:
-        bucket, key, us, order, of = row
+        bucket, key, us, order, of, _ = row
         seen.pop(of, None)
         seen[of] = us  # kept in the order of last sight
         while us - next(iter(seen.values())) >= span:
@@ -91,9 +98,9 @@ def distinct_scores(hits: DataFrame, find_time: int, max_score: int | None = Non
         crossed = max_score is not None and score >= max_score
         if crossed:
             seen.clear()
-        return [(bucket, key, us, order, score, crossed)]
+        return [(bucket, key, us, order, score, crossed)] if crossed or not crossings_only else []
 
-    return ordered_fold(rows, ["bucket", "key"], ["us", "ord"], dict, step, f"bucket string, key {dict(hits.dtypes)['key']}, us long, ord long, score long, crossed boolean")
+    return ordered_fold(rows, ["bucket", "key", "session"], ["us", "ord"], dict, step, f"bucket string, key {dict(hits.dtypes)['key']}, us long, ord long, score long, crossed boolean")
 
 
 def value_counts(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
@@ -113,19 +120,31 @@ def value_counts(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
     return up.unionByName(down).withColumn("score", running).where((F.col("_kind") == 1) & (F.col("score") >= max_score)).select("bucket", "key", "us", "ord", "offender", "score")
 
 
+def _networks(prefix_v4: int, prefix_v6: int | None) -> Column:
+    net = ip_network(F.col("key"), F.lit(prefix_v4), with_v6=False)
+    if prefix_v6 is None:
+        return net
+    return F.coalesce(net, v6_network(F.when(F.col("key").contains(":"), F.col("key")), F.lit(prefix_v6)))
+
+
+def subnet_deposits(hits: DataFrame, prefix_v4: int, prefix_v6: int | None = None) -> DataFrame:
+    """Hits (key: address) re-keyed on their networks: (bucket, key, us, ord, w, member). IPv6 only with a ``prefix_v6``."""
+    nets = hits.withColumn("_net", _networks(prefix_v4, prefix_v6))
+    return nets.where("_net is not null").select("bucket", F.col("_net").alias("key"), "us", "ord", "w", F.col("key").alias("member"))
+
+
 def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None) -> DataFrame:
-    """Hits (key: address) re-keyed on their networks: (bucket, cidr, us, ord, score, hits, members, first, last) of crossings.
+    """Hits (key: address) counted by network: (bucket, cidr, us, ord, score, hits, members, first, last) of crossings.
 
-    IPv6 addresses are counted only with a ``prefix_v6``. ``members`` are the different addresses of the window in the order of first sight.
+    IPv6 addresses are counted only with a ``prefix_v6``. ``members`` are the different addresses of the window in the
+    order of first sight. Stretches between gaps are folded apart, and those that cannot cross are pruned.
     """
-    net = ip_network(F.col("key"), F.lit(prefix_v4), with_v6=False)
-    if prefix_v6 is not None:
-        net = F.coalesce(net, v6_network(F.when(F.col("key").contains(":"), F.col("key")), F.lit(prefix_v6)))
-    rows = hits.select("bucket", net.alias("net"), "us", "ord", "w", F.col("key").alias("ip")).where("net is not null")
+    rows = subnet_deposits(hits, prefix_v4, prefix_v6)
+    rows = can_cross(sessions(rows, find_time), F.sum("w"), max_score)
     span = find_time * SECOND
 
     def step(state: list, row: tuple) -> list[tuple]:
-        live, (bucket, net, us, order, w, ip) = state[0], row
+        live, (bucket, net, us, order, w, ip, _) = state[0], row
         while live and us - live[0][0] >= span:
             state[1] -= live.popleft()[1]
         live.append((us, w, ip))
@@ -137,7 +156,7 @@ def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score:
         state[1] = 0
         return [out]
 
-    return ordered_fold(rows, ["bucket", "net"], ["us", "ord"], lambda: [deque(), 0], step, "bucket string, cidr string, us long, ord long, score long, hits long, members array<string>, first long, last long")
+    return ordered_fold(rows, ["bucket", "key", "session"], ["us", "ord"], lambda: [deque(), 0], step, "bucket string, cidr string, us long, ord long, score long, hits long, members array<string>, first long, last long")
 
 
 def recidive(ledger: DataFrame, find_time: int = 604_800, max_score: int = 5, kur: str = "recidive") -> DataFrame:
@@ -162,7 +181,7 @@ def accused(hits: DataFrame, crossings: DataFrame, find_time: int, as_of: int, i
     return rows.groupingSets([[F.col("bucket"), F.col("key")], [F.col("bucket"), F.col("key"), F.col("rule")]], "bucket", "key", "rule").agg(*sums)
 
 
-def tracked_counts(hits: DataFrame, prefix_v4: int = 24) -> DataFrame:
-    """Different offenders and networks that are counted, per bucket."""
-    net = v4_network(v4_number(F.col("key")), F.lit(prefix_v4))
-    return hits.groupBy("bucket").agg(F.count_distinct("key").alias("offenders"), F.count_distinct(net).alias("subnets"))
+def tracked_counts(hits: DataFrame, prefix_v4: int = 24, prefix_v6: int | None = None) -> DataFrame:
+    """Different offenders and networks that are counted, per bucket; IPv6 networks only with a ``prefix_v6``."""
+    keys = hits.select("bucket", "key").distinct()
+    return keys.withColumn("_net", _networks(prefix_v4, prefix_v6)).groupBy("bucket").agg(F.count("key").alias("offenders"), F.count_distinct("_net").alias("subnets"))

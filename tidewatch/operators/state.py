@@ -97,11 +97,14 @@ def tracks(rows: DataFrame, fields: list[str], ttl: int) -> DataFrame:
 
     The newest non-null value of each field wins; each harvest refreshes the record; an expired one begins anew.
     """
+    types = dict(rows.dtypes)
+    none = {f"{when}_{f}": F.lit(None).cast(types[f]) for f in fields for when in ("after", "before")}
+    without = rows.where("key is null").withColumns({"live_before": F.lit(False)} | none)  # most lines of a log: no part of any window
+    rows = rows.where("key is not null")
     order = Window.partitionBy("key").orderBy("us", "ord")
-    own = lambda c: F.when(F.col("harvests") & F.col("key").isNotNull(), c)
+    own = lambda c: F.when(F.col("harvests"), c)
     rows = rows.withColumn("_seen", F.last(own(F.col("us")), ignorenulls=True).over(order.rowsBetween(*BEFORE)))
-    alive = F.coalesce(F.col("us") - F.col("_seen") < ttl * SECOND, F.lit(False)) & F.col("key").isNotNull()
-    rows = rows.withColumn("live_before", alive)
+    rows = rows.withColumn("live_before", F.coalesce(F.col("us") - F.col("_seen") < ttl * SECOND, F.lit(False)))
     begins = F.coalesce(own(~F.col("live_before")), F.lit(False))
     rows = rows.withColumn("_island", F.sum(begins.cast("long")).over(order.rowsBetween(*SO_FAR)))
     inside = Window.partitionBy("key", "_island").orderBy("us", "ord")
@@ -109,9 +112,8 @@ def tracks(rows: DataFrame, fields: list[str], ttl: int) -> DataFrame:
     for f in fields:
         after = F.last(own(F.col(f)), ignorenulls=True).over(inside.rowsBetween(*SO_FAR))
         before = F.last(own(F.col(f)), ignorenulls=True).over(inside.rowsBetween(*BEFORE))
-        live_after = F.col("live_before") | (F.col("harvests") & F.col("key").isNotNull())
-        out = out.withColumns({f"after_{f}": F.when(live_after, after), f"before_{f}": F.when(F.col("live_before"), before)})
-    return out.drop("_seen", "_island")
+        out = out.withColumns({f"after_{f}": F.when(F.col("live_before") | F.col("harvests"), after), f"before_{f}": F.when(F.col("live_before"), before)})
+    return out.drop("_seen", "_island").unionByName(without)
 
 
 def tracked(rows: DataFrame, where: Column | None = None, into: dict[str, str] | None = None) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import parse_bsd_syslog
+from ..operators import gates as G
+from ..operators import score as C
 from ..operators import stages as ST
 from ..operators import state as K
 from ..operators.common import micros
@@ -68,7 +71,7 @@ def stream_correlate(spark, sf):  # noqa: ANN001, ANN201
     return _streamed(spark, sf, job).select("offense_ord", "us", "value")
 
 
-@Q.query(Q.ORACLES["staged_sequence"] + " and us <= " + BEHIND.format("true"))
+@Q.query(Q.ORACLES["staged_sequence"].replace(", seen as k, ip from", " from") + " and us <= " + BEHIND.format("true"))
 def stream_stages(spark, sf):  # noqa: ANN001, ANN201
     stage = F.when(F.col("event_type") == "click", "try").when(F.col("event_type") == "purchase", "in")
     plan = [ST.Stage("try", 2, 2 * DAY), ST.Stage("in", 1, 2 * DAY)]
@@ -111,7 +114,9 @@ def ledger_files(spark, sf):  # noqa: ANN001, ANN201
     bans = Q._ledger(spark, sf).select("epoch", "kur", "ip", F.lit('rule "x",\r\n y').alias("rule"), F.lit("w").alias("watcher"))
     for half in (0, 1):
         logs.append_ledger(bans.where(F.pmod("epoch", F.lit(2)) == half), place)
-    return logs.compact_ledger(logs.read_ledger(spark, place), Q._now(spark, sf), keep=10 * DAY).drop("watcher")
+    compacted = shared_path(spark, "ledger")
+    logs.compact_ledger(spark, place, compacted, Q._now(spark, sf), keep=10 * DAY)
+    return logs.read_ledger(spark, compacted).drop("watcher")
 
 
 @Q.query(Q.EVENTS_SQL + "select ord, event_type, ip as src_ip, null::varchar as dest_ip, score from e")
@@ -122,15 +127,45 @@ def event_files(spark, sf):  # noqa: ANN001, ANN201
     return logs.read_events(spark, place, "ord long, event_type string, src_ip string, dest_ip string, score long")
 
 
-@Q.query(Q.MARKS_SQL + f""", tt as (select max(us) as t from h), l as (select *, row_number() over (partition by name, key order by us desc, ord desc) as n from fs)
-select 'hit' as family, user_id::varchar as key, us, w, null::bigint as expires from h, tt where user_id in (select user_id from h, tt group by user_id, t having t - max(us) <= {DAY * 1_000_000})
-union all select 'mark', key::varchar, null, null, expires from l, tt where n = 1 and is_set and expires > t""")
+@Q.query(Q.MARKS_SQL + f""", tt as (select max(us) as t from h), l as (select *, row_number() over (partition by name, key order by us desc, ord desc) as n from fs),
+d as (select concat('10.', user_id % 4, '.', k % 8, '.0/24') as net, us, w, ip, max(us) over (partition by user_id % 4, k % 8) as newest from h),
+tr as ({Q.ORACLES["live_tracks"]})
+select 'hit' as family, user_id::varchar as key, us, w, null::bigint as expires, null::varchar as member from h, tt where user_id in (select user_id from h, tt group by user_id, t having t - max(us) <= {DAY * 1_000_000})
+union all select 'mark', key::varchar, null, null, expires, null from l, tt where n = 1 and is_set and expires > t
+union all select 'track', key, null, null, expires, addr from tr, tt where expires > t
+union all select 'subnet', net, us, w, null, ip from d, tt where t - newest <= {DAY * 1_000_000}""")
 def state_files(spark, sf):  # noqa: ANN001, ANN201
-    """snapshot_state, then seed_state for the next run."""
+    """snapshot_state of hits, marks, tracks and deposits on networks, then seed_state for the next run."""
     place, rows = shared_path(spark, "state"), hits(spark, sf)
     at = rows.agg(F.max("us")).head()[0]
     marks = K.live_marks(Q._marks(spark, sf), at).withColumn("key", F.col("key").cast("string"))
-    logs.snapshot_state(rows.select("bucket", F.col("user_id").cast("string").alias("key"), "us", "ord", "w", F.lit(None).cast("string").alias("of")), marks, place)
-    h, m = logs.seed_state(spark, place, at)
-    none = F.lit(None).cast("long")
-    return h.select(F.lit("hit").alias("family"), "key", "us", "w", none.alias("expires")).unionByName(m.select(F.lit("mark").alias("family"), "key", none.alias("us"), none.alias("w"), "expires"))
+    tracks = Q.QUERIES["live_tracks"](spark, sf).select(F.lit("session").alias("name"), "key", "expires", F.create_map(F.lit("addr"), F.col("addr")).alias("fields"))
+    kept = rows.select("bucket", F.col("user_id").cast("string").alias("key"), "us", "ord", "w", F.lit(None).cast("string").alias("of"))
+    deposits = C.subnet_deposits(rows.select("bucket", F.col("ip").alias("key"), "us", "ord", "w"), 24)
+    logs.snapshot_state(place, kept, marks, tracks, deposits)
+    seed = logs.seed_state(spark, place, at)
+    none = F.lit(None)
+    row = lambda family, df, us, w, expires, member: df.select(F.lit(family).alias("family"), "key", us.cast("long").alias("us"), w.cast("long").alias("w"), expires.cast("long").alias("expires"), member.cast("string").alias("member"))
+    us, w, expires = F.col("us"), F.col("w"), F.col("expires")
+    parts = [row("hit", seed.hits, us, w, none, none), row("mark", seed.marks, none, none, expires, none)]
+    parts += [row("track", seed.tracks, none, none, expires, F.col("fields")["addr"]), row("subnet", seed.deposits, us, w, none, F.col("member"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@Q.query(SQL + """select case when event_id % 17 = 0 then null else event_type end as daemon, case when event_id % 17 <> 0 and k % 10 < 8 then k % 10 end as severity, count(*) as n from h group by all""")
+def journal_files(spark, sf):  # noqa: ANN001, ANN201
+    """read_journal_export: records as journalctl writes them, and lines that are none."""
+    place = shared_path(spark, "journal")
+    hits(spark, sf).selectExpr(f"{LINES['journal']} as line").write.text(place)
+    return logs.read_journal_export(spark, place).groupBy(F.col("record.daemon").alias("daemon"), F.col("record.severity").alias("severity")).agg(F.count("*").alias("n"))
+
+
+@Q.query(SQL + """select event_id from h where ip in (select ip from h where event_type = 'error' and k % 50 = 0)""")
+def blocklist_files(spark, sf):  # noqa: ANN001, ANN201
+    """read_blocklist of feed files with comments and blanks, into blocklist_gate."""
+    place, rows = shared_path(spark, "feed"), hits(spark, sf)
+    entry = F.concat(F.lit("  "), "ip", F.when(F.col("k") % 3 == 0, "/32 # seen ").otherwise("  "), "event_type")
+    entry = F.when(F.col("k") % 3 == 0, entry).otherwise(F.concat(F.lit("\t"), "ip", F.lit("#")))
+    listed = F.when((F.col("event_type") == "error") & (F.col("k") % 50 == 0), entry).otherwise(F.when(F.col("k") % 2 == 0, F.concat(F.lit("# "), "ip")).otherwise("   "))
+    rows.select(listed.alias("value")).write.text(place)
+    return G.blocklist_gate(rows, [("ip", [logs.read_blocklist(spark, place)], "cidr")]).select("event_id")

@@ -161,6 +161,30 @@ def pri_and_severity(spark, sf):  # noqa: ANN001, ANN201
     return hits(spark, sf).select("event_id", p["facility"].alias("facility"), p["severity"].alias("severity"), parse.severity_name(F.col("k") % 10).alias("named"), parse.severity_number(F.upper("event_type")).alias("numbered"))
 
 
+_A, _B = "char(31)", "char(30)"
+#: Lines of each format that hold the bytes which the parsers write between groups.
+FORGED = {
+    "bsd": f"concat('<', k % 24 * 8 + 3, '>Jan  1 00:00:00 ho', {_A}, 'st ', event_type, {_B}, '[', user_id, ']: a', {_A}, k, {_B}, 'b')",
+    "ietf": f"concat({_B}, '<13>1 2024-01-01T00:00:00Z ho', {_A}, 'st ', event_type, {_B}, ' ', user_id, ' - - a', {_A}, k, {_B}, 'b')",
+    "access": f"concat(ip, ' - - [t] \"GET /', event_type, {_A}, '200', {_A}, '99 HTTP/1.1\" 404 ', k, ' \"r', {_B}, '\" \"a\"')",
+    "apache": f"concat('[Mon Jan 01 00:00:00.1 2024] [co', {_B}, 're:error] [pid 1] [client ', ip, ':1000] a', {_A}, k, {_B}, 'b')",
+    "nginx": f"concat('2024/01/01 00:00:00 [error] 7#0: *3 a', {_A}, k, {_B}, 'b, client: ', ip, ', request: \"GET /', {_A}, '\"')",
+}
+
+
+@query(SQL + """, t as (select *, chr(31) as a, chr(30) as b, concat('a', chr(31), k, chr(30), 'b') as m from h)
+select event_id, unnest([{'kind': 'bsd', 'x': 'ho' || a || 'st', 'y': event_type || b, 'z': m}, {'kind': 'ietf', 'x': null, 'y': null, 'z': null}, {'kind': 'access', 'x': '/' || event_type || a || '200' || a || '99', 'y': '404', 'z': k::varchar},
+    {'kind': 'apache', 'x': 'co' || b || 're', 'y': ip, 'z': m}, {'kind': 'nginx', 'x': ip, 'y': 'GET /' || a, 'z': m}], recursive := true) from t""")
+def parse_separators(spark, sf):  # noqa: ANN001, ANN201
+    """Lines that hold the parsers' own separators give the same fields, and forge none."""
+    fields = {"bsd": ("hostname", "daemon", "message"), "ietf": ("hostname", "daemon", "message"), "access": ("path", "status", "bytes"), "apache": ("module", "client", "message"), "nginx": ("client", "request", "message")}
+    parsers = {"bsd": parse.parse_bsd_syslog, "ietf": parse.parse_ietf_syslog, "access": parse.parse_http_access, "apache": parse.parse_apache_error, "nginx": parse.parse_nginx_error}
+    rows = hits(spark, sf).selectExpr("event_id", *(f"{text} as {kind}" for kind, text in FORGED.items()))
+    rows = rows.select("event_id", *(parser(F.col(kind)).alias(kind) for kind, parser in parsers.items()))
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), *(F.col(f"{kind}.{n}").alias(a) for n, a in zip(names, "xyz", strict=True))) for kind, names in fields.items()))
+    return rows.select("event_id", F.explode(each).alias("r")).select("event_id", "r.*")
+
+
 @query("""with l as (select conv_id, turn, role = 'user' as opens, role || ':' || text as line from conversations),
 r as (select *, sum(case when opens or turn = 0 then 1 else 0 end) over (partition by conv_id order by turn) as rec from l),
 c as (select *, (row_number() over (partition by conv_id, rec order by turn) - 1) // 3 as chunk from r)
@@ -223,9 +247,10 @@ def selections(spark, sf):  # noqa: ANN001, ANN201
 
 
 @query(SQL + """select event_id, case when event_type = 'view' then null when event_type = 'error' then 0 else 1 end as pattern, case when event_type = 'error' then ip end as src,
-    case when event_type not in ('view', 'error') then k::varchar end as n, event_type = 'view' as vetoed from h where event_id % 17 <> 0""")
+    case when event_type not in ('view', 'error') then k::varchar end as n, event_type = 'view' as vetoed from h where event_id % 17 <> 0
+    union all select event_id, null, null, null, false from h where event_id % 17 = 0""")
 def first_match(spark, sf):  # noqa: ANN001, ANN201
-    rows = lines(spark, sf, "bsd").where("event_id % 17 <> 0")
+    rows = lines(spark, sf, "bsd")
     line = F.col("line")
     vetoed = P.ignored(line, [r" view\["])
     index, found = P.first_match(line, [r"error\[\d+\]: value \d+ from %%%%SRC%%%%$", r"value (?<N>\d+) from"])
@@ -243,11 +268,31 @@ def compose_fields(spark, sf):  # noqa: ANN001, ANN201
 # --- addresses
 
 
+def fold_sql(key: str, weight: str, find: int, most: int, where: str = "true", member: str = "ip") -> str:
+    """Crossings as a recursion over each key's hits: state is the list of live ones."""
+    return SQL + f""", q as (select {key} as key, us, ord, {weight} as w, {member} as member, row_number() over (partition by {key} order by us, ord) as n from h where {where}),
+st as (with recursive st(key, n, live, us, ord, score, crossed) as (
+  select distinct key, 0::bigint, []::struct(us bigint, w bigint, member varchar)[], 0::bigint, 0::bigint, 0::bigint, false from q
+  union all
+  select key, n, live, us, ord, score, score >= {most}
+  from (select key, n, live, us, ord, list_sum(list_transform(live, lambda x: x.w))::bigint as score
+        from (select st.key, q.n, q.us, q.ord, list_append(list_filter(case when st.crossed then [] else st.live end, lambda x: x.us > q.us - {find * 1_000_000}), {{'us': q.us, 'w': q.w::bigint, 'member': q.member::varchar}}) as live
+              from st join q on q.key = st.key and q.n = st.n + 1))
+) select * from st where n > 0)
+"""
+
+
+
 def _mixed(ip: str, odd: str) -> Column:
     """10.a.b.c, or the IPv6 address 2001:db9:a:b::c where ``odd`` is an odd number: lists name networks of both."""
     return F.when(F.pmod(odd, F.lit(2)) == 1, F.regexp_replace(ip, r"^10\.(\d+)\.(\d+)\.(\d+)$", "2001:db9:$1:$2::$3")).otherwise(F.col(ip))
 
 
+#: The same address in DuckDB, and its network: /24 or /48.
+MIXED_SQL = "case when event_id % 2 = 1 then concat('2001:db9:', user_id % 4, ':', k % 8, '::', user_id % 50 + 1) else ip end"
+MIXED_NET_SQL = "case when event_id % 2 = 1 and user_id % 4 = 0 then '2001:db9::/48' when event_id % 2 = 1 then concat('2001:db9:', user_id % 4, '::/48') else concat('10.', user_id % 4, '.', k % 8, '.0/24') end"
+
+
 @query(SQL + """select event_id, 'v4' as family, concat('10.', user_id % 4, '.', k % 8, '.0/24') as net24, concat('10.', user_id % 4, '.', k % 8 - k % 4, '.0/22') as net22, null::varchar as bad,
     'v6' as family6, concat('2001:db8:', case when user_id % 50 + 1 > 0 then printf('%x', user_id % 50 + 1) end, '::/48') as net6 from h""")
 def ip_functions(spark, sf):  # noqa: ANN001, ANN201
@@ -283,14 +328,28 @@ def _number(a: int, b: int, c: int, d: int) -> int:
 
 
 RANGES = [(_number(9, 0, 0, 0), _number(10, 0, 255, 255), "DE"), (_number(10, 1, 0, 0), _number(10, 1, 3, 255), "FR"), (_number(10, 1, 4, 0), _number(10, 2, 255, 255), "ES")]
+#: The same countries in IPv6, for the addresses of _mixed; the first range begins in another block.
+RANGES6 = [("2001:c00::", "2001:db9:0:ffff:ffff:ffff:ffff:ffff", "DE"), ("2001:db9:1::", "2001:db9:1:3:ffff:ffff:ffff:ffff", "FR"), ("2001:db9:1:4::", "2001:db9:2:ffff:ffff:ffff:ffff:ffff", "ES")]
+_LOCATED = SQL + f""", r as (select * from {literal(RANGES, 'first, last, code')}),
+n as (select *, {MIXED_SQL} as addr, list_reduce(list_transform(string_split(ip, '.'), lambda x: x::bigint), lambda a, x: a * 256 + x) as num from h)
+select event_id, addr, code as country from n left join r on num between first and last"""
+
+
+def _ranges(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return values(spark, "first long, last long, code string", RANGES), values(spark, "first string, last string, code string", RANGES6)
 
 
-@query(SQL + f""", r as (select * from {literal(RANGES, 'first, last, code')}),
-n as (select *, list_reduce(list_transform(string_split(ip, '.'), lambda x: x::bigint), lambda a, x: a * 256 + x) as num from h)
-select event_id, ip, code as country from n join r on num between first and last where code in ('DE', 'FR')""")
+@query(_LOCATED + " where code in ('DE', 'FR')")
 def country_gate(spark, sf):  # noqa: ANN001, ANN201
-    ranges = values(spark, "first long, last long, code string", RANGES)
-    return E.enrich_country(G.country_gate(hits(spark, sf), ["ip"], ranges, ["DE", "FR"]), ranges).select("event_id", "ip", "country")
+    four, six = _ranges(spark)
+    rows = hits(spark, sf).select("event_id", _mixed("ip", "event_id").alias("addr"))
+    return G.country_gate(rows, ["addr"], four, ["DE", "FR"], ranges6=six, keep="country")
+
+
+@query(_LOCATED)
+def enrich_country(spark, sf):  # noqa: ANN001, ANN201
+    four, six = _ranges(spark)
+    return E.enrich_country(hits(spark, sf).select("event_id", _mixed("ip", "event_id").alias("addr")), four, "addr", six)
 
 
 @query(SQL + """select event_id from h where (user_id % 4 = 1 or k % 8 = 3 and user_id % 4 = 0) and event_type in ('error', 'click')""")
@@ -329,6 +388,18 @@ def resolve_hostnames(spark, sf):  # noqa: ANN001, ANN201
     return G.resolve_hostnames(named, hosts, "resolve")
 
 
+@query(fold_sql("concat('host-', user_id % 9)", "1", DAY, 40) + """, a as (select unnest(range(9)) as x)
+select concat('10.', x % 4, '.0.', x) as key, us, ord, score from st join a on st.key = concat('host-', x) where crossed and x not in (7, 8) and x % 4 <> 0
+union all select concat('2001:db9:', x % 4, '::', x), us, ord, score from st join a on st.key = concat('host-', x) where crossed and x not in (7, 8) and x % 4 <> 3""")
+def resolve_ban(spark, sf):  # noqa: ANN001, ANN201
+    """Offenders counted by name; a crossing bans the name's addresses outside the ignored and own networks."""
+    rows = hits(spark, sf).select("bucket", F.format_string("HOST-%d.", F.col("user_id") % 9).alias("key"), "us", "ord", F.lit(1).cast("long").alias("w"))
+    crossings = C.threshold_crossings(rows, DAY, 40).drop("bucket")
+    table = [(f"host-{n}", [f"10.{n % 4}.0.{n}", f"2001:db9:{n % 4}::{n}", "no address"]) for n in range(7)] + [("host-7", [f"10.1.0.{k}" for k in range(5)])]
+    fences = [values(spark, "cidr string", [("10.0.0.0/16",)]), values(spark, "cidr string", [("2001:db9:3::/48",)])]
+    return G.resolve_ban(crossings, values(spark, "name string, addrs array<string>", table), fences)
+
+
 # --- marks, tracks, correlation
 
 
@@ -453,9 +524,9 @@ def correlate_deferred(spark, sf):  # noqa: ANN001, ANN201
 # --- rows and rules
 
 RULES = [
-    M.Rule("errors", [r"value (?<N>\d+) from %%%%SRC%%%%$"], only={"daemon": ["error"]}),
-    M.Rule("brand", [r"from %%%%SRC%%%%$"], tests=[P.Predicate("N", "exists", negate=True)], ignore=["value 3"], mark_only=True),
-    M.Rule("odd", [r"value (?<N>\d*[13579]) from %%%%SRC%%%%$"], detection_vars=["daemon"]),
+    M.Rule("errors", [r"value (?<N>\d+) from %%%%SRC%%%%$"], only={"daemon": ["error"]}, marks=[M.Mark("hit"), M.Mark("seen", ["daemon"], "N", 60)]),
+    M.Rule("brand", [r"from %%%%SRC%%%%$"], tests=[P.Predicate("N", "exists", negate=True)], ignore=["value 3"], mark_only=True, marks=[M.Mark("pair", ["daemon", "SRC"]), M.Mark("none", ["absent"])]),
+    M.Rule("odd", [r"value (?<N>\d*[13579]) from %%%%SRC%%%%$"], detection_vars=["daemon"], marks=[M.Mark("hit", lift=True), M.Mark("late")]),
     M.Rule("any", [r"from %%%%SRC%%%%$"], only={"daemon": ["error", "view"]}),
 ]
 RULE_SQL = SQL + """, f as (select * from h where event_id % 17 <> 0 and k * 2 <= 191),
@@ -473,9 +544,10 @@ def _matched(spark: SparkSession, sf: str) -> DataFrame:
 @query(RULE_SQL + """select event_id, rule, rule_int, ip, 'first' as mode, false as demoted from m where rule_int <= coalesce(first_consumer, 9)
 union all select event_id, rule, rule_int, ip, 'shadow', rule_int <> 1 and rule_int > coalesce(first_consumer, 9) from m union all select event_id, rule, rule_int, ip, 'all', false from m""")
 def overlap(spark, sf):  # noqa: ANN001, ANN201
-    rows = _matched(spark, sf)
-    modes = [M.explode_offenders(M.explode_hits(rows.withColumn("hits", M.overlap(F.col("hits"), mode)))).select("event_id", "rule", "rule_int", "ip", F.lit(mode).alias("mode"), "demoted") for mode in ("first", "shadow", "all")]
-    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+    rows = _matched(spark, sf)  # one pass over the lines; each mode judges its hits
+    modes = F.array(*(F.struct(F.lit(mode).alias("mode"), M.overlap(F.col("hits"), mode).alias("hits")) for mode in ("first", "shadow", "all")))
+    judged = rows.select("event_id", F.explode(modes).alias("m")).select("event_id", "m.mode", "m.hits")
+    return M.explode_offenders(M.explode_hits(judged)).select("event_id", "rule", "rule_int", "ip", "mode", "demoted")
 
 
 @query(RULE_SQL + "select event_id, event_type as subject from m where rule_int = 2")
@@ -485,11 +557,41 @@ def explode_subjects(spark, sf):  # noqa: ANN001, ANN201
 
 @query(RULE_SQL + "select event_id, rule, user_id % 4 <> 0 as fired, case when user_id % 4 <> 0 then ip end as ip from m")
 def fired(spark, sf):  # noqa: ANN001, ANN201
-    rows = M.explode_hits(_matched(spark, sf))
-    left = G.drop_ignored(M.explode_offenders(rows).withColumn("addr", _mixed("ip", "event_id")), values(spark, "cidr string", [("10.0.0.0/16",), ("2001:db9:0::/48",)]), "addr")
+    rows, left = _offended(spark, sf)
     return M.fired(rows, left, ["event_id", "rule"]).select("event_id", "rule", "fired", "ip")
 
 
+def _offended(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Matches, and their offenders outside the ignored networks."""
+    rows = M.explode_hits(_matched(spark, sf))
+    ignored = values(spark, "cidr string", [("10.0.0.0/16",), ("2001:db9:0::/48",)])
+    return rows, G.drop_ignored(M.explode_offenders(rows).withColumn("addr", _mixed("ip", "event_id")), ignored, "addr")
+
+
+@query(RULE_SQL + """, b as (select * from m where user_id % 4 <> 0)
+select 'hit' as name, ip as key, us, ord as line, 0 as rule_int, 0 as place, 'set' as op, null::varchar as value, 3600::bigint as ttl from b where rule_int = 0
+union all select 'seen', event_type, us, ord, 0, 1, 'set', k::varchar, 60 from b where rule_int = 0
+union all select 'pair', event_type || chr(31) || ip, us, ord, 1, 0, 'set', null, 3600 from b where rule_int = 1
+union all select 'late', ip, us, ord, 2, 0, 'set', null, 3600 from b where rule_int = 2
+union all select 'hit', ip, us, ord, 2, 1, 'unset', null, null from b where rule_int = 2""")
+def apply_marks(spark, sf):  # noqa: ANN001, ANN201
+    rows, left = _offended(spark, sf)
+    fired = M.fired(rows, left, ["event_id", "rule"]).where("fired").drop("ip")
+    events = M.apply_marks(fired, left, RULES, ["event_id", "rule"])
+    return events.select("name", "key", "us", F.col("ord.ord").alias("line"), "ord.rule_int", "ord.place", "op", "value", "ttl")
+
+
+@query(RULE_SQL + """, b as (select * from m where user_id % 4 <> 0 and rule_int in (0, 2)), y as (select ip as key, arg_max(rule_int, (us::hugeint * 1000000000 + ord) * 10 + rule_int) as last_rule from b group by ip)
+select key from y where last_rule = 0""")
+def marks_of_rules(spark, sf):  # noqa: ANN001, ANN201
+    """apply_marks into live_marks: who has the brand at the end."""
+    rows, left = _offended(spark, sf)
+    fired = M.fired(rows, left, ["event_id", "rule"]).where("fired").drop("ip")
+    events = M.apply_marks(fired, left, RULES, ["event_id", "rule"]).where("name = 'hit'").withColumn("ttl", F.lit(10_000 * DAY).cast("long"))
+    at = rows.agg(F.max("us")).head()[0]
+    return K.live_marks(events, at).select("key")
+
+
 @query(SQL + """select watcher, ip, count(*) as n from (select 'web' as watcher, ip from h where event_type = 'error' union all select 'app', ip from h where event_type = 'click') group by all""")
 def union_watchers(spark, sf):  # noqa: ANN001, ANN201
     rows = hits(spark, sf)
@@ -525,20 +627,6 @@ def sliding_score(spark, sf):  # noqa: ANN001, ANN201
     return C.sliding_score(_hits(spark, sf), DAY).select("ord", "key", "score")
 
 
-def fold_sql(key: str, weight: str, find: int, most: int, where: str = "true", member: str = "ip") -> str:
-    """Crossings as a recursion over each key's hits: state is the list of live ones."""
-    return SQL + f""", q as (select {key} as key, us, ord, {weight} as w, {member} as member, row_number() over (partition by {key} order by us, ord) as n from h where {where}),
-st as (with recursive st(key, n, live, us, ord, score, crossed) as (
-  select distinct key, 0::bigint, []::struct(us bigint, w bigint, member varchar)[], 0::bigint, 0::bigint, 0::bigint, false from q
-  union all
-  select key, n, live, us, ord, score, score >= {most}
-  from (select key, n, live, us, ord, list_sum(list_transform(live, lambda x: x.w))::bigint as score
-        from (select st.key, q.n, q.us, q.ord, list_append(list_filter(case when st.crossed then [] else st.live end, lambda x: x.us > q.us - {find * 1_000_000}), {{'us': q.us, 'w': q.w::bigint, 'member': q.member::varchar}}) as live
-              from st join q on q.key = st.key and q.n = st.n + 1))
-) select * from st where n > 0)
-"""
-
-
 @query(fold_sql("user_id", "1", DAY, 5) + "select 'kur:web' as bucket, key, us, ord, score from st where crossed")
 def threshold_crossings(spark, sf):  # noqa: ANN001, ANN201
     """The flagship: which offenders reached the threshold, when."""
@@ -585,11 +673,11 @@ def value_count(spark, sf):  # noqa: ANN001, ANN201
     return C.value_counts(rows, DAY, 30).drop("bucket")
 
 
-@query(fold_sql("concat('10.', user_id % 4, '.', k % 8, '.0/24')", "w", DAY, 30) + """select key as cidr, us, ord, score, len(live) as hits, live[1].us as first, us as last,
+@query(fold_sql(MIXED_NET_SQL, "w", DAY, 30, member=MIXED_SQL) + """select key as cidr, us, ord, score, len(live) as hits, live[1].us as first, us as last,
     array_to_string(list_transform(list_sort(list_transform(list_distinct(list_transform(live, lambda x: x.member)), lambda m: {'p': list_position(list_transform(live, lambda x: x.member), m), 'm': m})), lambda x: x.m), ',') as members from st where crossed""")
 def subnet_score(spark, sf):  # noqa: ANN001, ANN201
-    rows = hits(spark, sf).select("bucket", F.col("ip").alias("key"), "us", "ord", "w")
-    return C.subnet_crossings(rows, 24, DAY, 30).drop("bucket").withColumn("members", F.array_join("members", ","))
+    rows = hits(spark, sf).select("bucket", _mixed("ip", "event_id").alias("key"), "us", "ord", "w")
+    return C.subnet_crossings(rows, 24, DAY, 30, prefix_v6=48).drop("bucket").withColumn("members", F.array_join("members", ","))
 
 
 @query(fold_sql("user_id", "1", DAY, 5) + f"""select ord, us, key, times as n from (select *, count(*) over (partition by key order by us range between {7 * DAY * 1_000_000 - 1} preceding and current row) as times from st where crossed) where times >= 2""")
@@ -609,24 +697,27 @@ def accused(spark, sf):  # noqa: ANN001, ANN201
     return C.accused(rows.withColumn("rule", F.col("event_type")), threshold_crossings(spark, sf), DAY, at).drop("bucket")
 
 
-@query(SQL + "select bucket, count(distinct ip) as offenders, count(distinct concat(user_id % 4, '.', k % 8)) as subnets from h group by bucket")
+@query(SQL + f"select bucket, count(distinct {MIXED_SQL}) as offenders, count(distinct {MIXED_NET_SQL}) as subnets from h group by bucket")
 def tracked_counts(spark, sf):  # noqa: ANN001, ANN201
-    return C.tracked_counts(hits(spark, sf).select("bucket", F.col("ip").alias("key")))
+    return C.tracked_counts(hits(spark, sf).select("bucket", _mixed("ip", "event_id").alias("key")), prefix_v6=48)
 
 
-@query(SQL + f""", l as (select user_id as key, us, ord, case event_type when 'click' then 'try' when 'purchase' then 'in' end as stage, row_number() over (partition by user_id order by us, ord) as n from h),
-st as (with recursive st(key, n, us, ord, c, t, last, done) as (
-  select distinct key, 0::bigint, 0::bigint, 0::bigint, 0, 0, 0::bigint, false from l
+@query(SQL + f""", l as (select user_id as key, us, ord, ip, k, case event_type when 'click' then 'try' when 'purchase' then 'in' end as stage, row_number() over (partition by user_id order by us, ord) as n from h),
+st as (with recursive st(key, n, us, ord, c, seen, last, done, ip) as (
+  select distinct key, 0::bigint, 0::bigint, 0::bigint, 0, '', 0::bigint, false, '' from l
   union all
-  select key, n, us, ord, case when is_done then 0 when adv1 or advance then case when adv1 then 1 else c0 + 1 end else c0 end, 0, case when adv1 or advance then us else last0 end, is_done
+  select key, n, us, ord, case when is_done then 0 when adv1 or advance then case when adv1 then 1 else c0 + 1 end else c0 end, case when adv1 or advance then k::varchar else seen0 end, case when adv1 or advance then us else last0 end, is_done, ip
   from (select *, c0 < 2 and stage = 'try' and c0 > 0 as advance, c0 = 0 and stage = 'try' as adv1, c0 = 2 and coalesce(stage = 'in', false) as is_done
-        from (select l.key, l.n, l.us, l.ord, coalesce(l.stage, '') as stage, st.last as last0, case when st.c > 0 and l.us - st.last >= {2 * DAY * 1_000_000} then 0 else st.c end as c0 from st join l on l.key = st.key and l.n = st.n + 1))
+        from (select l.key, l.n, l.us, l.ord, l.ip, l.k, coalesce(l.stage, '') as stage, st.last as last0, st.seen as seen0, case when st.c > 0 and l.us - st.last >= {2 * DAY * 1_000_000} then 0 else st.c end as c0 from st join l on l.key = st.key and l.n = st.n + 1))
 ) select * from st)
-select key, us, ord, 3 as n_hits from st where done""")
+select key, us, ord, 3 as n_hits, seen as k, ip from st where done""")
 def staged_sequence(spark, sf):  # noqa: ANN001, ANN201
+    """Captures merge: of ``ip``, which all lines have, the last; ``k`` is that of the last try."""
     stage = F.when(F.col("event_type") == "click", "try").when(F.col("event_type") == "purchase", "in")
-    rows = hits(spark, sf).select(F.col("user_id").alias("key"), "us", "ord", stage.alias("stage"))
-    return ST.staged_sequence(rows, [ST.Stage("try", 2, 2 * DAY), ST.Stage("in", 1, 2 * DAY)]).select("key", "us", "ord", F.size("hits").alias("n_hits"))
+    data = F.create_map(F.lit("ip"), F.col("ip"), F.lit("k"), F.when(F.col("event_type") == "click", F.col("k").cast("string")))
+    rows = hits(spark, sf).select(F.col("user_id").alias("key"), "us", "ord", stage.alias("stage"), data.alias("data"))
+    got = ST.staged_sequence(rows, [ST.Stage("try", 2, 2 * DAY), ST.Stage("in", 1, 2 * DAY)])
+    return got.select("key", "us", "ord", F.size("hits").alias("n_hits"), F.try_element_at("data", F.lit("k")).alias("k"), F.try_element_at("data", F.lit("ip")).alias("ip"))
 
 
 # --- events and reports
@@ -667,6 +758,16 @@ def triage(spark, sf):  # noqa: ANN001, ANN201
     return rows.select("event_id", E.effective_severity(F.col("severity"), F.lit(5)).alias("severity"), "category", "sid")
 
 
+SLUGS = ["bad-unknown", "policy-violation", "shellcode-detect", "denial-of-service", "misc-activity", "unsuccessful-admin", "own--slug-", None]
+
+
+@query(SQL + """select event_id, (['Potentially Bad Traffic', 'Potential Corporate Privacy Violation', 'Executable code was detected', 'Detection of a Denial of Service Attack',
+    'Misc activity', 'Unsuccessful Administrator Privilege Gain', 'Own Slug', null])[user_id % 8 + 1] as category from h""")
+def category(spark, sf):  # noqa: ANN001, ANN201
+    slug = F.element_at(F.array(*map(F.lit, SLUGS)), (F.col("user_id") % 8 + 1).cast("int"))
+    return hits(spark, sf).select("event_id", S.category(slug).alias("category"))
+
+
 @query(SQL + """select event_id, ip as src_ip, null::varchar as dest_ip, dayofweek(make_timestamp(us))::int as weekday, hh * 100 + mi as hhmm, 'ok' || chr(65533) as scrubbed, event_id % 17 <> 0 as is_json from h""")
 def event_fields(spark, sf):  # noqa: ANN001, ANN201
     rows = lines(spark, sf, "json")
@@ -682,12 +783,14 @@ def _ends(found):  # noqa: ANN001, ANN202
     return [ends["src_ip"].alias("src_ip"), ends["dest_ip"].alias("dest_ip")]
 
 
-@query(EVENTS_SQL + """, s as (select concat('w', key % 3) as watcher, rule, ord % 17 <> 0 as parsed, k > 10 as matched, k > 90 as ignored, event_type from e)
+@query(EVENTS_SQL + """, s as (select concat('w', key % 3) as watcher, rule, ord % 17 <> 0 as parsed, k > 10 as matched, k > 90 as ignored, event_type, 1 + k % 3 as n_lines, rule = 'click' as demoted, crossed and k % 2 = 0 as subnet_ban, event_type = 'banish' and k % 5 = 0 as recidivist from e)
 select watcher, rule, grouping(watcher, rule)::int as level, count(*) as lines, count(*) filter (not parsed) as unparsed, count(*) filter (matched) as matched, count(*) filter (ignored) as ignored,
-    count(*) filter (event_type = 'banish') as bans, count(*) filter (event_type = 'alert') as alerts, count(*) filter (event_type in ('sighting', 'sighted')) as sightings, count(*) filter (event_type = 'noted') as noted
+    count(*) filter (event_type = 'banish') as bans, count(*) filter (event_type = 'alert') as alerts, count(*) filter (event_type in ('sighting', 'sighted')) as sightings, count(*) filter (event_type = 'noted') as noted,
+    count(*) filter (n_lines > 1) as joined, count(*) filter (demoted) as demoted, count(*) filter (subnet_ban) as subnet_bans, count(*) filter (recidivist) as recidivists
 from s group by grouping sets ((), (watcher), (rule))""")
 def stats(spark, sf):  # noqa: ANN001, ANN201
-    rows = _events(spark, sf).select(F.concat(F.lit("w"), F.col("key") % 3).alias("watcher"), "rule", (F.col("ord") % 17 != 0).alias("parsed"), (F.col("k") > 10).alias("matched"), (F.col("k") > 90).alias("ignored"), "event_type")
+    rows = _events(spark, sf).select(F.concat(F.lit("w"), F.col("key") % 3).alias("watcher"), "rule", (F.col("ord") % 17 != 0).alias("parsed"), (F.col("k") > 10).alias("matched"), (F.col("k") > 90).alias("ignored"), "event_type",
+        (1 + F.col("k") % 3).alias("n_lines"), (F.col("rule") == "click").alias("demoted"), (F.col("crossed") & (F.col("k") % 2 == 0)).alias("subnet_ban"), ((F.col("event_type") == "banish") & (F.col("k") % 5 == 0)).alias("recidivist"))
     return R.stats(rows)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import flatten_json, parse_journal
@@ -32,31 +35,47 @@ def read_journal_export(spark: SparkSession, paths: str | list[str]) -> DataFram
 
 def read_blocklist(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Entries of a feed: comments cut off, trimmed, blanks skipped."""
-    entry = F.trim(F.regexp_replace("value", "#.*$", ""))
+    entry = F.regexp_replace("value", r"#.*$|^\s+|\s+(?=#|$)", "")
     return spark.read.text(paths).select(entry.alias("entry")).where("entry <> ''").distinct()
 
 
-def read_ledger(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Ledger rows of CSV files; old rows of three columns have null rule and watcher, mangled ones are skipped."""
-    raw = spark.read.csv(paths, schema=LEDGER.replace("epoch long", "epoch string"), quote='"', escape='"', mode="PERMISSIVE")
-    return raw.withColumn("epoch", F.col("epoch").try_cast("long")).where("epoch is not null and kur is not null and ip is not null")
+def read_ledger(spark: SparkSession, paths: str | list[str], since: int | None = None) -> DataFrame:
+    """Ledger rows of CSV files; old rows of three columns have null rule and watcher, mangled ones are skipped.
+
+    With ``since`` only rows from that epoch on; files under earlier dates aren't read."""
+    reader = spark.read.schema(LEDGER.replace("epoch long", "epoch string")).option("recursiveFileLookup", "true")
+    raw = reader.csv(paths, quote='"', escape='"', mode="PERMISSIVE")
+    if since is not None:
+        date = F.regexp_extract("_metadata.file_path", r"/date=(\d{4}-\d\d-\d\d)/", 1)
+        raw = raw.where((date == "") | (date >= F.date_format(F.timestamp_seconds(F.lit(since)), "yyyy-MM-dd")))
+    rows = raw.withColumn("epoch", F.col("epoch").try_cast("long")).where("epoch is not null and kur is not null and ip is not null")
+    return rows if since is None else rows.where(F.col("epoch") >= since)
 
 
 def append_ledger(bans: DataFrame, path: str) -> None:
-    """Append ban rows; line breaks are removed from their texts."""
+    """Append ban rows under the date of their epoch; line breaks are removed from their texts."""
     clean = lambda c: F.regexp_replace(c, r"[\r\n]", "")
-    bans.select("epoch", *(clean(c).alias(c) for c in ("kur", "ip", "rule", "watcher"))).write.mode("append").csv(path, quote='"', escape='"')
+    rows = bans.select("epoch", *(clean(c).alias(c) for c in ("kur", "ip", "rule", "watcher")), F.to_date(F.timestamp_seconds("epoch")).alias("date"))
+    rows.write.mode("append").partitionBy("date").csv(path, quote='"', escape='"')
 
 
-def compact_ledger(ledger: DataFrame, now: int, keep: int = 30 * 86_400, recidive_find_time: int = 604_800) -> DataFrame:
+def kept_ledger(ledger: DataFrame, now: int, keep: int = 30 * 86_400, recidive_find_time: int = 604_800) -> DataFrame:
     """Rows younger than the longer of both spans; ``keep`` 0 keeps all."""
     return ledger if keep == 0 else ledger.where(now - F.col("epoch") < max(keep, recidive_find_time))
 
 
-def write_events(events: DataFrame, path: str, files: int = 8) -> None:
-    """NDJSON by event type; absent fields are left out, but for src_ip and dest_ip."""
+def compact_ledger(spark: SparkSession, path: str, to: str, now: int, keep: int = 30 * 86_400, recidive_find_time: int = 604_800) -> None:
+    """Write the rows of the ledger at ``path`` that are to be kept to ``to``, in one file for each date.
+
+    A ledger that a job reads can't be overwritten by it: the caller puts the new folder in the old one's place."""
+    kept = kept_ledger(read_ledger(spark, path), now, keep, recidive_find_time)
+    append_ledger(kept.repartition(F.to_date(F.timestamp_seconds("epoch"))), to)
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """NDJSON by event type; absent fields are left out, but for src_ip and dest_ip. Each task's rows of a type are a file."""
     line = _json(events)
-    events.select(F.col("event_type"), line.alias("value")).repartition(files, "event_type", F.xxhash64("value")).write.mode("append").partitionBy("event_type").text(path)
+    events.select(F.col("event_type"), line.alias("value")).write.mode("append").partitionBy("event_type").text(path)
 
 
 def _json(events: DataFrame) -> Column:
@@ -72,25 +91,49 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json("value", schema).alias("e")).select("e.*")
 
 
-STATE = "family string, name string, key string, us long, ord long, w long, value string, expires long, first_set long"
+STATE = (
+    "family string, name string, key string, us long, ord long, w long, value string, expires long, first_set long, member string, fields map<string,string>"
+)
+
+
+def snapshot_state(path: str, hits: DataFrame, marks: DataFrame, tracks: DataFrame | None = None, deposits: DataFrame | None = None) -> None:
+    """Live state as one table, for the next run to begin with.
+
+    hits (bucket, key, us, ord, w, of), which hold distinct values too; marks (name, key, value, expires, first_set);
+    tracks (name, key, expires, fields map); deposits on networks (bucket, key: the network, us, ord, w, member).
+    """
+    kinds = [x.split(" ") for x in STATE.split(", ")[1:]]
+
+    def rows(family: str, df: DataFrame, named: dict[str, str]) -> DataFrame:
+        cols = [(F.col(named.get(n, n)) if named.get(n, n) in df.columns else F.lit(None)).cast(kind).alias(n) for n, kind in kinds]
+        return df.select(F.lit(family).alias("family"), *cols)
 
+    parts = [rows("hit", hits, {"name": "bucket", "value": "of"}), rows("mark", marks, {})]
+    parts += [rows("track", tracks, {})] if tracks is not None else []
+    parts += [rows("subnet", deposits, {"name": "bucket"})] if deposits is not None else []
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").partitionBy("family").parquet(path)
 
-def snapshot_state(hits: DataFrame, marks: DataFrame, path: str) -> None:
-    """Live hits (bucket, key, us, ord, w, of) and marks (name, key, value, expires, first_set) as one table."""
-    none = F.lit(None)
-    rows = hits.select(F.lit("hit").alias("family"), F.col("bucket").alias("name"), "key", "us", "ord", "w", F.col("of").alias("value"), none.cast("long").alias("expires"), none.cast("long").alias("first_set"))
-    more = marks.select(F.lit("mark").alias("family"), "name", "key", none.cast("long").alias("us"), none.cast("long").alias("ord"), none.cast("long").alias("w"), "value", "expires", "first_set")
-    rows.unionByName(more).write.mode("overwrite").partitionBy("family").parquet(path)
 
+@dataclass
+class State:
+    hits: DataFrame
+    marks: DataFrame
+    tracks: DataFrame
+    deposits: DataFrame
 
-def seed_state(spark: SparkSession, path: str, now: int, idle: int = 86_400) -> tuple[DataFrame, DataFrame]:
-    """(hits, marks) of a snapshot for the next run: keys idle for longer than ``idle`` seconds are dropped, a missing
-    weight is 1, expired marks are dropped."""
-    from pyspark.sql import Window
 
+def seed_state(spark: SparkSession, path: str, now: int, idle: int = 86_400) -> State:
+    """What a snapshot leaves for the next run: keys and networks idle for longer than ``idle`` seconds are dropped, a missing
+    weight is 1, expired marks and tracks are dropped."""
     rows = spark.read.schema(STATE).parquet(path)
-    hits = rows.where("family = 'hit'").select(F.col("name").alias("bucket"), "key", "us", "ord", F.coalesce("w", F.lit(1)).alias("w"), F.col("value").alias("of"))
+    of = lambda family: rows.where(F.col("family") == family)
     newest = F.max("us").over(Window.partitionBy("bucket", "key"))
-    hits = hits.withColumn("_newest", newest).where(now - F.col("_newest") <= idle * 1_000_000).drop("_newest")
-    marks = rows.where(F.col("family") == "mark").where(F.col("expires") > now).select("name", "key", "value", "expires", "first_set")
-    return hits, marks
+    awake = lambda df: df.withColumn("_newest", newest).where(now - F.col("_newest") <= idle * 1_000_000).drop("_newest")
+    weighed = [F.col("name").alias("bucket"), "key", "us", "ord", F.coalesce("w", F.lit(1)).alias("w")]
+    live = lambda family: of(family).where(F.col("expires") > now)
+    return State(
+        hits=awake(of("hit").select(*weighed, F.col("value").alias("of"))),
+        marks=live("mark").select("name", "key", "value", "expires", "first_set"),
+        tracks=live("track").select("name", "key", "expires", "fields"),
+        deposits=awake(of("subnet").select(*weighed, "member")),
+    )

@@ -8,7 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster that is an error, for the driver's disk
+    is not that of the executors."""
+    sc = spark.sparkContext
+    place = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if place is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+        sc.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``), or in a local one if it is unset."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{place.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in that folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
