@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import parse, predicates, scalars
-from tidewatch.functions.ip import addr_equal, ip_family, ip_in_any, ip_network
+from tidewatch.functions.ip import addr_equal, ip_family, ip_in_any, ip_network, v6_canonical, v6_key, v6_network
 from tidewatch.operators import gates, match, reports, score, stages, state
 from tidewatch.operators.common import SECOND
 from tidewatch.sources import logs
@@ -94,6 +94,27 @@ def test_addresses(spark, ip, family, net):
     assert (row.f, row.n) == (family, net)
 
 
+def test_six_is_the_standard_library(spark):
+    import ipaddress
+
+    rng = random.Random(5)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1::2::3", ":1:2:3:4:5:6:7", ":::", "12345::", "g::", "64:ff9b::1.2.3.4", "::1.2.3.4", "::ffff:1.2.3.4", "::ffff:0:1", "::1.2.3.256", "1.2.3.4::", "fe80::1%eth0", "", ":", "0:0:1:0:0:0:1:0", "0:0:0:1:0:0:0:1", "1:0:0:2:0:0:3:0", "A::B"]
+    for _ in range(400):
+        groups = [rng.choice(["0", "0", "0000", f"{rng.randrange(65536):x}", f"{rng.randrange(256):04X}"]) for _ in range(8)]
+        at, n = rng.randrange(8), rng.randrange(1, 8)
+        texts.append(":".join(groups) if rng.random() < 0.4 else ":".join(groups[:at]) + "::" + ":".join(groups[at + n :]))
+    rows = [(t, 1 + k % 128) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "ip string, p int").select("ip", "p", v6_key(F.col("ip")).alias("key"), v6_canonical(F.col("ip")).alias("text"), v6_network(F.col("ip"), F.col("p")).alias("net"))
+    for r in df.collect():
+        try:
+            a = ipaddress.IPv6Address(r.ip)
+            a = None if a.ipv4_mapped or a.scope_id else a
+        except ValueError:
+            a = None
+        want = (None,) * 3 if a is None else (a.packed.hex(), str(a), str(ipaddress.ip_network((a, r.p), strict=False)))
+        assert (r.key, r.text, r.net) == want, r.ip
+
+
 def test_membership_of_both_families(spark):
     rows = spark.createDataFrame([("10.1.2.3",), ("2001:db8::5",), ("::ffff:10.1.9.9",), ("9.9.9.9",), ("host",), (None,)], "ip string")
     nets = spark.createDataFrame([("10.1.0.0/16",), ("2001:db8::/32",), ("bad",)], "cidr string")

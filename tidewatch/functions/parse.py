@@ -210,16 +210,18 @@ def parse_nginx_error(line: Column) -> Column:
 def _nginx_record(x: Column, tail: Column) -> Column:
     found = F.regexp_extract_all(tail, F.lit(rf', ({"|".join(NGINX_TAIL)}): ("(?:[^"\\]|\\.)*"|[^,"]*)'), F.lit(0))
 
-    def last(key: str) -> Column:
-        mine = F.filter(found, lambda p: p.startswith(f", {key}: "))
+    def last(pairs: Column, key: str) -> Column:
+        mine = F.filter(pairs, lambda p: p.startswith(f", {key}: "))
         value = F.substring(F.try_element_at(mine, F.lit(-1)), len(key) + 5, 1 << 30)
         return F.nullif(F.regexp_replace(value, r'(?s)^"(.*)"$', "$1"), F.lit(""))
 
-    client = last("client")
-    message = F.substring(x["message"], F.lit(1), F.char_length(x["message"]) - F.char_length(tail))
-    fields = {"format": F.lit("nginx_error"), "time": x["time"], "level": x["level"], "pid": x["pid"], "tid": x["tid"], "cid": x["cid"], "client": client, "client_port": F.lit(None).cast("string")}
-    fields |= {k: last(k) for k in NGINX_TAIL[1:]} | {"message": F.coalesce(message, F.lit(""))}
-    return F.when(x.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items())))
+    def record(pairs: Column) -> Column:
+        message = F.substring(x["message"], F.lit(1), F.char_length(x["message"]) - F.char_length(tail))
+        fields = {"format": F.lit("nginx_error"), "time": x["time"], "level": x["level"], "pid": x["pid"], "tid": x["tid"], "cid": x["cid"], "client": last(pairs, "client"), "client_port": F.lit(None).cast("string")}
+        fields |= {k: last(pairs, k) for k in NGINX_TAIL[1:]} | {"message": F.coalesce(message, F.lit(""))}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+    return F.when(x.isNotNull(), let(found, record))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))

@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ip import v4_network, v4_number, v6_network
+from .ip import v4_network, v4_number, v6_key, v6_masked
+from .parse import let, parts
 
 NUMERIC = r"^-?\d+(\.\d+)?$"
 #: Named pieces of match patterns; each is one capture group of the compiled pattern.
@@ -121,7 +122,8 @@ def in_network(value: Column, cidr: str) -> Column:
     except ValueError:
         return F.lit(False)
     if net.version == 6:
-        return sure(v6_network(F.when(value.contains(":"), value), F.lit(net.prefixlen)) == F.lit(str(net)))
+        first = net.network_address.packed.hex()
+        return sure(let(v6_key(value), lambda k: v6_masked(k, F.lit(net.prefixlen))) == F.lit(first)) if net.prefixlen else sure(v6_key(value).isNotNull())
     first = int(net.network_address)
     return sure(v4_number(value).between(first, first + net.num_addresses - 1))
 
@@ -287,20 +289,32 @@ def extract_tokens(text: Column, pattern: str) -> dict[str, Column]:
     return {n: F.coalesce(*cs) for n, cs in out.items()}
 
 
-def first_match(text: Column, patterns: list[str]) -> tuple[Column, dict[str, Column]]:
-    """(index of the first pattern that matches, or null; captures of that pattern)."""
-    tests = [text.rlike(compile_tokens(p)[0]) for p in patterns]
-    index = F.coalesce(*(F.when(t, k) for k, t in enumerate(tests)))
-    captures = [extract_tokens(text, p) for p in patterns]
+def capture_names(patterns: list[str]) -> list[str]:
+    return list(dict.fromkeys(n for p in patterns for n in compile_tokens(p)[1] if n))
+
+
+def first_match(text: Column, patterns: list[str]) -> Column:
+    """struct(pattern: index of the first pattern that matches, then its captures by name), or null.
+
+    Patterns are tried in order; the one that matches is read once for all its groups."""
+    names = capture_names(patterns)
     absent = F.lit(None).cast("string")
 
-    def of(name: str) -> Column:
-        out = F.when(tests[0], captures[0].get(name, absent))
-        for t, c in zip(tests[1:], captures[1:], strict=True):
-            out = out.when(t, c.get(name, absent))
-        return out
+    def attempt(k: int) -> Column:
+        java, groups = compile_tokens(patterns[k])
+        number = F.lit(k).alias("pattern")
+
+        def read(x: Column) -> Column:
+            mine = {n: F.coalesce(*(x[f"g{g}"] for g, m in enumerate(groups) if m == n)) for n in names if n in groups}
+            return F.struct(number, *(mine.get(n, absent).alias(n) for n in names))
+
+        # before and after the match anything may stand; the pattern's own dots stay as they are
+        whole = f"(?s:.*?)(?-s:{java})(?s:.*)"
+        hit = let(parts(text, whole, [f"g{g}" for g in range(len(groups))]), read) if groups else F.struct(number, *(absent.alias(n) for n in names))
+        out = F.when(text.rlike(java), hit)
+        return out.otherwise(attempt(k + 1)) if k + 1 < len(patterns) else out
 
-    return index, {n: of(n) for n in dict.fromkeys(n for c in captures for n in c)}
+    return attempt(0)
 
 
 def ignored(text: Column, patterns: list[str]) -> Column:

@@ -33,7 +33,7 @@ def locate(rows: DataFrame, ip: str, ranges: DataFrame, out: str = "country", ra
     # the order is needed within a block of addresses alone: /8 and /24
     found = _in_ranges(asked.withColumn("at", v4_number(F.col("_ip"))), ranges, lambda at: F.shiftright(at, 24), lambda block: F.shiftleft(block, 24))
     if ranges6 is not None:
-        key = lambda c: v6_key(F.when(F.col(c).contains(":"), F.col(c)))
+        key = lambda c: v6_key(F.col(c))
         starts = lambda block: F.rpad(F.lower(F.lpad(F.hex(block), 6, "0")), 32, "0")
         six = ranges6.select(key("first").alias("first"), key("last").alias("last"), "code").where("first is not null and last is not null")
         found = found.unionByName(_in_ranges(asked.withColumn("at", key("_ip")), six, lambda at: F.conv(F.left(at, F.lit(6)), 16, 10).cast("long"), starts))
@@ -131,12 +131,11 @@ def resolve_hostnames(offenders: DataFrame, hosts: DataFrame, mode: str, max_add
         return offenders
     name = F.when(v4_number(F.col(col)).isNull(), F.lower(F.rtrim(F.col(col), F.lit("."))))
     rows = offenders.withColumn("_name", name)
-    # only what has colons can be an IPv6 address
-    rows = rows.withColumn("_name", F.when(v6_key(F.when(F.col("_name").contains(":"), F.col("_name"))).isNull(), F.col("_name")))
+    rows = rows.withColumn("_name", F.when(v6_key(F.col("_name")).isNull(), F.col("_name")))
     if mode == "no":
         return rows.where("_name is null").drop("_name")
     table = hosts.where(F.size("addrs") <= max_addrs).select(F.lower(F.rtrim("name", F.lit("."))).alias("_name"), F.explode(F.array_distinct("addrs")).alias("_addr"))
-    table = table.where(v4_number(F.col("_addr")).isNotNull() | v6_key(F.when(F.col("_addr").contains(":"), F.col("_addr"))).isNotNull())
+    table = table.where(v4_number(F.col("_addr")).isNotNull() | v6_key(F.col("_addr")).isNotNull())
     for fence in fences or ():
         table = drop_ignored(table, fence, "_addr")
     named = rows.where("_name is not null").join(table, "_name").withColumn(col, F.col("_addr"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import let
-from ..functions.predicates import Predicate, all_of, any_of, first_match, gate, ignored, sure
+from ..functions.predicates import Predicate, all_of, any_of, capture_names, first_match, gate, ignored, sure
 from .state import compound_key
 
 
@@ -52,16 +53,20 @@ def match_type_gate(only: dict[str, list[str]], of: dict[str, Column]) -> Column
 def rule_hit(rule: Rule, number: int, message: Column, of: dict[str, Column]) -> Column:
     """struct(rule_int, rule, pattern, data) where the rule matches the line, else null."""
     passes = match_type_gate(rule.only, of) & ~ignored(message, rule.ignore)
-    index, captures = first_match(message, rule.patterns) if rule.patterns else (F.lit(0), {})
-    fields = of | captures
-    data = F.create_map(*(x for n, c in fields.items() for x in (F.lit(n), c.cast("string")))) if fields else F.create_map().cast("map<string,string>")
-    hit = F.struct(
-        F.lit(number).alias("rule_int"), F.lit(rule.name).alias("rule"), index.alias("pattern"), F.map_filter(data, lambda k, v: v.isNotNull()).alias("data"),
-        F.array(*(fields.get(v, F.lit(None).cast("string")) for v in rule.ban_vars)).cast("array<string>").alias("offenders"),
-        F.array(*(fields.get(v, F.lit(None).cast("string")) for v in rule.detection_vars)).cast("array<string>").alias("subjects"),
-        F.lit(not rule.mark_only).alias("consumes"), F.lit(rule.weight).alias("w"),
-    )
-    return F.when(passes & index.isNotNull() & gate(rule.tests, fields), hit)
+    names = capture_names(rule.patterns)
+
+    def hit(found: Column) -> Column:
+        fields = of | {n: found[n] for n in names}
+        data = F.create_map(*(x for n, c in fields.items() for x in (F.lit(n), c.cast("string")))) if fields else F.create_map().cast("map<string,string>")
+        listed = lambda vs: F.array(*(fields.get(v, F.lit(None).cast("string")) for v in vs)).cast("array<string>")
+        made = F.struct(
+            F.lit(number).alias("rule_int"), F.lit(rule.name).alias("rule"), found["pattern"].alias("pattern"), F.map_filter(data, lambda k, v: v.isNotNull()).alias("data"),
+            listed(rule.ban_vars).alias("offenders"), listed(rule.detection_vars).alias("subjects"), F.lit(not rule.mark_only).alias("consumes"), F.lit(rule.weight).alias("w"),
+        )
+        return F.when(found.isNotNull() & gate(rule.tests, fields), made)
+
+    match = first_match(message, rule.patterns) if rule.patterns else F.struct(F.lit(0).alias("pattern"))
+    return let(F.when(passes, match), hit)
 
 
 def match_rules(lines: DataFrame, rules: list[Rule], message: str, fields: list[str]) -> DataFrame:
@@ -97,9 +102,15 @@ def overlap(hits: Column, mode: str) -> Column:
     return let(hits, judged)
 
 
+def parsed_lines(lines: DataFrame, parser: Callable[[Column], Column], line: str = "line", out: str = "record") -> DataFrame:
+    """Lines that fit the parser, with its record. A filter would be pushed below and parse each line once more."""
+    return lines.select("*", F.explode(F.array_compact(F.array(parser(F.col(line))))).alias(out))
+
+
 def explode_hits(lines: DataFrame) -> DataFrame:
     """One row for each hit of each line."""
-    return lines.withColumn("hit", F.explode("hits")).drop("hits").select("*", "hit.*").drop("hit")
+    # an expression, not the column itself: no filter on its size is inferred that would match each line once more
+    return lines.withColumn("hit", F.explode(F.array_compact("hits"))).drop("hits").select("*", "hit.*").drop("hit")
 
 
 def explode_offenders(matches: DataFrame) -> DataFrame:

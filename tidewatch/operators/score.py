@@ -124,7 +124,7 @@ def _networks(prefix_v4: int, prefix_v6: int | None) -> Column:
     net = ip_network(F.col("key"), F.lit(prefix_v4), with_v6=False)
     if prefix_v6 is None:
         return net
-    return F.coalesce(net, v6_network(F.when(F.col("key").contains(":"), F.col("key")), F.lit(prefix_v6)))
+    return F.coalesce(net, v6_network(F.col("key"), F.lit(prefix_v6)))
 
 
 def subnet_deposits(hits: DataFrame, prefix_v4: int, prefix_v6: int | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import reports as R
 from ..operators import score as C
 from ..operators import stages as ST
 from ..operators import state as K
+from ..sources.scratch import written
 from .data import DAY, SQL, hits, lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,9 +254,9 @@ def first_match(spark, sf):  # noqa: ANN001, ANN201
     rows = lines(spark, sf, "bsd")
     line = F.col("line")
     vetoed = P.ignored(line, [r" view\["])
-    index, found = P.first_match(line, [r"error\[\d+\]: value \d+ from %%%%SRC%%%%$", r"value (?<N>\d+) from"])
-    keep = lambda c: F.when(~vetoed, c)
-    return rows.select("event_id", keep(index).alias("pattern"), keep(found["SRC"]).alias("src"), keep(found["N"]).alias("n"), vetoed.alias("vetoed"))
+    found = P.first_match(line, [r"error\[\d+\]: value \d+ from %%%%SRC%%%%$", r"value (?<N>\d+) from"])
+    rows = rows.select("event_id", vetoed.alias("vetoed"), F.when(~vetoed, found).alias("m"))
+    return rows.select("event_id", "m.pattern", F.col("m.SRC").alias("src"), F.col("m.N").alias("n"), "vetoed")
 
 
 @query(SQL + """select event_id, ip as a, 'lifted' as b, 'parsed' as c, case when k % 2 = 0 then 'own' else 'parsed' end as d from h""")
@@ -537,8 +538,8 @@ m as (select *, u.n as rule_int, u.name as rule, case when r0 then 0 when r2 the
 
 
 def _matched(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = lines(spark, sf, "bsd").select("*", parse.parse_bsd_syslog(F.col("line")).alias("r")).where("r is not null")
-    return M.match_rules(parsed.select("event_id", "us", "ord", "user_id", "r.daemon", "r.message"), RULES, "message", ["daemon"])
+    parsed = M.parsed_lines(lines(spark, sf, "bsd"), parse.parse_bsd_syslog)
+    return M.match_rules(parsed.select("event_id", "us", "ord", "user_id", "record.daemon", "record.message"), RULES, "message", ["daemon"])
 
 
 @query(RULE_SQL + """select event_id, rule, rule_int, ip, 'first' as mode, false as demoted from m where rule_int <= coalesce(first_consumer, 9)
@@ -562,8 +563,8 @@ def fired(spark, sf):  # noqa: ANN001, ANN201
 
 
 def _offended(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Matches, and their offenders outside the ignored networks."""
-    rows = M.explode_hits(_matched(spark, sf))
+    """Matches, as the table that the match job leaves, and their offenders outside the ignored networks."""
+    rows = written(M.explode_hits(_matched(spark, sf)), "matches")
     ignored = values(spark, "cidr string", [("10.0.0.0/16",), ("2001:db9:0::/48",)])
     return rows, G.drop_ignored(M.explode_offenders(rows).withColumn("addr", _mixed("ip", "event_id")), ignored, "addr")
 

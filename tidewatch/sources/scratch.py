@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in that folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in that folder: computed once, however often it is used, and safe from lost executors."""
+    place = shared_path(df.sparkSession, label)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import SECOND
-from ..operators.match import Rule, match_rules
+from ..operators.match import Rule, match_rules, parsed_lines
 from ..operators.stages import Stage
 
 STATE = "rows string, fold string, until long"
@@ -23,7 +23,7 @@ STATE = "rows string, fold string, until long"
 
 def stream_parse_match(lines: DataFrame, parser: Callable, rules: list[Rule], fields: list[str]) -> DataFrame:
     """Parse and match a stream of (line, ...): the same columns as on a table."""
-    parsed = lines.withColumn("record", parser(F.col("line"))).where("record is not null")
+    parsed = parsed_lines(lines, parser)
     flat = parsed.select("*", *(F.col(f"record.{f}").alias(f) for f in ("message", *fields)))
     return match_rules(flat, rules, "message", fields)
 
