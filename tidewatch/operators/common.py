@@ -17,6 +17,11 @@ def micros(ts: str = "ts") -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
 
 
+def with_value(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add ``name`` and keep the rows that have it. A filter would be pushed below and work the value out twice."""
+    return rows.select("*", F.explode(F.array_compact(F.array(value))).alias(name))
+
+
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], schema: str) -> DataFrame:
     """Run ``step(state, row)`` over each key's rows in order, and return all rows it gives.
 

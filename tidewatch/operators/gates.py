@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ip import addr_equal, ip_in_any, v4_number, v6_key
 from ..functions.scalars import time_fields
+from .common import with_value
 
 
 def drop_ignored(offenders: DataFrame, ignore: DataFrame, ip: str = "ip", exempt: Column | None = None) -> DataFrame:
@@ -31,12 +32,12 @@ def locate(rows: DataFrame, ip: str, ranges: DataFrame, out: str = "country", ra
     """
     asked = rows.select(F.col(ip).alias("_ip")).where(f"`{ip}` is not null").distinct()
     # the order is needed within a block of addresses alone: /8 and /24
-    found = _in_ranges(asked.withColumn("at", v4_number(F.col("_ip"))), ranges, lambda at: F.shiftright(at, 24), lambda block: F.shiftleft(block, 24))
+    found = _in_ranges(with_value(asked, v4_number(F.col("_ip")), "at"), ranges, lambda at: F.shiftright(at, 24), lambda block: F.shiftleft(block, 24))
     if ranges6 is not None:
         key = lambda c: v6_key(F.col(c))
         starts = lambda block: F.rpad(F.lower(F.lpad(F.hex(block), 6, "0")), 32, "0")
         six = ranges6.select(key("first").alias("first"), key("last").alias("last"), "code").where("first is not null and last is not null")
-        found = found.unionByName(_in_ranges(asked.withColumn("at", key("_ip")), six, lambda at: F.conv(F.left(at, F.lit(6)), 16, 10).cast("long"), starts))
+        found = found.unionByName(_in_ranges(with_value(asked, key("_ip"), "at"), six, lambda at: F.conv(F.left(at, F.lit(6)), 16, 10).cast("long"), starts))
     return rows.join(found.withColumnRenamed("code", out), rows[ip] == F.col("_ip"), "left").drop("_ip")
 
 
@@ -47,7 +48,7 @@ def _in_ranges(asked: DataFrame, ranges: DataFrame, block: Callable[[Column], Co
     starts = ranges.select(F.col("first").alias("at"), hold, none, block(F.col("first")).alias("_block"))
     wide = ranges.where(block(F.col("first")) < block(F.col("last"))).select(F.explode(F.sequence(block(F.col("first")) + 1, block(F.col("last")))).alias("_block"), hold)
     again = wide.select(begin(F.col("_block")).alias("at"), "r", none, "_block")
-    probes = asked.where("at is not null").select("at", F.lit(None).cast(starts.schema["r"].dataType).alias("r"), "_ip", block(F.col("at")).alias("_block"))
+    probes = asked.select("at", F.lit(None).cast(starts.schema["r"].dataType).alias("r"), "_ip", block(F.col("at")).alias("_block"))
     order = Window.partitionBy("_block").orderBy("at", F.col("_ip").isNotNull())
     last = F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     both = starts.unionByName(again).unionByName(probes).withColumn("r", last)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import let
 from ..functions.predicates import Predicate, all_of, any_of, capture_names, first_match, gate, ignored, sure
+from .common import with_value
 from .state import compound_key
 
 
@@ -103,8 +104,8 @@ def overlap(hits: Column, mode: str) -> Column:
 
 
 def parsed_lines(lines: DataFrame, parser: Callable[[Column], Column], line: str = "line", out: str = "record") -> DataFrame:
-    """Lines that fit the parser, with its record. A filter would be pushed below and parse each line once more."""
-    return lines.select("*", F.explode(F.array_compact(F.array(parser(F.col(line))))).alias(out))
+    """Lines that fit the parser, with its record."""
+    return with_value(lines, parser(F.col(line)), out)
 
 
 def explode_hits(lines: DataFrame) -> DataFrame:

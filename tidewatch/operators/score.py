@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ip import ip_network, v6_network
-from .common import SECOND, ordered_fold
+from .common import SECOND, ordered_fold, with_value
 
 
 def bucket_choice(kur: Column, rule: Column, overridden: Column, observing: Column) -> Column:
@@ -129,8 +129,8 @@ def _networks(prefix_v4: int, prefix_v6: int | None) -> Column:
 
 def subnet_deposits(hits: DataFrame, prefix_v4: int, prefix_v6: int | None = None) -> DataFrame:
     """Hits (key: address) re-keyed on their networks: (bucket, key, us, ord, w, member). IPv6 only with a ``prefix_v6``."""
-    nets = hits.withColumn("_net", _networks(prefix_v4, prefix_v6))
-    return nets.where("_net is not null").select("bucket", F.col("_net").alias("key"), "us", "ord", "w", F.col("key").alias("member"))
+    nets = with_value(hits, _networks(prefix_v4, prefix_v6), "_net")
+    return nets.select("bucket", F.col("_net").alias("key"), "us", "ord", "w", F.col("key").alias("member"))
 
 
 def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None) -> DataFrame:
