@@ -97,12 +97,44 @@ def test_token_pieces_keep_white_space_and_added_tokens():
     assert [t for t, x in zip(texts, got, strict=True) if np.frombuffer(x, "<u4").tolist() != library.encode(t, add_special_tokens=False).ids] == []
 
 
-def test_bpe_long_words_merge_alike():
+def leftmost_least(piece, rank):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        ranks = [rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        least = min((r for r in ranks if r is not None), default=None)
+        if least is None:
+            return [rank[p] for p in parts]
+        i = ranks.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_bpe_queries_contract_the_leftmost_least_pair():
     coder = bpe.Coder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
     rng = random.Random(1)
     words = ["".join(rng.choice("abetn ") for _ in range(rng.randint(2, 60))).encode() for _ in range(300)]
-    words = [w for w in words if w not in coder.rank]
-    assert coder.merge(words) == [np.array(bpe.merge_long(w, coder.rank), "<u4").tobytes() for w in words]
+    words = [w for w in words if w not in coder.rank] + [b"ab" * 700, b"a" * 1501, "\u00e9".encode() * 300, bytes(rng.choices(b"etaoinshr", k=900)), bytes(rng.choices(range(256), k=500))]
+    want = [np.array(leftmost_least(w, coder.rank), "<u4").tobytes() for w in words]
+    assert coder.contract(words, bpe.ENCODE_SQL) == want
+    assert coder.contract(words, bpe.LONG_SQL) == want
+
+
+def test_bpe_contracts_one_place_where_new_pairs_come_first():
+    # d has a lower rank than its part c, so after the leftmost c the pair (a, c) comes before the next c
+    ranks = [(bytes([i]), i) for i in range(256)] + [(b"abc", 256), (b"cabc", 257), (b"abcc", 258), (b"bc", 300), (b"bca", 301), (b"ca", 302)]
+    coder = bpe.Coder(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    words = [bytes(rng.choices(b"abc", k=rng.randint(2, 40))) for _ in range(400)]
+    want = [np.array(leftmost_least(w, coder.rank), "<u4").tobytes() for w in words]
+    assert coder.contract(words, bpe.ENCODE_SQL) == want
+    assert coder.contract(words, bpe.LONG_SQL) == want
+
+
+def test_bpe_keeps_ids(spark):
+    texts = ["some words here", None, "", "some words here", "naïve 日本 " * 50]
+    ranks = dict(bpe.load_ranks(RANKS))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r.token_ids for r in bpe.encode_decode(frame(spark, texts), RANKS, public_tokenizers.PATTERN, keep=True).collect()}
+    assert got == {k: own.encode_ordinary(t or "") for k, t in enumerate(texts)}
 
 
 def test_bpe_empty_table(spark):
@@ -124,6 +156,8 @@ def test_token_files(spark, sf):
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == want, k
         start += len(ids)
     assert {r.source for r in stored.select("source").collect()} == {"src0", "src1", "src2"}
+    with pytest.raises(ValueError, match="part"):
+        token_store.write_tokens(frame(spark, texts), path, fresh_path(spark, "t"), meta=("part",))
 
 
 def test_token_files_empty_table(spark):

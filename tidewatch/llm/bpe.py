@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from .pieces import Remembered, mapped, offsets_of, piece_starts, slices
 CACHE_WORDS = 240_000
 #: Bytes of text that are encoded and decoded together.
 SLICE_BYTES = 4_000_000
-#: Above so many bytes the recursion, quadratic in a word's length, gives way to a heap of pairs.
+#: Words of more bytes are contracted by LONG_SQL.
 LONG_WORD = 400
 
 ENCODE_SQL = """
@@ -38,7 +39,7 @@ with recursive word(w, toks, live) as (
      from word where live),
    best as (
      select w, min((m.c::bigint << 32) | p) as bk
-     from pos join merges m on m.ab = ((t::bigint << 20) | nt) group by w)
+     from pos join merges m on m.ab = ((t::bigint << 32) | nt) group by w)
    select word.w,
           case when bk is null then toks
                else toks[:(bk & 4294967295) - 1] || [(bk >> 32)::integer] || toks[(bk & 4294967295) + 2:] end,
@@ -48,6 +49,43 @@ with recursive word(w, toks, live) as (
 select w, toks from word where not live order by w
 """
 
+#: The same for long words. A word's latest state alone is held. All places of the least rank that don't overlap are
+#: contracted at once, from the left, if no pair that this makes has a lower rank, so that the order can't matter.
+LONG_SQL = """
+with recursive word(w, toks, live) using key (w) as (
+  select w, toks, true from fresh
+  union
+  (with pos as (
+     select w, unnest(toks) as t, unnest(toks[2:]) as nt, unnest([-1] || toks[:len(toks) - 1]) as before, unnest(toks[3:]) as after,
+            generate_subscripts(toks, 1) as p
+     from word where live),
+   pair as (select w, p, c, before, after from pos join merges m on m.ab = ((t::bigint << 32) | nt)),
+   best as (select w, min((c::bigint << 32) | p) as bk from pair group by w),
+   alike as (
+     select w, p, c, before, after, p - row_number() over (partition by w order by p) as run
+     from pair join best using (w) where c = bk >> 32),
+   around as (
+     select w, c, unnest([before::bigint * 4294967296 + c, c::bigint * 4294967296 + coalesce(after, -1), c::bigint * 4294967296 + c]) as ab
+     from alike),
+   lower as (select distinct w from around join merges m using (ab) where m.c < around.c),
+   chosen as (
+     select w, p, c from (select *, row_number() over (partition by w, run order by p) as k from alike)
+     where k % 2 = 1 and w not in (select w from lower)),
+   several as (select w from chosen group by w having count(*) > 1),
+   marked as (
+     select pos.w, pos.p, coalesce(c, t) as t, lag(c) over (partition by pos.w order by pos.p) is null as stays
+     from pos join several using (w) left join chosen on pos.w = chosen.w and pos.p = chosen.p),
+   made as (select w, list(t order by p) as new from marked where stays group by w)
+   select w,
+          case when new is not null then new
+               when bk is null then toks
+               else toks[:(bk & 4294967295) - 1] || [(bk >> 32)::integer] || toks[(bk & 4294967295) + 2:] end,
+          bk is not null
+   from word left join best using (w) left join made using (w) where live)
+)
+select w, toks from word order by w
+"""
+
 DECODE_SQL = """
 select d, string_agg(b, '' order by p) as s
 from (select d, unnest(ids) as id, generate_subscripts(ids, 1) as p from coded) join vocab using (id)
@@ -60,38 +98,6 @@ def load_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
 
 
-def merge_long(piece: bytes, rank: dict[bytes, int]) -> list[int]:
-    """Leftmost least-rank contraction with a heap, for words too long for the recursion."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts at i
-    back, alive = list(range(-1, n - 1)), [True] * n
-    heap = []
-
-    def offer(i: int) -> None:
-        j = end[i]
-        if j < n and (r := rank.get(piece[i : end[j]])) is not None:
-            heapq.heappush(heap, (r, i, end[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        r, i, e = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != e:
-            continue
-        alive[end[i]] = False
-        end[i] = e
-        if e < n:
-            back[e] = i
-        if back[i] >= 0:
-            offer(back[i])
-        offer(i)
-    out, i = [], 0
-    while i < n:
-        out.append(rank[piece[i : end[i]]])
-        i = end[i]
-    return out
-
-
 class Coder:
     """Encoder and decoder of one worker process."""
 
@@ -110,8 +116,8 @@ class Coder:
                     left.append(a)
                     right.append(b)
                     made.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        pairs = pa.table({"ab": (np.array(left, np.int64) << 20) | np.array(right, np.int64), "c": np.array(made, np.int32)})  # noqa: F841
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"merges-{os.getpid()}")})
+        pairs = pa.table({"ab": (np.array(left, np.int64) << 32) | np.array(right, np.int64), "c": np.array(made, np.int32)})  # noqa: F841
         self.db.execute("create table merges as select * from pairs")
         vocab = pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "b": [t.decode("latin-1") for t, _ in ranks]})
         self.db.execute("create table vocab as select * from vocab")
@@ -123,29 +129,29 @@ class Coder:
         self.spelt = Remembered(self.spell, CACHE_WORDS)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word: of the vocabulary, or contracted by the recursive query."""
+        """Ids of each word: of the vocabulary, or contracted by a recursive query."""
         out = [b""] * len(words)
-        rows = []
+        short, long = [], []
         for k, w in enumerate(words):
             if (r := self.rank.get(w)) is not None:
                 out[k] = r.to_bytes(4, "little")
-            elif len(w) > LONG_WORD:
-                out[k] = np.array(merge_long(w, self.rank), "<u4").tobytes()
             else:
-                rows.append(k)
-        if not rows:
-            return out
-        fresh = [words[k] for k in rows]
+                (long if len(w) > LONG_WORD else short).append(k)
+        for rows, query in ((short, ENCODE_SQL), (long, LONG_SQL)):
+            if rows:
+                for k, ids in zip(rows, self.contract([words[k] for k in rows], query), strict=True):
+                    out[k] = ids
+        return out
+
+    def contract(self, fresh: list[bytes], query: str) -> list[bytes]:
         toks = pa.ListArray.from_arrays(pa.array(offsets_of(fresh), pa.int32()), pa.array(self.byte_id[np.frombuffer(b"".join(fresh), np.uint8)]))
         self.db.register("fresh", pa.table({"w": pa.array(range(len(fresh)), pa.int32()), "toks": toks}))
-        done = self.db.sql(ENCODE_SQL).to_arrow_table().combine_chunks()
+        done = self.db.sql(query).to_arrow_table().combine_chunks()
         self.db.unregister("fresh")
         lists = done["toks"].chunk(0)
         flat = lists.flatten().to_numpy().astype("<u4").tobytes()
         offs = ((lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4).tolist()
-        for k, a, b in zip(rows, offs[:-1], offs[1:], strict=True):
-            out[k] = flat[a:b]
-        return out
+        return [flat[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece of text, word by word."""
@@ -182,8 +188,8 @@ class Coder:
 _coders: dict[tuple, Coder] = {}
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text: (id, n_tokens, ids_sha256, decoded_sha256).
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Encode and decode every text: (id, n_tokens, ids_sha256, decoded_sha256), with ``keep`` also token_ids array<int>.
 
     Null text counts as empty (no ids); repeated rows and ids give a row each; an empty table gives
     an empty result; other columns are ignored. Long texts are whole: a slice has at least one.
@@ -196,21 +202,20 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             _coders[key] = Coder(ranks.value, pattern)
         coder = _coders[key]
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
             for a, b in slices(batch.column(1), SLICE_BYTES):
                 ids = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
-                n += [len(x) // 4 for x in ids]
-                ids_sha += [hashlib.sha256(x).hexdigest() for x in ids]
-                text_sha += [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                named = {
+                    id_col: batch.column(0).slice(a, b - a), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in coder.decode(ids)], pa.string()),
+                }
+                if keep:
+                    named["token_ids"] = pa.ListArray.from_arrays(pa.array(offsets_of(ids) // 4, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_bytes(text_col).alias("t")).mapInArrow(
-        run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if keep else "")
+    return docs.select(F.col(f"`{id_col}`"), text_bytes(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir, shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; set here only if unset."""
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir", None)
-    if place is None:
-        held = sc.getCheckpointDir()
-        if held is None:
-            place = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-            sc.setCheckpointDir(place)
-        else:
-            place = held
-    return place
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return shared_path(spark, label)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -41,6 +41,7 @@ class Tokens:
 
         self.of = Tokenizer.from_str(json)
         self.added = [t.content.encode() for t in self.of.get_added_tokens_decoder().values()]  # taken whole wherever a text has them
+        self.lettered = [t for t in self.added if t.decode("utf-8", "replace").strip().isalpha()]  # those that a word can hold
         self.line = self.of.token_to_id("Ċ")  # how byte-level vocabularies write a line's end
         #: byte -> the character that byte-level vocabularies write for it
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,7 +68,7 @@ class Tokens:
         merge, spelt, pack = self.of.model.tokenize, self.spelt, struct.pack
         plain, odd = [], []
         for k, p in enumerate(pieces):
-            if p.decode("utf-8", "replace").removeprefix(" ").isalpha():
+            if p.decode("utf-8", "replace").removeprefix(" ").isalpha() and not any(t in p for t in self.lettered):
                 ids = [t.id for t in merge(p.decode("latin-1").translate(spelt))]
                 out[k] = pack(f"<{len(ids)}I", *ids)
             else:
@@ -93,7 +94,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, place: str, end_id: int =
 
     The file format: id, the ``meta`` columns, part (number of the file), first (ids before the
     document in its part), n_tokens, ids. Null text counts as empty and has the end id alone; null ids
-    come first; rows with one id are ordered by their texts' hash; an empty table gives no rows.
+    come first; rows with one id are ordered by their texts' hash; an empty table gives no rows. Names of ``meta`` that
+    the format has itself are an error; columns that aren't asked for have no part.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         json = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed file of about 1.5 MB
@@ -104,9 +106,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, place: str, end_id: int =
             _tokens[tokenizer_path] = Tokens(json.value)
         part, first = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for a, b in slices(whole.column("t"), SLICE_BYTES):
+            for a, b in slices(whole.column("_text"), SLICE_BYTES):
                 batch = whole.slice(a, b - a)
-                got = [x + end for x in _tokens[tokenizer_path].encode(batch.column("t").to_pylist())]
+                got = [x + end for x in _tokens[tokenizer_path].encode(batch.column("_text").to_pylist())]
                 offs = offsets_of(got) // 4
                 ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
                 starts = pa.array(offs[:-1] + first, pa.int64())
@@ -117,8 +119,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, place: str, end_id: int =
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (id_col, *meta)), "part int, first long, n_tokens long, ids array<int>"])
-    texts = docs.select(*(F.col(c) for c in (id_col, *meta)), text_bytes(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    ordered = texts.repartitionByRange(id_col, "h").sortWithinPartitions(id_col, "h").drop("h")
+    own = ("part", "first", "n_tokens", "ids")
+    if taken := {id_col, *meta} & {*own, "_text", "_hash"}:
+        raise ValueError(f"the file format has columns of these names: {sorted(taken)}")
+    texts = docs.select(*(F.col(f"`{c}`") for c in (id_col, *meta)), text_bytes(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    ordered = texts.repartitionByRange(f"`{id_col}`", "_hash").sortWithinPartitions(f"`{id_col}`", "_hash").drop("_hash")
     (
         ordered.mapInArrow(run, schema)
         .write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
