@@ -421,6 +421,84 @@ def test_language_evidence_of_pages(spark, sf):
     assert len(got) == 33 and got[101].declared is None
 
 
+def test_language_by_hand(spark, sf):
+    """Likelihoods, soft counts, priors of host, domain and suffix, trust in markup and suffix, and the posterior in plain Python."""
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
+    model = language.fit(docs, 200)
+    evidence = language.from_documents(docs).unionByName(language.from_pages(pages))
+    rows, langs = evidence.collect(), model.langs[:-1]
+    got = {(r.doc_id, r.page_id): r for r in language.identify(evidence, model).collect()}
+    assert len(got) == len(rows)
+
+    def likelihood(text):
+        data = (" " + " ".join(x.decode("latin-1") for x in bytes(text).lower().split()) + " ").encode("latin-1")
+        wordy = lambda c: c >= 128 or chr(c).isalpha() or c in (32, 39)
+        total = [0.0] * len(model.langs)
+        for i in range(len(data) - 2):
+            if all(map(wordy, data[i : i + 3])):
+                bucket = ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+                total = [a + language.TEMPER * b for a, b in zip(total, model.logp[bucket].tolist(), strict=True)]
+        if total[-1] == 0:
+            total[-1] = -math.log(language.OTHER_PRIOR)
+        return total
+
+    logs = [likelihood(r.t) for r in rows]
+    soft = []
+    for x in logs:
+        e = [math.exp(v - max(x)) for v in x]
+        soft.append([v / sum(e) for v in e][:-1])
+    add = lambda picked: [sum(c) for c in zip(*picked, strict=True)] if picked else [0.0] * len(langs)
+    counts = [c + 1 for c in add(soft)]
+    overall = [c / sum(counts) for c in counts]
+
+    def prior(r):
+        p = overall
+        for same in (lambda o: o.suffix == r.suffix, lambda o: (o.domain, o.suffix) == (r.domain, r.suffix), lambda o: (o.host, o.domain, o.suffix) == (r.host, r.domain, r.suffix)):
+            n = add([x for o, x in zip(rows, soft, strict=True) if same(o)])
+            p = [(a + language.SMOOTH * b) / (sum(n) + language.SMOOTH) for a, b in zip(n, p, strict=True)]
+        return [math.log(x) for x in p]
+
+    def trust(col, value):
+        if not value:
+            return None
+        n = add([x for o, x in zip(rows, soft, strict=True) if o[col] == value])
+        return [math.log((a + 0.1) / (c + 0.1)) for a, c in zip(n, counts, strict=True)]
+
+    known = {}
+    for r, x in zip(rows, logs, strict=True):
+        for name, value, make in (("prior", (r.host, r.domain, r.suffix), lambda r=r: prior(r)), ("declared", r.declared, lambda r=r: trust("declared", r.declared)), ("suffix", r.suffix, lambda r=r: trust("suffix", r.suffix))):
+            if (name, value) not in known:
+                known[name, value] = make()
+        total = [a + b for a, b in zip(x, known["prior", (r.host, r.domain, r.suffix)], strict=False)]
+        other = x[-1] + math.log(language.OTHER_PRIOR)
+        for told in (known["declared", r.declared], known["suffix", r.suffix]):
+            if told is not None:
+                total = [a + b for a, b in zip(total, told, strict=True)]
+                other += math.log(sum(math.exp(a) * b for a, b in zip(told, overall, strict=True)))
+        total.append(other)
+        top = max(total)
+        g = got[r.doc_id, r.page_id]
+        confidence = 1 / sum(math.exp(v - top) for v in total)
+        assert abs(g.confidence - confidence) < 1e-6 * max(1, confidence)
+        assert abs(total[model.langs.index(g.lang)] - top) < 1e-6
+        assert g.kept == (g.lang != language.OTHER and confidence >= language.LEAST)
+
+
+def test_language_model_by_hand(spark):
+    texts = ["the cat and the dog", "der hund und die katze", "The dog, the cat!", None]
+    docs = frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") == 1, "de").otherwise("en"))
+    model = language.fit(docs)
+    assert model.langs == ["de", "en", language.OTHER]
+    for k, mine in enumerate(([texts[1]], [texts[0], texts[2]])):
+        seen = Counter()
+        for t in mine:
+            data = (" " + " ".join(t.lower().split()) + " ").encode()
+            seen.update(b for b in language.buckets(data).tolist() if b < language.BUCKETS)
+        n = sum(Counter(b for t in mine for b in language.buckets(language.plain(t.encode())).tolist() if b < language.BUCKETS).values())
+        for b, count in seen.items():
+            assert abs(model.logp[b, k] - math.log((1 - language.FOREIGN) * count / n + language.FOREIGN / language.OTHER_TRIGRAMS)) < 1e-9
+
+
 def coverage_by_hand(item, text, least=5):
     item, text, total = list(item), list(text), 0
     while True:
@@ -469,64 +547,158 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()) == [(k, k) for k in range(12)]
 
 
-def test_hits_are_edit_distance():
-    def near(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
-        return row[-1]
+def edits(term):
+    """Patterns of the words one edit away from a term: by an edit of the first letter, and by another."""
+    at = {True: [], False: []}
+    e = [re.escape(c) for c in term]
+    for i in range(len(e) + 1):
+        at[i == 0].append("".join(e[:i]) + "." + "".join(e[i:]))
+        if i < len(e):
+            at[i == 0] += ["".join(e[:i] + e[i + 1 :]), "".join([*e[:i], ".", *e[i + 1 :]])]
+        if i + 1 < len(e):
+            at[i == 0].append("".join([*e[:i], e[i + 1], e[i], *e[i + 2 :]]))
+    return "|".join(at[True]), "|".join(at[False])
+
 
-    rng = random.Random(11)
-    lexicon = toxicity._lexicon([toxicity.Term("stupid", False), toxicity.Term("idiot", True), toxicity.Term("scum", False)], {})
-    for text in ("stup1d", "stu*id", "1diot", "ztupid", "tupid", "xstupid", "stu_pid", "idi0ts", "diots", "they said: stu.id!", "Stu\u2019pid"):
+class PlainLexicon:
+    """Looks words up by a pattern for each term and kind."""
+
+    def __init__(self, terms, first=True):
+        self.terms, self.rows = terms, []
+        for n, t in enumerate(terms):
+            end = ".*" if t.stem else ""
+            self.rows.append((toxicity.EXACT, n, re.compile(f"(?:{re.escape(t.text)}){end}", re.S)))
+            if len(t.text) >= toxicity.EDIT_FROM:
+                head, rest = edits(t.text)
+                self.rows.append((toxicity.EDITED, n, re.compile(f"(?:{rest}){end}", re.S)))
+                if first:
+                    self.rows.append((toxicity.FIRST, n, re.compile(f"(?:{head}){end}", re.S)))
+
+    def walk(self, word):
+        return min(((k, n) for k, n, p in self.rows if p.fullmatch(word)), default=None)
+
+    def look(self, word):
+        best = self.walk(word)
+        short = re.sub(r"(.)\1+", r"\1", word)
+        if best is None and short != word:
+            for n, t in enumerate(self.terms):
+                plain = re.sub(r"(.)\1+", r"\1", t.text)
+                if (not t.stem and plain == short and len(plain) >= toxicity.EDIT_FROM) or (t.stem and len(t.text) >= toxicity.EDIT_FROM and short.startswith(t.text)):
+                    return (toxicity.REPEATED, n)
+        return best
+
+    def masked(self, a, symbols, b):
+        """Terms of five letters and more that are the word with any letters for its symbols."""
+        word = "".join(map(re.escape, a)) + "." * len(symbols) + "".join(map(re.escape, b))
+        long = [(n, t) for n, t in enumerate(self.terms) if len(t.text) >= toxicity.EDIT_FROM]
+        n_letters = len(a + symbols + b)
+        heads = {k: "".join(("." if len(a) <= i < len(a + symbols) else re.escape((a + symbols + b)[i])) for i in range(k)) for k in range(1, n_letters + 1)}
+        return [n for n, t in long if (t.stem and len(t.text) in heads and re.fullmatch(heads[len(t.text)], t.text)) or (not t.stem and re.fullmatch(word, t.text))]
+
+
+def test_misspelled_terms_are_hits():
+    lexicon = toxicity._lexicon([toxicity.Term("stupid", False), toxicity.Term("idiot", True), toxicity.Term("scum", False), toxicity.Term("loser", False)], {})
+    for text in (
+        "stup1d", "stu*id", "1diot", "ztupid", "tupid", "xstupid", "stu_pid", "idi0ts", "diots", "they said: stu.id!", "Stu\u2019pid", "id1ot", "ldiot", "idoit", "st*pid", "stuppidd", "stuuuupid",
+        "st**id", "s***id", "id-iot", "idiiiotic", "lo$er", "looooser", "sutpid", "stupdi", "i.diot",
+    ):
         assert len(lexicon.hits(text)[1]) == 1, text
-    for text in ("stup1", "stu**id", "stu id", "scun", "s1upxd", "1d1ot", "", "2+2"):
+    for text in ("stup1", "stu id", "scun", "s1upxd", "1d1ot", "", "2+2", "st--ped", "stu**id", "s****d", "a**b", "dito", "sucm"):
         assert not lexicon.hits(text)[1], text
     assert lexicon.hits("a stu*id idiot's say")[1] == [(0, toxicity.INSIDE, True), (1, toxicity.EXACT, True)]
-    terms = list({"".join(rng.choices("abc", k=rng.randint(5, 7))): rng.random() < 0.4 for _ in range(15)}.items())
-    lexicon = toxicity._lexicon([toxicity.Term(*t) for t in terms], {})
-    for _ in range(3000):
-        word = "".join(rng.choices("abc", k=rng.randint(3, 8)))
-        if rng.random() < 0.6:
-            at = rng.randrange(len(word) + 1)
-            word = word[:at] + rng.choice("1*_") + word[at + rng.randint(0, 1) :]
-        heads = [word[:k] for k in range(1, len(word) + 1)]
-        want = any(near(h, t) <= 1 for t, stem in terms for h in (heads if stem else [word]))
-        # a symbol at an end is no part of the word
-        parts = [word.strip("1*_")] if word.strip("1*_") else []
-        parts += re.findall("[a-c]+", word)
-        want = want or any(near(h, t) <= 1 for p in parts for t, stem in terms for h in ([p[:k] for k in range(1, len(p) + 1)] if stem else [p]))
-        assert bool(lexicon.hits(word)[1]) == want, word
-
-
-def test_automaton_is_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
-        return row[-1]
 
+
+@pytest.mark.parametrize("first", [True, False])
+def test_automaton_is_edit_distance(first):
     rng = random.Random(9)
-    terms = [toxicity.Term("".join(rng.choices("abc", k=rng.randint(3, 7))), rng.random() < 0.4) for _ in range(25)]
-    terms = list({t.text: t for t in terms}.values())
-    lexicon = toxicity.Lexicon(terms)
+    terms = list({t.text: t for t in (toxicity.Term("".join(rng.choices("abc", k=rng.randint(3, 7))), rng.random() < 0.4) for _ in range(25))}.values())
+    lexicon, plain = toxicity.Lexicon(terms, first), PlainLexicon(terms, first)
     for _ in range(3000):
         word = "".join(rng.choices("abcd", k=rng.randint(1, 9)))
-        want = []
-        for n, t in enumerate(terms):
-            heads = [word[:k] for k in range(1, len(word) + 1)] if t.stem else [word]
-            near = [h for h in heads if h[0] == t.text[0]]
-            if near:
-                d = min(distance(h, t.text) for h in near)
-                if d <= (1 if len(t.text) >= toxicity.EDIT_FROM else 0):
-                    want.append((d, n))
-        got = lexicon.look(word)
-        assert (got is None) == (not want), word
-        assert got is None or got[0] == min(want)[0]
+        assert lexicon.walk(word) == plain.walk(word), word
+        assert lexicon.look(word) == plain.look(word), word
+
+
+def test_symbols_stand_for_any_letter():
+    rng = random.Random(12)
+    terms = list({t.text: t for t in (toxicity.Term("".join(rng.choices("abc", k=rng.randint(4, 7))), rng.random() < 0.4) for _ in range(12))}.values())
+    lexicon, plain = toxicity.Lexicon(terms, True), PlainLexicon(terms, True)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(2))
+        symbols = "".join(rng.choices("-$", k=rng.randint(1, 3)))
+        found = lexicon.parted(a, symbols, b)
+        once = plain.look(a + symbols + b) if len(symbols) == 1 else None
+        want = {once[1]} if once is not None else set(plain.masked(a, symbols, b)) if len(a) + len(b) >= 3 else set()
+        alone = {x[1] for x in (plain.look(a), plain.look(b)) if x is not None}
+        assert (found in want - alone) if found is not None else not want or want & alone, (a, symbols, b)
+
+
+def test_scores_by_hand(spark, sf_large):
+    docs, labels = spark.read.parquet(f"{sf_large}/documents.parquet").where("doc_id < 2500"), spark.read.parquet(f"{sf_large}/labels.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    assert model.terms
+    plain, seen = PlainLexicon(model.terms), {}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for k, text in rows.items():
+        low = (text or "").lower()
+        words = [(m.start(), m.end(), m[0]) for m in toxicity.WORD.finditer(low)]
+        evidence, most = {True: 0.0, False: 0.0}, 0.0
+        spans = toxicity.quoted_ranges(low).tolist()
+        for i, (at, end, w) in enumerate(words):
+            if w not in seen:
+                seen[w] = plain.look(w)
+            if seen[w] is None:
+                continue
+            kind, term = seen[w]
+            near = {x for _, _, x in words[max(0, i - 4) : i] + words[i + 1 : i + 5]}
+            lift = model.lift[term, kind]
+            evidence[bool(near & toxicity.REPORTING) or any(x <= at and end <= y for x, y in spans)] += lift
+            most = max(most, lift)
+        if got[k].n_terms != sum(seen[w] is not None for _, _, w in words):
+            continue  # parted words are tested above
+        n, root = len(words), math.sqrt(len(words) + 10)
+        x = [math.log1p(evidence[False]), evidence[False] / root, math.log1p(evidence[True]), evidence[True] / root, most, math.log1p(n)]
+        z = model.weights[0] + sum(w * (v - m) / d for w, v, m, d in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        assert abs(got[k].score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+        assert got[k].predicted == (got[k].score >= 0.5)
+    assert sum(got[k].n_terms > 0 for k in rows) > 5
+
+
+def test_terms_by_hand(spark, sf_large):
+    """Rates of words and stems in toxic and other texts, counted plainly; every good term is there or begins with one that is."""
+    train = toxicity.training_rows(spark.read.parquet(f"{sf_large}/documents.parquet").where("doc_id < 2500"), spark.read.parquet(f"{sf_large}/labels.parquet"))
+    rows = [(r.text or "", r.toxic) for r in train.collect()]
+    docs, times, size, total = [Counter(), Counter()], [Counter(), Counter()], [0, 0], [0, 0]
+    for text, toxic in rows:
+        words = toxicity.WORD.findall(text.lower())
+        mine = Counter([(w, False) for w in words] + [(w[:k], True) for w in words for k in toxicity.STEMS if len(w) >= k])
+        times[toxic].update(mine)
+        docs[toxic].update(mine.keys())
+        size[toxic] += 1
+        total[toxic] += len(words)
+
+    def good(t):
+        d0, d1 = docs[0][t], docs[1][t]
+        lift = math.log((times[1][t] + 0.5) / total[1]) - math.log((times[0][t] + 0.5) / total[0])
+        share = (d0 + d1) / sum(size)
+        cells = [(d1, share * size[1]), (d0, share * size[0]), (size[1] - d1, (1 - share) * size[1]), (size[0] - d0, (1 - share) * size[0])]
+        g = 2 * sum(n * math.log(n / e) for n, e in cells if n > 0)
+        return d1 >= toxicity.LEAST_DOCS and d1 * size[0] > d0 * size[1] and lift >= toxicity.LEAST_LIFT and g >= toxicity.LEAST_G
+
+    want = {t for t in docs[1] if good(t)}
+    got = toxicity.learn_terms(train)
+    assert got and {(t.text, t.stem) for t in got} <= want
+    stems, heads = {t.text for t in got if t.stem}, {t.text[:k] for t in got for k in range(1, len(t.text) + 1)}
+    assert all(text in heads or any(text[:k] in stems for k in range(1, len(text) + 1)) for text, stem in want)
+
+
+def test_a_text_under_two_labels_is_toxic(spark):
+    docs = frame(spark, ["same text", "same text", "other", None], ids=[1, 2, 3, 4])
+    ids = [r.doc_id for r in docs.where(~toxicity.held_out()).collect()]
+    labels = spark.createDataFrame([(k, int(k == 2)) for k in range(1, 5)], "doc_id long, toxic int")
+    got = {r.text: r.toxic for r in toxicity.training_rows(docs, labels).collect()}
+    assert got.get("same text") == (1 if 2 in ids else 0)
 
 
 def test_quotation_is_told_from_abuse():
@@ -535,6 +707,10 @@ def test_quotation_is_told_from_abuse():
     assert lexicon.hits('he shouted "you idiot" there') == (5, [(0, 0, True)])
     assert lexicon.hits("she said idiot") == (3, [(0, 0, True)])
     assert lexicon.hits("an idiott here") == (3, [(0, 1, False)])
+    long = "he shouted: \u201cno, " + "and so on, " * 60 + "\nyou idiot\u201d over two lines"
+    assert [q for *_, q in lexicon.hits(long)[1]] == [True]
+    assert [q for *_, q in lexicon.hits('an open "mark\n\nyou idiot"')[1]] == [False]
+    assert toxicity.quoted_ranges('"' * 20_001 + "\u201c" * 20_000).shape == (10_000, 2)
 
 
 def test_toxicity_held_out(spark, sf_large):

@@ -1,9 +1,11 @@
 """Toxicity: Levenshtein automata over a lexicon trie, with context windows that tell quotation from abuse.
 
 The lexicon (whole words, and stems that any ending may follow) and all weights are learned from labelled
-documents. A word is looked up by the product of the trie and an automaton of one edit, made
-deterministic as words ask for it; so are two words with one symbol or digit between them. A hit counts as quoted when it stands in quotation marks or near a
-reporting verb; quoted and other hits are separate evidence of a logistic model.
+documents. A word is looked up by the product of the trie and an automaton of one edit (a letter too many, too few,
+another one, or two that changed places), made deterministic as words ask for it. Words with symbols or digits between
+them are looked up as one, where a symbol may stand for any letter; letters that repeat are also read as one. A hit counts
+as quoted when it stands in quotation marks or near a reporting verb; quoted and other hits are separate evidence of a
+logistic model.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ TRAIN_DOCS = 8000
 STEMS = range(4, 9)
 #: A term needs so many toxic documents, so much log lift of its rate, and such a likelihood ratio of document counts.
 LEAST_DOCS, LEAST_LIFT, LEAST_G = 5, 1.5, 24.0
-LEXICON = 400
 #: Shorter terms allow no edit.
 EDIT_FROM = 5
 #: Words on each side of a hit in which a reporting verb makes it a quotation.
@@ -40,10 +41,13 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 CACHE_WORDS = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
-#: A word, and the next one that a single digit or symbol parts from it.
-PARTED = re.compile(r"(?<![^\W\d_])([^\W\d_]++)(?=([\d_]|[^\w\s])([^\W\d_]++))")
-#: Kinds of a hit, each with its own lift: exact, an edit, an edit of the first letter, a symbol or digit inside.
-EXACT, EDITED, FIRST, INSIDE = KINDS = range(4)
+#: A word, and the next one that up to three digits or symbols part from it.
+PARTED = re.compile(r"(?<![^\W\d_])([^\W\d_]++)(?=((?:[\d_]|[^\w\s]){1,3})([^\W\d_]++))")
+SYMBOL = re.compile(r"[\W_]")
+#: Stands for any one letter in a word that is looked up.
+ANY = "*"
+#: Kinds of a hit, each with its own lift: exact, an edit, an edit of the first letter, symbols or digits inside, letters repeated.
+EXACT, EDITED, FIRST, INSIDE, REPEATED = KINDS = range(5)
 
 
 @dataclass
@@ -54,7 +58,10 @@ class Term:
 
 class Lexicon:
     """Deterministic product of the trie of terms and the one-edit automaton, built as it is walked. Only with ``first``
-    may the edit be that of the first letter."""
+    may the edit be that of the first letter.
+
+    A member of a state is (node, kind of the edit so far, letter that must come next or ''): of two letters that changed
+    places the second is read first, and the first is then due."""
 
     def __init__(self, terms: list[Term], first: bool = False):
         self.first = first
@@ -75,18 +82,26 @@ class Lexicon:
         self.next: list[dict[str, int]] = []
         self.whole: list[tuple[int, int] | None] = []  # (kind, term) at the end of a word
         self.open: list[tuple[int, int] | None] = []  # the same for stems, wherever a word gets to
-        self.begin = self.state({(0, 0)})
+        self.begin = self.state({(0, 0, "")})
         self.seen: dict[str, tuple[int, int] | None] = {}
+        #: the terms that symbols may stand in, and their numbers here; only asked for words with such
+        self.masked: Lexicon | None = None
+        self.long = [n for n, t in enumerate(terms) if len(t.text) >= EDIT_FROM]
+        #: terms without repeated letters, for words that repeat them
+        self.single: dict[str, int] = {}
+        for n, t in enumerate(terms):
+            if not t.stem and len(squeezed(t.text)) >= EDIT_FROM:
+                self.single.setdefault(squeezed(t.text), n)
 
-    def state(self, at: set[tuple[int, int]]) -> int:
+    def state(self, at: set[tuple[int, int, str]]) -> int:
         # a missing letter: go down the trie without reading
-        at |= {(c, self.edit(node)) for node, e in at if e == 0 and (node or self.first) for c in self.child[node].values()}
-        key = frozenset(x for x in at if not any((x[0], e) in at for e in range(x[1])))
+        at |= {(c, self.edit(node), "") for node, e, due in at if e == 0 and not due and (node or self.first) for c in self.child[node].values()}
+        key = frozenset(x for x in at if not any((x[0], e, x[2]) in at for e in range(x[1])))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            found = [(e, n) for node, e in key for n in self.ends[node] if e == 0 or len(self.terms[n].text) >= EDIT_FROM]
+            found = [(e, n) for node, e, due in key if not due for n in self.ends[node] if e == 0 or len(self.terms[n].text) >= EDIT_FROM]
             self.whole.append(min((x for x in found if not self.terms[x[1]].stem), default=None))
             self.open.append(min((x for x in found if self.terms[x[1]].stem), default=None))
         return self.ids[key]
@@ -97,40 +112,66 @@ class Lexicon:
 
     def step(self, state: int, c: str) -> int:
         to = set()
-        for node, e in self.sets[state]:
-            if c in self.child[node]:
-                to.add((self.child[node][c], e))
+        for node, e, due in self.sets[state]:
+            child = self.child[node]
+            if due:
+                if c in (due, ANY):
+                    to.add((node, e, ""))
+                continue
+            if c == ANY:
+                to |= {(x, e, "") for x in child.values()}
+            elif c in child:
+                to.add((child[c], e, ""))
             if e == 0 and (node or self.first):
-                to.add((node, self.edit(node)))  # a letter too many
-                to |= {(x, self.edit(node)) for x in self.child[node].values()}  # another letter
+                to.add((node, self.edit(node), ""))  # a letter too many
+                to |= {(x, self.edit(node), "") for x in child.values()}  # another letter
+                to |= {(self.child[x][c], self.edit(node), other) for other, x in child.items() if other != c and c in self.child[x]}  # two that changed places
         made = self.next[state][c] = self.state(to)
         return made
 
-    def look(self, word: str) -> tuple[int, int] | None:
-        """(kind, term) of the best match of a whole word."""
-        if word in self.seen:
-            return self.seen[word]
+    def walk(self, word: str) -> tuple[int, int] | None:
         state, best = self.begin, None
         for c in word:
             state = self.next[state].get(c, -1) if c in self.next[state] else self.step(state, c)
             if not self.sets[state]:
-                break
+                return best
             found = self.open[state]
             if found is not None and (best is None or found < best):
                 best = found
-        else:
-            found = self.whole[state]
-            if found is not None and (best is None or found < best):
-                best = found
+        found = self.whole[state]
+        return found if found is not None and (best is None or found < best) else best
+
+    def look(self, word: str) -> tuple[int, int] | None:
+        """(kind, term) of the best match of a whole word."""
+        if word in self.seen:
+            return self.seen[word]
+        best = self.walk(word)
+        if best is None and (short := squeezed(word)) != word:
+            if short in self.single:
+                best = (REPEATED, self.single[short])
+            elif (found := self.walk(short)) is not None and found[0] == EXACT and self.terms[found[1]].stem and len(self.terms[found[1]].text) >= EDIT_FROM:
+                best = (REPEATED, found[1])
         if len(self.seen) >= CACHE_WORDS:
             self.seen.clear()
         self.seen[word] = best
         return best
 
+    def parted(self, a: str, between: str, b: str) -> int | None:
+        """The term that two words are with what parts them, if neither is a hit of it."""
+        found = self.look(a + between + b) if len(between) == 1 else None
+        if found is None and SYMBOL.search(between) and len(a) + len(b) >= 3:
+            if self.masked is None:
+                self.masked = Lexicon([self.terms[n] for n in self.long], self.first)
+            found = self.masked.look(a + SYMBOL.sub(ANY, between) + b)
+            found = (INSIDE, self.long[found[1]]) if found is not None and found[0] == EXACT else None
+        if found is None or any(x is not None and x[1] == found[1] for x in (self.look(a), self.look(b))):
+            return None
+        return found[1]
+
     def hits(self, text: str) -> tuple[int, list[tuple[int, int, bool]]]:
         """Number of words, and (term, kind, quoted) of each hit.
 
-        Words parted by a single digit or symbol are also looked up as one; they count for a term that neither is a hit of."""
+        Words parted by digits or symbols are also looked up as one; they count for a term that neither is a hit of."""
         low = text.lower()
         words = WORD.findall(low)
         look, seen = self.look, self.seen
@@ -138,14 +179,13 @@ class Lexicon:
             look(w)
         at = [i for i, w in enumerate(words) if look(w) is not None]
         found = [(i, i + 1, *look(words[i])) for i in at]
-        parted = [(m.start(), m[1], m[3], best[1]) for m in PARTED.finditer(low) if (best := look(m[1] + m[2] + m[3])) is not None]
+        parted = [(m.start(), term) for m in PARTED.finditer(low) if (term := self.parted(m[1], m[2], m[3])) is not None]
         if not found and not parted:
             return len(words), []
         where = [m.span() for m in WORD.finditer(low)]
-        for start, a, b, term in parted:
-            if all(x is None or x[1] != term for x in (look(a), look(b))):
-                i = bisect_left(where, (start, 0))
-                found.append((i, i + 2, INSIDE, term))
+        for start, term in parted:
+            i = bisect_left(where, (start, 0))
+            found.append((i, i + 2, INSIDE, term))
         inside = quoted_ranges(low)
         out = []
         for i, j, kind, term in sorted(found):
@@ -156,16 +196,29 @@ class Lexicon:
         return len(words), out
 
 
+def squeezed(word: str) -> str:
+    """The word with letters that repeat written once."""
+    return re.sub(r"(.)\1+", r"\1", word)
+
+
 def quoted_ranges(text: str) -> np.ndarray:
-    """Starts and ends of quotations of one line and 300 characters at most, ascending."""
-    out, i = [], 0
-    for m in re.finditer("[" + "".join(QUOTES) + "]", text):
-        if m.start() < i:
-            continue
-        end = text.find(QUOTES[m[0]], m.end(), m.end() + 300)
-        if end > 0 and "\n" not in text[m.end() : end]:
-            out.append((m.start(), end + 1))
-            i = end + 1
+    """Starts and ends of quotations, ascending: from a mark to its counterpart in the same paragraph."""
+    out, marks = [], [(m.start(), m[0]) for m in re.finditer(r"\n\s*\n|[" + "".join({*QUOTES, *QUOTES.values()}) + "]", text)]
+    i, alone = 0, set()  # marks that have no counterpart in the rest of the paragraph
+    while i < len(marks):
+        at, mark = marks[i]
+        if mark.isspace():
+            alone.clear()
+        elif mark in QUOTES and mark not in alone:
+            k = i + 1
+            while k < len(marks) and marks[k][1] != QUOTES[mark] and not marks[k][1].isspace():
+                k += 1
+            if k < len(marks) and not marks[k][1].isspace():
+                out.append((at, marks[k][0] + 1))
+                i = k
+            else:
+                alone.add(mark)
+        i += 1
     return np.array(out, np.int64).reshape(-1, 2)
 
 
@@ -207,12 +260,19 @@ def learn_terms(train: DataFrame) -> list[Term]:
     share = (d0 + d1) / (all0 + all1)
     g = 2 * (part(d1, share * all1) + part(d0, share * all0) + part(all1 - d1, (1 - share) * all1) + part(all0 - d0, (1 - share) * all0))
     good = sums.where((F.col("term") != "") & (d1 >= LEAST_DOCS) & (d1 * all0 > d0 * all1)).withColumns({"lift": lift, "g": g})
-    best = good.where((F.col("lift") >= LEAST_LIFT) & (F.col("g") >= LEAST_G)).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(4 * LEXICON).collect()
+    # of at most TRAIN_DOCS documents: all that are good, the best first
+    best = good.where((F.col("lift") >= LEAST_LIFT) & (F.col("g") >= LEAST_G)).orderBy(F.desc("g"), F.desc(F.length("term")), "term").collect()
     chosen: list[Term] = []
+    stems, heads, whole = set(), set(), set()  # chosen stems, all beginnings of chosen terms, chosen terms
     for r in best:  # a term says nothing more than the stem it begins with
         text, stem = r.term[1:], r.term[0] == "^"
-        if len(chosen) < LEXICON and not any(c.text == text or (c.stem and text.startswith(c.text)) or (stem and c.text.startswith(text)) for c in chosen):
+        begins = {text[:k] for k in range(1, len(text) + 1)}
+        if text not in whole and stems.isdisjoint(begins) and not (stem and text in heads):
             chosen.append(Term(text, stem))
+            whole.add(text)
+            heads |= begins
+            if stem:
+                stems.add(text)
     return chosen
 
 
@@ -297,10 +357,12 @@ def fit(train: DataFrame) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fifth; of more than ``most``, those of least hash; a text once."""
+    """(text, toxic) of labelled documents outside the held-out fifth; of more than ``most``, those of least hash.
+
+    A text counts once, and as toxic if any of its rows is labelled so."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["text"]).select("text", "toxic")  # TRAIN_DOCS rows of two numbers
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # TRAIN_DOCS rows of two numbers
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
