@@ -526,6 +526,29 @@ def test_tiling_is_greedy():
         assert got == coverage_by_hand(item, text)
 
 
+def test_tiling_of_repeated_words_is_quick():
+    began = time.perf_counter()
+    assert sum(n for *_, n in decontaminate.tile(np.zeros(300, np.int64), np.zeros(8000, np.int64))) == 300
+    # two words in turn, broken at other places on each side
+    rng = random.Random(2)
+    item = np.array([k % 2 if rng.random() < 0.97 else 2 for k in range(400)])
+    text = np.array([k % 2 if rng.random() < 0.97 else 3 for k in range(20_000)])
+    covered = sum(n for *_, n in decontaminate.tile(item, text))
+    assert 0.9 * len(item) < covered <= len(item)
+    assert time.perf_counter() - began < 20
+
+
+def test_rolling_hashes():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 3, 200)
+    hashes = decontaminate.Rolling(tokens)
+    for n in (1, 5, 17):
+        runs = {}
+        for i, h in enumerate(hashes.at(np.arange(200 - n + 1), n).tolist()):
+            assert runs.setdefault(tuple(tokens[i : i + n].tolist()), h) == h
+        assert len(set(runs.values())) == len(runs)
+
+
 def test_benchmark(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string")

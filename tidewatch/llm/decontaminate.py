@@ -27,57 +27,95 @@ COVERAGE = 0.8
 BLOCK_CHARS = 32 << 20
 
 WORD = re.compile(r"\w+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Base of the hashes, odd, so that it has an inverse among numbers of 64 bits.
+_BASE = 0x9E3779B97F4A7C15
+#: Pairs of equal windows that are looked at together.
+PAIRS = 1_000_000
+
+
+class Rolling:
+    """Karp-Rabin hashes of all runs of tokens, of any length, from one pass of running sums."""
+
+    _up = np.ones(1, np.uint64)
+    _down = np.ones(1, np.uint64)
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        if len(Rolling._up) < n + 1:
+            size = np.full(2 * n + 1, _BASE, np.uint64), np.full(2 * n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+            for x in size:
+                x[0] = 1
+            Rolling._up, Rolling._down = (np.multiply.accumulate(x) for x in size)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((tokens.astype(np.uint64) + np.uint64(1)) * Rolling._down[:n], out=self.sums[1:])
+
+    def at(self, i: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hashes of the runs of n tokens from each i."""
+        return (self.sums[i + n] - self.sums[i]) * Rolling._up[i]
 
 
 def windows(tokens: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of n tokens (tokens from 0; runs with a negative one hash to 0)."""
     if len(tokens) < n:
         return np.zeros(0, np.uint64)
-    count = len(tokens) - n + 1
-    h = np.zeros(count, np.uint64)
-    plain = np.ones(count, bool)
-    for k in range(n):
-        some = tokens[k : k + count]
-        h = h * _BASE + some.astype(np.uint64) + np.uint64(1)
-        plain &= some >= 0
-    return np.where(plain, h | np.uint64(1), np.uint64(0))
+    odd = np.zeros(len(tokens) + 1, np.int64)
+    np.cumsum(tokens < 0, out=odd[1:])
+    return np.where(odd[n:] == odd[:-n], Rolling(tokens).at(np.arange(len(tokens) - n + 1), n) | np.uint64(1), np.uint64(0))
+
+
+def _until_taken(free: np.ndarray) -> np.ndarray:
+    """How many free tokens there are from each place on."""
+    taken = np.append(np.flatnonzero(~free), len(free))
+    return taken[np.searchsorted(taken, np.arange(len(free)))] - np.arange(len(free))
+
+
+def _matches(item: np.ndarray, text: np.ndarray, hashes: tuple[Rolling, Rolling], free: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, ...]:
+    """(i, j, n) of the longest common runs of free tokens, of ``least`` or more, that begin nowhere earlier."""
+    left, right = (_until_taken(f) for f in free)
+    wi, wj = np.flatnonzero(left >= least), np.flatnonzero(right >= least)
+    hi, hj = hashes[0].at(wi, least), hashes[1].at(wj, least)
+    order = np.argsort(hi, kind="stable")
+    wi, hi = wi[order], hi[order]
+    lo, up = np.searchsorted(hi, hj, "left"), np.searchsorted(hi, hj, "right")
+    some = up > lo
+    wj, lo, times = wj[some], lo[some], (up - lo)[some]
+    cuts = np.searchsorted(np.cumsum(times), np.arange(0, times.sum(), PAIRS), "right").tolist()
+    found = []
+    for a, b in zip(cuts, [*cuts, len(times)][1:], strict=True):
+        t = times[a:b]
+        j = np.repeat(wj[a:b], t)
+        i = wi[np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(lo[a:b], t)]
+        inside = (i > 0) & (j > 0) & (item[i - 1] == text[j - 1]) & free[0][i - 1] & free[1][j - 1]  # of a longer one
+        found.append((i[~inside], j[~inside]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    short, long = np.full(len(i), least), np.minimum(left[i], right[j])
+    while (short < long).any():  # all lengths by bisection, comparing hashes
+        middle = (short + long + 1) // 2
+        same = hashes[0].at(i, middle) == hashes[1].at(j, middle)
+        short, long = np.where(same, middle, short), np.where(same, long, middle - 1)
+    return i, j, short
 
 
 def tile(item: np.ndarray, text: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
-    """(start in item, start in text, length) of greedy tiles, longest first, the leftmost of equal ones."""
-    item, text = item.copy(), text.copy()  # marked tokens become negative: -1 in the item, -2 in the text
-    item[item < 0] = -1
-    text[text < 0] = -2
+    """(start in item, start in text, length) of greedy tiles, longest first, the leftmost of equal ones. Negative tokens match nothing."""
+    hashes, free = (Rolling(item), Rolling(text)), (item >= 0, text >= 0)
     tiles: list[tuple[int, int, int]] = []
     search = max(least, min(len(item), len(text)))
     while search >= least:
-        where = defaultdict(list)
-        for i, h in enumerate(windows(item, search).tolist()):
-            if h:
-                where[h].append(i)
-        found: list[tuple[int, int, int]] = []
-        for j, h in enumerate(windows(text, search).tolist()):
-            for i in where.get(h, ()) if h else ():
-                if i and j and item[i - 1] == text[j - 1]:
-                    continue  # inside a longer match
-                n = 0
-                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and item[i + n] >= 0:
-                    n += 1
-                if n >= search:
-                    found.append((-n, i, j))
-        if not found:
+        i, j, n = _matches(item, text, hashes, free, search)
+        longest, before = int(n.max(initial=0)), len(tiles)
+        best = np.flatnonzero(n == longest)
+        for a, b in zip(*(x[best][np.lexsort((j[best], i[best]))].tolist() for x in (i, j)), strict=True):
+            mine, other = slice(a, a + longest), slice(b, b + longest)
+            if free[0][mine].all() and free[1][other].all() and np.array_equal(item[mine], text[other]):
+                tiles.append((a, b, longest))
+                free[0][mine] = free[1][other] = False
+        if len(tiles) > before:
+            search = min(search, longest)
+        else:
             search = search // 2 if search > 2 * least else search - 1
-            continue
-        longest = -min(found)[0]
-        for n, i, j in sorted(found):
-            if -n < longest:
-                break
-            if (item[i : i + longest] >= 0).all() and (text[j : j + longest] >= 0).all():
-                tiles.append((i, j, longest))
-                item[i : i + longest] = -1
-                text[j : j + longest] = -2
-        search = min(search, longest)
     return tiles
 
 

@@ -1,6 +1,6 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Equal vectors are compared once. Unit vectors are turned onto the principal axes of the corpus, so the
+Equal vectors of a label are a class and are compared once. Unit vectors are turned onto the principal axes of the corpus, so the
 leading coordinates hold most of every inner product. Tiles of a label are compared by accumulating
 blocks of leading dimensions; what is left of a product is bounded by the norms of the rests, and a tile
 pair stops as soon as no cosine can reach the threshold. Pairs that stay are decided in double precision
@@ -25,6 +25,8 @@ THRESHOLD = 0.93
 CHUNK = 2048
 #: Vectors of a tile inside a task.
 TILE = 512
+#: A class with this part of all rows is joined by broadcast: there are at most so many.
+HOT = 200
 #: Least number of leading dimensions of the first block; each block doubles what has been summed.
 LEAD = 8
 
@@ -96,26 +98,26 @@ def close_pairs(a: np.ndarray, b: np.ndarray, turn: np.ndarray, least: float, sa
 
 
 def links(vectors: DataFrame, dims: int, least: float) -> DataFrame:
-    """``vectors``: (cls, label, v, n), different vectors with their numbers of rows. Returns (cls, n_linked, root):
+    """``vectors``: (num, label, v, n), different vectors with their numbers of rows. Returns (num, n_linked, root):
     for each class and pair of chunks the rows linked there, and the first class of its component there."""
     turn = axes(vectors, dims)
     sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = vectors.join(F.broadcast(sizes), "label") if sizes.count() <= 100_000 else vectors.join(sizes, "label")
-    mine = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64("num"), F.col("chunks")).cast("int")
     # chunk c meets chunk d in cell (min, max): each vector goes to one cell for each chunk of its label
-    dealt = dealt.withColumn("c", mine).select("cls", "v", "n", "label", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"))
+    dealt = dealt.withColumn("c", mine).select("num", "v", "n", "label", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"))
     dealt = dealt.withColumns({"lo": F.least("c", "d"), "hi": F.greatest("c", "d")}).withColumn("second", F.col("c") != F.col("lo"))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        cls, n = cell["cls"].to_numpy(), cell["n"].to_numpy()
+        num, n = cell["num"].to_numpy(), cell["n"].to_numpy()
         second = cell["second"].to_numpy()
         left, right = np.flatnonzero(~second), np.flatnonzero(second)
         same = cell["lo"].iloc[0] == cell["hi"].iloc[0]
         if not same and (not len(left) or not len(right)):
-            return pd.DataFrame({"cls": cls[:0], "n_linked": n[:0], "root": cls[:0]})
+            return pd.DataFrame({"num": num[:0], "n_linked": n[:0], "root": num[:0]})
         right = left if same else right
         v = np.stack(cell["v"].to_numpy()).astype(np.float64)
-        linked = np.zeros(len(cls), np.int64)
+        linked = np.zeros(len(num), np.int64)
 
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for i, j in close_pairs(v[left], v[right], turn, least, same):
@@ -124,11 +126,11 @@ def links(vectors: DataFrame, dims: int, least: float) -> DataFrame:
                 np.add.at(linked, j, n[i])
                 yield i, j
 
-        root = forest(len(cls), found())
+        root = forest(len(num), found())
         some = np.flatnonzero(linked)
-        return pd.DataFrame({"cls": cls[some], "n_linked": linked[some], "root": cls[root[some]]})
+        return pd.DataFrame({"num": num[some], "n_linked": linked[some], "root": num[root[some]]})
 
-    return dealt.groupBy("label", "lo", "hi").applyInPandas(compare, "cls long, n_linked long, root long")
+    return dealt.groupBy("label", "lo", "hi").applyInPandas(compare, "num long, n_linked long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -141,25 +143,32 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD, id_col: str =
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
     rows = rows.withColumn("v", F.when(F.col("label").isNotNull() & usable("v"), F.transform("v", lambda x: x + F.lit(0).cast("float"))))  # -0 becomes 0
-    # A class is all rows of one label and vector, named by a 64-bit hash of both.
-    rows = rows.withColumn("cls", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
-    classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.count("*").alias("n")))
-    narrow = cut(rows.select("id", "cls"))
-    found = vectors.sparkSession.createDataFrame([], "cls long, n_linked long, root long")
+    # A class is all rows of one label and vector. Its name is their digest, of 256 bits; links know it by a number.
+    digest = F.unhex(F.sha2(F.to_json(F.struct("label", "v")).cast("binary"), 256))
+    rows = cut(rows.withColumn("cls", F.when(F.col("v").isNotNull(), digest)))
+    grouped = rows.where("cls is not null").groupBy("cls").agg(F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
+    classes = cut(grouped.withColumn("num", F.monotonically_increasing_id()))
+    found = vectors.sparkSession.createDataFrame([], "num long, n_linked long, root long")
     for r in classes.groupBy(F.size("v").alias("dims")).agg(F.count("*")).orderBy("dims").collect():  # one length in a table of one model
-        found = found.unionByName(links(classes.where(F.size("v") == r.dims), r.dims, least))
+        found = found.unionByName(links(classes.where(F.size("v") == r.dims).select("num", "label", "v", "n"), r.dims, least))
     found = cut(found)
 
-    roots = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).toDF("cls", "root")
-    linked = found.groupBy("cls").agg(F.sum("n_linked").alias("n_linked"))
-    firsts = narrow.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    firsts = firsts.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = connected_components(found.select(F.col("num").alias("a"), F.col("root").alias("b"))).toDF("num", "root")
+    linked = found.groupBy("num").agg(F.sum("n_linked").alias("n_linked"))
+    firsts = classes.select("num", "cls", "n", "least").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
     smallest = firsts.groupBy("root").agg(F.min("least").alias("component_id"))
     of = cut(
-        firsts.join(smallest, "root").join(linked, "cls", "left")
-        .select("cls", "component_id", (F.coalesce("n_linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+        firsts.join(smallest, "root").join(linked, "num", "left")
+        .select("cls", "n", "component_id", (F.coalesce("n_linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     )
-    out = narrow.join(of, "cls", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    # Rows of no class need no join; those of large classes, HOT at most, are not dealt by class.
+    narrow, known = rows.select("id", "cls"), of.drop("n")
+    large = F.broadcast(of.where(F.col("n") * HOT >= max(1, rows.count())).drop("n"))
+    marked = narrow.where("cls is not null").join(large, "cls", "left")
+    done = marked.where("n_links is not null")
+    rest = marked.where("n_links is null").select("id", "cls").join(known, "cls")
+    alone = narrow.where("cls is null").select("id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = done.select("id", "component_id", "n_links").unionByName(rest.select("id", "component_id", "n_links")).unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
