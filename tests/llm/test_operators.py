@@ -169,6 +169,13 @@ def test_token_files_empty_table(spark):
 # --- near-duplicates
 
 
+def fingerprint5(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh3_128_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
@@ -189,7 +196,7 @@ def near_copies(n=60, seed=3):
 
 
 def test_simhash_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 7)
+    monkeypatch.setattr(simhash, "CHUNK", (7, 7))
     texts = ODD + near_copies(120)
     fp = {k: fingerprint(t) for k, t in enumerate(texts)}
     want = components(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
@@ -199,15 +206,39 @@ def test_simhash_is_brute_force(spark, monkeypatch):
     assert len(set(want.values())) < len(texts) - 20
 
 
-def test_simhash_small_chunks_lose_no_link(spark):
+@pytest.mark.parametrize("kind", [simhash.EXACT3, simhash.SIMILAR5])
+def test_simhash_small_chunks_lose_no_link(spark, kind):
     rng = random.Random(5)
-    base = [rng.getrandbits(64) for _ in range(30)]
-    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for b in base for _ in range(12)})
-    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), chunk=5)
+    bits = 64 * kind.lanes
+    base = [rng.getrandbits(bits) for _ in range(30)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(bits), rng.randint(0, kind.radius + 1))) for b in base for _ in range(12)})
+    lane = lambda x, k: np.uint64((x >> 64 * k) & (2**64 - 1)).astype(np.int64).item()
+    rows = [(n, *(lane(x, k) for k in range(kind.lanes))) for n, x in enumerate(fps)]
+    edges = simhash.links(spark.createDataFrame(rows, ", ".join(["num long", *(f"f{k} long" for k in range(kind.lanes))])), kind, chunk=5)
     got = {r.node: r.root for r in connected_components(edges).collect()}
-    want = components(signed, [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3])
-    assert {x: got.get(x, x) for x in signed} == want
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= kind.radius]
+    want = components(range(len(fps)), near)
+    assert {x: got.get(x, x) for x in want} == want
+    assert len(set(want.values())) < len(fps) - 50
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 300])
+def test_lanes_are_compared_in_blocks(monkeypatch, size):
+    monkeypatch.setattr(simhash, "COLS", 50)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (20, 2), np.uint64)
+    fps = base[rng.integers(0, 20, size)] ^ (rng.integers(0, 2**64, (size, 2), np.uint64) & rng.integers(0, 2**64, (size, 2), np.uint64) & rng.integers(0, 2**64, (size, 2), np.uint64))
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    for same, other in ((True, fps), (False, fps[: size // 2 + 1])):
+        got = {(int(i), int(j)) for a, b in simhash.near_lanes(fps, other, same, 25) for i, j in zip(a, b, strict=True)}
+        want = {(i, j) for i in range(size) for j in range(len(other)) if apart[i, j] <= 25}
+        assert got == want if not same else {frozenset(x) for x in got} == {frozenset(x) for x in want}
+
+
+def test_five_word_fingerprints(spark):
+    texts = [t for t in ODD if t] + near_copies(20)
+    got = simhash.fingerprints_of([t.encode() for t in texts], simhash.SIMILAR5)
+    assert [(int(a) << 64) | int(b) for a, b in got] == [fingerprint5(t) for t in texts]
 
 
 def test_simhash_cases(spark):
@@ -218,6 +249,9 @@ def test_simhash_cases(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [4, 7, 8]
     unnamed = frame(spark, ["x y z", "x y z", "x y z"], ids=[None, None, 3])
     assert sorted((r.doc_id for r in simhash.one_of_each(unnamed).collect()), key=str) == [3, None, None]
+    apart = frame(spark, ["one text of many words here", "and quite another one there", "one text of many words here", "alone"], ids=[1, 1, 2, 3]).withColumns({"_hash": F.lit("mine"), "row": F.lit(1), "h": F.lit(2)})
+    kept = simhash.one_of_each(apart).collect()
+    assert sorted((r.doc_id, r.text[:3], r["_hash"], r["row"], r["h"]) for r in kept) == [(1, "and", "mine", 1, 2), (1, "one", "mine", 1, 2), (3, "alo", "mine", 1, 2)]
 
 
 def test_embeddings_are_brute_force(spark, monkeypatch):

@@ -5,11 +5,10 @@ import struct
 
 import corpus_pipeline
 import duckdb
-import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from test_operators import components, coverage_by_hand, fingerprint
+from test_operators import components, coverage_by_hand, fingerprint5
 
 from tidewatch.llm import bpe, decontaminate, secret_scan
 from tidewatch.llm.queries import ORACLES, QUERIES
@@ -40,10 +39,9 @@ def replaced(text, spans):
 
 def test_pipeline_by_hand(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    fp = {i: fingerprint(r.text) for i, r in docs.items()}  # every document has a language here
+    fp = {i: fingerprint5(r.text) for i, r in docs.items()}  # every document has a language here
     ids = sorted(fp)
-    bits = np.array([fp[i] for i in ids], np.uint64)
-    near = [(ids[j], i) for k, i in enumerate(ids) for j in np.flatnonzero(np.bitwise_count(bits[k] ^ bits[:k]) <= 3)]
+    near = [(ids[j], i) for k, i in enumerate(ids) for j in range(k) if (fp[i] ^ fp[ids[j]]).bit_count() <= 25]
     left = {i for i, c in components(ids, near).items() if i == c}
     words = lambda t: decontaminate.WORD.findall(t.lower())
     for item in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
@@ -62,7 +60,9 @@ def test_pipeline_by_hand(spark, sf):
         text = replaced(docs[i].text, spans[i])
         coded = own.encode_ordinary(text)
         want[i] = (len(coded), hashlib.sha256(struct.pack(f"<{len(coded)}I", *coded)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows}
+    assert all(hashlib.sha256(struct.pack(f"<{r.n_tokens}I", *r.token_ids)).hexdigest() == r.ids_sha256 for r in rows)
     assert len(left) < len(docs) - 5
     assert got == want
 
