@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Documents whose language isn't found go; of each group of near-duplicates one stays; documents that
-cover a benchmark item go; secrets are replaced in the texts; what is left is encoded and decoded.
+cover a benchmark item go; secrets are replaced in the texts; what is left is encoded and decoded. The last
+table holds the token ids.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=True)
 
 
 STAGES = [
