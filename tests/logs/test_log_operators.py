@@ -73,6 +73,24 @@ def test_predicate(spark, predicate, want):
     assert one(spark, predicate.column(of)) is want
 
 
+@pytest.mark.parametrize(("text", "steps", "want"), [
+    ("needle", ["base64"], True), ("", ["base64", "utf16"], False), ("!!", ["base64", "lower"], False), ("needle", ["utf16", "base64"], True), ("needle", ["utf16be", "base64"], True),
+    ("NEEDLE", ["base64", "lower"], True), ("NEEDLE", ["base64"], False),
+])
+def test_decode_chains(spark, text, steps, want):
+    import base64
+
+    value = text
+    for step in reversed([s for s in steps if s != "lower"]):
+        if step == "base64":
+            value = base64.b64encode(value.encode()).decode() if text.isalpha() else value
+        else:
+            value = "".join((c + "\0") if step == "utf16" else ("\0" + c) for c in value)
+    p = predicates.Predicate("v", "contains", ["needle"], decode=[s.removesuffix("be") for s in steps])
+    df = spark.createDataFrame([(value,)], "v string")
+    assert df.select(p.column({"v": F.col("v")}).alias("x")).head().x is want
+
+
 def test_conditions(spark):
     sel = {"a1": F.lit(True), "a2": F.lit(False), "b": F.lit(True)}
     assert one(spark, predicates.condition("a1 and (a2 or b) and not a2", sel)) is True

@@ -57,21 +57,21 @@ def matcher_list(field: Column, values: list[str]) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def decode_base64(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The text of lenient base64 (what isn't in the alphabet is skipped), as the only candidate; none if nothing decodes."""
+    """The texts of lenient base64 (what isn't in the alphabet is skipped) of all candidates; those that decode to nothing are none."""
     for s in values:
-        yield s.map(lambda v: None if v is None else [x for x in [_lenient(v)] if x])
+        yield s.map(lambda vs: None if vs is None else [x for v in vs if v is not None and (x := _lenient(v))])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def decode_utf16(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Text of which every second character is NUL, as UTF-16 little or big endian bytes read one by one look."""
+    """All candidates as UTF-16, little or big endian, as bytes read one by one look: two of each at most."""
 
-    def one(v):
+    def one(v: str) -> list[str]:
         raw = v.encode("latin-1", "ignore")
         return [t for t in (raw[: len(raw) // 2 * 2].decode(c, "ignore") for c in ("utf-16-le", "utf-16-be")) if t]
 
     for s in values:
-        yield s.map(lambda v: None if v is None else one(v))
+        yield s.map(lambda vs: None if vs is None else [x for v in vs if v is not None for x in one(v)])
 
 
 def _lenient(v: str) -> str:
@@ -104,8 +104,7 @@ def decode(candidates: Column, steps: list[str]) -> Column:
         elif step == "windash":
             candidates = F.transform(candidates, lambda v: F.translate(v, "‐‑‒–—―", "------"))
         elif step in ("base64", "utf16"):
-            one = decode_base64 if step == "base64" else decode_utf16
-            candidates = one(F.element_at(candidates, 1))  # the helper decodes the first candidate
+            candidates = decode_base64(candidates) if step == "base64" else decode_utf16(candidates)
         else:
             raise ValueError(step)
     return candidates

@@ -127,10 +127,11 @@ def _networks(prefix_v4: int, prefix_v6: int | None) -> Column:
     return F.coalesce(net, v6_network(F.col("key"), F.lit(prefix_v6)))
 
 
-def subnet_deposits(hits: DataFrame, prefix_v4: int, prefix_v6: int | None = None) -> DataFrame:
-    """Hits (key: address) re-keyed on their networks: (bucket, key, us, ord, w, member). IPv6 only with a ``prefix_v6``."""
+def subnet_deposits(hits: DataFrame, prefix_v4: int, prefix_v6: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Hits (key: address) re-keyed on their networks: (bucket, key, us, ord, w, member, columns of ``keep``). IPv6 only with
+    a ``prefix_v6``."""
     nets = with_value(hits, _networks(prefix_v4, prefix_v6), "_net")
-    return nets.select("bucket", F.col("_net").alias("key"), "us", "ord", "w", F.col("key").alias("member"))
+    return nets.select("bucket", F.col("_net").alias("key"), "us", "ord", "w", F.col("key").alias("member"), *(keep or ()))
 
 
 def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import parse_bsd_syslog
@@ -24,14 +24,36 @@ from .data import DAY, LINES, SQL, hits, table
 BEHIND = "(select (max(us) // 1000 - 600000) * 1000 from h where {})"
 
 
-def _streamed(spark: SparkSession, sf: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Stream the events through a job to files, and read what it has written."""
-    schema = table(spark, sf, "events").schema
-    ev = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # as a pattern it may name a file or a folder
-    rows = ev.select("event_id", micros().alias("us"), F.timestamp_micros(micros()).alias("ts"), "user_id", "event_type", F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int").alias("k"), F.col("event_id").alias("ord"))
+#: Files that the events are streamed from, at least, and rows of one at most: a micro-batch takes one.
+SLICES, SLICE_ROWS = 4, 1_000_000
+
+
+def _in_time(spark: SparkSession, sf: str, late: Column | None = None) -> str:
+    """The events as files in the order of time, one slice of time each. Rows that are ``late`` come after all others."""
+    ev, place = table(spark, sf, "events").withColumn("us", micros()), shared_path(spark, "events")
+    n = max(SLICES, -(-ev.count() // SLICE_ROWS))
+    cuts = ev.approxQuantile("us", [k / n for k in range(1, n)], 0.01)
+    timely = ev if late is None else ev.where(~late)
+    for a, b in zip([None, *cuts], [*cuts, None], strict=True):  # one after another: the source goes by the files' times
+        some = timely if a is None else timely.where(F.col("us") >= a)
+        some = some if b is None else some.where(F.col("us") < b)
+        some.coalesce(1).write.mode("append").parquet(place)
+    if late is not None:
+        ev.where(late).coalesce(1).write.mode("append").parquet(place)
+    return place
+
+
+def _streamed(spark: SparkSession, sf: str, job: Callable[[DataFrame], DataFrame], late: Column | None = None, listener: jobs.LateRows | None = None) -> DataFrame:
+    """Stream the events through a job to files, slice by slice, and read what it has written."""
+    place = _in_time(spark, sf, late)
+    ev = spark.readStream.schema(spark.read.parquet(place).schema).option("maxFilesPerTrigger", 1).parquet(place)
+    rows = ev.select("event_id", "us", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int").alias("k"), F.col("event_id").alias("ord"))
     rows = rows.withColumn("ip", F.expr("concat('10.', user_id % 4, '.', k % 8, '.', user_id % 50 + 1)"))
     out, made = shared_path(spark, "stream"), job(rows)
-    made.writeStream.format("parquet").option("checkpointLocation", shared_path(spark, "offsets")).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    query = made.writeStream.format("parquet").option("checkpointLocation", shared_path(spark, "offsets")).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if listener is not None:
+        listener.of(query)
     return spark.read.schema(made.schema).parquet(out)
 
 
@@ -78,6 +100,52 @@ def stream_stages(spark, sf):  # noqa: ANN001, ANN201
     return _streamed(spark, sf, lambda r: jobs.stream_stages(r.select(F.col("user_id").alias("key"), "ts", "us", "ord", stage.alias("stage")), plan)).withColumn("n_hits", F.col("n_hits").cast("int"))
 
 
+@Q.query(Q.ORACLES["distinct_score"] + " where us <= " + BEHIND.format("true"))
+def stream_distinct(spark, sf):  # noqa: ANN001, ANN201
+    row = [F.lit("kur:web").alias("bucket"), F.col("user_id").alias("key"), "ts", "us", "ord", (F.col("k") % 10).cast("string").alias("of")]
+    return _streamed(spark, sf, lambda r: jobs.stream_distinct(r.select(*row), 2 * DAY, 4)).drop("bucket")
+
+
+@Q.query(Q.ORACLES["value_count"] + " and us <= " + BEHIND.format("true"))
+def stream_values(spark, sf):  # noqa: ANN001, ANN201
+    row = [F.lit("kur:web").alias("bucket"), F.concat(F.lit("a"), F.col("user_id") % 9).alias("key"), "ts", "us", "ord", F.col("ip").alias("of"), F.col("ip").alias("offender")]
+    return _streamed(spark, sf, lambda r: jobs.stream_values(r.select(*row), DAY, 30)).drop("bucket")
+
+
+@Q.query(Q.ORACLES["subnet_score"].replace(", us as last", "") + " and us <= " + BEHIND.format("true"))
+def stream_subnets(spark, sf):  # noqa: ANN001, ANN201
+    w = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1).cast("long")
+    row = [F.lit("kur:web").alias("bucket"), Q._mixed("ip", "event_id").alias("key"), "ts", "us", "ord", w.alias("w")]
+    got = _streamed(spark, sf, lambda r: jobs.stream_subnets(r.select(*row), 24, DAY, 30, prefix_v6=48))
+    return got.select(F.col("key").alias("cidr"), "us", "ord", "score", "hits", "first", F.array_join("members", ",").alias("members"))
+
+
+@Q.query(SQL + f""", l as (select user_id as source, us, ord, case when event_type = 'click' then 'head ' else ' ' end || ord as line, event_type = 'click' as opens, lag(us) over (partition by user_id order by us, ord) as before from h),
+r as (select *, sum(case when opens or before is null or us - before >= {2 * DAY * 1_000_000} then 1 else 0 end) over (partition by source order by us, ord) as rec from l),
+c as (select *, (row_number() over (partition by source, rec order by us, ord) - 1) // 3 as chunk from r),
+g as (select source, rec, chunk, arg_min(ord, (us, ord)) as seq, string_agg(line, chr(10) order by us, ord) as line, count(*) as n_lines, min(us) as begins, max(us) as ends from c group by source, rec, chunk),
+n as (select *, lead(begins) over (partition by source order by rec, chunk) as next from g)
+select source, seq, line, n_lines from n where coalesce(next <= """ + BEHIND.format("true") + f", false) or ends + {2 * DAY * 1_000_000} <= " + BEHIND.format("true"))
+def stream_join_multiline(spark, sf):  # noqa: ANN001, ANN201
+    line = F.concat(F.when(F.col("event_type") == "click", "head ").otherwise(" "), "ord")
+    return _streamed(spark, sf, lambda r: jobs.stream_join_multiline(r.select(F.col("user_id").alias("source"), "ts", "us", "ord", line.alias("line")), r"^ ", 3, 2 * DAY, "10 minutes"))
+
+
+@Q.query(SQL + """, q as (select min(us) + (max(us) - min(us)) // 4 as cut from h) select count(*) as dropped from h, q where us < cut and user_id % 5 = 0""")
+def late_rows(spark, sf):  # noqa: ANN001, ANN201
+    """Rows that come after the watermark has passed them are dropped, and counted."""
+    span = table(spark, sf, "events").select(F.min(micros()).alias("a"), F.max(micros()).alias("b")).head()
+    late = (F.col("us") < span.a + (span.b - span.a) // 4) & (F.col("user_id") % 5 == 0)
+    listener = jobs.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        row = [F.lit("kur:web").alias("bucket"), F.col("user_id").alias("key"), "ts", "us", "ord", F.lit(1).cast("long").alias("w")]
+        _streamed(spark, sf, lambda r: jobs.stream_score(r.select(*row), DAY, 5), late, listener)
+    finally:
+        spark.streams.removeListener(listener)
+    return Q.values(spark, "dropped long", [(sum(listener.dropped.values()),)])
+
+
 @Q.query(Q.RULE_SQL + "select event_id, rule, ip from m")
 def stream_parse_match(spark, sf):  # noqa: ANN001, ANN201
     from ..operators import match as M

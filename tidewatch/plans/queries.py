@@ -222,14 +222,18 @@ def predicate_numbers(spark, sf):  # noqa: ANN001, ANN201
     ).where(~p("word", "gt", [0]).column(of))
 
 
-@query("""select doc_id, contains(text, 'the') as plain, contains(lower(text), 'the') as lowered, contains(text, 'the') as from_base64, contains(text, ' ') as from_url from documents""")
+@query("""select doc_id, contains(text, 'the') as plain, contains(lower(text), 'the') as lowered, contains(text, 'the') as from_base64, contains(text, ' ') as from_url,
+    contains(text, 'the') as from_both, contains(lower(text), 'the') as from_three from documents""")
 def predicate_decode(spark, sf):  # noqa: ANN001, ANN201
     of = {
         "text": F.col("text"), "coded": F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", ""),
         "url": F.replace(F.replace(F.col("text"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")),
+        # base64 in UTF-16 big endian, as bytes look one by one
+        "wide": F.regexp_replace(F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", ""), "(.)", "\x00$1"),
     }
     p = lambda f, steps, word: P.Predicate(f, "contains", [word], decode=steps).column(of)
-    return table(spark, sf, "documents").select("doc_id", p("text", [], "the").alias("plain"), p("text", ["lower"], "the").alias("lowered"), p("coded", ["base64"], "the").alias("from_base64"), p("url", ["url"], " ").alias("from_url"))
+    return table(spark, sf, "documents").select("doc_id", p("text", [], "the").alias("plain"), p("text", ["lower"], "the").alias("lowered"), p("coded", ["base64"], "the").alias("from_base64"), p("url", ["url"], " ").alias("from_url"),
+        p("wide", ["utf16", "base64"], "the").alias("from_both"), p("wide", ["utf16", "base64", "lower"], "the").alias("from_three"))
 
 
 @query("""select doc_id, contains(text, 'und') or contains(text, 'que') or source in ('src1') as anywhere, contains(source, '1') as within, not (contains(text, 'und') or source like '%und%') as none from documents""")

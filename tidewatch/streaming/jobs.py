@@ -7,17 +7,21 @@ watermark are dropped by Spark and counted in the query's progress.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import SECOND
 from ..operators.match import Rule, match_rules, parsed_lines
+from ..operators.score import subnet_deposits
 from ..operators.stages import Stage
 
+#: Rows that wait for the watermark, the fold's own state, and when the key was last heard of.
 STATE = "rows string, fold string, until long"
 
 
@@ -28,9 +32,16 @@ def stream_parse_match(lines: DataFrame, parser: Callable, rules: list[Rule], fi
     return match_rules(flat, rules, "message", fields)
 
 
-def keyed_fold(rows: DataFrame, keys: list[str], cols: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], out: str, delay: str, hold: int) -> DataFrame:
+def keyed_fold(
+    rows: DataFrame, keys: list[str], cols: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], out: str, delay: str, hold: int,
+    due: Callable[[object], int | None] | None = None, quiet: Callable[[object], list[tuple]] | None = None,
+) -> DataFrame:
     """Ordered fold of a stream. ``rows`` has ``ts``, and ``us`` and ``ord`` among ``cols``; a key that is quiet for
-    ``hold`` seconds behind the watermark is let go."""
+    ``hold`` seconds behind the watermark is let go. Once the watermark has passed ``due`` of the state, ``quiet`` of it is given out.
+
+    A key holds what the watermark hasn't passed, and what a micro-batch brings: a source that gives a few files at a
+    time, in the order of time, bounds both.
+    """
     import json
 
     names = [p.strip().split(" ")[0] for p in out.split(",")]
@@ -49,13 +60,17 @@ def keyed_fold(rows: DataFrame, keys: list[str], cols: list[str], start: Callabl
         ready = [r for r in held if r[at_us] <= mark]
         held = held[len(ready) :]
         made = [x for r in ready for x in step(fold, tuple(r))]
-        if state.hasTimedOut and not held:
+        waits = due(fold) if due is not None else None
+        if waits is not None and waits <= mark:
+            made += quiet(fold)
+            waits = None
+        if state.hasTimedOut and not held and waits is None:
             state.remove()
         else:
             newest = held[-1][at_us] if held else max(mark, ready[-1][at_us] if ready else 0)
             state.update((json.dumps(held), json.dumps(fold), newest))
             # held rows are judged once the watermark has passed them; an idle key goes after ``hold``
-            wake = held[0][at_us] if held else newest + hold * SECOND
+            wake = min([held[0][at_us] if held else newest + hold * SECOND, *([waits] if waits is not None else [])])
             state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame.from_records([(*key, *x) for x in made], columns=[*keys, *names])
 
@@ -67,21 +82,83 @@ def keyed_fold(rows: DataFrame, keys: list[str], cols: list[str], start: Callabl
     )
 
 
+def _expire(s: dict, us: int, span: int) -> None:
+    """Let go of hits that ``us`` no longer sees, and of their weights in the sum."""
+    live, n = s["live"], 0
+    while n < len(live) and us - live[n][0] >= span:
+        s["sum"] -= live[n][1]
+        n += 1
+    del live[:n]
+
+
 def stream_score(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes") -> DataFrame:
     """Crossings of (bucket, key, ts, us, ord, w): (bucket, key, us, ord, score)."""
-    span = find_time * SECOND
 
-    def step(live: list, row: tuple) -> list[tuple]:
+    def step(s: dict, row: tuple) -> list[tuple]:
         us, order, w = row
-        live[:] = [x for x in live if us - x[0] < span]
-        live.append([us, w])
-        score = sum(x[1] for x in live)
-        if score < max_score:
+        _expire(s, us, find_time * SECOND)
+        s["live"].append([us, w])
+        s["sum"] += w
+        if s["sum"] < max_score:
             return []
-        live.clear()
+        score = s["sum"]
+        s.update(live=[], sum=0)
         return [(us, order, score)]
 
-    return keyed_fold(hits, ["bucket", "key"], ["us", "ord", "w"], list, step, "us long, ord long, score long", delay, find_time)
+    return keyed_fold(hits, ["bucket", "key"], ["us", "ord", "w"], lambda: {"live": [], "sum": 0}, step, "us long, ord long, score long", delay, find_time)
+
+
+def stream_subnets(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Crossings of networks of (bucket, key: address, ts, us, ord, w): (bucket, key: network, us, ord, score, hits, members, first)."""
+    nets = subnet_deposits(hits, prefix_v4, prefix_v6, keep=["ts"])
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        us, order, w, member = row
+        _expire(s, us, find_time * SECOND)
+        s["live"].append([us, w, member])
+        s["sum"] += w
+        if s["sum"] < max_score:
+            return []
+        out = (us, order, s["sum"], len(s["live"]), list(dict.fromkeys(x[2] for x in s["live"])), s["live"][0][0])
+        s.update(live=[], sum=0)
+        return [out]
+
+    return keyed_fold(nets, ["bucket", "key"], ["us", "ord", "w", "member"], lambda: {"live": [], "sum": 0}, step, "us long, ord long, score long, hits long, members array<string>, first long", delay, find_time)
+
+
+def _see(seen: dict, of: str, us: int, span: int) -> None:
+    """``seen``: value -> last sight, in that order."""
+    seen.pop(of, None)
+    seen[of] = us
+    while us - next(iter(seen.values())) >= span:
+        del seen[next(iter(seen))]
+
+
+def stream_distinct(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes") -> DataFrame:
+    """Different values ``of`` of (bucket, key, ts, us, ord, of): (bucket, key, us, ord, score, crossed); a crossing empties the set."""
+
+    def step(seen: dict, row: tuple) -> list[tuple]:
+        us, order, of = row
+        _see(seen, of, us, find_time * SECOND)
+        score = len(seen)
+        if score >= max_score:
+            seen.clear()
+        return [(us, order, score, score >= max_score)]
+
+    rows = hits.where("of is not null and of <> ''")
+    return keyed_fold(rows, ["bucket", "key"], ["us", "ord", "of"], dict, step, "us long, ord long, score long, crossed boolean", delay, find_time)
+
+
+def stream_values(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes") -> DataFrame:
+    """Hits (bucket, key, ts, us, ord, of, offender) whose key's set has max_score values: (bucket, key, us, ord, offender, score)."""
+
+    def step(seen: dict, row: tuple) -> list[tuple]:
+        us, order, of, offender = row
+        _see(seen, of, us, find_time * SECOND)
+        return [(us, order, offender, len(seen))] if len(seen) >= max_score else []
+
+    rows = hits.where("of is not null and of <> ''")
+    return keyed_fold(rows, ["bucket", "key"], ["us", "ord", "of", "offender"], dict, step, "us long, ord long, offender string, score long", delay, find_time)
 
 
 def stream_marks(rows: DataFrame, ttl_max: int, delay: str = "10 minutes") -> DataFrame:
@@ -161,25 +238,55 @@ def stream_stages(rows: DataFrame, stages: list[Stage], delay: str = "10 minutes
 
 def stream_join_multiline(lines: DataFrame, continuation: str, max_lines: int = 50, flush_after: int = 2, delay: str = "10 seconds") -> DataFrame:
     """Records of (source, ts, us, ord, line): (seq, line, n_lines). A record is given out when the next line of its source
-    ends it, so the last one of a source waits for more lines."""
+    ends it, or when the watermark is ``flush_after`` seconds past its last line."""
     import re
 
     again = re.compile(continuation).search
+    span = flush_after * SECOND
+
+    def whole(s: dict) -> list[tuple]:
+        return [(s["seq"], "\n".join(s["lines"]), len(s["lines"]))] if s else []
 
     def step(s: dict, row: tuple) -> list[tuple]:
         us, order, line = row
-        joins = bool(s) and us - s["us"] < flush_after * SECOND and line is not None and again(line) is not None and len(s["lines"]) < max_lines
-        if joins:
+        if s and us - s["us"] < span and line is not None and again(line) is not None and len(s["lines"]) < max_lines:
             s["lines"].append(line)
             s["us"] = us
             return []
-        done = [(s["seq"], "\n".join(s["lines"]), len(s["lines"]))] if s else []
+        done = whole(s)
         s.update(seq=order, us=us, lines=[line or ""])
         return done
 
-    return keyed_fold(lines, ["source"], ["us", "ord", "line"], dict, step, "seq long, line string, n_lines long", delay, 3600)
+    def quiet(s: dict) -> list[tuple]:
+        done = whole(s)
+        s.clear()
+        return done
+
+    out = "seq long, line string, n_lines long"
+    return keyed_fold(lines, ["source"], ["us", "ord", "line"], dict, step, out, delay, max(3600, flush_after), due=lambda s: s["us"] + span if s else None, quiet=quiet)
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streaming queries dropped because the watermark had passed them, over all their progress."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        self.ended.setdefault(str(event.id), threading.Event())
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        mine = str(event.progress.id)
+        self.dropped[mine] = self.dropped.get(mine, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
 
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        self.ended.setdefault(str(event.id), threading.Event()).set()
 
-def late_rows(query) -> int:  # noqa: ANN001
-    """Rows that a streaming query dropped because the watermark had passed them."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+    def of(self, query, seconds: float = 60) -> int:  # noqa: ANN001
+        """Rows that an ended query dropped; its last progress may come a moment after its end."""
+        self.ended.setdefault(str(query.id), threading.Event()).wait(seconds)
+        return self.dropped.get(str(query.id), 0)
