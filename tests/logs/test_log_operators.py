@@ -295,6 +295,31 @@ def test_state_round_trip(spark, tmp_path):
     assert logs.seed_state(spark, str(tmp_path / "t"), 15 * SECOND).tracks.count() == 0
 
 
+def test_scenes_have_their_own_clock_and_marks(spark):
+    rules = [
+        match.Rule("probe", [r"probe from %%%%SRC%%%%$"], marks=[match.Mark("seen", ttl=60)]),
+        match.Rule("worked", [r"login of (?<USER>\S+) from %%%%SRC%%%%$"]),
+        match.Rule("foreign", [r"visit from %%%%SRC%%%%$"]),
+    ]
+    line = lambda m, advance=0: (m, "d", advance)
+    scenes = [
+        (1, "worked", [line("probe from 1.2.3.4"), line("login of bob from 1.2.3.4", 59)], 1, {"USER": "bob"}),
+        (2, "worked", [line("probe from 1.2.3.4"), line("login of bob from 1.2.3.4", 60)], 0, {}),  # the mark has expired
+        (3, "worked", [line("login of bob from 1.2.3.4"), line("probe from 1.2.3.4", 1)], 0, {}),  # marked too late
+        (4, "worked", [line("login of bob from 1.2.3.4", 10)], 1, {}),  # marked before
+        (5, "worked", [line("login of bob from 9.9.9.9", 10)], 0, {}),  # another address is
+        (6, "worked", [line("login of bob from 1.2.3.4", 2)], 1, {}),  # a wrong label: no mark in this scene
+        (7, "foreign", [line("visit from 10.1.2.3"), line("visit from 8.8.8.8")], 1, {}),
+        (8, "probe", [line("probe from 1.2.3.4"), line("probe from 1.2.3.4", 5), line("noise")], 2, {"SRC": "1.2.3.4"}),
+    ]
+    cases = spark.createDataFrame(scenes, "case_id long, rule string, lines array<struct<message:string,daemon:string,advance:int>>, found int, data map<string,string>").withColumn("undefed", F.array(F.lit("DEST")))
+    before = spark.createDataFrame([(4, "seen", "1.2.3.4", None, 60), (5, "seen", "1.2.3.4", None, 60)], "case_id long, name string, key string, value string, ttl int")
+    ranges = spark.createDataFrame([(8 << 24, (9 << 24) - 1, "US"), (10 << 24, (11 << 24) - 1, "DE")], "first long, last long, code string")
+    gate = {"foreign": lambda rows: gates.country_gate(rows, ["ip"], ranges, ["DE"], negate=True)}
+    got = match.evaluate_scenes(cases, rules, ["daemon"], {"worked": ["seen"]}, before, gate).collect()
+    assert {r.rule: (r.cases, r.passed) for r in got} == {"worked": (6, 5), "foreign": (1, 1), "probe": (1, 1)}
+
+
 def test_networks_of_both_families(spark):
     rows = [("b", ip, t * SECOND, t, 1, None, None) for t, ip in enumerate(["10.1.1.1", "10.1.1.1", "2001:db8::1", "10.1.1.9", "2001:db8::2", "x"])]
     got = score.subnet_crossings(spark.createDataFrame(rows, HITS), 24, 100, 2, prefix_v6=64).collect()

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import let
 from ..functions.predicates import Predicate, all_of, any_of, capture_names, first_match, gate, ignored, sure
-from .common import with_value
-from .state import compound_key
+from .common import SECOND, with_value
+from .state import as_of_marks, compound_key, marked
 
 
 @dataclass
@@ -132,8 +132,9 @@ def fired(matches: DataFrame, survivors: DataFrame, ids: list[str]) -> DataFrame
     return matches.join(left, ids, "left").withColumn("fired", ~had | F.col("ip").isNotNull())
 
 
-def apply_marks(matches: DataFrame, survivors: DataFrame, rules: list[Rule], ids: list[str]) -> DataFrame:
-    """Mark events (name, key, us, ord, op, value, ttl) of fired matches, for the operators on marks.
+def apply_marks(matches: DataFrame, survivors: DataFrame, rules: list[Rule], ids: list[str], scope: str | None = None) -> DataFrame:
+    """Mark events (name, key, us, ord, op, value, ttl) of fired matches, for the operators on marks; with ``scope`` also
+    that column of the match.
 
     ``matches``: fired ones (ids, rule_int, data, us, ord); ``survivors``: their offenders that may be branded (ids, pos, ip).
     ``ord`` becomes a struct of the line's order, the rule's place, and the mark's place in the rule (those that lift
@@ -154,13 +155,14 @@ def apply_marks(matches: DataFrame, survivors: DataFrame, rules: list[Rule], ids
     keys = lambda m: value_of(m.vars[0]) if len(m.vars) == 1 else compound_key([value_of(v) for v in m.vars])
     by_field = [event(r, k, m, keys(m)) for r, k, m in listed if m.vars]
     by_offender = [event(r, k, m, F.col("ip")) for r, k, m in listed if not m.vars]
-    parts = [matches.select("us", F.explode(F.array_compact(F.array(*by_field))).alias("m"))] if by_field else []
+    more = [F.col(scope).alias("scope")] if scope is not None else []
+    parts = [matches.select("us", *more, F.explode(F.array_compact(F.array(*by_field))).alias("m"))] if by_field else []
     if by_offender:
         branded = survivors.select(*ids, "ip").join(matches, ids)
-        parts.append(branded.select("us", F.explode(F.array_compact(F.array(*by_offender))).alias("m")))
+        parts.append(branded.select("us", *more, F.explode(F.array_compact(F.array(*by_offender))).alias("m")))
     if not parts:
         raise ValueError("no rule sets or lifts a mark")
-    return reduce(DataFrame.unionByName, parts).select("m.name", "m.key", "us", "m.ord", "m.op", "m.value", "m.ttl")
+    return reduce(DataFrame.unionByName, parts).select("m.name", "m.key", "us", "m.ord", "m.op", "m.value", "m.ttl", *(["scope"] if more else []))
 
 
 def union_watchers(watchers: dict[str, DataFrame]) -> DataFrame:
@@ -204,8 +206,69 @@ def evaluate_rules(cases: DataFrame, rules: list[Rule], fields: list[str]) -> Da
     (rule, cases, passed). A case passes if the rule's hits are as many as expected, and captures as labelled."""
     got = match_rules(cases, rules, "message", fields)
     mine = F.filter("hits", lambda h: h["rule"] == F.col("rule"))
-    data = F.try_element_at(mine, F.lit(1))["data"]
+    return _judged(got.withColumns({"_n": F.size(mine), "_data": F.try_element_at(mine, F.lit(1))["data"]}))
+
+
+def _judged(got: DataFrame) -> DataFrame:
+    """(rule, cases, passed) of cases with their number of hits ``_n`` and the captures ``_data`` of the first."""
+    data = F.col("_data")
     right = F.forall(F.map_entries(F.col("data")), lambda e: F.coalesce(F.try_element_at(data, e["key"]) == e["value"], F.lit(False)))
     absent = ~any_of([F.exists("undefed", lambda n: F.coalesce(F.array_contains(F.map_keys(data), n), F.lit(False)))])
-    ok = (F.size(mine) == F.col("found")) & ((F.col("found") == 0) | (F.coalesce(right, F.lit(True)) & F.coalesce(absent, F.lit(True))))
+    ok = (F.col("_n") == F.col("found")) & ((F.col("found") == 0) | (F.coalesce(right, F.lit(True)) & F.coalesce(absent, F.lit(True))))
     return got.groupBy("rule").agg(F.count("*").alias("cases"), F.count_if(ok).alias("passed"))
+
+
+#: When the virtual clock of replayed cases begins, in epoch seconds.
+CLOCK_BASE = 1_000_000_000
+
+
+def evaluate_scenes(
+    cases: DataFrame, rules: list[Rule], fields: list[str], marked_by: dict[str, list[str]] | None = None, marks_before: DataFrame | None = None,
+    gates: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> DataFrame:
+    """Replay labelled scenes of several lines: ``cases`` (case_id, rule, lines array<struct<message, fields..., advance>>,
+    found int, data map, undefed array) -> (rule, cases, passed).
+
+    A scene has a clock of its own, which begins at CLOCK_BASE and is ``advance`` seconds further at each line, and marks of
+    its own: those of ``marks_before`` (case_id, name, key, value, ttl), and those that its rules set on the way.
+    ``marked_by``: rule -> names of which its offender must bear one. ``gates``: rule -> a gate over its offenders (case_id,
+    ip, data, ...), as those of addresses, names and places are; what a gate drops has not fired. A rule fires for a
+    line once, however many of its offenders are left.
+    """
+    places = cases.select("case_id", F.col("rule").alias("judged"), F.posexplode("lines").alias("seq", "line"))
+    clock = Window.partitionBy("case_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    at = (CLOCK_BASE + F.sum(F.coalesce(F.col("line.advance"), F.lit(0))).over(clock)) * SECOND
+    rows = places.select("case_id", "judged", at.cast("long").alias("us"), F.col("seq").cast("long").alias("ord"), "line.message", *(F.col(f"line.{f}") for f in fields))
+    hits = explode_hits(match_rules(rows, rules, "message", fields))
+    ids = ["case_id", "ord", "rule"]
+    offenders = explode_offenders(hits)
+    for rule, gate_of in (gates or {}).items():
+        offenders = offenders.where(F.col("rule") != rule).unionByName(gate_of(offenders.where(F.col("rule") == rule)))
+    # rules that read no marks fire first; their marks, and those from before, are what the others see
+    readers = marked_by or {}
+    plain = offenders.where(~F.col("rule").isin(list(readers)))
+    events = []
+    if any(r.marks for r in rules):
+        firing = fired(hits, plain, ids).where("fired").drop("ip")
+        events.append(_of_scenes(apply_marks(firing.where(~F.col("rule").isin(list(readers))), plain, rules, ids, scope="case_id")))
+    if marks_before is not None:
+        first = F.struct(F.lit(-1).cast("long").alias("ord"), F.lit(-1).alias("rule_int"), F.lit(0).alias("place"))
+        events.append(marks_before.select("name", F.concat_ws("\x1f", "case_id", "key").alias("key"), F.lit(CLOCK_BASE * SECOND).cast("long").alias("us"), first.alias("ord"), F.lit("set").alias("op"), "value", F.col("ttl").cast("long").alias("ttl")))
+    left = plain
+    if readers and events:
+        asked = offenders.where(F.col("rule").isin(list(readers))).withColumns({
+            "key": F.concat_ws("\x1f", "case_id", "ip"), "line": F.col("ord"), "ord": F.struct("ord", F.col("rule_int").cast("int").alias("rule_int"), F.lit(-1).alias("place")),
+            "id": F.concat_ws("\x1f", "case_id", "ord", "rule", "pos"),
+        })
+        live = as_of_marks(asked, reduce(DataFrame.unionByName, events))
+        for rule, names in readers.items():
+            held = marked(asked.where(F.col("rule") == rule), live, names).withColumn("ord", F.col("line"))
+            left = left.unionByName(held.select(plain.columns))
+    firing = fired(hits, left, ids).where(F.col("fired") & (F.col("rule") == F.col("judged")))
+    counted = firing.groupBy("case_id").agg(F.count("*").cast("int").alias("_n"), F.min_by("data", "ord").alias("_data"))
+    got = cases.join(counted, "case_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    return _judged(got)
+
+
+def _of_scenes(events: DataFrame) -> DataFrame:
+    return events.withColumn("key", F.concat_ws("\x1f", "scope", "key")).drop("scope")

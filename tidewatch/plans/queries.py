@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -620,6 +620,25 @@ def evaluate_rules(spark, sf):  # noqa: ANN001, ANN201
     return M.evaluate_rules(cases, RULES, ["daemon"])
 
 
+SCENE_RULES = [M.Rule("probe", [r"probe from %%%%SRC%%%%$"], marks=[M.Mark("seen", ttl=DAY)]), M.Rule("worked", [r"login of (?<USER>\S+) from %%%%SRC%%%%$"])]
+
+
+@query(SQL + f""", l as (select *, lag(event_type) over w as prev, (us - lag(us) over w) // 1000000 as gap from h window w as (partition by user_id order by us, ord))
+select 'worked' as rule, count(*) as cases, count(*) filter ((prev = 'click' and gap < {DAY}) or (user_id % 7 = 0 and prev <> 'click' and gap < {100 * DAY})) as passed from l where event_type = 'error' and prev is not null""")
+def evaluate_scenes(spark, sf):  # noqa: ANN001, ANN201
+    """Scenes of two lines with a clock: what the second needs is a mark of the first, or one from before, which a later one replaces."""
+    order = Window.partitionBy("user_id").orderBy("us", "ord")
+    rows = hits(spark, sf).withColumns({"prev": F.lag("event_type").over(order), "gap": F.expr("(us - lag(us) over (partition by user_id order by us, ord)) div 1000000")})
+    rows = rows.where("event_type = 'error' and prev is not null").withColumn("addr", F.concat(F.lit("10.0.0."), F.col("user_id") % 200))
+    line = lambda text, advance: F.struct(text.alias("message"), F.lit("d").alias("daemon"), advance.cast("long").alias("advance"))
+    first = F.when(F.col("prev") == "click", F.concat(F.lit("probe from "), "addr")).otherwise("noise")
+    second = F.concat(F.lit("login of u"), "user_id", F.lit(" from "), "addr")
+    scenes = F.array(line(first, F.lit(0)), line(second, F.col("gap")))
+    cases = rows.select(F.col("event_id").alias("case_id"), F.lit("worked").alias("rule"), scenes.alias("lines"), F.lit(1).alias("found"), F.create_map(F.lit("SRC"), F.col("addr")).alias("data"), F.array(F.lit("DEST")).alias("undefed"))
+    before = rows.where("user_id % 7 = 0").select(F.col("event_id").alias("case_id"), F.lit("seen").alias("name"), F.col("addr").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(100 * DAY).alias("ttl"))
+    return M.evaluate_scenes(cases, SCENE_RULES, ["daemon"], {"worked": ["seen"]}, before)
+
+
 # --- counting
 
 
