@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import let
 from ..functions.predicates import Predicate, all_of, any_of, capture_names, first_match, gate, ignored, sure
+from ..sources.scratch import written
 from .common import SECOND, with_value
 from .state import as_of_marks, compound_key, marked
 
@@ -239,7 +240,7 @@ def evaluate_scenes(
     clock = Window.partitionBy("case_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     at = (CLOCK_BASE + F.sum(F.coalesce(F.col("line.advance"), F.lit(0))).over(clock)) * SECOND
     rows = places.select("case_id", "judged", at.cast("long").alias("us"), F.col("seq").cast("long").alias("ord"), "line.message", *(F.col(f"line.{f}") for f in fields))
-    hits = explode_hits(match_rules(rows, rules, "message", fields))
+    hits = written(explode_hits(match_rules(rows, rules, "message", fields)), "scenes")  # read by every step below
     ids = ["case_id", "ord", "rule"]
     offenders = explode_offenders(hits)
     for rule, gate_of in (gates or {}).items():
