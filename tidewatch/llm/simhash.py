@@ -142,10 +142,10 @@ def near(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> Iterat
         if not len(close):
             continue
         others = np.concatenate([rp[y] for y in close])
-        for at in range(0, len(mine), step := max(1, 1_000_000 // len(others))):
+        for at in range(0, len(mine), step := max(1, 131_072 // len(others))):
             some = mine[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(left[some, None] ^ right[None, others]) <= radius)
-            yield some[i], others[j]
+            hits = np.flatnonzero(np.bitwise_count(left[some, None] ^ right[None, others]).ravel() <= radius)
+            yield some[hits // len(others)], others[hits % len(others)]
 
 
 def near_lanes(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,7 +154,7 @@ def near_lanes(left: np.ndarray, right: np.ndarray, same: bool, radius: int) ->
     order = [np.argsort(c, kind="stable") for c in counts]
     counts = [c[o] for c, o in zip(counts, order, strict=True)]
     sorted_ = [np.ascontiguousarray(x[o].T) for x, o in zip((left, right), order, strict=True)]
-    xor, bits = np.empty((ROWS, COLS), np.uint64), np.empty((ROWS, COLS), np.uint8)
+    xor, bits = np.empty(ROWS * COLS, np.uint64), np.empty(ROWS * COLS, np.uint8)
     for x in range(0, len(left), ROWS):
         n = min(ROWS, len(left) - x)
         # right fingerprints whose counts are near enough to this block's
@@ -163,14 +163,15 @@ def near_lanes(left: np.ndarray, right: np.ndarray, same: bool, radius: int) ->
         for y in range(max(first, x if same else 0), last, COLS):
             m = min(COLS, last - y)
             for lane in range(2):
-                some, many = xor[:n, :m], bits[:n, :m]
-                np.bitwise_xor(sorted_[0][lane, x : x + n, None], sorted_[1][lane, None, y : y + m], out=some)
+                some, many = xor[: n * m], bits[: n * m]
+                np.bitwise_xor(sorted_[0][lane, x : x + n, None], sorted_[1][lane, None, y : y + m], out=some.reshape(n, m))
                 np.bitwise_count(some, out=many)
-                i, j = np.nonzero(many <= radius // 2)
-                if len(i):
-                    other = np.bitwise_count(sorted_[0][1 - lane, x + i] ^ sorted_[1][1 - lane, y + j])
-                    keep = other + many[i, j] <= radius
-                    yield order[0][x + i[keep]], order[1][y + j[keep]]
+                at = np.flatnonzero(many <= radius // 2)
+                if len(at):
+                    i, j = x + at // m, y + at % m
+                    other = np.bitwise_count(sorted_[0][1 - lane, i] ^ sorted_[1][1 - lane, j])
+                    keep = other + many[at] <= radius
+                    yield order[0][i[keep]], order[1][j[keep]]
 
 
 def _halves(kind: Kind) -> tuple[Column, Column]:
