@@ -155,8 +155,9 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD, id_col: str =
 
     roots = connected_components(found.select(F.col("num").alias("a"), F.col("root").alias("b"))).toDF("num", "root")
     linked = found.groupBy("num").agg(F.sum("n_linked").alias("n_linked"))
-    firsts = classes.select("num", "cls", "n", "least").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
-    smallest = firsts.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both sides of the join by root are written tables, so that a root of many classes can be split
+    firsts = cut(classes.select("num", "cls", "n", "least").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num")))
+    smallest = cut(firsts.groupBy("root").agg(F.min("least").alias("component_id")))
     of = cut(
         firsts.join(smallest, "root").join(linked, "num", "left")
         .select("cls", "n", "component_id", (F.coalesce("n_linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))

@@ -244,8 +244,9 @@ def grouped(made: DataFrame, kind: Kind) -> DataFrame:
     lanes = [f"f{k}" for k in range(kind.lanes)]
     least = cut(made.groupBy(*lanes).agg(F.min(F.struct("id", "h")).alias("least")).withColumn("num", F.monotonically_increasing_id()))
     roots = connected_components(links(least.select("num", *lanes), kind)).toDF("num", "root")
-    linked = least.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("first"))
+    # both sides of the join by root are written tables, so that a root of many fingerprints can be split
+    linked = cut(least.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num")))
+    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("first")))
     return cut(linked.join(smallest, "root").select(*lanes, "first"))
 
 
