@@ -21,9 +21,9 @@ from .common import fresh_path, table, text_bytes
 from .pieces import Remembered, inside, mapped, offsets_of, piece_starts, slices
 
 #: New pieces after which one worker forgets those it did not meet again.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Pieces that are given to the tokenizer as one string.
