@@ -13,7 +13,7 @@ from test_operators import components, coverage_by_hand, fingerprint5
 from tidewatch.llm import bpe, decontaminate, secret_scan
 from tidewatch.llm.queries import ORACLES, QUERIES
 
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
