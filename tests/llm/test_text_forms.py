@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import ODD, empty, frame
 
-from tidewatch.llm import chat, collocations, middle
+from tidewatch.llm import chat, collocations, language, middle
 
 # --- collocations
 
@@ -190,3 +190,33 @@ def test_hostile_text_is_linear(spark):
     rows = [(1, 0, "user", x, "", 0) for x in ("<" * 500_000, "<" + "\\" * 500_000, "<image:" + "1" * 500_000, "[/INS" * 100_000)]
     r = chat.read_back(chat.format_chats(spark.createDataFrame(rows, CHAT))).head()
     assert sorted(t.texts[0] for t in r.turns) == sorted(x[3] for x in rows)
+
+
+# --- markup
+
+
+def test_markup_is_read_once(spark):
+    """Unclosed tags of a megabyte, and a declaration after any number of attributes."""
+    import time
+
+    many = 1_000_000
+    texts = {
+        "angles": "<" * many, "scripts": "<script>" * (many // 8), "cut": "<script " * (many // 8), "html": "<html " * (many // 6), "styles": "a<style>" * (many // 8) + "</style>b",
+        "far": "<html " + 'data-x="y" ' * 100_000 + "lang=de>ja", "second": "<html><!-- --><HTML dir=ltr lang='FR-ca'>", "none": "<html xml:lang='de'>", "spaces": "<html lang" + " " * many,
+        "host": "a" * many,
+    }
+    df = spark.createDataFrame(list(texts.items()), "name string, t string")
+    began = time.perf_counter()
+    got = {r.name: r for r in df.select("name", language.declared_in(F.col("t")).alias("d"), language.visible(F.col("t")).alias("v"), language.domain_of(F.col("t")).alias("o")).collect()}
+    assert time.perf_counter() - began < 20
+    assert {n: r.d for n, r in got.items() if r.d} == {"far": "de", "second": "fr"}
+    assert (got["scripts"].v, got["styles"].v, got["far"].v) == (" ", "a b", " ja")
+    page = "x<script src=a>var a = '<b>';</Script >y<style>p{}</style>z<p class=c>&amp;w &notatag"
+    assert spark.range(1).select(language.visible(F.lit(page)).alias("v")).head().v == "x y z  w &notatag"
+    hosts = ["a.b.example.org", "example.org", "org", "", "a..b", "a.", ".b", "x.y."]
+    assert [r.o for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(language.domain_of(F.col("h")).alias("o")).collect()] == ["example.org", "example.org", "", "", "", "", "", ""]
+
+
+def test_language_without_sources(spark):
+    docs = frame(spark, ["the cat and the dog are here with the others"] * 20 + ["12345"]).drop("source")
+    assert language.accepted(docs, language.fit(docs)).columns == docs.columns

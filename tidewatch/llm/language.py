@@ -110,13 +110,17 @@ def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Trigrams:
 
 
 def declared_in(markup: Column) -> Column:
-    """Primary subtag of the language that the markup declares, or null."""
-    found = F.lower(F.regexp_extract(markup, r"""(?i)<html[^>]{0,1000}?\slang\s*=\s*["']?([a-z]{2,3})\b""", 1))
-    return F.when(found != "", found)
+    """Primary subtag of the language that the markup declares, or null: of the first ``<html`` tag that names one. Each tag
+    is read once, however long it is."""
+    tags = F.regexp_extract_all(markup, F.lit(r"(?i)<html\b([^>]*+)"), F.lit(1))
+    named = F.transform(tags, lambda t: F.lower(F.regexp_extract(t, r"""(?i)\slang\s*+=\s*+["']?([a-z]{2,3})\b""", 1)))
+    return F.try_element_at(F.filter(named, lambda x: x != ""), F.lit(1))
 
 
 def visible(markup: Column) -> Column:
-    return F.regexp_replace(markup, r"(?is)<(script|style)\b[^>]*>.*?</\1>|<[^>]*>|&#?[a-z0-9]{1,9};", " ")
+    """What a reader sees. A script or style that isn't closed goes on to the end; no tag holds another's beginning, so
+    every character is read a fixed number of times."""
+    return F.regexp_replace(markup, r"(?is)<(script|style)\b[^<>]*+>.*?(?:</\1\b[^<>]*+>|\z)|<[^<>]*+>|&#?[a-z0-9]{1,9};", " ")
 
 
 def host_of(url: Column) -> Column:
@@ -124,12 +128,23 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host name, or an empty text."""
+    two = F.substring_index(host, ".", -2)
+    return F.when((F.instr(two, ".") > 1) & ~F.endswith(two, F.lit(".")), two).otherwise("")
+
+
+def source_of(docs: DataFrame) -> Column:
+    """The source, empty where there is none."""
+    return F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Rows of evidence: the source stands for the host; null texts count as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Rows of evidence: the source stands for the host; null texts and sources, or no such column, count as empty."""
+    text, source = F.coalesce(F.col("text"), F.lit("")), source_of(docs)
     return docs.select(
         F.col("doc_id"), F.lit(None).cast("long").alias("page_id"), text.cast("binary").alias("t"), F.xxhash64("text").alias("h"),
-        declared_in(text).alias("declared"), F.coalesce(F.col("source"), F.lit("")).alias("host"), F.coalesce(F.col("source"), F.lit("")).alias("domain"), F.lit("").alias("suffix"),
+        declared_in(text).alias("declared"), source.alias("host"), source.alias("domain"), F.lit("").alias("suffix"),
     )
 
 
@@ -137,7 +152,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
     html, host = F.coalesce(F.col("html"), F.lit("")), F.coalesce(host_of(F.col("url")), F.lit(""))
     return pages.select(
         F.lit(None).cast("long").alias("doc_id"), F.col("page_id"), visible(html).cast("binary").alias("t"), F.xxhash64("html").alias("h"),
-        declared_in(html).alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"\.([a-z]{2})$", 1).alias("suffix"),
+        declared_in(html).alias("declared"), host.alias("host"), domain_of(host).alias("domain"), F.regexp_extract(host, r"\.([a-z]{2})$", 1).alias("suffix"),
     )
 
 
@@ -216,7 +231,7 @@ def accepted(docs: DataFrame, model: Trigrams) -> DataFrame:
     gone = cut(identify(from_documents(docs), model).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), F.col("host").alias("gone_host")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]) & (F.coalesce(docs["source"], F.lit("")) == gone["gone_host"])
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]) & (source_of(docs) == gone["gone_host"])
     return docs.join(gone, same, "left_anti")
 
 
