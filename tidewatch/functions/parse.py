@@ -22,6 +22,10 @@ SEVERITY_ALIASES = {"panic": 0, "error": 3, "warn": 4}
 
 _GROUP, _HIT = "\x1f", "\x1e"
 
+#: What stands between quotes, with escapes. Written out and possessive: a loop over alternatives costs the regex engine a stack
+#: frame for each round, and a line can be as long as its sender likes.
+QUOTED = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once for each row, however often it is used."""
@@ -91,7 +95,8 @@ def _bsd_record(x: Column) -> Column:
     return _syslog("bsd", fits, x["time"], x["host"], x["daemon"], x["pid"], facility, severity, F.coalesce(x["message"], F.lit("")))
 
 
-_IETF = r"<(\d{1,3})>\d{1,2} (\S+) (\S+) (\S+) (\S+) \S+ (?:-|(?:\[(?:[^\]\\\"]|\\.|\"(?:[^\"\\]|\\.)*\")*\])+)(?: (.*))?"
+_ELEMENT = rf'\[[^\]\\"]*+(?:(?:\\.|"{QUOTED}")[^\]\\"]*+)*+\]'
+_IETF = rf"<(\d{{1,3}})>\d{{1,2}} (\S+) (\S+) (\S+) (\S+) \S+ (?:-|(?:{_ELEMENT})++)(?: (.*))?"
 
 
 def parse_ietf_syslog(line: Column) -> Column:
@@ -152,11 +157,12 @@ def parse_syslog_any(line: Column) -> Column:
     return F.when(F.ltrim(line).startswith("{"), F.coalesce(json, bsd, ietf)).when(line.rlike(r"^<\d{1,3}>\d"), F.coalesce(ietf, bsd, json)).otherwise(F.coalesce(bsd, ietf, json))
 
 
-_ACCESS = r"""(\S+) (\S+) (\S+) \[([^\]]+)\] "((?:[^"\\]|\\.)*)" (\d{3}) (\d+|-)(?: "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)")?.*"""
+_ACCESS = rf"""\s*(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"({QUOTED})"\s+(\d{{3}})\s+(\d+|-)(?:\s+"({QUOTED})"\s+"({QUOTED})")?\s*"""
 
 
 def parse_http_access(line: Column) -> Column:
-    """Common and combined access logs; a request that isn't one has null method, path and protocol; ``-`` is null."""
+    """Common and combined access logs; a request that isn't one has null method, path and protocol; ``-`` is null. A line with
+    anything else after its last field is none."""
     x = parts(line, _ACCESS, ["host", "ident", "user", "time", "request", "status", "bytes", "referer", "agent"])
     request = lambda x: parts(F.coalesce(x["request"], F.lit("")), r"([A-Za-z]+) (\S+)(?: (HTTP/\S+))?", ["method", "path", "protocol"])
     return let(x, lambda x: let(request(x), lambda r: _access_record(x, r)))
@@ -202,26 +208,62 @@ NGINX_TAIL = ("client", "server", "request", "upstream", "host", "referrer")
 
 def parse_nginx_error(line: Column) -> Column:
     """nginx error logs: ``, key: value`` pairs are peeled from the right, so that a forged pair further left stays message."""
-    pair = rf', (?:{"|".join(NGINX_TAIL)}): (?:"(?:[^"\\]|\\.)*"|[^,"]*)'
     x = parts(line, _NGINX, ["time", "level", "pid", "tid", "cid", "message"])
-    return let(x, lambda x: let(F.regexp_extract(x["message"], rf"(?s)((?:{pair})*)$", 1), lambda tail: _nginx_record(x, tail)))
+    return let(x, lambda x: let(_segments(x["message"]), lambda at: let(_peeled(at), lambda pairs: _nginx_record(x, at, pairs))))
+
+
+def _segments(message: Column) -> Column:
+    """array<(text, key, bare, opens, quotes, closes)>: the message cut before each ``, key: ``. bare: the value holds no comma and
+    no quote; opens: it begins with a quote; quotes: how many that aren't escaped; closes: it ends with one."""
+    begins = rf', ({"|".join(NGINX_TAIL)}): '
+
+    def described(text: Column) -> Column:
+        key = F.regexp_extract(text, f"^{begins}", 1)
+        value = F.substring(text, F.char_length(key) + 5, F.char_length(text))
+        plain = F.regexp_replace(value, r"(?s)\\.", "")
+        return F.struct(
+            text.alias("text"), key.alias("key"), ((key != "") & ~value.rlike('[,"]')).alias("bare"), ((key != "") & F.startswith(value, F.lit('"'))).alias("opens"),
+            (F.char_length(plain) - F.char_length(F.replace(plain, F.lit('"')))).alias("quotes"), F.endswith(plain, F.lit('"')).alias("closes"),
+        )
+
+    return F.transform(F.split(message, f"(?={begins})", -1), described)
+
+
+def _peeled(at: Column) -> Column:
+    """struct(from: the first place of the tail, and for each key its last pair's first and last place) of segments. One pass from
+    the right; a quoted value may go over several segments, and is one where it has two quotes, at its ends."""
+    none = F.lit(None).cast("int")
+    last = F.size(at)
+    start = F.struct(
+        (last + 1).alias("from"), last.alias("end"), F.lit(0).alias("quotes"), F.lit(False).alias("closes"), F.lit(False).alias("over"),
+        *(none.alias(f"{k}_{n}") for k in NGINX_TAIL for n in ("from", "to")),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        i, seg = x["i"], x["seg"]
+        alone = acc["end"] == i
+        quotes, closes = acc["quotes"] + seg["quotes"], F.when(alone, seg["closes"]).otherwise(acc["closes"])
+        # bare ones stand alone; whatever isn't a pair yet waits for what stands before it
+        pair = ~acc["over"] & ((alone & seg["bare"]) | (seg["opens"] & closes & (quotes == 2)))
+        over = acc["over"] | (seg["key"] == "")
+        fields = {"from": F.when(pair, i).otherwise(acc["from"]), "end": F.when(pair, i - 1).otherwise(acc["end"]), "quotes": F.when(pair, 0).otherwise(quotes), "closes": ~pair & closes, "over": over}
+        for k in NGINX_TAIL:
+            mine = pair & (seg["key"] == k) & acc[f"{k}_from"].isNull()
+            fields |= {f"{k}_from": F.when(mine, i).otherwise(acc[f"{k}_from"]), f"{k}_to": F.when(mine, acc["end"]).otherwise(acc[f"{k}_to"])}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
 
+    return F.aggregate(F.reverse(F.transform(at, lambda s, i: F.struct((i + 1).alias("i"), s.alias("seg")))), start, step)
 
-def _nginx_record(x: Column, tail: Column) -> Column:
-    found = F.regexp_extract_all(tail, F.lit(rf', ({"|".join(NGINX_TAIL)}): ("(?:[^"\\]|\\.)*"|[^,"]*)'), F.lit(0))
 
-    def last(pairs: Column, key: str) -> Column:
-        mine = F.filter(pairs, lambda p: p.startswith(f", {key}: "))
-        value = F.substring(F.try_element_at(mine, F.lit(-1)), len(key) + 5, 1 << 30)
-        return F.nullif(F.regexp_replace(value, r'(?s)^"(.*)"$', "$1"), F.lit(""))
+def _nginx_record(x: Column, at: Column, pairs: Column) -> Column:
+    def value(key: str) -> Column:
+        text = F.array_join(F.slice(at["text"], pairs[f"{key}_from"], pairs[f"{key}_to"] - pairs[f"{key}_from"] + 1), "")
+        return F.nullif(F.regexp_replace(F.substring(text, len(key) + 5, 1 << 30), r'(?s)^"(.*)"$', "$1"), F.lit(""))
 
-    def record(pairs: Column) -> Column:
-        message = F.substring(x["message"], F.lit(1), F.char_length(x["message"]) - F.char_length(tail))
-        fields = {"format": F.lit("nginx_error"), "time": x["time"], "level": x["level"], "pid": x["pid"], "tid": x["tid"], "cid": x["cid"], "client": last(pairs, "client"), "client_port": F.lit(None).cast("string")}
-        fields |= {k: last(pairs, k) for k in NGINX_TAIL[1:]} | {"message": F.coalesce(message, F.lit(""))}
-        return F.struct(*(c.alias(n) for n, c in fields.items()))
-
-    return F.when(x.isNotNull(), let(found, record))
+    message = F.array_join(F.slice(at["text"], F.lit(1), pairs["from"] - 1), "")
+    fields = {"format": F.lit("nginx_error"), "time": x["time"], "level": x["level"], "pid": x["pid"], "tid": x["tid"], "cid": x["cid"], "client": value("client"), "client_port": F.lit(None).cast("string")}
+    fields |= {k: value(k) for k in NGINX_TAIL[1:]} | {"message": F.coalesce(message, F.lit(""))}
+    return F.when(x.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items())))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
@@ -263,7 +305,7 @@ def message_json(record: Column) -> Column:
 
 def parse_key_value(message: Column) -> Column:
     """map of ``k=v`` and ``k="v v"`` pairs; the first of a repeated key wins, so a value cannot forge a later one."""
-    pair = r'(?:^|[\s,])([A-Za-z_][\w.-]*)=("(?:[^"\\]|\\.)*"|[^\s,"]*)'
+    pair = rf'(?:^|[\s,])([A-Za-z_][\w.-]*+)=("{QUOTED}"|[^\s,"]*+)'
     keys, values = (F.regexp_extract_all(message, F.lit(pair), F.lit(k)) for k in (1, 2))
     bare = F.transform(values, lambda v: F.regexp_replace(v, r'(?s)^"(.*)"$', "$1"))
     # by key, then place: the first of each key is the one that differs from what stands before it

@@ -18,15 +18,40 @@ from .ip import v4_network, v4_number, v6_key, v6_masked
 from .parse import let, parts
 
 NUMERIC = r"^-?\d+(\.\d+)?$"
-#: Named pieces of match patterns; each is one capture group of the compiled pattern.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IP4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+_GROUP16 = "[0-9A-Fa-f]{1,4}"
+
+
+def _ip6() -> str:
+    """IPv6 addresses by the number of groups after ``::``, most first, so that the longest form is taken."""
+    pair = f"(?:{_GROUP16}:{_GROUP16}|{_IP4})"
+    arms = [f"(?:{_GROUP16}:){{6}}{pair}"]
+    for after in (7, 6, 5, 4, 3, 2, 1, 0):  # groups after the gap; before it, what is left of seven
+        before = 7 - after
+        left = f"(?:(?:{_GROUP16}:){{0,{before - 1}}}{_GROUP16})?" if before else ""
+        right = f"(?:{_GROUP16}:){{{after - 2}}}{pair}" if after >= 2 else _GROUP16 if after else ""
+        arms.append(f"{left}::{right}")
+    return "|".join(arms)
+
+
+_MAPPED = f"::[fF]{{4}}:{_IP4}"
+_ADDR = f"(?:{_MAPPED}|{_IP4}|{_ip6()})"
+_LABEL = "(?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+# labels are bounded in length and number, as names are, so that a pattern's cost is bounded at each place of a line
+_DNS = rf"(?:[A-Za-z0-9]{_LABEL}\.){{1,126}}[A-Za-z]{_LABEL}"
+#: Named pieces of match patterns; each is one capture group of the compiled pattern. SRC and DEST are addresses; a DNS name
+#: has dots, and its last label begins with a letter; a SUBNET's prefix may be left out.
 TOKENS = {
-    "IP4": r"(?:\d{1,3}\.){3}\d{1,3}",
-    "IP6": r"(?=[0-9A-Fa-f:.]*:)[0-9A-Fa-f:.]{2,45}",
-    "ADDR": r"(?:::ffff:)?(?:\d{1,3}\.){3}\d{1,3}|(?=[0-9A-Fa-f:.]*:)[0-9A-Fa-f:.]{2,45}",
-    "DNS": r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*",
-    "SUBNET": r"(?:\d{1,3}\.){3}\d{1,3}/\d{1,2}",
+    "IP4": _IP4,
+    "IP6": f"{_MAPPED}|{_ip6()}",
+    "ADDR": _ADDR,
+    "DNS": _DNS,
+    "HOST": f"{_ADDR}|{_DNS}",
+    "SUBNET": f"{_ADDR}(?:/(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])(?![0-9]))?",
+    "SRC": _ADDR,
+    "DEST": _ADDR,
 }
-TOKENS["HOST"] = TOKENS["SRC"] = TOKENS["DEST"] = f"{TOKENS['ADDR']}|{TOKENS['DNS']}"
 
 
 def sure(c: Column) -> Column:
@@ -127,6 +152,17 @@ def in_network(value: Column, cidr: str) -> Column:
     return sure(v4_number(value).between(first, first + net.num_addresses - 1))
 
 
+def _in_field(ip: Column, net: Column) -> Column:
+    """Is the address in the network that a field holds, both of one family? Without a prefix a network is one address; a
+    prefix that is no number of its family makes it none."""
+    halves = F.split(net, "/")
+    first, given = F.element_at(halves, 1), F.try_element_at(halves, F.lit(2))
+    prefix = lambda most: F.when(F.size(halves) == 1, F.lit(most)).when((F.size(halves) == 2) & given.rlike(r"^\d{1,3}$"), given.try_cast("int"))
+    four = let(v4_number(first), lambda n: (prefix(32) == 0) & n.isNotNull() & v4_number(ip).isNotNull() | (v4_network(v4_number(ip), prefix(32)) == v4_network(n, prefix(32))))
+    six = let(F.struct(v6_key(first).alias("n"), v6_key(ip).alias("k")), lambda x: (prefix(128) == 0) & x["n"].isNotNull() & x["k"].isNotNull() | (v6_masked(x["k"], prefix(128)) == v6_masked(x["n"], prefix(128))))
+    return F.when(F.instr(net, ":") > 0, F.coalesce(six, four)).otherwise(four)
+
+
 @dataclass
 class Predicate:
     """One test of a field. ``op``: eq contains startswith endswith re gt lt ge le cidr exists."""
@@ -174,9 +210,7 @@ class Predicate:
             a, b = number(value), number(needle)
             return {"gt": a > b, "lt": a < b, "ge": a >= b, "le": a <= b}[self.op]
         if self.op == "cidr":
-            parts = F.split(needle, "/")
-            prefix = F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.lit(32))
-            return v4_network(v4_number(value), prefix) == v4_network(v4_number(F.element_at(parts, 1)), prefix)
+            return let(F.struct(value.alias("ip"), needle.alias("net")), lambda x: _in_field(x["ip"], x["net"]))
         return {"eq": value == needle, "contains": F.contains(value, needle), "startswith": F.startswith(value, needle), "endswith": F.endswith(value, needle)}[self.op]
 
 
@@ -292,10 +326,56 @@ def capture_names(patterns: list[str]) -> list[str]:
     return list(dict.fromkeys(n for p in patterns for n in compile_tokens(p)[1] if n))
 
 
+def needed_text(java: str) -> str:
+    """The longest text that every match of a pattern holds, as far as it can be told: what stands outside groups, classes
+    and choices and isn't repeated. Empty if there is none."""
+    runs, run, depth, k = [], "", 0, 0
+    if java.startswith("(?d)"):
+        k = 4
+    if re.search(r"\(\?\^?[a-z]*[ix]|\\[QE]", java):  # case or spaces don't count, or quoting
+        return ""
+    while k < len(java):
+        c, step, plain = java[k], 1, None
+        if c == "\\":
+            step = 2
+            if not java[k + 1 : k + 2].isalnum():
+                plain = java[k + 1 : k + 2]
+            elif java[k + 1] not in "dDwWsSbBtnrAzZhHvVR":
+                return ""
+        elif c == "[":
+            m = re.compile(r"\[\^?\]?(?:\\.|[^\]\\\[])*\]").match(java, k)
+            if m is None:  # classes inside classes
+                return ""
+            step = m.end() - k
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return ""
+        elif c == "{" or c in "?*+":
+            step = java.index("}", k) + 1 - k if c == "{" else 1
+            run = run[:-1]
+        elif c not in "^$.|":
+            plain = c
+        if plain is not None and depth == 0:
+            run += plain
+        else:
+            runs.append(run)
+            run = ""
+        k += step
+    return max([*runs, run], key=len)
+
+
+def holds(text: Column, java: str) -> Column:
+    """A cheap test that lines which a pattern can match pass: no regular expression is run on the others."""
+    word = needed_text(java)
+    return F.contains(text, F.lit(word)) if word else F.lit(True)
+
+
 def first_match(text: Column, patterns: list[str]) -> Column:
     """struct(pattern: index of the first pattern that matches, then its captures by name), or null.
 
-    Patterns are tried in order; the one that matches is read once for all its groups."""
+    Patterns are tried in order, each only on lines that hold the text it needs; one pass tells whether it matches and
+    reads all its groups."""
     names = capture_names(patterns)
     absent = F.lit(None).cast("string")
 
@@ -305,20 +385,20 @@ def first_match(text: Column, patterns: list[str]) -> Column:
 
         def read(x: Column) -> Column:
             mine = {n: F.coalesce(*(x[f"g{g}"] for g, m in enumerate(groups) if m == n)) for n in names if n in groups}
-            return F.struct(number, *(mine.get(n, absent).alias(n) for n in names))
+            return F.when(x.isNotNull(), F.struct(number, *(mine.get(n, absent).alias(n) for n in names)))
 
         # before and after the match anything may stand; the pattern's own dots stay as they are
         whole = f"(?s:.*?)(?-s:{java})(?s:.*)"
-        hit = let(parts(text, whole, [f"g{g}" for g in range(len(groups))]), read) if groups else F.struct(number, *(absent.alias(n) for n in names))
-        out = F.when(text.rlike(java), hit)
-        return out.otherwise(attempt(k + 1)) if k + 1 < len(patterns) else out
+        hit = let(parts(text, whole, [f"g{g}" for g in range(len(groups))]), read) if groups else F.when(text.rlike(java), F.struct(number, *(absent.alias(n) for n in names)))
+        out = F.when(holds(text, java), hit)
+        return F.coalesce(out, attempt(k + 1)) if k + 1 < len(patterns) else out
 
     return attempt(0)
 
 
 def ignored(text: Column, patterns: list[str]) -> Column:
     """True where any pattern vetoes the line."""
-    return any_of([sure(text.rlike(checked_regex(p))) for p in patterns])
+    return any_of([sure(holds(text, checked_regex(p)) & text.rlike(checked_regex(p))) for p in patterns])
 
 
 def compose_fields(parsed: Column, lifted: Column, captures: Column, captures_win: bool = True) -> Column:

@@ -186,6 +186,58 @@ def parse_separators(spark, sf):  # noqa: ANN001, ANN201
     return rows.select("event_id", F.explode(each).alias("r")).select("event_id", "r.*")
 
 
+#: A field of 2,000 to 5,000 characters with quotes, escapes, commas and dots, as a sender may choose it.
+_LONG = "concat(repeat(concat('x', chr(92), '\"', ', ', chr(92), chr(92), 'b.', event_type, '='), 150 + k), 'end')"
+_LONG_LINES = {
+    "ietf": f"concat('<13>1 2024-01-01T00:00:00Z h ', event_type, ' - - [a b=\"', {_LONG}, '\"][c d=\"]\"] value ', k)",
+    "access": f"concat(ip, ' - - [t] \"GET /', {_LONG}, ' HTTP/1.1\" 200 ', k, ' \"-\" \"', {_LONG}, '\"')",
+    "access_open": f"concat(ip, ' - - [t] \"GET / HTTP/1.1\" 200 ', k, ' \"-\" \"', {_LONG})",
+    "nginx": f"concat('2024/01/01 00:00:00 [error] 7#0: *3 ', {_LONG}, ', client: ', ip, ', request: \"', {_LONG}, ', client: 6.6.6.6\", host: \"h\"')",
+    "pairs": f"concat('n=', k, ' long=\"', {_LONG}, '\" srcip=', ip, ' long=again')",
+    "tokens": "concat(repeat('label-1.', 300 + k), ' probe from ', ip)",
+}
+
+
+@query(SQL + f""", t as (select *, {_LONG} as long from h)
+select event_id, unnest([{{'kind': 'ietf', 'x': event_type, 'y': 'value ' || k}}, {{'kind': 'access', 'x': md5('/' || long), 'y': md5(long)}}, {{'kind': 'access_open', 'x': null, 'y': null}},
+    {{'kind': 'nginx', 'x': ip, 'y': md5(long || ', client: 6.6.6.6')}}, {{'kind': 'pairs', 'x': ip, 'y': md5(long)}}, {{'kind': 'tokens', 'x': ip, 'y': null}}], recursive := true) from t""")
+def parse_long_lines(spark, sf):  # noqa: ANN001, ANN201
+    """Long quoted fields are read whole; a line whose last quote is missing is no access line."""
+    rows = hits(spark, sf).selectExpr("event_id", *(f"{text} as {kind}" for kind, text in _LONG_LINES.items()))
+    ietf, access, opened, nginx, pairs = parse.parse_ietf_syslog(F.col("ietf")), parse.parse_http_access(F.col("access")), parse.parse_http_access(F.col("access_open")), parse.parse_nginx_error(F.col("nginx")), parse.parse_key_value(F.col("pairs"))
+    token = P.first_match(F.col("tokens"), [r"^%%%%DNS%%%% nothing", r"probe from %%%%SRC%%%%$"])
+    rows = rows.select("event_id", ietf.alias("ietf"), access.alias("access"), opened.alias("access_open"), nginx.alias("nginx"), pairs.alias("pairs"), token.alias("tokens"))
+    # the tail of a path is cut at its first space by the request's own grammar
+    fields = {
+        "ietf": ("ietf.daemon", F.col("ietf.message")), "access": (F.md5(F.regexp_extract("access.request", r"(?s)^GET (.*) HTTP/1\.1$", 1)), F.md5("access.user_agent")),
+        "access_open": ("access_open.host", F.col("access_open.path")), "nginx": ("nginx.client", F.md5("nginx.request")),
+        "pairs": (F.try_element_at("pairs", F.lit("srcip")), F.md5(F.try_element_at("pairs", F.lit("long")))), "tokens": ("tokens.SRC", F.lit(None).cast("string")),
+    }
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), col(x).alias("x"), y.alias("y")) for kind, (x, y) in fields.items()))
+    return rows.select("event_id", F.explode(each).alias("r")).select("event_id", "r.*")
+
+
+#: What follows ``from`` in a line, and what each token takes of it: addresses of both families, mapped ones, names, networks,
+#: and what is none of these.
+TOKEN_CASES = [
+    ("10.{a}.{b}.{c}", "IP4 ADDR HOST SUBNET SRC DEST"), ("10.{a}.{b}.{c}/24", "SUBNET"), ("10.{a}.{b}.256", ""), ("999.{a}.{b}.{c}", ""),
+    ("2001:db8:{a}::{b}", "IP6 ADDR HOST SUBNET SRC DEST"), ("2001:db8:{a}::/48", "SUBNET"), ("::ffff:10.{a}.{b}.{c}", "IP6 ADDR HOST SUBNET SRC DEST"), ("2001:db8:{a}::/129", ""),
+    ("host-{a}.example.org", "DNS HOST"), ("nowhere{a}", ""), ("host.{a}", ""), ("-x.example{a}.org", ""), ("1:2:{a}:4:5:6:7:{b}", "IP6 ADDR HOST SUBNET SRC DEST"), ("1:2:3:4:5:6:{a}", ""),
+]
+_CASE = lambda join: "case " + " ".join(f"when event_id % {len(TOKEN_CASES)} = {k} then {join(t)}" for k, (t, _) in enumerate(TOKEN_CASES)) + " end"
+_SHAPE = lambda t: "replace(replace(replace('" + t + "', '{a}', cast(user_id % 200 as " + "{text}" + ")), '{b}', cast(k % 10 as " + "{text}" + ")), '{c}', cast(user_id % 50 + 1 as " + "{text}" + "))"
+_TOKEN_NAMES = ("IP4", "IP6", "ADDR", "DNS", "HOST", "SUBNET", "SRC", "DEST")
+
+
+@query(SQL + ", t as (select *, " + _CASE(_SHAPE).replace("{text}", "varchar") + f" as x, event_id % {len(TOKEN_CASES)} as n from h)\nselect event_id, " + ", ".join(
+    f"case when n in ({', '.join(str(k) for k, (_, names) in enumerate(TOKEN_CASES) if t in names.split()) or '-1'}) then x end as {t.lower()}" for t in _TOKEN_NAMES) + " from t")
+def match_tokens(spark, sf):  # noqa: ANN001, ANN201
+    """Each token on lines that end with an address, a name, a network, or something that only looks like one."""
+    rows = hits(spark, sf).selectExpr("event_id", f"concat('denied from ', {_CASE(_SHAPE).replace('{text}', 'string')}) as line")
+    return rows.select("event_id", *(P.extract_tokens(F.col("line"), f"from %%%%{t}%%%%$")[t].alias(t.lower()) for t in _TOKEN_NAMES))
+
+
 @query("""with l as (select conv_id, turn, role = 'user' as opens, role || ':' || text as line from conversations),
 r as (select *, sum(case when opens or turn = 0 then 1 else 0 end) over (partition by conv_id order by turn) as rec from l),
 c as (select *, (row_number() over (partition by conv_id, rec order by turn) - 1) // 3 as chunk from r)
