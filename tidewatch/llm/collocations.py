@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .common import table, text_bytes
-from .pieces import offsets_of, slices
+from .pieces import gathered, offsets_of, slices
 
 #: Words of a phrase, at most.
 LONGEST = 5
@@ -43,6 +43,18 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abc
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit number of each word, which must not be empty: its bytes by powers of an odd number, mixed."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offs = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1]
+    data, starts, lengths = np.frombuffer(words.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs[:-1] - offs[0], np.diff(offs)
+    powers = np.multiply.accumulate(np.full(lengths.max(), _STEP, np.uint64))
+    h = np.add.reduceat((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(starts, lengths)], starts)
+    h = (h ^ (h >> np.uint64(32))) * _SPREAD
+    return h ^ (h >> np.uint64(29))
+
+
 class Words:
     """The words of folded bytes, in which line ends part the pieces."""
 
@@ -61,7 +73,7 @@ class Words:
         np.cumsum(self.lengths, out=offs[1:])
         coded = pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(offs), pa.py_buffer(self.flat.tobytes())]).dictionary_encode()
         self.ids, self.vocab = coded.indices.to_numpy(), coded.dictionary
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.vocab.to_pylist()], np.uint64)
+        self.hashes = hashes_of(self.vocab)
         self.triggers = (self.hashes % np.uint64(TRIGGER) == 0)[self.ids] if self.n else np.zeros(0, bool)
         #: does the word begin its piece?
         self.first = np.ones(self.n, bool)
@@ -117,14 +129,14 @@ def _count(dictionary: DataFrame, k: int, shorter: object) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shorter is None else np.frombuffer(shorter.value, np.uint8)
-        for whole in batches:
+        for whole in gathered(batches, 1, SLICE_BYTES):
             for a, b in slices(whole.column(1), SLICE_BYTES):
                 batch = whole.slice(a, b - a)
                 words = Words(b"\n".join(batch.column(1).to_pylist()))
                 if words.n < k:
                     continue
                 langs = batch.column(0).dictionary_encode()
-                of_lang = np.array([xxhash.xxh64_intdigest(x) for x in langs.dictionary.to_pylist()], np.uint64)
+                of_lang = np.array([xxhash.xxh64_intdigest(x) for x in langs.dictionary.to_pylist()], np.uint64)  # may be empty texts
                 row = words.piece  # a chunk has one line
                 lang, weight = langs.indices.to_numpy()[row], batch.column(2).to_numpy()[row]
                 # a chunk's own words end before the first one after its beginning that begins another

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,20 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their binary column ``column`` holds ``most`` bytes: short rows come in small batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Remembered:
     """Results of ``work`` for pieces seen lately: when ``most`` are new, those not asked for since go."""
 
