@@ -22,6 +22,20 @@ def with_value(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.select("*", F.explode(F.array_compact(F.array(value))).alias(name))
 
 
+#: Lengths of a block of time, in spans: one in so many rows is read in two blocks.
+SPANS_A_BLOCK = 8
+
+
+def time_blocks(rows: DataFrame, span: int) -> DataFrame:
+    """Add ``_block`` and ``_own``: each row in its block of time, and once more, not its own, in the next one where that begins
+    less than ``span`` seconds after it. What looks back less than ``span`` seconds can be worked out in each block alone."""
+    length = SPANS_A_BLOCK * span * SECOND
+    block = F.expr(f"us div {length} - if(us % {length} < 0, 1, 0)")
+    # its own block, and that of the moment at which it stops to count
+    until = F.expr(f"(us + {span * SECOND - 1}) div {length} - if((us + {span * SECOND - 1}) % {length} < 0, 1, 0)")
+    return rows.withColumn("_block", F.explode(F.sequence(block, until))).withColumn("_own", F.col("_block") == block)
+
+
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], schema: str) -> DataFrame:
     """Run ``step(state, row)`` over each key's rows in order, and return all rows it gives.
 

@@ -22,11 +22,10 @@ def effective_severity(*layers: Column) -> Column:
     return F.coalesce(*layers)
 
 
-def scored_events(hits: DataFrame, crossings: DataFrame, detection: Column, observing: Column, threshold: Column) -> DataFrame:
-    """Add event_type, and the threshold that the score races, to hits (bucket, key, us, ord, score)."""
-    cross = crossings.select("bucket", "key", "us", "ord", F.lit(True).alias("crossed"))
-    out = hits.join(cross, ["bucket", "key", "us", "ord"], "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
-    return out.withColumns({"event_type": classify_event(F.col("crossed"), detection, observing), "threshold": threshold})
+def scored_events(hits: DataFrame, scores: DataFrame, detection: Column, observing: Column) -> DataFrame:
+    """Add score, crossed, event_type and the threshold that the score races to hits (bucket, key, us, ord), from ``event_scores``."""
+    out = hits.join(scores, ["bucket", "key", "us", "ord"])
+    return out.withColumn("event_type", classify_event(F.col("crossed"), detection, observing))
 
 
 def enrich_country(events: DataFrame, ranges: DataFrame, ip: str = "ip", ranges6: DataFrame | None = None) -> DataFrame:

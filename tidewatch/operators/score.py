@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ip import ip_network, v6_network
-from .common import SECOND, ordered_fold, with_value
+from .common import SECOND, ordered_fold, time_blocks, with_value
 
 
 def bucket_choice(kur: Column, rule: Column, overridden: Column, observing: Column) -> Column:
@@ -33,68 +33,125 @@ def effective_thresholds(hits: DataFrame, settings: DataFrame, layers: list[str]
     return out.drop(*(f"_{layer}_{n}" for layer in layers for n in ("id", *names)))
 
 
-def sliding_score(hits: DataFrame, find_time: int) -> DataFrame:
-    """Add ``score``: weights of the key's hits within find_time up to and with this one, without resets."""
-    range_sum = F.sum("w").over(Window.partitionBy("bucket", "key").orderBy("us").rangeBetween(-(find_time * SECOND - 1), 0))
+def _trailing_sum(keys: list[str], find_time: int) -> Column:
+    """Weights within find_time up to and with each hit of ``keys``, of hits of one moment in the order of ``ord``."""
+    range_sum = F.sum("w").over(Window.partitionBy(*keys).orderBy("us").rangeBetween(-(find_time * SECOND - 1), 0))
     # the range holds hits of the same moment that come later in order
-    later = F.coalesce(F.sum("w").over(Window.partitionBy("bucket", "key", "us").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    return hits.withColumn("score", range_sum - later)
+    later = F.sum("w").over(Window.partitionBy(*keys, "us").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
+    return range_sum - F.coalesce(later, F.lit(0))
+
+
+def sliding_score(hits: DataFrame, find_time: int) -> DataFrame:
+    """Add ``score``: weights of the key's hits within find_time up to and with this one, without resets (``event_scores`` has
+    them). Summed in blocks of time, each with what it still sees of the block before, so that a popular key is many tasks."""
+    blocks = time_blocks(hits, find_time)
+    return blocks.withColumn("score", _trailing_sum(["bucket", "key", "_block"], find_time)).where("_own").drop("_block", "_own")
+
 
+def with_thresholds(hits: DataFrame, find_time: int | None, max_score: int | None) -> DataFrame:
+    """Hits with the thresholds that each races as columns find_time and max_score: those given, or the hit's own."""
+    return hits.withColumns({n: (F.col(n) if v is None else F.lit(v)).cast("long") for n, v in (("find_time", find_time), ("max_score", max_score))})
 
-def sessions(hits: DataFrame, find_time: int) -> DataFrame:
-    """Add ``session``: a gap of find_time empties a bucket, so what lies on its sides can be counted apart."""
+
+def sessions(hits: DataFrame, find_time: int | None = None) -> DataFrame:
+    """Add ``session``: a hit that comes its find_time or more after the one before finds an empty bucket, whatever the
+    find_time of the others, so what lies on its sides can be counted apart."""
+    span = F.col("find_time") * SECOND if find_time is None else F.lit(find_time * SECOND)
     order = Window.partitionBy("bucket", "key").orderBy("us", "ord")
-    opens = F.coalesce(F.col("us") - F.lag("us").over(order) >= find_time * SECOND, F.lit(True))
+    opens = F.coalesce(F.col("us") - F.lag("us").over(order) >= span, F.lit(True))
     return hits.withColumn("_opens", opens.cast("long")).withColumn("session", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
-def can_cross(split: DataFrame, total: Column, max_score: int) -> DataFrame:
-    """Rows of sessions whose whole ``total`` reaches max_score: no hit of the others can."""
-    whole = total.over(Window.partitionBy("bucket", "key", "session"))
-    return split.withColumn("_total", whole).where(F.col("_total") >= max_score).drop("_total")
+def can_cross(split: DataFrame, total: Column, max_score: int | None = None) -> DataFrame:
+    """Rows of sessions whose whole ``total`` reaches the lowest max_score of its hits: no hit of the others can."""
+    return _judged_sessions(split, total, max_score).where("_can").drop("_can")
 
 
-def threshold_crossings(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
-    """(bucket, key, us, ord, score) of each hit that reaches max_score; a crossing empties the bucket."""
-    can = can_cross(sessions(hits.select("bucket", "key", "us", "ord", "w"), find_time), F.sum("w"), max_score)
-    span = find_time * SECOND
+def _judged_sessions(split: DataFrame, total: Column, max_score: int | None) -> DataFrame:
+    session = Window.partitionBy("bucket", "key", "session")
+    least = F.min("max_score").over(session) if max_score is None else F.lit(max_score)
+    return split.withColumn("_can", total.over(session) >= least)
 
-    def step(state: list, row: tuple) -> list[tuple]:
-        live, (bucket, key, us, order, w, _) = state[0], row
-        while live and us - live[0][0] >= span:
-            state[1] -= live.popleft()[1]
-        live.append((us, w))
-        state[1] += w
-        if state[1] < max_score:
-            return []
-        score = state[1]
+
+def _bucket_step(state: list, us: int, w: int, find_time: int, max_score: int) -> tuple[int, bool]:
+    """Score of a hit and whether it crosses. ``state``: the live hits and their sum. Of hits in the order of time those
+    are let go that this one no longer sees, for good, even if a later hit has a longer find_time."""
+    live, span = state[0], find_time * SECOND
+    live.append((us, w))
+    state[1] += w
+    while live and us - live[0][0] >= span:
+        state[1] -= live.popleft()[1]
+    score = state[1]
+    crossed = score >= max_score
+    if crossed:
         live.clear()
         state[1] = 0
-        return [(bucket, key, us, order, score)]
+    return score, crossed
+
+
+def threshold_crossings(hits: DataFrame, find_time: int | None = None, max_score: int | None = None) -> DataFrame:
+    """(bucket, key, us, ord, score) of each hit that reaches max_score; a crossing empties the bucket.
+
+    Without ``find_time`` or ``max_score`` each hit races its own, from columns of these names (``effective_thresholds``)."""
+    rows = with_thresholds(hits, find_time, max_score).select("bucket", "key", "us", "ord", "w", "find_time", "max_score")
+    can = can_cross(sessions(rows, find_time), F.sum("w"), max_score)
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        bucket, key, us, order, w, span, most, _ = row
+        score, crossed = _bucket_step(state, us, w, span, most)
+        return [(bucket, key, us, order, score)] if crossed else []
+
+    return ordered_fold(can, ["bucket", "key", "session"], ["us", "ord"], lambda: [deque(), 0], step, f"bucket string, key {dict(hits.dtypes)['key']}, us long, ord long, score {dict(hits.dtypes)['w']}")
 
-    schema = f"bucket string, key {dict(hits.dtypes)['key']}, us long, ord long, score {dict(hits.dtypes)['w']}"
-    return ordered_fold(can, ["bucket", "key", "session"], ["us", "ord"], lambda: [deque(), 0], step, schema)
+
+def event_scores(hits: DataFrame, find_time: int | None = None, max_score: int | None = None) -> DataFrame:
+    """(bucket, key, us, ord, score, crossed, threshold) of every hit, as its event carries them: after a crossing the score
+    begins anew, and the threshold is the hit's own. Thresholds as for ``threshold_crossings``.
+
+    Sessions that can't cross are window sums, the others are folded; where each hit has a find_time of its own all are.
+    """
+    kind = dict(hits.dtypes)
+    rows = with_thresholds(hits, find_time, max_score).select("bucket", "key", "us", "ord", "w", "find_time", "max_score")
+    rows = _judged_sessions(sessions(rows, find_time), F.sum("w"), max_score)
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        bucket, key, us, order, w, span, most = row[:7]
+        return [(bucket, key, us, order, *_bucket_step(state, us, w, span, most), most)]
+
+    schema = f"bucket string, key {kind['key']}, us long, ord long, score {kind['w']}, crossed boolean, threshold long"
+    fold = lambda df: ordered_fold(df, ["bucket", "key", "session"], ["us", "ord"], lambda: [deque(), 0], step, schema)
+    if find_time is None:
+        return fold(rows.drop("_can"))
+    session = ["bucket", "key", "session"]
+    calm = rows.where("not _can").withColumn("score", _trailing_sum(session, find_time))
+    calm = calm.select("bucket", "key", "us", "ord", F.col("score").cast(kind["w"]).alias("score"), F.lit(False).alias("crossed"), F.col("max_score").cast("long").alias("threshold"))
+    return calm.unionByName(fold(rows.where("_can").drop("_can")))
+
+
+def _valued() -> Column:
+    return F.coalesce(F.col("of") != "", F.lit(False))
+
+
+def _keyed(hits: DataFrame) -> DataFrame:
+    return hits.where(F.coalesce(F.col("key").cast("string") != "", F.lit(False)))
 
 
 def distinct_scores(hits: DataFrame, find_time: int, max_score: int | None = None, crossings_only: bool = False) -> DataFrame:
     """(bucket, key, us, ord, score, crossed): number of different ``of`` values last seen within find_time.
 
-    Hits without a value are skipped. With max_score a hit that reaches it crosses and empties the set;
-    without, nothing is emptied (counting values of one key by another). Stretches between gaps are folded apart; with
-    ``crossings_only`` those with fewer hits than max_score are pruned.
+    A hit without a value (null or empty) adds none, but is judged by the set as it is, and crosses if that is full; one without
+    a key is not counted. With max_score a hit that reaches it crosses and empties the set; without, nothing is emptied (counting
+    values of one key by another). Stretches between gaps are folded apart; with ``crossings_only`` those with
+    fewer values than max_score are pruned.
     """
-    rows = sessions(hits.where("of is not null and of <> ''").select("bucket", "key", "us", "ord", "of"), find_time)
+    rows = sessions(_keyed(hits).select("bucket", "key", "us", "ord", "of"), find_time)
     if crossings_only:
-        rows = can_cross(rows, F.count("*"), max_score)
+        rows = can_cross(rows, F.count_if(_valued()), max_score)
     span = find_time * SECOND
 
     def step(seen: dict, row: tuple) -> list[tuple]:
         bucket, key, us, order, of, _ = row
-        seen.pop(of, None)
-        seen[of] = us  # kept in the order of last sight
-        while us - next(iter(seen.values())) >= span:
-            del seen[next(iter(seen))]
-        score = len(seen)
+        score = see(seen, of, us, span)
         crossed = max_score is not None and score >= max_score
         if crossed:
             seen.clear()
@@ -103,21 +160,56 @@ def distinct_scores(hits: DataFrame, find_time: int, max_score: int | None = Non
     return ordered_fold(rows, ["bucket", "key", "session"], ["us", "ord"], dict, step, f"bucket string, key {dict(hits.dtypes)['key']}, us long, ord long, score long, crossed boolean")
 
 
+def see(seen: dict, of: str | None, us: int, span: int) -> int:
+    """Number of values that are live with this sight. ``seen``: value -> last sight, in that order."""
+    if of:
+        seen.pop(of, None)
+        seen[of] = us
+    while seen and us - next(iter(seen.values())) >= span:
+        del seen[next(iter(seen))]
+    return len(seen)
+
+
 def value_counts(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
     """Hits (key: the counted-by value; ``of``: counted; ``offender``) whose key's set has max_score values: each is a ban row.
 
-    Never emptied, so each value counts from its sight until find_time after, or until its next sight: a
-    running sum of arrivals and expiries, linear in the hits however many values a popular key has.
+    A hit without a value adds none and is judged by the set as it is; one without a key is not counted. A ban of the
+    key itself (offender = key) empties its set; bans of others leave it.
+
+    Keys that never are the offender are never emptied: a value counts from its sight until find_time after, or until its next
+    sight, so the count is a running sum of arrivals and expiries. It is taken in blocks of time, each with what is still
+    live from the block before, so that a popular key is many tasks. Keys that are the offender somewhere are folded.
     """
-    by_value = Window.partitionBy("bucket", "key", "of").orderBy("us", "ord")
-    rows = hits.where("of is not null and of <> ''").withColumn("_next", F.lead("us").over(by_value)).withColumn("_last", F.lag("us").over(by_value))
+    kinds = dict(hits.dtypes)
+    own = F.coalesce(F.col("key").cast("string") == F.col("offender").cast("string"), F.lit(False))
+    rows = _keyed(hits).select("bucket", "key", "us", "ord", "of", "offender")
+    selves = rows.where(own).select("bucket", "key").distinct()
+    blocks = time_blocks(rows.join(selves, ["bucket", "key"], "left_anti"), find_time)
+    key = ["bucket", "key", "_block"]
     span = find_time * SECOND
+    by_value = Window.partitionBy(*key, "of").orderBy("us", "ord")
+    valued = blocks.where(_valued()).withColumn("_next", F.lead("us").over(by_value)).withColumn("_last", F.lag("us").over(by_value))
     arrives = F.when(F.col("_last").isNull() | (F.col("us") - F.col("_last") >= span), 1).otherwise(0)
     leaves = F.when(F.col("_next").isNull() | (F.col("_next") - F.col("us") >= span), F.col("us") + span)
-    up = rows.select("bucket", "key", "us", "ord", "offender", F.lit(1).alias("_kind"), arrives.alias("_d"))
-    down = rows.select("bucket", "key", leaves.alias("us"), F.col("ord"), F.lit(None).cast(dict(hits.dtypes)["offender"]).alias("offender"), F.lit(0).alias("_kind"), F.lit(-1).alias("_d")).where("us is not null")
-    running = F.sum("_d").over(Window.partitionBy("bucket", "key").orderBy("us", "_kind", "ord").rowsBetween(Window.unboundedPreceding, 0))
-    return up.unionByName(down).withColumn("score", running).where((F.col("_kind") == 1) & (F.col("score") >= max_score)).select("bucket", "key", "us", "ord", "offender", "score")
+    up = valued.select(*key, "_own", "us", "ord", "offender", F.lit(1).alias("_kind"), arrives.alias("_d"))
+    probes = blocks.where(~_valued()).select(*key, "_own", "us", "ord", "offender", F.lit(1).alias("_kind"), F.lit(0).alias("_d"))
+    down = valued.select(*key, F.lit(False).alias("_own"), leaves.alias("us"), "ord", F.lit(None).cast(kinds["offender"]).alias("offender"), F.lit(0).alias("_kind"), F.lit(-1).alias("_d")).where("us is not null")
+    running = F.sum("_d").over(Window.partitionBy(*key).orderBy("us", "_kind", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    plain = up.unionByName(probes).unionByName(down).withColumn("score", running).where(F.col("_own") & (F.col("score") >= max_score))
+
+    def step(seen: dict, row: tuple) -> list[tuple]:
+        bucket, mine, us, order, of, offender, _ = row
+        score = see(seen, of, us, span)
+        if score < max_score:
+            return []
+        if str(mine) == str(offender):
+            seen.clear()
+        return [(bucket, mine, us, order, offender, score)]
+
+    folded = can_cross(sessions(rows.join(selves, ["bucket", "key"], "left_semi"), find_time), F.count_if(_valued()), max_score)
+    schema = f"bucket string, key {kinds['key']}, us long, ord long, offender {kinds['offender']}, score long"
+    folded = ordered_fold(folded, ["bucket", "key", "session"], ["us", "ord"], dict, step, schema)
+    return plain.select("bucket", "key", "us", "ord", "offender", "score").unionByName(folded)
 
 
 def _networks(prefix_v4: int, prefix_v6: int | None) -> Column:

@@ -325,21 +325,20 @@ def compose_fields(spark, sf):  # noqa: ANN001, ANN201
 # --- addresses
 
 
-def fold_sql(key: str, weight: str, find: int, most: int, where: str = "true", member: str = "ip") -> str:
-    """Crossings as a recursion over each key's hits: state is the list of live ones."""
-    return SQL + f""", q as (select {key} as key, us, ord, {weight} as w, {member} as member, row_number() over (partition by {key} order by us, ord) as n from h where {where}),
-st as (with recursive st(key, n, live, us, ord, score, crossed) as (
-  select distinct key, 0::bigint, []::struct(us bigint, w bigint, member varchar)[], 0::bigint, 0::bigint, 0::bigint, false from q
+def fold_sql(key: str, weight: str, find: int | str, most: int | str, where: str = "true", member: str = "ip") -> str:
+    """Crossings as a recursion over each key's hits: state is the list of live ones. ``find`` and ``most`` may be those of each hit."""
+    return SQL + f""", q as (select {key} as key, us, ord, {weight} as w, {member} as member, ({find})::bigint as ft, ({most})::bigint as most, row_number() over (partition by {key} order by us, ord) as n from h where {where}),
+st as (with recursive st(key, n, live, us, ord, score, most, crossed) as (
+  select distinct key, 0::bigint, []::struct(us bigint, w bigint, member varchar)[], 0::bigint, 0::bigint, 0::bigint, 0::bigint, false from q
   union all
-  select key, n, live, us, ord, score, score >= {most}
-  from (select key, n, live, us, ord, list_sum(list_transform(live, lambda x: x.w))::bigint as score
-        from (select st.key, q.n, q.us, q.ord, list_append(list_filter(case when st.crossed then [] else st.live end, lambda x: x.us > q.us - {find * 1_000_000}), {{'us': q.us, 'w': q.w::bigint, 'member': q.member::varchar}}) as live
+  select key, n, live, us, ord, score, most, score >= most
+  from (select key, n, live, us, ord, most, list_sum(list_transform(live, lambda x: x.w))::bigint as score
+        from (select st.key, q.n, q.us, q.ord, q.most, list_append(list_filter(case when st.crossed then [] else st.live end, lambda x: x.us > q.us - q.ft * 1000000), {{'us': q.us, 'w': q.w::bigint, 'member': q.member::varchar}}) as live
               from st join q on q.key = st.key and q.n = st.n + 1))
 ) select * from st where n > 0)
 """
 
 
-
 def _mixed(ip: str, odd: str) -> Column:
     """10.a.b.c, or the IPv6 address 2001:db9:a:b::c where ``odd`` is an odd number: lists name networks of both."""
     return F.when(F.pmod(odd, F.lit(2)) == 1, F.regexp_replace(ip, r"^10\.(\d+)\.(\d+)\.(\d+)$", "2001:db9:$1:$2::$3")).otherwise(F.col(ip))
@@ -730,23 +729,60 @@ def effective_thresholds(spark, sf):  # noqa: ANN001, ANN201
     return C.effective_thresholds(rows, s, ["rule", "watcher", "kur", "global"], ["max_score", "find_time"]).select("event_id", "max_score", "find_time")
 
 
-@query(SQL + f""", q as (select user_id as key, us, ord, (k % 10)::varchar as of, row_number() over (partition by user_id order by us, ord) as n from h),
+_FIND, _MOST = f"case when event_type = 'error' then {DAY // 4} when k % 2 = 0 then {2 * DAY} else {DAY} end", "case when event_type = 'error' then 3 when k % 2 = 0 then 6 else 5 end"
+
+
+@query(fold_sql("user_id", "w", _FIND, _MOST) + "select key, us, ord, score, most as threshold, crossed from st")
+def event_scores(spark, sf):  # noqa: ANN001, ANN201
+    """The score of every hit with resets, where hits of one bucket race thresholds of their own: three find_times in it."""
+    s = values(spark, "layer string, id string, max_score int, find_time int", [("rule", "error", 3, DAY // 4), ("kur", "even", 6, 2 * DAY), ("global", "all", 5, DAY)])
+    rows = _hits(spark, sf).withColumns({"rule": F.col("event_type"), "kur": F.when(F.col("k") % 2 == 0, "even").otherwise("odd"), "global": F.lit("all")})
+    return C.event_scores(C.effective_thresholds(rows, s, ["rule", "kur", "global"], ["max_score", "find_time"])).drop("bucket")
+
+
+@query(fold_sql("user_id", "w", _FIND, _MOST) + "select key, us, ord, score from st where crossed")
+def crossings_per_hit(spark, sf):  # noqa: ANN001, ANN201
+    rows = _hits(spark, sf).withColumns({"find_time": F.expr(_FIND), "max_score": F.expr(_MOST)})
+    return C.threshold_crossings(rows).drop("bucket")
+
+
+@query(SQL + f""", q as (select user_id as key, us, ord, case when k % 7 = 0 then null when k % 7 = 1 then '' else (k % 10)::varchar end as of, row_number() over (partition by user_id order by us, ord) as n from h),
 st as (with recursive st(key, n, live, us, ord, score, crossed) as (
   select distinct key, 0::bigint, []::struct(us bigint, of varchar)[], 0::bigint, 0::bigint, 0::bigint, false from q
   union all select key, n, live, us, ord, len(live), len(live) >= 4
-  from (select st.key, q.n, q.us, q.ord, list_append(list_filter(case when st.crossed then [] else st.live end, lambda x: x.us > q.us - {2 * DAY * 1_000_000} and x.of <> q.of), {{'us': q.us, 'of': q.of}}) as live from st join q on q.key = st.key and q.n = st.n + 1)
+  from (select st.key, q.n, q.us, q.ord, list_filter(case when st.crossed then [] else st.live end, lambda x: x.us > q.us - {2 * DAY * 1_000_000} and x.of <> coalesce(q.of, '')) || case when q.of <> '' then [{{'us': q.us, 'of': q.of}}] else [] end as live from st join q on q.key = st.key and q.n = st.n + 1)
 ) select * from st where n > 0)
 select key, us, ord, score, crossed from st""")
 def distinct_score(spark, sf):  # noqa: ANN001, ANN201
-    rows = _hits(spark, sf).withColumn("of", (F.col("k") % 10).cast("string"))
-    return C.distinct_scores(rows, 2 * DAY, 4).drop("bucket")
+    """One hit in seven has no value, one an empty one."""
+    return C.distinct_scores(_hits(spark, sf).withColumn("of", _seldom((F.col("k") % 10).cast("string"))), 2 * DAY, 4).drop("bucket")
+
+
+def _seldom(value: Column) -> Column:
+    return F.when(F.col("k") % 7 == 0, F.lit(None)).when(F.col("k") % 7 == 1, "").otherwise(value)
+
+
+#: Counted by a value that for three keys of nine is now and then the offender itself.
+VALUES_SQL = SQL + f""", q as (select concat('a', user_id % 9) as key, us, ord, case when k % 7 = 0 then null when k % 7 = 1 then '' else ip end as of, case when user_id % 9 < 3 and k % 5 = 0 then concat('a', user_id % 9) else ip end as offender,
+    row_number() over (partition by user_id % 9 order by us, ord) as n from h),
+st as (with recursive st(key, n, live, us, ord, offender, score, emptied) as (
+  select distinct key, 0::bigint, map()::map(varchar, bigint), 0::bigint, 0::bigint, '', 0::bigint, false from q
+  union all select key, n, live, us, ord, offender, cardinality(live)::bigint, cardinality(live) >= 30 and key = offender
+  from (select st.key, q.n, q.us, q.ord, q.offender, map_from_entries(list_filter(map_entries(case when st.emptied then map()::map(varchar, bigint) else st.live end), lambda x: x.value > q.us - {DAY * 1_000_000} and x.key <> coalesce(q.of, ''))
+          || case when q.of <> '' then [{{'key': q.of, 'value': q.us}}] else [] end) as live from st join q on q.key = st.key and q.n = st.n + 1)
+) select * from st where n > 0 and score >= 30)
+select key, us, ord, offender, score from st"""
+
+
+def _value_hits(rows: DataFrame) -> DataFrame:
+    key = F.concat(F.lit("a"), F.col("user_id") % 9)
+    offender = F.when((F.col("user_id") % 9 < 3) & (F.col("k") % 5 == 0), key).otherwise(F.col("ip"))
+    return rows.withColumns({"key": key, "of": _seldom(F.col("ip")), "offender": offender})
 
 
-@query(SQL + f""", q as (select concat('a', user_id % 9) as key, us, ord, ip, user_id from h)
-select key, us, ord, ip as offender, score from (select *, (select count(distinct b.ip) from q b where b.key = a.key and b.us <= a.us and b.us > a.us - {DAY * 1_000_000}) as score from q a) where score >= 30""")
+@query(VALUES_SQL)
 def value_count(spark, sf):  # noqa: ANN001, ANN201
-    rows = hits(spark, sf).select("bucket", F.concat(F.lit("a"), F.col("user_id") % 9).alias("key"), "us", "ord", F.col("ip").alias("of"), F.col("ip").alias("offender"))
-    return C.value_counts(rows, DAY, 30).drop("bucket")
+    return C.value_counts(_value_hits(hits(spark, sf)), DAY, 30).drop("bucket")
 
 
 @query(fold_sql(MIXED_NET_SQL, "w", DAY, 30, member=MIXED_SQL) + """select key as cidr, us, ord, score, len(live) as hits, live[1].us as first, us as last,
@@ -801,17 +837,14 @@ def staged_sequence(spark, sf):  # noqa: ANN001, ANN201
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     rows = _hits(spark, sf).withColumn("w", F.lit(1).cast("long"))
-    scored = C.sliding_score(rows, DAY)
-    return _classified(scored, C.threshold_crossings(rows, DAY, 5))
+    return _classified(rows, C.event_scores(rows, DAY, 5))
 
 
-def _classified(scored: DataFrame, crossings: DataFrame) -> DataFrame:
-    rows = scored.withColumnRenamed("event_type", "rule")
-    return E.scored_events(rows, crossings, F.col("rule") == "view", F.col("rule") == "click", F.lit(5))
+def _classified(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    return E.scored_events(rows.withColumnRenamed("event_type", "rule"), scores, F.col("rule") == "view", F.col("rule") == "click")
 
 
-EVENTS_SQL = fold_sql("user_id", "1", DAY, 5) + f""", e as (select h.ord, h.user_id as key, h.ip, h.us, h.event_type as rule, h.k, s.crossed, 5 as threshold,
-    count(*) over (partition by h.user_id order by h.us range between {DAY * 1_000_000 - 1} preceding and current row) as score,
+EVENTS_SQL = fold_sql("user_id", "1", DAY, 5) + """, e as (select h.ord, h.user_id as key, h.ip, h.us, h.event_type as rule, h.k, s.crossed, s.most as threshold, s.score,
     case when h.event_type = 'view' then case when s.crossed then 'sighted' else 'sighting' end when h.event_type = 'click' then case when s.crossed then 'alert' else 'noted' end
          else case when s.crossed then 'banish' else 'found' end end as event_type
     from h join st s on s.key = h.user_id and s.ord = h.ord)
