@@ -56,12 +56,12 @@ def test_marks(spark, tmp_path):
 def test_tracks_and_correlation_and_stages(spark, tmp_path):
     base = spark.createDataFrame(rows(3), "key string, us long, ord long, op string, value string")
     df = base.select("key", "us", "ord", (F.col("op") != "probe").alias("harvests"), F.when(F.col("op") == "set", F.col("value")).alias("f"))
-    got = played(spark, tmp_path / "t", df, lambda s: jobs.stream_tracks(s, "f", 200), df.schema, tail(spark, df.withColumn("f", F.lit("x"))))
+    got = played(spark, tmp_path / "t", df, lambda s: jobs.stream_tracks(s, ["f"], 200), df.schema, tail(spark, df.withColumn("f", F.lit("x"))))
     want = {r.ord: (r.live_before, r.before_f, r.after_f) for r in state.tracks(df, ["f"], 200).collect()}
     assert {g[2]: g[3:] for g in got} == want
     spark.catalog.dropTempView("out")
     df = base.select("key", "us", "ord", (F.col("op") == "set").alias("capture"), "value")
-    got = played(spark, tmp_path / "c", df, lambda s: jobs.stream_correlate(s, 100, 100), df.schema, tail(spark, df))
+    got = played(spark, tmp_path / "c", df, lambda s: jobs.stream_correlate(s, ["value"], 100, 100), df.schema, tail(spark, df))
     o = df.where("not capture").withColumn("id", F.col("ord")).drop("value", "capture")
     c = df.where("capture").withColumnRenamed("value", "src").drop("capture")
     now = {(r.id, r.src) for r in state.correlate_context(o, c, ["src"], 100).where("resolved").collect()}

@@ -77,7 +77,7 @@ def stream_marks(spark, sf):  # noqa: ANN001, ANN201
 @Q.query(Q.TRACK_SQL + "select event_id as ord, live_before, before_addr as before, after_addr as after from r where us <= " + BEHIND.format("true"))
 def stream_tracks(spark, sf):  # noqa: ANN001, ANN201
     row = [F.col("user_id").alias("key"), "ts", "us", "ord", F.col("event_type").isin("click", "error").alias("harvests"), F.when(F.col("event_type") == "error", F.col("ip")).alias("addr")]
-    return _streamed(spark, sf, lambda r: jobs.stream_tracks(r.select(*row), "addr", DAY)).select("ord", "live_before", "before", "after")
+    return _streamed(spark, sf, lambda r: jobs.stream_tracks(r.select(*row), ["addr"], DAY)).select("ord", "live_before", F.col("before_addr").alias("before"), F.col("after_addr").alias("after"))
 
 
 @Q.query(SQL + f""", c as (select user_id as key, us, ip from h where event_type = 'click'), o as (select event_id as id, user_id as key, us from h where event_type = 'purchase'),
@@ -88,7 +88,7 @@ where (now is not null or us + {DAY * 1_000_000} > later_us) and case when now i
 def stream_correlate(spark, sf):  # noqa: ANN001, ANN201
     def job(r: DataFrame) -> DataFrame:
         r = r.where(F.col("event_type").isin("click", "purchase"))
-        return jobs.stream_correlate(r.select(F.col("user_id").alias("key"), "ts", "us", "ord", (F.col("event_type") == "click").alias("capture"), F.col("ip").alias("value")), DAY, DAY)
+        return jobs.stream_correlate(r.select(F.col("user_id").alias("key"), "ts", "us", "ord", (F.col("event_type") == "click").alias("capture"), F.col("ip").alias("value")), ["value"], DAY, DAY)
 
     return _streamed(spark, sf, job).select("offense_ord", "us", "value")
 
@@ -102,14 +102,14 @@ def stream_stages(spark, sf):  # noqa: ANN001, ANN201
 
 @Q.query(Q.ORACLES["distinct_score"] + " where us <= " + BEHIND.format("true"))
 def stream_distinct(spark, sf):  # noqa: ANN001, ANN201
-    row = [F.lit("kur:web").alias("bucket"), F.col("user_id").alias("key"), "ts", "us", "ord", (F.col("k") % 10).cast("string").alias("of")]
+    row = [F.lit("kur:web").alias("bucket"), F.col("user_id").alias("key"), "ts", "us", "ord", Q._seldom((F.col("k") % 10).cast("string")).alias("of")]
     return _streamed(spark, sf, lambda r: jobs.stream_distinct(r.select(*row), 2 * DAY, 4)).drop("bucket")
 
 
-@Q.query(Q.ORACLES["value_count"] + " and us <= " + BEHIND.format("true"))
+@Q.query(Q.ORACLES["value_count"] + " where us <= " + BEHIND.format("true"))
 def stream_values(spark, sf):  # noqa: ANN001, ANN201
-    row = [F.lit("kur:web").alias("bucket"), F.concat(F.lit("a"), F.col("user_id") % 9).alias("key"), "ts", "us", "ord", F.col("ip").alias("of"), F.col("ip").alias("offender")]
-    return _streamed(spark, sf, lambda r: jobs.stream_values(r.select(*row), DAY, 30)).drop("bucket")
+    row = [F.lit("kur:web").alias("bucket"), "key", "ts", "us", "ord", "of", "offender"]
+    return _streamed(spark, sf, lambda r: jobs.stream_values(Q._value_hits(r).select(*row), DAY, 30)).drop("bucket")
 
 
 @Q.query(Q.ORACLES["subnet_score"].replace(", us as last", "") + " and us <= " + BEHIND.format("true"))

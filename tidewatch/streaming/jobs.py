@@ -1,8 +1,11 @@
 """Stateful operators on Structured Streaming.
 
-Rows are taken in event time: a key's rows of a micro-batch join those it holds, and what the watermark has
-passed is judged in (us, ord) order, so that results are those of the batch operators. Rows later than the
-watermark are dropped by Spark and counted in the query's progress.
+Rows are taken in event time: a key's rows wait in a state table until the watermark has passed them, and are judged in (us, ord)
+order, so that results are those of the batch operators. Rows later than the watermark are dropped by Spark and counted
+in the query's progress.
+
+State is kept by ``transformWithState`` in tables of the state store, a row for each thing that is held: a micro-batch reads and
+writes the rows that change, however many its key holds. That needs the RocksDB provider, which ``with_state_store`` sets.
 """
 
 from __future__ import annotations
@@ -11,18 +14,22 @@ import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..operators.common import SECOND
 from ..operators.match import Rule, match_rules, parsed_lines
 from ..operators.score import subnet_deposits
 from ..operators.stages import Stage
 
-#: Rows that wait for the watermark, the fold's own state, and when the key was last heard of.
-STATE = "rows string, fold string, until long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """The session, with the state store that these jobs need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return spark
 
 
 def stream_parse_match(lines: DataFrame, parser: Callable, rules: list[Rule], fields: list[str]) -> DataFrame:
@@ -32,183 +39,498 @@ def stream_parse_match(lines: DataFrame, parser: Callable, rules: list[Rule], fi
     return match_rules(flat, rules, "message", fields)
 
 
-def keyed_fold(
-    rows: DataFrame, keys: list[str], cols: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], out: str, delay: str, hold: int,
-    due: Callable[[object], int | None] | None = None, quiet: Callable[[object], list[tuple]] | None = None,
-) -> DataFrame:
-    """Ordered fold of a stream. ``rows`` has ``ts``, and ``us`` and ``ord`` among ``cols``; a key that is quiet for
-    ``hold`` seconds behind the watermark is let go. Once the watermark has passed ``due`` of the state, ``quiet`` of it is given out.
-
-    A key holds what the watermark hasn't passed, and what a micro-batch brings: a source that gives a few files at a
-    time, in the order of time, bounds both.
-    """
-    import json
-
-    names = [p.strip().split(" ")[0] for p in out.split(",")]
-    at_us, at_ord = cols.index("us"), cols.index("ord")
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, fold = [], None
-        if state.exists:
-            rows_json, fold_json, _ = state.get
-            held, fold = json.loads(rows_json), json.loads(fold_json)
-        for batch in batches:
-            held.extend([x.item() if hasattr(x, "item") else x for x in r] for r in batch[cols].itertuples(index=False, name=None))
-        fold = start() if fold is None else fold
-        mark = state.getCurrentWatermarkMs() * 1000
-        held.sort(key=lambda r: (r[at_us], r[at_ord]))
-        ready = [r for r in held if r[at_us] <= mark]
-        held = held[len(ready) :]
-        made = [x for r in ready for x in step(fold, tuple(r))]
-        waits = due(fold) if due is not None else None
+class Fold:
+    """What a key keeps from row to row, in state tables, and what each row does to it."""
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def load(self) -> None:
+        """Begin with a key, before its rows."""
+
+    def step(self, row: tuple) -> list[tuple]:
+        raise NotImplementedError
+
+    def save(self) -> None:
+        """Write what the key's rows have changed."""
+
+    def due(self) -> int | None:
+        """When something is to be given out though no row comes, in microseconds; then ``quiet`` gives it."""
+        return None
+
+    def quiet(self) -> list[tuple]:
+        return []
+
+    def clear(self) -> None:
+        """The key has been quiet for so long that nothing it holds counts."""
+        raise NotImplementedError
+
+    def seed(self, cols: list[str], rows: list[tuple]) -> int:
+        """Begin a stream with what an earlier run has left of the key; when it was last heard of."""
+        raise NotImplementedError
+
+
+class Queue:
+    """A queue in a state table: numbered entries. What is pushed and popped within a batch is never written."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, kind: str):
+        self.table = handle.getMapState(name, "n long", kind)
+
+    def load(self, head: int, tail: int) -> None:
+        self.head, self.tail = head, tail
+        self.new: dict[int, tuple] = {}
+        self.gone: list[int] = []
+        self.front: tuple | None = None
+        self.stored = tail > head
+
+    def __len__(self) -> int:
+        return self.tail - self.head
+
+    def push(self, entry: tuple) -> None:
+        self.new[self.tail] = entry
+        self.tail += 1
+
+    def first(self) -> tuple:
+        if self.front is None:
+            self.front = self.new.get(self.head) or tuple(self.table.getValue((self.head,)))
+        return self.front
+
+    def pop(self) -> tuple:
+        entry = self.first()
+        if self.new.pop(self.head, None) is None:
+            self.gone.append(self.head)
+        self.head, self.front = self.head + 1, None
+        return entry
+
+    def entries(self) -> list[tuple]:
+        """All entries in order, those of the table by one scan of it."""
+        held = {k[0]: tuple(v) for k, v in self.table.iterator()} if self.stored else {}
+        return [(held | self.new)[n] for n in range(self.head, self.tail)]
+
+    def clear(self) -> None:
+        if self.stored:
+            self.table.clear()
+        self.head, self.front, self.new, self.gone, self.stored = self.tail, None, {}, [], False
+
+    def save(self) -> None:
+        for n in self.gone:
+            self.table.removeKey((n,))
+        for n, entry in self.new.items():
+            self.table.updateValue((n,), entry)
+
+
+class _Keyed(StatefulProcessor):
+    """Rows wait for the watermark in a table by (us, ord), then go through the fold in that order."""
+
+    def __init__(self, fold: Fold, cols: list[str], kinds: str, out: list[str], hold: int):
+        self.fold, self.cols, self.kinds, self.out, self.hold = fold, cols, kinds, out, hold
+        self.us, self.ord = cols.index("us"), cols.index("ord")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("waiting", "us long, ord long", self.kinds)
+        self.heard = handle.getValueState("heard", "us long")
+        self.fold.open(handle)
+
+    def made(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in rows], columns=self.out, dtype=object)
+
+    def wake(self, us: int, mark: int) -> None:
+        self.handle.registerTimer(max(us // 1000 - 1, mark // 1000))  # it goes off once the watermark is past it
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        first = None
+        for batch in rows:
+            for row in batch[self.cols].itertuples(index=False, name=None):
+                values = tuple(map(_plain, row))
+                us = values[self.us]
+                self.rows.updateValue((us, values[self.ord]), values)
+                first = us if first is None else min(first, us)
+        if first is not None:
+            self.wake(first, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield self.made(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, nexts = [], []
+        for at, values in self.rows.iterator():
+            if at[0] <= mark:
+                ready.append((tuple(at), tuple(values)))
+            else:
+                nexts.append(at[0])
+        self.fold.load()
+        made: list[tuple] = []
+        for at, row in sorted(ready, key=lambda x: x[0]):
+            made += self.fold.step(row)
+            self.rows.removeKey(at)
+        waits = self.fold.due()
         if waits is not None and waits <= mark:
-            made += quiet(fold)
-            waits = None
-        if state.hasTimedOut and not held and waits is None:
-            state.remove()
+            made += self.fold.quiet()
+        elif waits is not None:
+            nexts.append(waits)
+        if ready:
+            last = max(at[0] for at, _ in ready)
+            self.heard.update((last,))
         else:
-            newest = held[-1][at_us] if held else max(mark, ready[-1][at_us] if ready else 0)
-            state.update((json.dumps(held), json.dumps(fold), newest))
-            # held rows are judged once the watermark has passed them; an idle key goes after ``hold``
-            wake = min([held[0][at_us] if held else newest + hold * SECOND, *([waits] if waits is not None else [])])
-            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame.from_records([(*key, *x) for x in made], columns=[*keys, *names])
+            last = self.heard.get()[0] if self.heard.exists() else None
+        if last is not None:
+            nexts.append(last + self.hold * SECOND)
+        if not ready and last is not None and nexts == [nexts[-1]] and nexts[-1] <= mark:  # nothing waits: an idle key is let go
+            self.fold.clear()
+            self.heard.clear()
+        else:
+            self.fold.save()
+            if nexts:
+                self.wake(min(nexts), mark)
+        yield self.made(key, made)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: ANN001, N802, N803
+        rows = [tuple(map(_plain, r)) for r in initialState.itertuples(index=False, name=None)]
+        self.fold.load()
+        newest = self.fold.seed(initialState.columns.tolist(), rows)
+        self.fold.save()
+        self.heard.update((newest,))
+        self.wake(newest + self.hold * SECOND, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
 
+def _plain(x: object) -> object:
+    """A Python value of a pandas one, None if it is missing."""
+    if x is None or x is pd.NA or x != x:
+        return None
+    return x.item() if hasattr(x, "item") else x
+
+
+def keyed_fold(rows: DataFrame, keys: list[str], cols: list[str], fold: Fold, out: str, delay: str, hold: int, seed: DataFrame | None = None) -> DataFrame:
+    """Ordered fold of a stream. ``rows`` has ``ts``, and ``us`` and ``ord`` among ``cols``; a key that is quiet for
+    ``hold`` seconds behind the watermark is let go. ``seed``: what an earlier run has left, of the same keys, as the fold says."""
+    with_state_store(rows.sparkSession)
     kinds = dict(rows.dtypes)
+    names = [*keys, *(p.strip().split(" ")[0] for p in out.split(", "))]
+    processor = _Keyed(fold, cols, ", ".join(f"{c} {kinds[c]}" for c in cols), names, hold)
+    grouped = rows.withWatermark("ts", delay).groupBy(*keys)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), out])
-    return (
-        rows.withWatermark("ts", delay).groupBy(*keys)
-        .applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    return grouped.transformWithStateInPandas(processor, schema, "Append", "EventTime", seed.groupBy(*keys) if seed is not None else None)
 
 
-def _expire(s: dict, us: int, span: int) -> None:
-    """Let go of hits that ``us`` no longer sees, and of their weights in the sum."""
-    live, n = s["live"], 0
-    while n < len(live) and us - live[n][0] >= span:
-        s["sum"] -= live[n][1]
-        n += 1
-    del live[:n]
+class Bucket(Fold):
+    """Live hits and the sum of their weights; a crossing empties it. With ``members`` each has one, and a crossing tells them."""
 
+    def __init__(self, find_time: int, max_score: int, members: bool = False):
+        self.span, self.most, self.members = find_time * SECOND, max_score, members
 
-def stream_score(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes") -> DataFrame:
-    """Crossings of (bucket, key, ts, us, ord, w): (bucket, key, us, ord, score)."""
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.ends = handle.getValueState("ends", "head long, tail long, total long")
+        self.live = Queue(handle, "live", "us long, w long" + (", member string" if self.members else ""))
 
-    def step(s: dict, row: tuple) -> list[tuple]:
-        us, order, w = row
-        _expire(s, us, find_time * SECOND)
-        s["live"].append([us, w])
-        s["sum"] += w
-        if s["sum"] < max_score:
+    def load(self) -> None:
+        head, tail, self.total = self.ends.get() or (0, 0, 0)
+        self.live.load(head, tail)
+
+    def add(self, us: int, w: int, *member: str) -> None:
+        self.live.push((us, w, *member))
+        self.total += w
+        while us - self.live.first()[0] >= self.span:
+            self.total -= self.live.pop()[1]
+
+    def step(self, row: tuple) -> list[tuple]:
+        us, order, w, *member = row
+        self.add(us, w, *member)
+        score = self.total
+        if score < self.most:
             return []
-        score = s["sum"]
-        s.update(live=[], sum=0)
-        return [(us, order, score)]
+        held = self.live.entries() if self.members else []
+        self.live.clear()
+        self.total = 0
+        return [(us, order, score, len(held), list(dict.fromkeys(x[2] for x in held)), held[0][0])] if self.members else [(us, order, score)]
+
+    def save(self) -> None:
+        self.live.save()
+        self.ends.update((self.live.head, self.live.tail, self.total))
+
+    def clear(self) -> None:
+        self.live.clear()
+        self.ends.clear()
+
+    def seed(self, cols: list[str], rows: list[tuple]) -> int:
+        for us, _, *rest in sorted(_of(cols, r, "us", "ord", "w", *(["member"] if self.members else [])) for r in rows):
+            self.add(us, *rest)
+        return self.live.entries()[-1][0]
+
+
+def _of(cols: list[str], row: tuple, *names: str) -> tuple:
+    return tuple(row[cols.index(n)] for n in names)
+
+
+class Values(Fold):
+    """The values seen lately, and the sights of each in order. A crossing empties the set: each one, or (with offenders)
+    that of the key itself."""
+
+    def __init__(self, find_time: int, max_score: int, offenders: bool = False):
+        self.span, self.most, self.offenders = find_time * SECOND, max_score, offenders
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.ends = handle.getValueState("ends", "head long, tail long, n long")
+        self.seen = handle.getMapState("seen", "of string", "us long")
+        self.sights = Queue(handle, "sights", "us long, of string")
+
+    def load(self) -> None:
+        head, tail, self.n = self.ends.get() or (0, 0, 0)
+        self.sights.load(head, tail)
+        self.known: dict[str, int | None] = {}
+        self.changed: set[str] = set()
+
+    def last(self, of: str) -> int | None:
+        if of not in self.known:
+            got = self.seen.getValue((of,)) if self.sights.stored else None
+            self.known[of] = got[0] if got is not None else None
+        return self.known[of]
+
+    def put(self, of: str, us: int | None) -> None:
+        self.known[of] = us
+        self.changed.add(of)
+
+    def add(self, us: int, of: str | None) -> None:
+        if of:
+            self.n += self.last(of) is None
+            self.put(of, us)
+            self.sights.push((us, of))
+        while len(self.sights) and us - self.sights.first()[0] >= self.span:
+            at, value = self.sights.pop()
+            if self.last(value) == at:
+                self.put(value, None)
+                self.n -= 1
+
+    def empty(self) -> None:
+        if self.sights.stored:
+            self.seen.clear()
+        self.sights.clear()
+        self.n, self.known, self.changed = 0, {}, set()
+
+    def step(self, row: tuple) -> list[tuple]:
+        us, order, of, *offender = row
+        self.add(us, of)
+        score = self.n
+        crossed = score >= self.most
+        if crossed and (not offender or offender[0] == offender[1]):
+            self.empty()
+        if not offender:
+            return [(us, order, score, crossed)]
+        return [(us, order, offender[0], score)] if crossed else []
+
+    def save(self) -> None:
+        for of in self.changed:
+            if self.known[of] is not None:
+                self.seen.updateValue((of,), (self.known[of],))
+            elif self.sights.stored:
+                self.seen.removeKey((of,))
+        self.sights.save()
+        self.ends.update((self.sights.head, self.sights.tail, self.n))
+
+    def clear(self) -> None:
+        self.empty()
+        self.ends.clear()
+
+    def seed(self, cols: list[str], rows: list[tuple]) -> int:
+        held = sorted(_of(cols, r, "us", "ord", "of") for r in rows)
+        for us, _, of in held:
+            self.add(us, of)
+        return held[-1][0]
+
+
+class Brand(Fold):
+    """A mark: since when, its value, until when."""
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("mark", "first long, value string, expires long")
+
+    def load(self) -> None:
+        self.mark = self.was = self.state.get()
+
+    def step(self, row: tuple) -> list[tuple]:
+        us, order, op, value, ttl = row
+        live = self.mark is not None and self.mark[2] > us
+        if op == "probe":
+            return [(us, order, live, self.mark[1] if live else None, self.mark[0] if live else None)]
+        self.mark = None if op == "unset" else (self.mark[0] if live else us, value, us + ttl * SECOND)
+        return []
 
-    return keyed_fold(hits, ["bucket", "key"], ["us", "ord", "w"], lambda: {"live": [], "sum": 0}, step, "us long, ord long, score long", delay, find_time)
+    def save(self) -> None:
+        if self.mark is None and self.was is not None:
+            self.state.clear()
+        elif self.mark is not None and self.mark != self.was:
+            self.state.update(self.mark)
 
+    def clear(self) -> None:
+        self.state.clear()
 
-def stream_subnets(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Crossings of networks of (bucket, key: address, ts, us, ord, w): (bucket, key: network, us, ord, score, hits, members, first)."""
-    nets = subnet_deposits(hits, prefix_v4, prefix_v6, keep=["ts"])
+    def seed(self, cols: list[str], rows: list[tuple]) -> int:
+        self.mark = max((_of(cols, r, "first_set", "value", "expires") for r in rows), key=lambda m: m[2])
+        return self.mark[2]
 
-    def step(s: dict, row: tuple) -> list[tuple]:
-        us, order, w, member = row
-        _expire(s, us, find_time * SECOND)
-        s["live"].append([us, w, member])
-        s["sum"] += w
-        if s["sum"] < max_score:
-            return []
-        out = (us, order, s["sum"], len(s["live"]), list(dict.fromkeys(x[2] for x in s["live"])), s["live"][0][0])
-        s.update(live=[], sum=0)
-        return [out]
 
-    return keyed_fold(nets, ["bucket", "key"], ["us", "ord", "w", "member"], lambda: {"live": [], "sum": 0}, step, "us long, ord long, score long, hits long, members array<string>, first long", delay, find_time)
+class Record(Fold):
+    """A tracked record: when it was harvested last, and its fields."""
 
+    def __init__(self, fields: list[str], ttl: int):
+        self.fields, self.span = fields, ttl * SECOND
 
-def _see(seen: dict, of: str, us: int, span: int) -> None:
-    """``seen``: value -> last sight, in that order."""
-    seen.pop(of, None)
-    seen[of] = us
-    while us - next(iter(seen.values())) >= span:
-        del seen[next(iter(seen))]
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("record", ", ".join(["seen long", *(f"f{k} string" for k in range(len(self.fields)))]))
 
+    def load(self) -> None:
+        self.record = self.was = self.state.get()
 
-def stream_distinct(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes") -> DataFrame:
-    """Different values ``of`` of (bucket, key, ts, us, ord, of): (bucket, key, us, ord, score, crossed); a crossing empties the set."""
+    def step(self, row: tuple) -> list[tuple]:
+        us, order, harvests, *values = row
+        none = (None,) * len(self.fields)
+        live = self.record is not None and us - self.record[0] < self.span
+        before = tuple(self.record[1:]) if live else none
+        after = before
+        if harvests:
+            after = tuple(b if v is None else v for v, b in zip(values, before, strict=True))
+            self.record = (us, *after)
+        return [(us, order, live, *before, *after)]
 
-    def step(seen: dict, row: tuple) -> list[tuple]:
-        us, order, of = row
-        _see(seen, of, us, find_time * SECOND)
-        score = len(seen)
-        if score >= max_score:
-            seen.clear()
-        return [(us, order, score, score >= max_score)]
+    def save(self) -> None:
+        if self.record is not None and self.record != self.was:
+            self.state.update(self.record)
 
-    rows = hits.where("of is not null and of <> ''")
-    return keyed_fold(rows, ["bucket", "key"], ["us", "ord", "of"], dict, step, "us long, ord long, score long, crossed boolean", delay, find_time)
+    def clear(self) -> None:
+        self.state.clear()
 
+    def seed(self, cols: list[str], rows: list[tuple]) -> int:
+        expires, fields = max((_of(cols, r, "expires", "fields") for r in rows), key=lambda x: x[0])
+        fields = dict(fields)
+        self.record = (expires - self.span, *(fields.get(f) for f in self.fields))
+        return expires - self.span
 
-def stream_values(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes") -> DataFrame:
-    """Hits (bucket, key, ts, us, ord, of, offender) whose key's set has max_score values: (bucket, key, us, ord, offender, score)."""
 
-    def step(seen: dict, row: tuple) -> list[tuple]:
-        us, order, of, offender = row
-        _see(seen, of, us, find_time * SECOND)
-        return [(us, order, offender, len(seen))] if len(seen) >= max_score else []
+class Capture(Fold):
+    """The latest capture, and the offenses that wait for one."""
 
-    rows = hits.where("of is not null and of <> ''")
-    return keyed_fold(rows, ["bucket", "key"], ["us", "ord", "of", "offender"], dict, step, "us long, ord long, offender string, score long", delay, find_time)
+    def __init__(self, fields: list[str], ttl: int, defer: int, most: int):
+        self.fields, self.ttl, self.defer, self.most = fields, ttl * SECOND, defer * SECOND, most
 
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("capture", ", ".join(["us long", *(f"f{k} string" for k in range(len(self.fields)))]))
+        self.ends = handle.getValueState("ends", "head long, tail long")
+        self.waits = Queue(handle, "offenses", "us long, ord long")
 
-def stream_marks(rows: DataFrame, ttl_max: int, delay: str = "10 minutes") -> DataFrame:
-    """Rows (name, key, ts, us, ord, op 'set', 'unset' or 'probe', value, ttl): for each probe (us, ord, live, value, first_set)."""
+    def load(self) -> None:
+        self.held = self.was = self.state.get()
+        self.waits.load(*(self.ends.get() or (0, 0)))
 
-    def step(mark: dict, row: tuple) -> list[tuple]:
-        us, order, op, value, ttl = row
-        live = bool(mark) and mark["expires"] > us
-        if op == "probe":
-            return [(us, order, live, mark["value"] if live else None, mark["first"] if live else None)]
-        if op == "unset":
-            mark.clear()
-        else:
-            mark.update(first=mark["first"] if live else us, value=value, expires=us + int(ttl) * SECOND)
+    def step(self, row: tuple) -> list[tuple]:
+        us, order, capture, *values = row
+        if capture:
+            self.held = (us, *values)
+            done = [(o, us, order, *values) for t, o in self.waits.entries() if t + self.defer > us]
+            self.waits.clear()
+            return done
+        if self.held is not None and self.held[0] + self.ttl > us:
+            return [(order, us, order, *self.held[1:])]
+        self.waits.push((us, order))
+        if len(self.waits) > self.most:
+            self.waits.pop()
         return []
 
-    return keyed_fold(rows, ["name", "key"], ["us", "ord", "op", "value", "ttl"], dict, step, "us long, ord long, live boolean, value string, first_set long", delay, ttl_max)
+    def save(self) -> None:
+        if self.held is not None and self.held != self.was:
+            self.state.update(self.held)
+        self.waits.save()
+        self.ends.update((self.waits.head, self.waits.tail))
 
+    def clear(self) -> None:
+        self.state.clear()
+        self.waits.clear()
+        self.ends.clear()
 
-def stream_tracks(rows: DataFrame, field: str, ttl: int, delay: str = "10 minutes") -> DataFrame:
-    """Rows (key, ts, us, ord, harvests, <field>): (us, ord, live_before, before, after) of the record's field at each row."""
 
-    def step(rec: dict, row: tuple) -> list[tuple]:
-        us, order, harvests, value = row
-        live = bool(rec) and us - rec["seen"] < ttl * SECOND
-        before = rec.get("v") if live else None
-        if harvests:
-            rec.update(v=value if value is not None else before, seen=us)
-        after = rec.get("v") if harvests or live else None
-        return [(us, order, live, before, after)]
+class Small(Fold):
+    """State of bounded size, as one text: ``start`` makes it, ``step`` changes it."""
 
-    return keyed_fold(rows, ["key"], ["us", "ord", "harvests", field], dict, step, "us long, ord long, live_before boolean, before string, after string", delay, ttl)
+    def __init__(self, start: Callable[[], dict], step: Callable[[dict, tuple], list[tuple]], due: Callable[[dict], int | None] | None = None, quiet: Callable[[dict], list[tuple]] | None = None):
+        self.begin, self.one, self.when, self.last = start, step, due, quiet
 
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", "text string")
 
-def stream_correlate(rows: DataFrame, ttl: int, defer: int, most: int = 100, delay: str = "10 minutes") -> DataFrame:
-    """Rows (key, ts, us, ord, capture boolean, value): offenses resolved by the latest capture, or by the first later one:
-    (offense_ord, us, ord, value), us and ord of the moment it happens."""
+    def load(self) -> None:
+        import json
+
+        got = self.state.get()
+        self.held = json.loads(got[0]) if got is not None else self.begin()
+
+    def step(self, row: tuple) -> list[tuple]:
+        return self.one(self.held, row)
+
+    def due(self) -> int | None:
+        return self.when(self.held) if self.when is not None else None
+
+    def quiet(self) -> list[tuple]:
+        return self.last(self.held)
+
+    def save(self) -> None:
+        import json
+
+        self.state.update((json.dumps(self.held),))
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+def stream_score(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes", seed: DataFrame | None = None) -> DataFrame:
+    """Crossings of (bucket, key, ts, us, ord, w): (bucket, key, us, ord, score). ``seed``: live hits (bucket, key, us, ord, w)
+    of an earlier run, which count and don't cross."""
+    return keyed_fold(hits, ["bucket", "key"], ["us", "ord", "w"], Bucket(find_time, max_score), "us long, ord long, score long", delay, find_time, seed)
+
+
+def stream_subnets(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None, delay: str = "10 minutes", seed: DataFrame | None = None) -> DataFrame:
+    """Crossings of networks of (bucket, key: address, ts, us, ord, w): (bucket, key: network, us, ord, score, hits, members, first).
+    ``seed``: deposits (bucket, key: network, us, ord, w, member)."""
+    nets = subnet_deposits(hits, prefix_v4, prefix_v6, keep=["ts"])
+    out = "us long, ord long, score long, hits long, members array<string>, first long"
+    return keyed_fold(nets, ["bucket", "key"], ["us", "ord", "w", "member"], Bucket(find_time, max_score, members=True), out, delay, find_time, seed)
+
+
+def stream_distinct(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes", seed: DataFrame | None = None) -> DataFrame:
+    """Different values ``of`` of (bucket, key, ts, us, ord, of): (bucket, key, us, ord, score, crossed); a crossing empties the set.
+    Hits without a value are judged by the set as it is. ``seed``: sights (bucket, key, us, ord, of)."""
+    return keyed_fold(_keyed(hits), ["bucket", "key"], ["us", "ord", "of"], Values(find_time, max_score), "us long, ord long, score long, crossed boolean", delay, find_time, seed)
+
+
+def stream_values(hits: DataFrame, find_time: int, max_score: int, delay: str = "10 minutes", seed: DataFrame | None = None) -> DataFrame:
+    """Hits (bucket, key, ts, us, ord, of, offender) whose key's set has max_score values: (bucket, key, us, ord, offender, score);
+    a ban of the key itself empties its set."""
+    rows = _keyed(hits).withColumn("own", F.col("key"))
+    return keyed_fold(rows, ["bucket", "key"], ["us", "ord", "of", "offender", "own"], Values(find_time, max_score, offenders=True), "us long, ord long, offender string, score long", delay, find_time, seed)
+
+
+def _keyed(hits: DataFrame) -> DataFrame:
+    return hits.where(F.coalesce(F.col("key").cast("string") != "", F.lit(False)))
+
+
+def stream_marks(rows: DataFrame, ttl_max: int, delay: str = "10 minutes", seed: DataFrame | None = None) -> DataFrame:
+    """Rows (name, key, ts, us, ord, op 'set', 'unset' or 'probe', value, ttl): for each probe (us, ord, live, value, first_set).
+    ``seed``: live marks (name, key, value, first_set, expires)."""
+    return keyed_fold(rows, ["name", "key"], ["us", "ord", "op", "value", "ttl"], Brand(), "us long, ord long, live boolean, value string, first_set long", delay, ttl_max, seed)
+
+
+def stream_tracks(rows: DataFrame, fields: list[str], ttl: int, delay: str = "10 minutes", seed: DataFrame | None = None) -> DataFrame:
+    """Rows (key, ts, us, ord, harvests, fields...): (us, ord, live_before, before_<f>..., after_<f>...) of the record at each row.
+    ``seed``: live records (key, expires, fields map)."""
+    out = ", ".join(["us long", "ord long", "live_before boolean", *(f"{when}_{f} string" for when in ("before", "after") for f in fields)])
+    return keyed_fold(rows, ["key"], ["us", "ord", "harvests", *fields], Record(fields, ttl), out, delay, ttl, seed)
 
-    def step(s: dict, row: tuple) -> list[tuple]:
-        us, order, capture, value = row
-        if capture:
-            s["c"] = [us, value]
-            done = [(o, us, order, value) for t, o in s.pop("wait", []) if t + defer * SECOND > us]
-            return done
-        if "c" in s and s["c"][0] + ttl * SECOND > us:
-            return [(order, us, order, s["c"][1])]
-        s["wait"] = [*s.get("wait", []), [us, order]][-most:]
-        return []
 
-    return keyed_fold(rows, ["key"], ["us", "ord", "capture", "value"], dict, step, "offense_ord long, us long, ord long, value string", delay, max(ttl, defer))
+def stream_correlate(rows: DataFrame, fields: list[str], ttl: int, defer: int, most: int = 100, delay: str = "10 minutes") -> DataFrame:
+    """Rows (key, ts, us, ord, capture boolean, fields...): offenses resolved by the latest capture, or by the first later one:
+    (offense_ord, us, ord, fields...), us and ord of the moment it happens."""
+    out = ", ".join(["offense_ord long", "us long", "ord long", *(f"{f} string" for f in fields)])
+    return keyed_fold(rows, ["key"], ["us", "ord", "capture", *fields], Capture(fields, ttl, defer, most), out, delay, max(ttl, defer))
 
 
 def stream_stages(rows: DataFrame, stages: list[Stage], delay: str = "10 minutes") -> DataFrame:
@@ -233,7 +555,7 @@ def stream_stages(rows: DataFrame, stages: list[Stage], delay: str = "10 minutes
         s.update(at=0, n=0, hits=0)
         return [(us, order, n)]
 
-    return keyed_fold(rows, ["key"], ["us", "ord", "stage"], dict, step, "us long, ord long, n_hits long", delay, max(x.within for x in stages))
+    return keyed_fold(rows, ["key"], ["us", "ord", "stage"], Small(dict, step), "us long, ord long, n_hits long", delay, max(x.within for x in stages))
 
 
 def stream_join_multiline(lines: DataFrame, continuation: str, max_lines: int = 50, flush_after: int = 2, delay: str = "10 seconds") -> DataFrame:
@@ -263,7 +585,8 @@ def stream_join_multiline(lines: DataFrame, continuation: str, max_lines: int =
         return done
 
     out = "seq long, line string, n_lines long"
-    return keyed_fold(lines, ["source"], ["us", "ord", "line"], dict, step, out, delay, max(3600, flush_after), due=lambda s: s["us"] + span if s else None, quiet=quiet)
+    fold = Small(dict, step, lambda s: s["us"] + span if s else None, quiet)
+    return keyed_fold(lines, ["source"], ["us", "ord", "line"], fold, out, delay, max(3600, flush_after))
 
 
 class LateRows(StreamingQueryListener):
