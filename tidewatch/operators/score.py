@@ -53,6 +53,26 @@ def with_thresholds(hits: DataFrame, find_time: int | None, max_score: int | Non
     return hits.withColumns({n: (F.col(n) if v is None else F.lit(v)).cast("long") for n, v in (("find_time", find_time), ("max_score", max_score))})
 
 
+def with_carried(hits: DataFrame, seed: DataFrame | None, cols: list[str]) -> DataFrame:
+    """``cols`` of hits, and of what an earlier run has left: those rows count, but were judged then (``_old``)."""
+    rows = hits.select(*cols, F.lit(False).alias("_old"))
+    if seed is None:
+        return rows
+    kinds = dict(hits.dtypes)
+    old = [(F.col(c) if c in seed.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in cols if c in kinds]
+    return rows.unionByName(seed.select(*old, F.lit(True).alias("_old")))
+
+
+def live_hits(hits: DataFrame, crossings: DataFrame | None, find_time: int, as_of: int) -> DataFrame:
+    """The hits up to ``as_of`` that a later one may still see: within find_time, and after the key's last crossing. What a
+    snapshot keeps for the next run."""
+    rows = hits.where((F.col("us") <= as_of) & (F.col("us") > as_of - find_time * SECOND))
+    if crossings is None:
+        return rows
+    last = crossings.where(F.col("us") <= as_of).groupBy("bucket", "key").agg(F.max(F.struct("us", "ord")).alias("_cross"))
+    return rows.join(last, ["bucket", "key"], "left").where(F.col("_cross").isNull() | (F.struct("us", "ord") > F.col("_cross"))).drop("_cross")
+
+
 def sessions(hits: DataFrame, find_time: int | None = None) -> DataFrame:
     """Add ``session``: a hit that comes its find_time or more after the one before finds an empty bucket, whatever the
     find_time of the others, so what lies on its sides can be counted apart."""
@@ -73,7 +93,7 @@ def _judged_sessions(split: DataFrame, total: Column, max_score: int | None) ->
     return split.withColumn("_can", total.over(session) >= least)
 
 
-def _bucket_step(state: list, us: int, w: int, find_time: int, max_score: int) -> tuple[int, bool]:
+def _bucket_step(state: list, us: int, w: int, find_time: int, max_score: int, old: bool) -> tuple[int, bool]:
     """Score of a hit and whether it crosses. ``state``: the live hits and their sum. Of hits in the order of time those
     are let go that this one no longer sees, for good, even if a later hit has a longer find_time."""
     live, span = state[0], find_time * SECOND
@@ -82,41 +102,50 @@ def _bucket_step(state: list, us: int, w: int, find_time: int, max_score: int) -
     while live and us - live[0][0] >= span:
         state[1] -= live.popleft()[1]
     score = state[1]
-    crossed = score >= max_score
+    crossed = not old and score >= max_score
     if crossed:
         live.clear()
         state[1] = 0
     return score, crossed
 
 
-def threshold_crossings(hits: DataFrame, find_time: int | None = None, max_score: int | None = None) -> DataFrame:
+_SCORED = ["bucket", "key", "us", "ord", "w", "find_time", "max_score"]
+
+
+def threshold_crossings(hits: DataFrame, find_time: int | None = None, max_score: int | None = None, seed: DataFrame | None = None) -> DataFrame:
     """(bucket, key, us, ord, score) of each hit that reaches max_score; a crossing empties the bucket.
 
-    Without ``find_time`` or ``max_score`` each hit races its own, from columns of these names (``effective_thresholds``)."""
-    rows = with_thresholds(hits, find_time, max_score).select("bucket", "key", "us", "ord", "w", "find_time", "max_score")
+    Without ``find_time`` or ``max_score`` each hit races its own, from columns of these names (``effective_thresholds``).
+    ``seed``: hits that an earlier run has left live (``live_hits``)."""
+    rows = with_carried(with_thresholds(hits, find_time, max_score), _seeded(seed, find_time, max_score), _SCORED)
     can = can_cross(sessions(rows, find_time), F.sum("w"), max_score)
 
     def step(state: list, row: tuple) -> list[tuple]:
-        bucket, key, us, order, w, span, most, _ = row
-        score, crossed = _bucket_step(state, us, w, span, most)
+        bucket, key, us, order, w, span, most, old, _ = row
+        score, crossed = _bucket_step(state, us, w, span, most, old)
         return [(bucket, key, us, order, score)] if crossed else []
 
     return ordered_fold(can, ["bucket", "key", "session"], ["us", "ord"], lambda: [deque(), 0], step, f"bucket string, key {dict(hits.dtypes)['key']}, us long, ord long, score {dict(hits.dtypes)['w']}")
 
 
-def event_scores(hits: DataFrame, find_time: int | None = None, max_score: int | None = None) -> DataFrame:
+def _seeded(seed: DataFrame | None, find_time: int | None, max_score: int | None) -> DataFrame | None:
+    return None if seed is None else with_thresholds(seed, find_time, max_score)
+
+
+def event_scores(hits: DataFrame, find_time: int | None = None, max_score: int | None = None, seed: DataFrame | None = None) -> DataFrame:
     """(bucket, key, us, ord, score, crossed, threshold) of every hit, as its event carries them: after a crossing the score
     begins anew, and the threshold is the hit's own. Thresholds as for ``threshold_crossings``.
 
     Sessions that can't cross are window sums, the others are folded; where each hit has a find_time of its own all are.
     """
     kind = dict(hits.dtypes)
-    rows = with_thresholds(hits, find_time, max_score).select("bucket", "key", "us", "ord", "w", "find_time", "max_score")
+    rows = with_carried(with_thresholds(hits, find_time, max_score), _seeded(seed, find_time, max_score), _SCORED)
     rows = _judged_sessions(sessions(rows, find_time), F.sum("w"), max_score)
 
     def step(state: list, row: tuple) -> list[tuple]:
-        bucket, key, us, order, w, span, most = row[:7]
-        return [(bucket, key, us, order, *_bucket_step(state, us, w, span, most), most)]
+        bucket, key, us, order, w, span, most, old = row[:8]
+        made = _bucket_step(state, us, w, span, most, old)
+        return [] if old else [(bucket, key, us, order, *made, most)]
 
     schema = f"bucket string, key {kind['key']}, us long, ord long, score {kind['w']}, crossed boolean, threshold long"
     fold = lambda df: ordered_fold(df, ["bucket", "key", "session"], ["us", "ord"], lambda: [deque(), 0], step, schema)
@@ -124,7 +153,7 @@ def event_scores(hits: DataFrame, find_time: int | None = None, max_score: int |
         return fold(rows.drop("_can"))
     session = ["bucket", "key", "session"]
     calm = rows.where("not _can").withColumn("score", _trailing_sum(session, find_time))
-    calm = calm.select("bucket", "key", "us", "ord", F.col("score").cast(kind["w"]).alias("score"), F.lit(False).alias("crossed"), F.col("max_score").cast("long").alias("threshold"))
+    calm = calm.where("not _old").select("bucket", "key", "us", "ord", F.col("score").cast(kind["w"]).alias("score"), F.lit(False).alias("crossed"), F.col("max_score").cast("long").alias("threshold"))
     return calm.unionByName(fold(rows.where("_can").drop("_can")))
 
 
@@ -136,22 +165,24 @@ def _keyed(hits: DataFrame) -> DataFrame:
     return hits.where(F.coalesce(F.col("key").cast("string") != "", F.lit(False)))
 
 
-def distinct_scores(hits: DataFrame, find_time: int, max_score: int | None = None, crossings_only: bool = False) -> DataFrame:
+def distinct_scores(hits: DataFrame, find_time: int, max_score: int | None = None, crossings_only: bool = False, seed: DataFrame | None = None) -> DataFrame:
     """(bucket, key, us, ord, score, crossed): number of different ``of`` values last seen within find_time.
 
     A hit without a value (null or empty) adds none, but is judged by the set as it is, and crosses if that is full; one without
     a key is not counted. With max_score a hit that reaches it crosses and empties the set; without, nothing is emptied (counting
     values of one key by another). Stretches between gaps are folded apart; with ``crossings_only`` those with
-    fewer values than max_score are pruned.
+    fewer values than max_score are pruned. ``seed``: sights that an earlier run has left live.
     """
-    rows = sessions(_keyed(hits).select("bucket", "key", "us", "ord", "of"), find_time)
+    rows = sessions(with_carried(_keyed(hits), seed, ["bucket", "key", "us", "ord", "of"]), find_time)
     if crossings_only:
         rows = can_cross(rows, F.count_if(_valued()), max_score)
     span = find_time * SECOND
 
     def step(seen: dict, row: tuple) -> list[tuple]:
-        bucket, key, us, order, of, _ = row
+        bucket, key, us, order, of, old, _ = row
         score = see(seen, of, us, span)
+        if old:
+            return []
         crossed = max_score is not None and score >= max_score
         if crossed:
             seen.clear()
@@ -170,7 +201,7 @@ def see(seen: dict, of: str | None, us: int, span: int) -> int:
     return len(seen)
 
 
-def value_counts(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
+def value_counts(hits: DataFrame, find_time: int, max_score: int, seed: DataFrame | None = None) -> DataFrame:
     """Hits (key: the counted-by value; ``of``: counted; ``offender``) whose key's set has max_score values: each is a ban row.
 
     A hit without a value adds none and is judged by the set as it is; one without a key is not counted. A ban of the
@@ -179,12 +210,13 @@ def value_counts(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
     Keys that never are the offender are never emptied: a value counts from its sight until find_time after, or until its next
     sight, so the count is a running sum of arrivals and expiries. It is taken in blocks of time, each with what is still
     live from the block before, so that a popular key is many tasks. Keys that are the offender somewhere are folded.
+    ``seed``: sights that an earlier run has left live.
     """
     kinds = dict(hits.dtypes)
     own = F.coalesce(F.col("key").cast("string") == F.col("offender").cast("string"), F.lit(False))
-    rows = _keyed(hits).select("bucket", "key", "us", "ord", "of", "offender")
+    rows = with_carried(_keyed(hits), seed, ["bucket", "key", "us", "ord", "of", "offender"])
     selves = rows.where(own).select("bucket", "key").distinct()
-    blocks = time_blocks(rows.join(selves, ["bucket", "key"], "left_anti"), find_time)
+    blocks = time_blocks(rows.join(selves, ["bucket", "key"], "left_anti"), find_time).withColumn("_own", F.col("_own") & ~F.col("_old"))
     key = ["bucket", "key", "_block"]
     span = find_time * SECOND
     by_value = Window.partitionBy(*key, "of").orderBy("us", "ord")
@@ -198,9 +230,9 @@ def value_counts(hits: DataFrame, find_time: int, max_score: int) -> DataFrame:
     plain = up.unionByName(probes).unionByName(down).withColumn("score", running).where(F.col("_own") & (F.col("score") >= max_score))
 
     def step(seen: dict, row: tuple) -> list[tuple]:
-        bucket, mine, us, order, of, offender, _ = row
+        bucket, mine, us, order, of, offender, old, _ = row
         score = see(seen, of, us, span)
-        if score < max_score:
+        if old or score < max_score:
             return []
         if str(mine) == str(offender):
             seen.clear()
@@ -226,23 +258,24 @@ def subnet_deposits(hits: DataFrame, prefix_v4: int, prefix_v6: int | None = Non
     return nets.select("bucket", F.col("_net").alias("key"), "us", "ord", "w", F.col("key").alias("member"), *(keep or ()))
 
 
-def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None) -> DataFrame:
+def subnet_crossings(hits: DataFrame, prefix_v4: int, find_time: int, max_score: int, prefix_v6: int | None = None, seed: DataFrame | None = None) -> DataFrame:
     """Hits (key: address) counted by network: (bucket, cidr, us, ord, score, hits, members, first, last) of crossings.
 
     IPv6 addresses are counted only with a ``prefix_v6``. ``members`` are the different addresses of the window in the
-    order of first sight. Stretches between gaps are folded apart, and those that cannot cross are pruned.
+    order of first sight. Stretches between gaps are folded apart, and those that cannot cross are pruned. ``seed``: deposits
+    that an earlier run has left live.
     """
-    rows = subnet_deposits(hits, prefix_v4, prefix_v6)
+    rows = with_carried(subnet_deposits(hits, prefix_v4, prefix_v6), seed, ["bucket", "key", "us", "ord", "w", "member"])
     rows = can_cross(sessions(rows, find_time), F.sum("w"), max_score)
     span = find_time * SECOND
 
     def step(state: list, row: tuple) -> list[tuple]:
-        live, (bucket, net, us, order, w, ip, _) = state[0], row
+        live, (bucket, net, us, order, w, ip, old, _) = state[0], row
         while live and us - live[0][0] >= span:
             state[1] -= live.popleft()[1]
         live.append((us, w, ip))
         state[1] += w
-        if state[1] < max_score:
+        if old or state[1] < max_score:
             return []
         out = (bucket, net, us, order, state[1], len(live), list(dict.fromkeys(x[2] for x in live)), live[0][0], us)
         live.clear()

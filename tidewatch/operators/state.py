@@ -18,13 +18,22 @@ SO_FAR = (Window.unboundedPreceding, 0)
 def mark_islands(events: DataFrame) -> DataFrame:
     """Add ``expires`` (null for unset) and ``first_set``: when the mark that is live here was first set."""
     order = Window.partitionBy("name", "key").orderBy("us", "ord")
-    rows = events.withColumn("expires", F.when(F.col("op") == "set", F.col("us") + F.col("ttl").cast("long") * SECOND))
+    expires = F.when(F.col("op") == "set", F.col("us") + F.col("ttl").cast("long") * SECOND)
+    rows = events.withColumn("expires", F.coalesce("expires", expires) if "expires" in events.columns else expires)
     before = F.lag("expires").over(order)
     fresh = (F.col("op") == "set") & (before.isNull() | (before <= F.col("us")))
     started = F.last(F.when(F.col("_fresh"), F.col("us")), ignorenulls=True).over(order.rowsBetween(*SO_FAR))
     return rows.withColumn("_fresh", fresh).withColumn("first_set", F.when(F.col("op") == "set", started)).drop("_fresh")
 
 
+def with_marks(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """Mark events that begin with the live marks of an earlier run, (name, key, value, first_set, expires) as of ``live_marks``."""
+    kinds = dict(events.dtypes)
+    old = {"name": F.col("name"), "key": F.col("key"), "us": F.col("first_set"), "op": F.lit("set"), "value": F.col("value")}
+    rows = marks.select(*((old.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in events.columns), F.col("expires").alias("expires"))
+    return events.withColumn("expires", F.lit(None).cast("long")).unionByName(rows)
+
+
 def as_of_marks(probes: DataFrame, events: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, name, value, first_set, expires) of the marks that are live for each probe's key, of every name.
 
@@ -91,13 +100,18 @@ def compound_key(parts: list[Column]) -> Column:
     return F.when(~F.exists(there, lambda p: p.isNull() | (p == "")), F.array_join(there, "\x1f"))
 
 
-def tracks(rows: DataFrame, fields: list[str], ttl: int) -> DataFrame:
+def tracks(rows: DataFrame, fields: list[str], ttl: int, seed: DataFrame | None = None) -> DataFrame:
     """Add to each row (key, us, ord, harvests boolean, fields...) the track's record: ``before_<f>`` strictly before the
     row, ``after_<f>`` with the row's own harvest, and ``live_before``.
 
-    The newest non-null value of each field wins; each harvest refreshes the record; an expired one begins anew.
+    The newest non-null value of each field wins; each harvest refreshes the record; an expired one begins anew. ``seed``:
+    live records (key, expires, fields...) of an earlier run, as of ``live_tracks``.
     """
     types = dict(rows.dtypes)
+    if seed is not None:
+        old = {"key": F.col("key"), "us": F.col("expires") - ttl * SECOND, "harvests": F.lit(True)} | {f: F.col(f) for f in fields}
+        carried = seed.select(*((old.get(c, F.lit(None))).cast(types[c]).alias(c) for c in rows.columns), F.lit(True).alias("_old"))
+        return tracks(rows.withColumn("_old", F.lit(False)).unionByName(carried), fields, ttl).where("not _old").drop("_old")
     none = {f"{when}_{f}": F.lit(None).cast(types[f]) for f in fields for when in ("after", "before")}
     without = rows.where("key is null").withColumns({"live_before": F.lit(False)} | none)  # most lines of a log: no part of any window
     rows = rows.where("key is not null")

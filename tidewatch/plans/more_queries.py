@@ -220,6 +220,71 @@ def state_files(spark, sf):  # noqa: ANN001, ANN201
     return reduce(DataFrame.unionByName, parts)
 
 
+def _halves(spark: SparkSession, sf: str) -> tuple[int, Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """The middle of the events' time, and what keeps the rows up to it, and those after it."""
+    ends = hits(spark, sf).agg(F.min("us").alias("a"), F.max("us").alias("b")).head()
+    at = ends.a + (ends.b - ends.a) // 2
+    return at, lambda df: df.where(F.col("us") <= at), lambda df: df.where(F.col("us") > at)
+
+
+def _left_over(spark: SparkSession, at: int, **state: DataFrame) -> logs.State:
+    """What a run leaves, written as a snapshot and read for the next."""
+    place = shared_path(spark, "state")
+    none = {"hits": "bucket string, key string, us long, ord long, w long, of string", "marks": "name string, key string, value string, expires long, first_set long"}
+    state = {n: Q.values(spark, schema, []) for n, schema in none.items()} | state
+    logs.snapshot_state(place, state["hits"], state["marks"], state.get("tracks"), state.get("deposits"))
+    return logs.seed_state(spark, place, at, idle=10 * DAY)
+
+
+@Q.query(Q.fold_sql("user_id", "1", DAY, 5) + "select key, us, ord, score, crossed from st")
+def continued_scores(spark, sf):  # noqa: ANN001, ANN201
+    """Scores of two runs, the second from a snapshot of the first: those of one run."""
+    at, before, after = _halves(spark, sf)
+    rows = Q._hits(spark, sf).withColumn("w", F.lit(1).cast("long"))
+    first = C.event_scores(before(rows), DAY, 5)
+    live = C.live_hits(rows, first.where("crossed"), DAY, at).select("bucket", F.col("key").cast("string").alias("key"), "us", "ord", "w", F.lit(None).cast("string").alias("of"))
+    seed = _left_over(spark, at, hits=live).hits
+    return first.unionByName(C.event_scores(after(rows), DAY, 5, seed=seed)).select("key", "us", "ord", "score", "crossed")
+
+
+@Q.query(Q.ORACLES["distinct_score"])
+def continued_distinct(spark, sf):  # noqa: ANN001, ANN201
+    at, before, after = _halves(spark, sf)
+    rows = Q._hits(spark, sf).withColumn("of", Q._seldom((F.col("k") % 10).cast("string")))
+    first = C.distinct_scores(before(rows), 2 * DAY, 4)
+    live = C.live_hits(rows, first.where("crossed"), 2 * DAY, at).select("bucket", F.col("key").cast("string").alias("key"), "us", "ord", "w", "of")
+    return first.unionByName(C.distinct_scores(after(rows), 2 * DAY, 4, seed=_left_over(spark, at, hits=live).hits)).drop("bucket")
+
+
+@Q.query(Q.ORACLES["subnet_score"])
+def continued_subnets(spark, sf):  # noqa: ANN001, ANN201
+    at, before, after = _halves(spark, sf)
+    rows = hits(spark, sf).select("bucket", Q._mixed("ip", "event_id").alias("key"), "us", "ord", "w")
+    first = C.subnet_crossings(before(rows), 24, DAY, 30, prefix_v6=48)
+    live = C.live_hits(C.subnet_deposits(rows, 24, 48), first.withColumnRenamed("cidr", "key"), DAY, at)
+    second = C.subnet_crossings(after(rows), 24, DAY, 30, prefix_v6=48, seed=_left_over(spark, at, deposits=live).deposits)
+    return first.unionByName(second).drop("bucket").withColumn("members", F.array_join("members", ","))
+
+
+@Q.query(Q._LIVE + "select id, name, value, first_set, expires from live")
+def continued_marks(spark, sf):  # noqa: ANN001, ANN201
+    at, before, after = _halves(spark, sf)
+    probes, events = Q._probes(spark, sf), Q._marks(spark, sf)
+    live = K.live_marks(events, at).withColumn("key", F.col("key").cast("string"))
+    seed = _left_over(spark, at, marks=live).marks
+    return K.as_of_marks(before(probes), before(events)).unionByName(K.as_of_marks(after(probes), K.with_marks(after(events), seed)))
+
+
+@Q.query(Q.TRACK_SQL + "select event_id, live_before, before_addr, after_addr from r")
+def continued_tracks(spark, sf):  # noqa: ANN001, ANN201
+    at, before, after = _halves(spark, sf)
+    rows = Q._track_rows(spark, sf)
+    live = K.live_tracks(rows, ["addr"], DAY, at).select(F.lit("session").alias("name"), F.col("key").cast("string").alias("key"), "expires", F.create_map(F.lit("addr"), F.col("addr")).alias("fields"))
+    seed = _left_over(spark, at, tracks=live).tracks.withColumn("addr", F.col("fields")["addr"])
+    both = K.tracks(before(rows), ["addr"], DAY).unionByName(K.tracks(after(rows), ["addr"], DAY, seed))
+    return both.select("event_id", "live_before", "before_addr", "after_addr")
+
+
 @Q.query(SQL + """select case when event_id % 17 = 0 then null else event_type end as daemon, case when event_id % 17 <> 0 and k % 10 < 8 then k % 10 end as severity, count(*) as n from h group by all""")
 def journal_files(spark, sf):  # noqa: ANN001, ANN201
     """read_journal_export: records as journalctl writes them, and lines that are none."""

@@ -527,9 +527,12 @@ r as (select *, case when live_before or harvests then last_value(case when harv
 """
 
 
+def _track_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return hits(spark, sf).select("event_id", F.col("user_id").cast("long").alias("key"), "us", "ord", F.col("event_type").isin("click", "error").alias("harvests"), F.when(F.col("event_type") == "error", F.col("ip")).alias("addr"))
+
+
 def _tracks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hits(spark, sf).select("event_id", F.col("user_id").cast("long").alias("key"), "us", "ord", F.col("event_type").isin("click", "error").alias("harvests"), F.when(F.col("event_type") == "error", F.col("ip")).alias("addr"))
-    return K.tracks(rows, ["addr"], DAY)
+    return K.tracks(_track_rows(spark, sf), ["addr"], DAY)
 
 
 @query(TRACK_SQL + "select event_id, live_before, before_addr, after_addr from r")
