@@ -92,3 +92,40 @@ def test_parse_and_match(spark, tmp_path):
     q.awaitTermination()
     found = match.explode_offenders(match.explode_hits(spark.table("hits"))).collect()
     assert [(r.rule, r.ip, r.data["USER"]) for r in found] == [("fail", "1.2.3.4", "bob")]
+
+
+def test_seeds(spark, tmp_path):
+    """Streams that begin with what an earlier run left give the rest of one run's rows."""
+    base = spark.createDataFrame(rows(6), "key string, us long, ord long, op string, value string").withColumns({"bucket": F.lit("b"), "w": F.lit(1).cast("long"), "of": F.when(F.col("op") != "unset", F.col("value"))})
+    cut = 2000 * SECOND
+    later = lambda df: df.where(F.col("us") > cut)
+    df = base.select("bucket", "key", "us", "ord", "w")
+    want = score.threshold_crossings(df, 300, 4)
+    seed = score.live_hits(df, want, 300, cut).select("bucket", "key", "us", "ord", "w")
+    got = played(spark, tmp_path / "s", later(df), lambda s: jobs.stream_score(s, 300, 4, seed=seed), df.schema, tail(spark, df))
+    assert sorted(got) == sorted(map(tuple, later(want).collect())) and got
+    spark.catalog.dropTempView("out")
+    df = base.select("key", "us", "ord", "op", "value").withColumns({"name": F.lit("m"), "ttl": F.lit(200)})
+    seed = state.live_marks(df.where("op <> 'probe'"), cut)
+    got = played(spark, tmp_path / "m", later(df), lambda s: jobs.stream_marks(s, 200, seed=seed), df.schema, tail(spark, df))
+    live = state.as_of_marks(df.where("op = 'probe'").withColumn("id", F.col("ord")), df.where("op <> 'probe'"))
+    want = later(live.join(df.select(F.col("ord").alias("id"), "us"), "id"))
+    assert {g[3]: g[5:] for g in got if g[4]} == {r.id: (r.value, r.first_set) for r in want.collect()}
+    spark.catalog.dropTempView("out")
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    """A key with 20,000 live hits: a micro-batch of a few rows updates a few rows of state."""
+    live = 20_000
+    seed = spark.range(live).select(F.lit("b").alias("bucket"), F.lit("k").alias("key"), (F.col("id") * 1000).alias("us"), F.col("id").alias("ord"), F.lit(1).cast("long").alias("w"))
+    src = tmp_path / "in"
+    for k in range(4):  # the watermark passes the first files' rows with the last
+        few = spark.range(3).select(F.lit("b").alias("bucket"), F.lit("k").alias("key"), ((F.col("id") + 200 + 1000 * k) * SECOND).alias("us"), (F.col("id") + live + 3 * k).alias("ord"), F.lit(1).cast("long").alias("w"))
+        few.coalesce(1).write.mode("append").json(str(src))
+    stream = spark.readStream.schema(seed.schema).option("maxFilesPerTrigger", 1).json(str(src)).withColumn("ts", F.timestamp_micros("us"))
+    job = jobs.stream_score(stream, 100_000, live + 7, seed=seed)
+    q = job.writeStream.format("memory").queryName("heavy").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r.score for r in spark.table("heavy").collect()] == [live + 7]
+    updated = [op["numRowsUpdated"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert updated[0] >= live and max(updated[1:]) <= 40, updated

@@ -136,7 +136,8 @@ class _Keyed(StatefulProcessor):
         return pd.DataFrame([(*key, *r) for r in rows], columns=self.out, dtype=object)
 
     def wake(self, us: int, mark: int) -> None:
-        self.handle.registerTimer(max(us // 1000 - 1, mark // 1000))  # it goes off once the watermark is past it
+        # it goes off once the watermark is past it; one that is already would go off again in this batch
+        self.handle.registerTimer(max(us // 1000 - 1, mark // 1000 + 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         first = None
@@ -255,9 +256,10 @@ class Bucket(Fold):
         self.ends.clear()
 
     def seed(self, cols: list[str], rows: list[tuple]) -> int:
-        for us, _, *rest in sorted(_of(cols, r, "us", "ord", "w", *(["member"] if self.members else [])) for r in rows):
+        held = sorted(_of(cols, r, "us", "ord", "w", *(["member"] if self.members else [])) for r in rows)
+        for us, _, *rest in held:
             self.add(us, *rest)
-        return self.live.entries()[-1][0]
+        return held[-1][0]
 
 
 def _of(cols: list[str], row: tuple, *names: str) -> tuple:
