@@ -128,6 +128,11 @@ def split_cidrs(cidrs: DataFrame, col: str = "cidr") -> DataFrame:
     return v4.unionByName(v6).distinct()
 
 
+def unjoined(key: Column) -> Column:
+    """A join key for a text that may be null: null ones, which match nothing, are spread over many partitions."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(1009)).cast("string")))
+
+
 def ip_in_any(rows: DataFrame, ip: str, cidrs: DataFrame, out: str, with_v6: bool = True) -> DataFrame:
     """Add the boolean ``out``: is the address in a listed network of its family? Non-addresses never are.
 
@@ -148,4 +153,5 @@ def ip_in_any(rows: DataFrame, ip: str, cidrs: DataFrame, out: str, with_v6: boo
     if not keys:
         return rows.withColumn(out, F.lit(False))
     found = found.select("_ip", F.explode(F.array(*keys)).alias("_net")).join(listed, "_net", "left_semi").select("_ip").distinct().withColumn("_in", F.lit(True))
-    return rows.join(found, rows[ip] == found["_ip"], "left").withColumn(out, F.coalesce("_in", F.lit(False))).drop("_ip", "_in")
+    keyed = rows.withColumn("_at", unjoined(F.col(ip)))
+    return keyed.join(found.withColumnRenamed("_ip", "_at"), "_at", "left").select(*rows.columns, F.coalesce("_in", F.lit(False)).alias(out))

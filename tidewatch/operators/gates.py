@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ip import addr_equal, ip_in_any, v4_number, v6_key
+from ..functions.ip import addr_equal, ip_in_any, unjoined, v4_number, v6_key
+from ..functions.parse import let
 from ..functions.scalars import time_fields
+from ..sources.scratch import written
 from .common import with_value
 
 
@@ -25,34 +28,55 @@ def ban_not_internal(offenders: DataFrame, internal: DataFrame, ip: str = "ip")
 
 
 def locate(rows: DataFrame, ip: str, ranges: DataFrame, out: str = "country", ranges6: DataFrame | None = None) -> DataFrame:
-    """Add the code of the range that holds the address, or null. As-of join on the starts.
+    """Add the code of the range that holds the address, or null.
 
-    ``ranges``: (first, last, code) with IPv4 numbers; ``ranges6``: the same with IPv6 addresses as text. Different
-    addresses are looked up once. Ranges of a family do not overlap.
+    ``ranges``: (first, last, code) with IPv4 numbers; ``ranges6``: the same with IPv6 addresses as text. Ranges of a family do not
+    overlap; one that ends before it begins, or has an end that is no address, holds nothing. Each range is the few
+    networks that cover it (62 at most, 254 of IPv6), and an address, looked up once, is asked for in each length of
+    prefix that is there: an equality join, in which no task holds all addresses of a region.
     """
     asked = rows.select(F.col(ip).alias("_ip")).where(f"`{ip}` is not null").distinct()
-    # the order is needed within a block of addresses alone: /8 and /24
-    found = _in_ranges(with_value(asked, v4_number(F.col("_ip")), "at"), ranges, lambda at: F.shiftright(at, 24), lambda block: F.shiftleft(block, 24))
+    bits = let(v4_number(F.col("_ip")), lambda n: F.lpad(F.bin(n), 32, "0"))
+    found = _in_networks(with_value(asked, bits, "bits"), covers(ranges, 4))
     if ranges6 is not None:
-        key = lambda c: v6_key(F.col(c))
-        starts = lambda block: F.rpad(F.lower(F.lpad(F.hex(block), 6, "0")), 32, "0")
-        six = ranges6.select(key("first").alias("first"), key("last").alias("last"), "code").where("first is not null and last is not null")
-        found = found.unionByName(_in_ranges(with_value(asked, key("_ip"), "at"), six, lambda at: F.conv(F.left(at, F.lit(6)), 16, 10).cast("long"), starts))
-    return rows.join(found.withColumnRenamed("code", out), rows[ip] == F.col("_ip"), "left").drop("_ip")
-
-
-def _in_ranges(asked: DataFrame, ranges: DataFrame, block: Callable[[Column], Column], begin: Callable[[Column], Column]) -> DataFrame:
-    """(_ip, code) of each asked place ``at`` that a range holds; a range that spans blocks begins anew in each."""
-    hold = F.struct("last", "code").alias("r")
-    none = F.lit(None).cast("string").alias("_ip")
-    starts = ranges.select(F.col("first").alias("at"), hold, none, block(F.col("first")).alias("_block"))
-    wide = ranges.where(block(F.col("first")) < block(F.col("last"))).select(F.explode(F.sequence(block(F.col("first")) + 1, block(F.col("last")))).alias("_block"), hold)
-    again = wide.select(begin(F.col("_block")).alias("at"), "r", none, "_block")
-    probes = asked.select("at", F.lit(None).cast(starts.schema["r"].dataType).alias("r"), "_ip", block(F.col("at")).alias("_block"))
-    order = Window.partitionBy("_block").orderBy("at", F.col("_ip").isNotNull())
-    last = F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    both = starts.unionByName(again).unionByName(probes).withColumn("r", last)
-    return both.where(F.col("_ip").isNotNull() & (F.col("r.last") >= F.col("at"))).select("_ip", F.col("r.code").alias("code"))
+        bits = let(v6_key(F.col("_ip")), lambda k: F.concat(*(F.lpad(F.conv(F.substring(k, 8 * i + 1, 8), 16, 2), 32, "0") for i in range(4))))
+        found = found.unionByName(_in_networks(with_value(asked, bits, "bits"), covers(ranges6, 6)))
+    keyed = rows.withColumn("_at", unjoined(F.col(ip)))
+    return keyed.join(found.select(F.col("_ip").alias("_at"), F.col("code").alias(out)), "_at", "left").select(*rows.columns, out)
+
+
+def covers(ranges: DataFrame, version: int) -> DataFrame:
+    """(prefix, net, code): the least networks that cover each range, ``net`` by the bits of its prefix."""
+    kind = ranges.schema["code"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ipaddress
+
+        def nets(first: object, last: object) -> list[tuple[int, str]]:
+            try:
+                ends = [ipaddress.IPv4Address(int(x)) if version == 4 else ipaddress.IPv6Address(x) for x in (first, last)]
+                found = list(ipaddress.summarize_address_range(*ends))
+            except (ValueError, TypeError):
+                return []
+            if found[0].prefixlen == 0:
+                found = list(found[0].subnets(new_prefix=1))
+            return [(n.prefixlen, f"{int(n.network_address):0{n.max_prefixlen}b}"[: n.prefixlen]) for n in found]
+
+        for batch in batches:
+            made = [(p, net, code) for first, last, code in batch.itertuples(index=False, name=None) for p, net in nets(first, last)]
+            yield pd.DataFrame(made, columns=["prefix", "net", "code"])
+
+    return ranges.select("first", "last", "code").mapInPandas(run, f"prefix int, net string, code {kind}")
+
+
+def _in_networks(asked: DataFrame, nets: DataFrame) -> DataFrame:
+    """(_ip, code) of each asked address, as ``bits``, in a network."""
+    nets = written(nets, "networks")
+    lengths = sorted(r.prefix for r in nets.select("prefix").distinct().collect())  # 128 at most
+    if not lengths:
+        return asked.select("_ip", F.lit(None).cast(nets.schema["code"].dataType).alias("code")).limit(0)
+    places = asked.select("_ip", F.explode(F.array(*(F.left("bits", F.lit(p)) for p in lengths))).alias("net"))
+    return places.join(nets.select("net", "code"), "net").select("_ip", "code")
 
 
 def country_gate(rows: DataFrame, ips: list[str], ranges: DataFrame, codes: list[str], negate: bool = False, ranges6: DataFrame | None = None, keep: str | None = None) -> DataFrame:
