@@ -186,22 +186,56 @@ def dedupe_listed(named: DataFrame, groups: DataFrame) -> DataFrame:
     return first.select("watcher", "rule", F.row_number().over(Window.partitionBy("watcher").orderBy("at")).alias("place"))
 
 
-def join_multiline(lines: DataFrame, continuation: str, max_lines: int = 50, flush_after: int = 2) -> DataFrame:
+def join_multiline(lines: DataFrame, continuation: str, max_lines: int = 50, flush_after: int = 2, block: Column | None = None) -> DataFrame:
     """Glue continuation lines to their heads: (source, seq, us, line, n_lines), ``seq`` and ``us`` of the head.
 
-    A head, max_lines, or a gap of flush_after seconds ends a record; the rest of a long one is a record of its own.
+    A head, max_lines, or a gap of flush_after seconds ends a record; the rest of a long one is a record of its own. Lines
+    without a time ``us`` (or a table without that column) have no gaps; a null line continues nothing.
+
+    ``block``: a part of the source that grows with ``seq``, as ``seq.block`` of ``read_logs``. Each block is then a task of
+    its own, and a block hands on one row, however long a source or a record is; without it a source is one task.
     """
-    order = Window.partitionBy("source").orderBy("seq")
-    gap = F.coalesce(F.col("us") - F.lag("us").over(order) >= flush_after * 1_000_000, F.lit(True))
-    head = gap | ~sure(F.col("line").rlike(continuation))
-    rows = lines.withColumn("_head", head.cast("long"))
-    rows = rows.withColumn("_record", F.sum("_head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy("source", "_record").orderBy("seq"))
-    rows = rows.withColumn("_chunk", F.floor((place - 1) / max_lines))
+    us = F.col("us") if "us" in lines.columns else F.lit(None).cast("long")
+    rows = lines.select("source", "seq", us.alias("us"), "line", (F.lit(0) if block is None else block).alias("_block"))
+    late = lambda before: sure(F.col("us") - before >= flush_after * 1_000_000)
+    order = Window.partitionBy("source", "_block").orderBy("seq")
+    rows = rows.withColumns({"_n": F.row_number().over(order), "_before": F.lag("us").over(order)})
+    rows = rows.withColumn("_head", ~sure(F.col("line").rlike(continuation)) | late(F.col("_before")))
+    if block is None:
+        rows = rows.withColumn("_head", F.col("_head") | (F.col("_n") == 1))
+    else:
+        rows = rows.join(_open_records(rows, late), ["source", "_block"])
+        rows = rows.withColumn("_head", F.col("_head") | ((F.col("_n") == 1) & (F.col("_first") | late(F.col("_end_us")))))
+    # a record's name: where its head stands, here or in an earlier block
+    at = F.when(F.col("_head"), F.struct("_block", F.col("_n").cast("long").alias("n")))
+    rows = rows.withColumn("_here", F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if block is None:
+        rows = rows.withColumns({"_record": F.col("_here"), "_place": F.col("_n") - F.col("_here.n")})
+    else:
+        carried = F.col("_carried") + F.col("_n") - 1
+        rows = rows.withColumns({"_record": F.coalesce("_here", "_open"), "_place": F.when(F.col("_here").isNull(), carried).otherwise(F.col("_n") - F.col("_here.n"))})
+    rows = rows.withColumn("_chunk", F.floor(F.col("_place") / max_lines))
     glued = rows.groupBy("source", "_record", "_chunk").agg(F.sort_array(F.collect_list(F.struct("seq", "us", "line"))).alias("x"))  # max_lines at most
     return glued.select("source", F.col("x")[0]["seq"].alias("seq"), F.col("x")[0]["us"].alias("us"), F.array_join(F.col("x.line"), "\n").alias("line"), F.size("x").alias("n_lines"))
 
 
+def _open_records(rows: DataFrame, late: Callable[[Column], Column]) -> DataFrame:
+    """What each block of a source begins with: ``_first`` (nothing is before it), ``_end_us`` of the line before, the record
+    ``_open`` that is not ended there and the number of its lines so far, ``_carried``. One row for each block goes through the window."""
+    one = rows.groupBy("source", "_block").agg(
+        F.count("*").alias("_rows"), F.min_by("us", "seq").alias("us"), F.max_by(F.struct("us"), "seq")["us"].alias("_last_us"),
+        F.max(F.when(F.col("_head"), F.col("_n"))).cast("long").alias("_head_n"),
+    )
+    order = Window.partitionBy("source").orderBy("_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumns({"_first": F.row_number().over(order) == 1, "_end_us": F.lag("_last_us").over(order), "_sofar": F.coalesce(F.sum("_rows").over(before), F.lit(0))})
+    # a block without a head of its own goes on with the record before, unless its first line comes late
+    head_n = F.coalesce("_head_n", F.when(F.col("_first") | late(F.col("_end_us")), F.lit(1).cast("long")))
+    last = F.when(head_n.isNotNull(), F.struct(F.struct("_block", head_n.alias("n")).alias("open"), (F.col("_sofar") + head_n - 1).alias("begin")))
+    one = one.withColumn("_last", last).withColumn("_last", F.last("_last", ignorenulls=True).over(before))
+    return one.select("source", "_block", "_first", "_end_us", F.col("_last.open").alias("_open"), (F.col("_sofar") - F.col("_last.begin")).alias("_carried"))
+
+
 def evaluate_rules(cases: DataFrame, rules: list[Rule], fields: list[str]) -> DataFrame:
     """Replay labelled lines: ``cases`` (case_id, rule, message, fields..., found int, data map, undefed array) ->
     (rule, cases, passed). A case passes if the rule's hits are as many as expected, and captures as labelled."""

@@ -14,8 +14,9 @@ from ..operators import score as C
 from ..operators import stages as ST
 from ..operators import state as K
 from ..operators.common import micros
+from ..operators.match import join_multiline
 from ..sources import logs
-from ..sources.scratch import shared_path
+from ..sources.scratch import shared_path, written
 from ..streaming import jobs
 from . import queries as Q
 from .data import DAY, LINES, SQL, hits, table
@@ -32,12 +33,10 @@ def _in_time(spark: SparkSession, sf: str, late: Column | None = None) -> str:
     """The events as files in the order of time, one slice of time each. Rows that are ``late`` come after all others."""
     ev, place = table(spark, sf, "events").withColumn("us", micros()), shared_path(spark, "events")
     n = max(SLICES, -(-ev.count() // SLICE_ROWS))
-    cuts = ev.approxQuantile("us", [k / n for k in range(1, n)], 0.01)
     timely = ev if late is None else ev.where(~late)
-    for a, b in zip([None, *cuts], [*cuts, None], strict=True):  # one after another: the source goes by the files' times
-        some = timely if a is None else timely.where(F.col("us") >= a)
-        some = some if b is None else some.where(F.col("us") < b)
-        some.coalesce(1).write.mode("append").parquet(place)
+    cut = written(timely.repartitionByRange(n, "us").withColumn("slice", F.spark_partition_id()), "slices", ["slice"])
+    for k in range(n):  # one after another, each reads its own slice: the source goes by the files' times
+        cut.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(place)
     if late is not None:
         ev.where(late).coalesce(1).write.mode("append").parquet(place)
     return place
@@ -167,6 +166,25 @@ def log_files(spark, sf):  # noqa: ANN001, ANN201
     return rows.agg(F.count("*").alias("lines"), F.count_if("ok").alias("parsed"), F.count_distinct("part").alias("files"))
 
 
+@Q.query(SQL + """, l as (select event_id, event_id % 4 as part, case when event_id % 3 = 0 then '' else '  ' end || event_type || ' ' || event_id as line from h),
+n as (select *, sum(octet_length(encode(line)) + 1) over (partition by part order by event_id) as until, row_number() over (partition by part order by event_id) as n from l),
+r as (select *, sum(case when event_id % 3 = 0 or n = 1 then 1 else 0 end) over (partition by part order by event_id) as rec from n)
+select part::int as part, min(until - octet_length(encode(line)) - 1)::bigint as at, max(until)::bigint as until, md5(string_agg(line, chr(10) order by event_id)) as line_md5, count(*)::int as n_lines from r group by part, rec""")
+def ordered_files(spark, sf):  # noqa: ANN001, ANN201
+    """read_log_offsets and join_multiline of its blocks: records of several lines with the bytes of the file they stand in."""
+    place = shared_path(spark, "ordered")
+    line = F.concat(F.when(F.col("event_id") % 3 == 0, "").otherwise("  "), "event_type", F.lit(" "), "event_id")
+    rows = hits(spark, sf).select("event_id", (F.col("event_id") % 4).alias("part"), line.alias("line")).repartition(4, "part").sortWithinPartitions("part", "event_id")
+    rows.select("part", "line").write.partitionBy("part").text(place)
+    lines = written(logs.read_log_offsets(spark, f"{place}/part=*"), "ordered")  # read by both steps below
+    glued = join_multiline(lines, r"^\s", max_lines=1000, block=F.col("seq.block"))
+    ends = lines.select("source", "seq", "at")
+    begun = glued.join(ends, ["source", "seq"])
+    size = F.octet_length("line") + 1
+    part = F.regexp_extract("source", r"part=(\d+)", 1).cast("int")
+    return begun.select(part.alias("part"), "at", (F.col("at") + size).alias("until"), F.md5("line").alias("line_md5"), "n_lines")
+
+
 @Q.query(SQL + """select event_id % 17 <> 0 as parsed, count(*) as n, count(distinct case when event_id % 17 <> 0 then ip end) as addresses from h group by 1""")
 def ndjson_files(spark, sf):  # noqa: ANN001, ANN201
     place = shared_path(spark, "ndjson")

@@ -28,8 +28,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in that folder: computed once, however often it is used, and safe from lost executors."""
+def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` as a table in that folder: computed once, however often it is used, and safe from lost executors. ``by``: columns
+    whose values are folders of it."""
     place = shared_path(df.sparkSession, label)
-    df.write.parquet(place)
+    df.write.partitionBy(*(by or [])).parquet(place)
     return df.sparkSession.read.parquet(place)
