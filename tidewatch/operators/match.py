@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.parse import let
 from ..functions.predicates import Predicate, all_of, any_of, capture_names, first_match, gate, ignored, sure
 from ..sources.scratch import written
-from .common import SECOND, with_value
-from .state import as_of_marks, compound_key, marked
+from .common import SECOND, ordered_fold, with_value
+from .state import compound_key, tracks
 
 
 @dataclass
@@ -28,6 +28,27 @@ class Mark:
     lift: bool = False
 
 
+@dataclass
+class Track:
+    """A record that a rule is party to, under its field or fields ``key``: each line that passes the rule's ``only`` and
+    ``ignore`` adds those of ``fields`` that it has, whether or not it matches, and keeps the record alive."""
+
+    name: str
+    key: list[str]
+    fields: list[str] = field(default_factory=list)
+    ttl: int = 3600
+
+
+@dataclass
+class Tracked:
+    """What a rule asks of a record as it was before the line: ``where`` must hold, fields ``into`` are lifted into the match.
+    A line without the key passes; one whose record isn't live passes only without ``where``."""
+
+    name: str
+    where: list[Predicate] = field(default_factory=list)
+    into: list[str] = field(default_factory=list)
+
+
 @dataclass
 class Rule:
     """A signature. Its place in the list of a watcher is its number.
@@ -46,6 +67,9 @@ class Rule:
     mark_only: bool = False
     weight: int = 1
     marks: list[Mark] = field(default_factory=list)
+    track: list[Track] = field(default_factory=list)
+    tracked: list[Tracked] = field(default_factory=list)
+    not_tracked: list[str] = field(default_factory=list)
 
 
 def match_type_gate(only: dict[str, list[str]], of: dict[str, Column]) -> Column:
@@ -71,13 +95,17 @@ def rule_hit(rule: Rule, number: int, message: Column, of: dict[str, Column]) ->
     return let(F.when(passes, match), hit)
 
 
-def match_rules(lines: DataFrame, rules: list[Rule], message: str, fields: list[str]) -> DataFrame:
-    """Add ``hits``: the array of rules that match each line, in the order of the list. Rules never multiply lines."""
+def match_rules(lines: DataFrame, rules: list[Rule], message: str, fields: list[str], of_rule: Callable[[Rule, int, Column, dict[str, Column]], Column] | None = None) -> DataFrame:
+    """Add ``hits``: the array of rules that match each line, in the order of the list. Rules never multiply lines.
+
+    ``of_rule``: what a rule makes of a line in place of ``rule_hit``, null for nothing. What rules ask of records
+    (``tracked``) is not judged here, for it hangs on other lines."""
+    made = of_rule or rule_hit
     record = F.struct(F.col(message).alias("message"), *(F.col(f).cast("string").alias(f"f_{f}") for f in fields))
 
     def hits(r: Column) -> Column:
         of = {f: r[f"f_{f}"] for f in fields}
-        return F.array_compact(F.array(*(rule_hit(rule, k, r["message"], of) for k, rule in enumerate(rules))))
+        return F.array_compact(F.array(*(made(rule, k, r["message"], of) for k, rule in enumerate(rules))))
 
     return lines.withColumn("hits", let(record, hits))
 
@@ -259,51 +287,147 @@ CLOCK_BASE = 1_000_000_000
 
 def evaluate_scenes(
     cases: DataFrame, rules: list[Rule], fields: list[str], marked_by: dict[str, list[str]] | None = None, marks_before: DataFrame | None = None,
-    gates: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    gates: dict[str, Callable[[DataFrame], DataFrame]] | None = None, not_marked_by: dict[str, list[str]] | None = None, tracks_before: DataFrame | None = None,
 ) -> DataFrame:
     """Replay labelled scenes of several lines: ``cases`` (case_id, rule, lines array<struct<message, fields..., advance>>,
     found int, data map, undefed array) -> (rule, cases, passed).
 
-    A scene has a clock of its own, which begins at CLOCK_BASE and is ``advance`` seconds further at each line, and marks of
-    its own: those of ``marks_before`` (case_id, name, key, value, ttl), and those that its rules set on the way.
-    ``marked_by``: rule -> names of which its offender must bear one. ``gates``: rule -> a gate over its offenders (case_id,
-    ip, data, ...), as those of addresses, names and places are; what a gate drops has not fired. A rule fires for a
-    line once, however many of its offenders are left.
+    A scene has a clock of its own, which begins at CLOCK_BASE and is ``advance`` seconds further at each line, and marks and
+    records of its own: those of ``marks_before`` (case_id, name, key, value, ttl) and ``tracks_before`` (case_id, name, key,
+    fields map, ttl), and those that its rules set on the way. ``marked_by``, ``not_marked_by``: rule -> names of which its
+    offender must bear one, or none. ``gates``: rule -> a gate over its offenders (case_id, ip, data, ...), as those of
+    addresses, names and places are; what a gate drops has not fired. A rule fires for a line once, however many of its
+    offenders are left.
+
+    Records come first, as windows: what they hold does not hang on what fires. Marks do, and rules may read each other's in
+    chains and circles, so the matches of a scene are one fold in the order of lines and rules, many scenes at a time.
     """
     places = cases.select("case_id", F.col("rule").alias("judged"), F.posexplode("lines").alias("seq", "line"))
     clock = Window.partitionBy("case_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     at = (CLOCK_BASE + F.sum(F.coalesce(F.col("line.advance"), F.lit(0))).over(clock)) * SECOND
     rows = places.select("case_id", "judged", at.cast("long").alias("us"), F.col("seq").cast("long").alias("ord"), "line.message", *(F.col(f"line.{f}") for f in fields))
-    hits = written(explode_hits(match_rules(rows, rules, "message", fields)), "scenes")  # read by every step below
-    ids = ["case_id", "ord", "rule"]
-    offenders = explode_offenders(hits)
-    for rule, gate_of in (gates or {}).items():
-        offenders = offenders.where(F.col("rule") != rule).unionByName(gate_of(offenders.where(F.col("rule") == rule)))
-    # rules that read no marks fire first; their marks, and those from before, are what the others see
-    readers = marked_by or {}
-    plain = offenders.where(~F.col("rule").isin(list(readers)))
-    events = []
-    if any(r.marks for r in rules):
-        firing = fired(hits, plain, ids).where("fired").drop("ip")
-        events.append(_of_scenes(apply_marks(firing.where(~F.col("rule").isin(list(readers))), plain, rules, ids, scope="case_id")))
-    if marks_before is not None:
-        first = F.struct(F.lit(-1).cast("long").alias("ord"), F.lit(-1).alias("rule_int"), F.lit(0).alias("place"))
-        events.append(marks_before.select("name", F.concat_ws("\x1f", "case_id", "key").alias("key"), F.lit(CLOCK_BASE * SECOND).cast("long").alias("us"), first.alias("ord"), F.lit("set").alias("op"), "value", F.col("ttl").cast("long").alias("ttl")))
-    left = plain
-    if readers and events:
-        asked = offenders.where(F.col("rule").isin(list(readers))).withColumns({
-            "key": F.concat_ws("\x1f", "case_id", "ip"), "line": F.col("ord"), "ord": F.struct("ord", F.col("rule_int").cast("int").alias("rule_int"), F.lit(-1).alias("place")),
-            "id": F.concat_ws("\x1f", "case_id", "ord", "rule", "pos"),
-        })
-        live = as_of_marks(asked, reduce(DataFrame.unionByName, events))
-        for rule, names in readers.items():
-            held = marked(asked.where(F.col("rule") == rule), live, names).withColumn("ord", F.col("line"))
-            left = left.unionByName(held.select(plain.columns))
-    firing = fired(hits, left, ids).where(F.col("fired") & (F.col("rule") == F.col("judged")))
-    counted = firing.groupBy("case_id").agg(F.count("*").cast("int").alias("_n"), F.min_by("data", "ord").alias("_data"))
+    kept = [*rows.columns, "rule_int", "rule", "data", "offenders", "subjects"]
+    plain = lambda rule, *more: F.lit(None) if rule.track else rule_hit(rule, *more)
+    parts = []
+    if any(not r.track for r in rules):
+        parts.append(explode_hits(match_rules(rows, rules, "message", fields, plain)).select(kept))
+    if any(r.track for r in rules):
+        parts.append(_tracked_hits(rows, rules, fields, tracks_before).select(kept))
+    hits = written(reduce(DataFrame.unionByName, parts), "scenes")  # read by every step below
+    ids = ["case_id", "ord", "rule_int"]
+    firing = _firing(_with_survivors(hits, gates or {}, ids), rules, marked_by or {}, not_marked_by or {}, marks_before)
+    mine = hits.where(F.col("rule") == F.col("judged")).join(firing, ids, "left_semi")
+    counted = mine.groupBy("case_id").agg(F.count("*").cast("int").alias("_n"), F.min_by("data", "ord").alias("_data"))
     got = cases.join(counted, "case_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     return _judged(got)
 
 
-def _of_scenes(events: DataFrame) -> DataFrame:
-    return events.withColumn("key", F.concat_ws("\x1f", "scope", "key")).drop("scope")
+def _with_survivors(hits: DataFrame, gates: dict[str, Callable[[DataFrame], DataFrame]], ids: list[str]) -> DataFrame:
+    """Add ``had`` (the match has offenders) and ``left``, those that the rule's gate lets through."""
+    rows = hits.withColumns({"had": F.exists("offenders", lambda x: x.isNotNull()), "left": F.array_compact("offenders")})
+    out = rows.where(~F.col("rule").isin(list(gates))) if gates else rows
+    for rule, gate_of in gates.items():
+        mine = rows.where(F.col("rule") == rule)
+        through = gate_of(explode_offenders(mine.drop("had", "left"))).groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("pos", "ip")))["ip"].alias("left"))  # a rule's ban_vars at most
+        out = out.unionByName(mine.drop("left").join(through, ids, "left").withColumn("left", F.coalesce("left", F.array().cast("array<string>"))))
+    return out
+
+
+def _firing(hits: DataFrame, rules: list[Rule], marked_by: dict[str, list[str]], not_marked_by: dict[str, list[str]], marks_before: DataFrame | None) -> DataFrame:
+    """(case_id, ord, rule_int) of the matches that fire, given marks that earlier ones of the scene set and lifted."""
+    field_of = lambda n: F.try_element_at("data", F.lit(n))
+
+    def change(number: int, mark: Mark) -> Column:
+        key = F.lit(None).cast("string") if not mark.vars else field_of(mark.vars[0]) if len(mark.vars) == 1 else compound_key([field_of(v) for v in mark.vars])
+        ttl = F.lit(None if mark.lift else mark.ttl).cast("long")
+        made = F.struct(F.lit(mark.name).alias("name"), key.alias("key"), F.lit(not mark.vars).alias("each"), ttl.alias("ttl"))
+        return F.when((F.col("rule_int") == number) & (key.isNotNull() | F.lit(not mark.vars)), made)
+
+    changes = [change(k, m) for k, r in enumerate(rules) for m in sorted(r.marks, key=lambda m: m.lift)]
+    kind = "array<struct<name:string,key:string,each:boolean,ttl:bigint>>"
+    listed = F.array_compact(F.array(*changes)) if changes else F.array()
+    rows = hits.select("case_id", "ord", F.col("rule_int").cast("int").alias("rule_int"), "us", "had", "left", listed.cast(kind).alias("changes"))
+    if marks_before is not None:
+        old = F.array(F.struct("name", "key", F.lit(False).alias("each"), F.col("ttl").cast("long").alias("ttl"))).cast(kind)
+        first = {"ord": F.lit(-1).cast("long"), "rule_int": F.lit(-1), "us": F.lit(CLOCK_BASE * SECOND).cast("long"), "had": F.lit(False), "left": F.array().cast("array<string>"), "changes": old}
+        rows = rows.unionByName(marks_before.where("name is not null and key is not null and ttl is not null").select(F.col("case_id").cast(dict(hits.dtypes)["case_id"]).alias("case_id"), *(c.alias(n) for n, c in first.items())))
+    must = {k: marked_by[r.name] for k, r in enumerate(rules) if r.name in marked_by}
+    must_not = {k: not_marked_by[r.name] for k, r in enumerate(rules) if r.name in not_marked_by}
+
+    def step(live: dict, row: tuple) -> list[tuple]:
+        case, place, rule, us, had, left, found = row
+        bears = lambda ip, names: any(live.get((n, ip), us) > us for n in names)
+        left = [ip for ip in left if (rule not in must or bears(ip, must[rule])) and not (rule in must_not and bears(ip, must_not[rule]))]
+        if had and not left:
+            return []
+        for c in found:
+            for key in left if c["each"] else [c["key"]]:
+                if c["ttl"] is None:
+                    live.pop((c["name"], key), None)
+                else:
+                    live[c["name"], key] = us + int(c["ttl"]) * SECOND
+        return [(case, place, rule)]
+
+    return ordered_fold(rows, ["case_id"], ["ord", "rule_int"], dict, step, f"case_id {dict(hits.dtypes)['case_id']}, ord long, rule_int int")
+
+
+def _tracked_hits(rows: DataFrame, rules: list[Rule], fields: list[str], tracks_before: DataFrame | None) -> DataFrame:
+    """The hits of rules that are party to records: each line that such a rule may add to is a sight, the records before a sight
+    are windows over its key, and the rule's tests and offenders see what they lift."""
+    party = [(k, rule) for k, rule in enumerate(rules) if rule.track]
+
+    def sight(rule: Rule, number: int, message: Column, of: dict[str, Column]) -> Column:
+        if not rule.track:
+            return F.lit(None)
+        names = capture_names(rule.patterns)
+
+        def made(found: Column) -> Column:
+            held = of | {n: found[n] for n in names}
+            data = F.create_map(*(x for n, c in held.items() for x in (F.lit(n), c.cast("string")))) if held else F.create_map().cast("map<string,string>")
+            return F.struct(F.lit(number).alias("rule_int"), F.lit(rule.name).alias("rule"), found.isNotNull().alias("matched"), F.map_filter(data, lambda k, v: v.isNotNull()).alias("data"))
+
+        match = first_match(message, rule.patterns) if rule.patterns else F.struct(F.lit(0).alias("pattern"))
+        return F.when(match_type_gate(rule.only, of) & ~ignored(message, rule.ignore), let(match, made))
+
+    seen = explode_hits(match_rules(rows, rules, "message", fields, sight)).withColumns({"_ok": F.lit(True), "ord": F.struct("ord", "rule_int")})
+    seen = written(seen, "sights")  # one pass over the patterns, whatever the number of records
+    value_of = lambda n: F.try_element_at("data", F.lit(n))
+    by_rule = lambda of: F.coalesce(F.lit(None), *(F.when(F.col("rule_int") == k, c) for k, c in of))
+    for name in dict.fromkeys(t.name for _, r in party for t in r.track):
+        mine = [(k, t) for k, r in party for t in r.track if t.name == name]
+        if len({t.ttl for _, t in mine}) > 1:
+            raise ValueError(f"the rules give the record {name} more than one ttl")
+        whole = lambda key: F.when(key.isNotNull(), F.concat_ws("\x1f", F.col("case_id").cast("string"), key))
+        key = by_rule([(k, compound_key([value_of(v) for v in t.key])) for k, t in mine])
+        listed = sorted({f for _, t in mine for f in t.fields} | {f for _, r in party for g in r.tracked if g.name == name for f in [*g.into, *(p.field for p in g.where)]})
+        columns = {f: f"_f{j}" for j, f in enumerate(listed)}
+        adds = {c: by_rule([(k, value_of(f)) for k, t in mine if f in t.fields]).cast("string") for f, c in columns.items()}
+        seen = seen.withColumns({"key": whole(key), "harvests": F.lit(True)} | adds)
+        seed = None
+        if tracks_before is not None:
+            old = tracks_before.where(F.col("name") == name)
+            seed = old.select(whole(F.col("key")).alias("key"), ((CLOCK_BASE + F.col("ttl").cast("long")) * SECOND).alias("expires"), *(F.try_element_at("fields", F.lit(f)).alias(c) for f, c in columns.items()))
+        seen = tracks(seen, list(columns.values()), mine[0][1].ttl, seed)
+        stored = {f: F.col(f"before_{c}") for f, c in columns.items()}
+        for k, rule in party:
+            here = F.col("rule_int") == k
+            for g in (g for g in rule.tracked if g.name == name):
+                if g.where:
+                    holds = F.col("live_before") & all_of([p.column(stored) for p in g.where])
+                    seen = seen.withColumn("_ok", F.col("_ok") & (~here | F.col("key").isNull() | holds))
+                if g.into:
+                    lifted = F.create_map(*(x for f in g.into for x in (F.lit(f), stored[f])))
+                    lifted = F.map_filter(lifted, lambda f, v: v.isNotNull() & ~F.map_contains_key("data", f))
+                    seen = seen.withColumn("data", F.when(here, F.map_concat("data", lifted)).otherwise(F.col("data")))
+            if name in rule.not_tracked:
+                seen = seen.withColumn("_ok", F.col("_ok") & ~(here & F.col("live_before")))
+        extra = [x for c in columns.values() for x in (c, f"before_{c}", f"after_{c}")]
+        seen = seen.drop("key", "harvests", "live_before", *extra)
+    parts = []
+    for k, rule in party:
+        names = {*fields, *capture_names(rule.patterns), *(f for g in rule.tracked for f in g.into)}
+        held = {n: value_of(n) for n in names}
+        listed = lambda vs: F.array(*(value_of(v) for v in vs)).cast("array<string>")
+        mine = seen.where((F.col("rule_int") == k) & F.col("matched") & F.col("_ok") & gate(rule.tests, held))
+        parts.append(mine.withColumns({"offenders": listed(rule.ban_vars), "subjects": listed(rule.detection_vars), "ord": F.col("ord.ord")}))
+    return reduce(DataFrame.unionByName, parts)

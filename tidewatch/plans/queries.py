@@ -693,6 +693,35 @@ def evaluate_scenes(spark, sf):  # noqa: ANN001, ANN201
     return M.evaluate_scenes(cases, SCENE_RULES, ["daemon"], {"worked": ["seen"]}, before)
 
 
+CHAIN_RULES = [
+    M.Rule("probe", [r"probe from %%%%SRC%%%%$"], marks=[M.Mark("seen", ttl=DAY)]), M.Rule("knock", [r"knock from %%%%SRC%%%%$"], marks=[M.Mark("knocked", ttl=DAY)]),
+    M.Rule("login", [r"login (?<ID>\S+) from %%%%SRC%%%%$"], marks=[M.Mark("inside", ttl=DAY)], track=[M.Track("session", ["ID"], ["SRC"], DAY)]),
+    M.Rule("bye", [r"bye from %%%%SRC%%%%$"], marks=[M.Mark("knocked", lift=True)]),
+    M.Rule("steal", [r"steal (?<ID>\S+)$"], track=[M.Track("session", ["ID"], [], DAY)], tracked=[M.Tracked("session", [P.Predicate("SRC", "exists")], ["SRC"])]),
+]
+CHAIN_READS = {"knock": ["seen"], "login": ["knocked"], "steal": ["inside"]}
+
+
+@query(SQL + f""", l as (select *, lag(event_type, 1) over w as p1, lag(event_type, 2) over w as p2, (us - lag(us, 1) over w) // 1000000 as g1, (lag(us, 1) over w - lag(us, 2) over w) // 1000000 as g2 from h window w as (partition by user_id order by us, ord))
+select r as rule, count(*) as cases, count(*) filter (case when p2 = 'click' and user_id % 5 <> 0 and g2 < {DAY} and g1 < {DAY} then 1 else 0 end = (event_type <> 'view')::int) as passed
+from l, unnest(['login', 'steal']) as u(r) where p2 is not null group by r""")
+def scene_chains(spark, sf):  # noqa: ANN001, ANN201
+    """Scenes of five lines: three rules in a chain of marks, one that breaks it, and an offender that comes from another line's record."""
+    order = Window.partitionBy("user_id").orderBy("us", "ord")
+    back = {f"p{k}": F.lag("event_type", k).over(order) for k in (1, 2)} | {f"u{k}": F.lag("us", k).over(order) for k in (1, 2)}
+    rows = hits(spark, sf).withColumns(back).where("p2 is not null").withColumn("addr", F.concat(F.lit("10.0.0."), F.col("user_id") % 200))
+    line = lambda text, advance: F.named_struct(F.lit("message"), text, F.lit("daemon"), F.lit("d"), F.lit("advance"), advance.cast("long"))
+    said = lambda verb: F.concat(F.lit(f"{verb} from "), "addr")
+    name = F.concat(F.lit("s"), "event_id")
+    scenes = F.array(
+        line(F.when(F.col("p2") == "click", said("probe")).otherwise("noise"), F.lit(0)), line(said("knock"), F.expr("(u1 - u2) div 1000000")), line(F.when(F.col("user_id") % 5 == 0, said("bye")).otherwise("noise"), F.lit(0)),
+        line(F.concat(F.lit("login "), name, F.lit(" from "), "addr"), F.expr("(us - u1) div 1000000")), line(F.concat(F.lit("steal "), name), F.lit(1)),
+    )
+    cases = rows.select(F.col("event_id").alias("case_id"), F.explode(F.array(F.lit("login"), F.lit("steal"))).alias("rule"), scenes.alias("lines"), (F.col("event_type") != "view").cast("int").alias("found"), F.create_map(F.lit("SRC"), F.col("addr")).alias("data"), F.array(F.lit("DEST")).alias("undefed"))
+    cases = cases.withColumn("case_id", F.concat_ws(":", "case_id", "rule"))
+    return M.evaluate_scenes(cases, CHAIN_RULES, ["daemon"], CHAIN_READS)
+
+
 # --- counting
 
 
