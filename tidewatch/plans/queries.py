@@ -18,6 +18,7 @@ from ..operators import reports as R
 from ..operators import score as C
 from ..operators import stages as ST
 from ..operators import state as K
+from ..operators.indexed import match_rules_indexed
 from ..sources.scratch import written
 from .data import DAY, SQL, hits, lines, table
 
@@ -609,6 +610,25 @@ def overlap(spark, sf):  # noqa: ANN001, ANN201
     return M.explode_offenders(M.explode_hits(judged)).select("event_id", "rule", "rule_int", "ip", "mode", "demoted")
 
 
+#: 264 rules, four for each of 66 daemons.
+MANY_RULES = [
+    M.Rule(f"r{4 * j + q}", [pattern], only={"daemon": [f"d{j}"]}, ignore=ignore, mark_only=q == 2)
+    for j in range(66) for q, (pattern, ignore) in enumerate([(r"value (?<N>\d*[0-4]) from %%%%SRC%%%%$", []), (r"value (?<N>\d*[5-9]) from %%%%SRC%%%%$", ["from 10\\.2\\."]), ("from %%%%SRC%%%%$", []), ("value 3", ["nothing"])])
+]
+
+
+@query(SQL + """, f as (select *, (user_id % 66)::int as j from h where event_id % 17 <> 0 and k * 2 <= 191),
+m as (select *, unnest([{'q': 0, 'hit': k % 10 < 5}, {'q': 1, 'hit': k % 10 >= 5 and ip not like '10.2.%'}, {'q': 2, 'hit': true}, {'q': 3, 'hit': starts_with(k::varchar, '3')}]) as u from f),
+x as (select *, 4 * j + u.q as rule_int, min(case when u.q <> 2 then u.q end) over (partition by event_id) as c from m where u.hit)
+select event_id, rule_int::int as rule_int, case when u.q < 2 then k::varchar end as n, case when u.q < 3 then ip end as ip, coalesce(u.q > c, false) and u.q <> 2 as demoted from x""")
+def indexed_rules(spark, sf):  # noqa: ANN001, ANN201
+    """264 rules as a table that lines meet by their daemon; later ones are shadowed."""
+    rows = M.parsed_lines(lines(spark, sf, "bsd"), parse.parse_bsd_syslog).select("event_id", F.concat(F.lit("d"), F.col("user_id") % 66).alias("daemon"), "record.message")
+    hit = match_rules_indexed(rows, MANY_RULES, "message", ["daemon"], ["event_id"])
+    judged = M.explode_hits(hit.withColumn("hits", M.overlap(F.col("hits"), "shadow")))
+    return judged.select("event_id", "rule_int", F.try_element_at("data", F.lit("N")).alias("n"), F.get("offenders", 0).alias("ip"), "demoted")
+
+
 @query(RULE_SQL + "select event_id, event_type as subject from m where rule_int = 2")
 def explode_subjects(spark, sf):  # noqa: ANN001, ANN201
     return M.explode_subjects(M.explode_hits(_matched(spark, sf))).select("event_id", "subject")
