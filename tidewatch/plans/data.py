@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import micros
+from ..sources.tables import read_table
 
 DAY = 86_400
 
@@ -14,9 +17,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def hits(spark: SparkSession, sf: str) -> DataFrame:
+def hits(spark: SparkSession, sf: str, read: Callable[[SparkSession, str, str], DataFrame] = table) -> DataFrame:
     """One hit for each event: address, weight, rule, order and clock parts."""
-    ev = table(spark, sf, "events").select("event_id", micros().alias("us"), "user_id", "event_type", F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int").alias("k"))
+    ev = read(spark, sf, "events").select("event_id", micros().alias("us"), "user_id", "event_type", F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int").alias("k"))
     return ev.selectExpr(
         "*", "event_id as ord", "'kur:web' as bucket", "concat('10.', user_id % 4, '.', k % 8, '.', user_id % 50 + 1) as ip",
         "case event_type when 'error' then 3L when 'purchase' then 2L else 1L end as w", "cast(us div 1000000 as long) as sec",
@@ -53,4 +56,5 @@ LINES = {
 
 
 def lines(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    return hits(spark, sf).selectExpr("*", f"{LINES[kind]} as line")
+    """The hits as lines. Parsing and matching cost much a line, so a small table is spread over all cores first."""
+    return hits(spark, sf, lambda spark, sf, name: read_table(spark, f"{sf}/{name}.parquet")).selectExpr("*", f"{LINES[kind]} as line")
