@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .common import table
 
 #: Labelled documents that the lexicon and the model are fitted on, at most.
@@ -359,10 +360,14 @@ def fit(train: DataFrame) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """(text, toxic) of labelled documents outside the held-out fifth; of more than ``most``, those of least hash.
 
-    A text counts once, and as toxic if any of its rows is labelled so."""
+    A text counts once, and as toxic if any of its rows is labelled so; of more than ``most`` texts (ids that repeat), those of
+    least hash. The rows are written, since the fit reads them more than once."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # TRAIN_DOCS rows of two numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # TRAIN_DOCS rows of two numbers
+    texts = written(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("text")), "training")
+    least = texts.select("h").orderBy("h").limit(most).distinct()
+    return texts.join(F.broadcast(least), "h", "left_semi").select("text", "toxic")  # TRAIN_DOCS numbers
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
