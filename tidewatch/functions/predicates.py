@@ -5,14 +5,11 @@ from __future__ import annotations
 import base64
 import ipaddress
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ip import v4_network, v4_number, v6_key, v6_masked
 from .parse import let, parts
@@ -80,29 +77,38 @@ def matcher_list(field: Column, values: list[str]) -> Column:
     return sure((field.isin(plain) if plain else F.lit(False)) | any_of([field.rlike(checked_regex(p)) for p in patterns]))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def decode_base64(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def decode_base64(candidates: Column) -> Column:
     """The texts of lenient base64 (what isn't in the alphabet is skipped) of all candidates; those that decode to nothing are none."""
-    for s in values:
-        yield s.map(lambda vs: None if vs is None else [x for v in vs if v is not None and (x := _lenient(v))])
 
+    def text(kept: Column) -> Column:
+        n = F.char_length(kept) - (F.char_length(kept) % 4 == 1).cast("int")
+        padded = F.rpad(F.substring(kept, F.lit(1), n), (n + 3 - (n + 3) % 4).cast("int"), F.lit("="))
+        return F.make_valid_utf8(F.unbase64(padded).cast("string"))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def decode_utf16(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """All candidates as UTF-16, little or big endian, as bytes read one by one look: two of each at most."""
+    kept = lambda v: F.regexp_replace(F.substring_index(v, "=", 1), "[^A-Za-z0-9+/]++", "")
+    return _there(F.transform(candidates, lambda v: let(kept(v), text)))
 
-    def one(v: str) -> list[str]:
-        raw = v.encode("latin-1", "ignore")
-        return [t for t in (raw[: len(raw) // 2 * 2].decode(c, "ignore") for c in ("utf-16-le", "utf-16-be")) if t]
 
-    for s in values:
-        yield s.map(lambda vs: None if vs is None else [x for v in vs if v is not None for x in one(v)])
+def decode_utf16(candidates: Column) -> Column:
+    """All candidates as UTF-16, little or big endian, as bytes read one by one look: two of each at most. Halves of a pair that
+    stand alone are skipped."""
 
+    def text(raw: Column, charset: str, pair: str, lone: str) -> Column:
+        # characters stand for bytes: runs of whole characters are kept, what else there is goes
+        whole = F.when((F.char_length(raw) < F.octet_length(raw)) & raw.rlike("[\u00d8-\u00df]"), F.regexp_replace(raw, rf"(?s)\G({pair})|\G{lone}", "$1")).otherwise(raw)
+        return F.decode(F.encode(whole, "ISO-8859-1"), charset)
 
-def _lenient(v: str) -> str:
-    kept = re.sub(r"[^A-Za-z0-9+/]", "", v.split("=")[0])
-    kept = kept[: len(kept) - (len(kept) % 4 == 1)]
-    return base64.b64decode(kept + "=" * (-len(kept) % 4)).decode("utf-8", "replace")
+    high, low = "[\u00d8-\u00db]", "[\u00dc-\u00df]"
+    le = (rf"(?:.[^\u00d8-\u00df])++|.{high}.{low}", r".[\u00d8-\u00df]")
+    be = (rf"(?:[^\u00d8-\u00df].)++|{high}.{low}.", r"[\u00d8-\u00df].")
+    both = lambda raw: F.array(text(raw, "UTF-16LE", *le), text(raw, "UTF-16BE", *be))
+    even = lambda v: F.substring(v, F.lit(1), F.char_length(v) - F.char_length(v) % 2)
+    narrow = lambda v: F.when(F.char_length(v) == F.octet_length(v), v).otherwise(F.regexp_replace(v, r"[^\u0000-\u00ff]++", ""))
+    return _there(F.flatten(F.transform(F.filter(candidates, lambda v: v.isNotNull()), lambda v: let(let(narrow(v), even), both))))
+
+
+def _there(candidates: Column) -> Column:
+    return F.filter(candidates, lambda v: F.coalesce(v != "", F.lit(False)))
 
 
 def needle_forms(text: str, form: str) -> list[str]:
@@ -192,8 +198,7 @@ class Predicate:
             if forms:  # the value is searched for what the needle looks like when coded
                 test = join([any_of([sure(self._one(value, F.lit(n))) for f in forms for n in needle_forms(str(v), f)]) for v in self.values])
             elif steps:
-                candidates = decode(F.array(value), steps)
-                test = join([_some(candidates, self, n) for n in needles])
+                test = let(decode(F.array(value), steps), lambda candidates: join([_some(candidates, self, n) for n in needles]))
             elif self.op == "cidr" and not self.fieldref:
                 test = join([in_network(value, str(v)) for v in self.values])
             else:
