@@ -2,8 +2,8 @@
 
 In every task the distinct pre-token words are rows of token lists in an in-process DuckDB. A recursive
 query unnests them to token-position rows, joins the merge table, and contracts in each word the
-leftmost pair of least rank until no pair is left. Decoding joins ids with token bytes and
-aggregates them by position. Spark partitions the documents; a task holds one slice of texts, and
+leftmost pair of least rank until no pair is left. Decoding takes each id's token bytes, in
+order, as one Arrow array. Spark partitions the documents; a task holds one slice of texts, and
 a bounded cache of words that its worker has seen.
 """
 
@@ -86,13 +86,6 @@ with recursive word(w, toks, live) using key (w) as (
 select w, toks from word order by w
 """
 
-DECODE_SQL = """
-select d, string_agg(b, '' order by p) as s
-from (select d, unnest(ids) as id, generate_subscripts(ids, 1) as p from coded) join vocab using (id)
-group by d
-"""
-
-
 def load_ranks(path: str) -> list[tuple[bytes, int]]:
     with open(path, "rb") as f:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
@@ -119,14 +112,11 @@ class Coder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"merges-{os.getpid()}")})
         pairs = pa.table({"ab": (np.array(left, np.int64) << 32) | np.array(right, np.int64), "c": np.array(made, np.int32)})  # noqa: F841
         self.db.execute("create table merges as select * from pairs")
-        vocab = pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "b": [t.decode("latin-1") for t, _ in ranks]})
-        self.db.execute("create table vocab as select * from vocab")
-        #: token ids that begin with a space
-        self.spaced = np.zeros(1 + max(self.rank.values()), bool)
-        self.spaced[[r for t, r in ranks if t[:1] == b" "]] = True
-        #: piece -> its ids, run of ids -> its bytes; ids are little-endian 32-bit integers
+        token = {r: t for t, r in ranks}
+        #: the bytes of each id, null where there is no such id
+        self.vocab = pa.array([token.get(r) for r in range(1 + max(token))], pa.large_binary())
+        #: piece -> its ids, which are little-endian 32-bit integers
         self.known = Remembered(self.ids_of, CACHE_WORDS)
-        self.spelt = Remembered(self.spell, CACHE_WORDS)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word: of the vocabulary, or contracted by a recursive query."""
@@ -166,23 +156,13 @@ class Coder:
         return mapped(data, piece_starts(np.frombuffer(data, np.uint8), docs), docs, self.known)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each text. Runs of ids that start with a space are decoded once where they repeat."""
-        data, docs = b"".join(ids), offsets_of(ids)
-        flat = np.frombuffer(data, "<u4")
-        begins = self.spaced[flat]
-        begins[docs[:-1][np.diff(docs) > 0] // 4] = True
-        return mapped(data, np.flatnonzero(begins) * 4, docs, self.spelt)
-
-    def spell(self, runs: list[bytes]) -> list[bytes]:
-        offs = offsets_of(runs) // 4
-        lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(runs), "<i4")))
-        self.db.register("coded", pa.table({"d": pa.array(range(len(runs)), pa.int32()), "ids": lists}))
-        got = self.db.sql(DECODE_SQL).to_arrow_table()
-        self.db.unregister("coded")
-        out = [b""] * len(runs)
-        for d, s in zip(got["d"].to_pylist(), got["s"].to_pylist(), strict=True):
-            out[d] = s.encode("latin-1")
-        return out
+        """Bytes of each text: those of its ids, one after another."""
+        spelt = self.vocab.take(pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        if spelt.null_count:
+            raise ValueError("ids without a token")
+        ends = np.frombuffer(spelt.buffers()[1], np.int64)[spelt.offset :][offsets_of(ids) // 4] if len(spelt) else np.zeros(len(ids) + 1, np.int64)
+        whole = memoryview(spelt.buffers()[2]) if len(spelt) else b""
+        return [bytes(whole[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _coders: dict[tuple, Coder] = {}

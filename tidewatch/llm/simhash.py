@@ -3,7 +3,8 @@
 Texts become fingerprints over word shingles. Different fingerprints are dealt into tiles by the population counts of
 their two halves; the difference of two population counts never exceeds the number of differing bits, so only tiles
 whose counts differ by the radius at most are paired. Large tiles are split into chunks of bounded size, and every
-pair of chunks is a task's work: numpy exclusive-or and bit counts, again skipping parts whose counts differ too much.
+pair of chunks is a task's work: numpy exclusive-or and bit counts, again skipping parts whose counts differ too much, and
+of the wide radius those pairs of which every part differs in more bits than its share of the radius.
 A pair of chunks reports the forest of its links, not all of them, and components are joined up in Spark.
 """
 
@@ -28,6 +29,8 @@ CHUNK = (16_384, 131_072)
 BLOCK = 500_000
 #: Fingerprints of each side that are compared at once.
 ROWS, COLS = 64, 2048
+#: As many pairs of fingerprints take about as long as beginning with another value of a part.
+GROUP_PAIRS = 8192
 
 
 @dataclass(frozen=True)
@@ -174,6 +177,61 @@ def near_lanes(left: np.ndarray, right: np.ndarray, same: bool, radius: int) ->
                     yield order[0][i[keep]], order[1][j[keep]]
 
 
+def near_parts(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``near_lanes`` finds, some pairs more than once. Of radius // 2 + 1 parts of the bits one differs in a bit at most, so that
+    only fingerprints are compared of which a part is alike but for a bit: a sixth of all pairs, where bits are even. Where that
+    takes as long as comparing all, as with few or very similar ones, all are."""
+    n = radius // 2 + 1
+    if n < 8:  # parts of more than 16 bits
+        yield from near_lanes(left, right, same, radius)
+        return
+    ends = [128 * k // n for k in range(n + 1)]
+
+    def part(fp: np.ndarray, a: int, b: int) -> np.ndarray:
+        # bits a to b, of the first lane and, where they go on, the second
+        low = fp[:, 0] >> np.uint64(a) if a < 64 else fp[:, 1] >> np.uint64(a - 64)
+        if a < 64 < b:
+            low = low | fp[:, 1] << np.uint64(64 - a)
+        return (low & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+
+    cells, work = [], 0
+    for a, b in zip(ends, ends[1:], strict=False):
+        parts = [part(x, a, b) for x in (left, right)]
+        held = [np.bincount(x, minlength=1 << (b - a)) for x in parts]
+        values = np.arange(1 << (b - a))
+        work += int((held[0] * (held[1] + sum(held[1][values ^ (1 << k)] for k in range(b - a)))).sum())
+        work += GROUP_PAIRS * np.count_nonzero(held[0])
+        cells.append((b - a, parts, held))
+    if 2 * work > len(left) * len(right):
+        yield from near_lanes(left, right, same, radius)
+        return
+    xor, bits, more = np.empty(ROWS * COLS, np.uint64), np.empty(ROWS * COLS, np.uint8), np.empty(ROWS * COLS, np.uint8)
+    for width, parts, held in cells:
+        order = [np.argsort(x, kind="stable") for x in parts]
+        lanes = [np.ascontiguousarray(x[o].T) for x, o in zip((left, right), order, strict=True)]
+        starts = [np.concatenate([[0], np.cumsum(x)]).tolist() for x in held]
+        for v in np.flatnonzero(held[0]).tolist():
+            close = [w for w in (v, *(v ^ (1 << k) for k in range(width))) if held[1][w] and not (same and w < v)]
+            if not close:
+                continue
+            runs = [slice(starts[1][w], starts[1][w + 1]) for w in close]
+            others = np.concatenate([lanes[1][:, r] for r in runs], axis=1)
+            names = np.concatenate([order[1][r] for r in runs])
+            for x in range(starts[0][v], starts[0][v + 1], ROWS):
+                mine = slice(x, min(x + ROWS, starts[0][v + 1]))
+                rows = mine.stop - x
+                for y in range(0, len(names), COLS):
+                    m = min(COLS, len(names) - y)
+                    some, count, rest = xor[: rows * m], bits[: rows * m], more[: rows * m]
+                    for lane, out in ((0, count), (1, rest)):
+                        np.bitwise_xor(lanes[0][lane, mine, None], others[lane, None, y : y + m], out=some.reshape(rows, m))
+                        np.bitwise_count(some, out=out)
+                    np.add(count, rest, out=count)
+                    at = np.flatnonzero(count <= radius)
+                    if len(at):
+                        yield order[0][x + at // m], names[y + at % m]
+
+
 def _halves(kind: Kind) -> tuple[Column, Column]:
     half = lambda x: (F.bit_count(x) / kind.width).cast("int")
     if kind.lanes == 2:
@@ -231,7 +289,7 @@ def links(fps: DataFrame, kind: Kind = EXACT3, chunk: int | None = None) -> Data
         if kind.lanes == 1:
             found = near(bits[left, 0], bits[b, 0], same, kind.radius)
         else:
-            found = near_lanes(bits[left], bits[b], same, kind.radius)
+            found = near_parts(bits[left], bits[b], same, kind.radius)
         root = forest(len(num), ((left[i], b[j]) for i, j in found))
         moved = np.flatnonzero(root != np.arange(len(num)))
         return pd.DataFrame({"a": num[moved], "b": num[root[moved]]})
