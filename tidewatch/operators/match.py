@@ -300,28 +300,49 @@ def evaluate_scenes(
     offenders are left.
 
     Records come first, as windows: what they hold does not hang on what fires. Marks do, and rules may read each other's in
-    chains and circles, so the matches of a scene are one fold in the order of lines and rules, many scenes at a time.
+    chains and circles, so the matches of a scene are one fold in the order of lines and rules, many scenes at a time. Cases
+    with the same lines are one scene, replayed once, unless something may tell them apart: a gate, or what was there before.
     """
-    places = cases.select("case_id", F.col("rule").alias("judged"), F.posexplode("lines").alias("seq", "line"))
-    clock = Window.partitionBy("case_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    at = (CLOCK_BASE + F.sum(F.coalesce(F.col("line.advance"), F.lit(0))).over(clock)) * SECOND
-    rows = places.select("case_id", "judged", at.cast("long").alias("us"), F.col("seq").cast("long").alias("ord"), "line.message", *(F.col(f"line.{f}") for f in fields))
-    kept = [*rows.columns, "rule_int", "rule", "data", "offenders", "subjects"]
-    plain = lambda rule, *more: F.lit(None) if rule.track else rule_hit(rule, *more)
-    parts = []
-    if any(not r.track for r in rules):
-        parts.append(explode_hits(match_rules(rows, rules, "message", fields, plain)).select(kept))
-    if any(r.track for r in rules):
-        parts.append(_tracked_hits(rows, rules, fields, tracks_before).select(kept))
-    hits = written(reduce(DataFrame.unionByName, parts), "scenes")  # read by every step below
+    cases = cases.withColumn("_lines", _clocked(F.col("lines"), fields)).drop("lines")
+    if gates or marks_before is not None or tracks_before is not None:
+        cases = written(cases.withColumn("_scene", F.col("case_id")), "cases")
+        scenes = cases.select("case_id", "_lines")
+        cases = cases.drop("_lines")
+    else:
+        cases = written(cases.withColumn("_h", F.xxhash64("_lines")), "cases")  # compared before the lines are
+        scenes = written(cases.select("_h", "_lines").distinct().withColumn("case_id", F.monotonically_increasing_id()), "scenes")
+        cases = cases.join(scenes.withColumnRenamed("case_id", "_scene"), ["_h", "_lines"], "left").drop("_h", "_lines")
+    rows = scenes.select("case_id", F.posexplode("_lines").alias("ord", "line")).select("case_id", "line.us", F.col("ord").cast("long").alias("ord"), "line.message", *(F.col(f"line.{f}") for f in fields))
+    party = [k for k, rule in enumerate(rules) if rule.track]
+    made = lambda rule, *more: _sight(rule, *more) if rule.track else rule_hit(rule, *more)
+    kept = [*rows.columns, "rule_int", "rule", "pattern", "data", "offenders", "subjects"]
+    found = written(explode_hits(match_rules(rows, rules, "message", fields, made)).select(kept), "matches")  # one pass over the patterns; read by every step below
+    hits = found.where(~F.col("rule_int").isin(party)).drop("pattern") if party else found.drop("pattern")
+    if party:
+        hits = hits.unionByName(written(_tracked_hits(found.where(F.col("rule_int").isin(party)), rules, fields, tracks_before), "tracked"))
     ids = ["case_id", "ord", "rule_int"]
     firing = _firing(_with_survivors(hits, gates or {}, ids), rules, marked_by or {}, not_marked_by or {}, marks_before)
-    mine = hits.where(F.col("rule") == F.col("judged")).join(firing, ids, "left_semi")
-    counted = mine.groupBy("case_id").agg(F.count("*").cast("int").alias("_n"), F.min_by("data", "ord").alias("_data"))
-    got = cases.join(counted, "case_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    counted = firing.groupBy("case_id", "rule_int").agg(F.count("*").cast("int").alias("_n"), F.min("ord").alias("ord"))
+    counted = hits.select(*ids, "rule", F.col("data").alias("_data")).join(counted, ids).select(F.col("case_id").alias("_scene"), "rule", "_n", "_data")
+    got = cases.join(counted, ["_scene", "rule"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     return _judged(got)
 
 
+def _clocked(lines: Column, fields: list[str]) -> Column:
+    """The lines of a scene with the time ``us`` of each: sums of ``advance`` by doubling, so that a long scene is no more than
+    n log n."""
+    advance = F.transform(lines, lambda x: F.coalesce(x["advance"].cast("long"), F.lit(0).cast("long")))
+
+    def doubled(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(F.lit(0).cast("long")))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lines), F.lit(1)))).cast("int"))
+    at = lambda sums, i: (F.lit(CLOCK_BASE) + F.get(sums, i)) * SECOND
+    line = lambda x, us: F.struct(x["message"].alias("message"), *(x[f].cast("string").alias(f) for f in fields), us.cast("long").alias("us"))
+    return let(F.aggregate(rounds, advance, doubled), lambda sums: F.transform(lines, lambda x, i: line(x, at(sums, i))))
+
+
 def _with_survivors(hits: DataFrame, gates: dict[str, Callable[[DataFrame], DataFrame]], ids: list[str]) -> DataFrame:
     """Add ``had`` (the match has offenders) and ``left``, those that the rule's gate lets through."""
     rows = hits.withColumns({"had": F.exists("offenders", lambda x: x.isNotNull()), "left": F.array_compact("offenders")})
@@ -336,61 +357,63 @@ def _with_survivors(hits: DataFrame, gates: dict[str, Callable[[DataFrame], Data
 def _firing(hits: DataFrame, rules: list[Rule], marked_by: dict[str, list[str]], not_marked_by: dict[str, list[str]], marks_before: DataFrame | None) -> DataFrame:
     """(case_id, ord, rule_int) of the matches that fire, given marks that earlier ones of the scene set and lifted."""
     field_of = lambda n: F.try_element_at("data", F.lit(n))
-
-    def change(number: int, mark: Mark) -> Column:
-        key = F.lit(None).cast("string") if not mark.vars else field_of(mark.vars[0]) if len(mark.vars) == 1 else compound_key([field_of(v) for v in mark.vars])
-        ttl = F.lit(None if mark.lift else mark.ttl).cast("long")
-        made = F.struct(F.lit(mark.name).alias("name"), key.alias("key"), F.lit(not mark.vars).alias("each"), ttl.alias("ttl"))
-        return F.when((F.col("rule_int") == number) & (key.isNotNull() | F.lit(not mark.vars)), made)
-
-    changes = [change(k, m) for k, r in enumerate(rules) for m in sorted(r.marks, key=lambda m: m.lift)]
-    kind = "array<struct<name:string,key:string,each:boolean,ttl:bigint>>"
-    listed = F.array_compact(F.array(*changes)) if changes else F.array()
-    rows = hits.select("case_id", "ord", F.col("rule_int").cast("int").alias("rule_int"), "us", "had", "left", listed.cast(kind).alias("changes"))
+    marks = {k: sorted(r.marks, key=lambda m: m.lift) for k, r in enumerate(rules) if r.marks}
+    key_of = lambda m: F.lit(None).cast("string") if not m.vars else field_of(m.vars[0]) if len(m.vars) == 1 else compound_key([field_of(v) for v in m.vars])
+    keys = F.coalesce(*(F.when(F.col("rule_int") == k, F.array(*map(key_of, listed))) for k, listed in marks.items()), F.array().cast("array<string>"))
+    rows = hits.select("case_id", "ord", F.col("rule_int").cast("int").alias("rule_int"), "us", "had", "left", keys.alias("keys"))
     if marks_before is not None:
-        old = F.array(F.struct("name", "key", F.lit(False).alias("each"), F.col("ttl").cast("long").alias("ttl"))).cast(kind)
-        first = {"ord": F.lit(-1).cast("long"), "rule_int": F.lit(-1), "us": F.lit(CLOCK_BASE * SECOND).cast("long"), "had": F.lit(False), "left": F.array().cast("array<string>"), "changes": old}
+        old = F.array("name", F.col("key").cast("string"), F.col("ttl").cast("long").cast("string"))
+        first = {"ord": F.lit(-1).cast("long"), "rule_int": F.lit(-1), "us": F.lit(CLOCK_BASE * SECOND).cast("long"), "had": F.lit(False), "left": F.array().cast("array<string>"), "keys": old}
         rows = rows.unionByName(marks_before.where("name is not null and key is not null and ttl is not null").select(F.col("case_id").cast(dict(hits.dtypes)["case_id"]).alias("case_id"), *(c.alias(n) for n, c in first.items())))
     must = {k: marked_by[r.name] for k, r in enumerate(rules) if r.name in marked_by}
     must_not = {k: not_marked_by[r.name] for k, r in enumerate(rules) if r.name in not_marked_by}
 
     def step(live: dict, row: tuple) -> list[tuple]:
-        case, place, rule, us, had, left, found = row
+        case, place, rule, us, had, left, keys = row
+        if rule < 0:  # from before the scene
+            live[keys[0], keys[1]] = us + int(keys[2]) * SECOND
+            return []
         bears = lambda ip, names: any(live.get((n, ip), us) > us for n in names)
         left = [ip for ip in left if (rule not in must or bears(ip, must[rule])) and not (rule in must_not and bears(ip, must_not[rule]))]
         if had and not left:
             return []
-        for c in found:
-            for key in left if c["each"] else [c["key"]]:
-                if c["ttl"] is None:
-                    live.pop((c["name"], key), None)
+        for mark, mine in zip(marks.get(rule, ()), keys, strict=False):
+            for key in ([mine] if mine is not None else []) if mark.vars else left:
+                if mark.lift:
+                    live.pop((mark.name, key), None)
                 else:
-                    live[c["name"], key] = us + int(c["ttl"]) * SECOND
+                    live[mark.name, key] = us + mark.ttl * SECOND
         return [(case, place, rule)]
 
     return ordered_fold(rows, ["case_id"], ["ord", "rule_int"], dict, step, f"case_id {dict(hits.dtypes)['case_id']}, ord long, rule_int int")
 
 
-def _tracked_hits(rows: DataFrame, rules: list[Rule], fields: list[str], tracks_before: DataFrame | None) -> DataFrame:
-    """The hits of rules that are party to records: each line that such a rule may add to is a sight, the records before a sight
-    are windows over its key, and the rule's tests and offenders see what they lift."""
-    party = [(k, rule) for k, rule in enumerate(rules) if rule.track]
+def _sight(rule: Rule, number: int, message: Column, of: dict[str, Column]) -> Column:
+    """What a rule that is party to records makes of a line: as ``rule_hit``, but ``pattern`` is null where none matches, and tests
+    and offenders wait for the records. A line that neither matches nor has the key of a record is nothing to the rule."""
+    names = capture_names(rule.patterns)
 
-    def sight(rule: Rule, number: int, message: Column, of: dict[str, Column]) -> Column:
-        if not rule.track:
-            return F.lit(None)
-        names = capture_names(rule.patterns)
+    def made(found: Column) -> Column:
+        held = of | {n: found[n] for n in names}
+        data = F.create_map(*(x for n, c in held.items() for x in (F.lit(n), c.cast("string")))) if held else F.create_map().cast("map<string,string>")
+        part = any_of([compound_key([held.get(v, F.lit(None)).cast("string") for v in t.key]).isNotNull() for t in rule.track])
+        none = F.lit(None).cast("array<string>")
+        sight = F.struct(
+            F.lit(number).alias("rule_int"), F.lit(rule.name).alias("rule"), found["pattern"].alias("pattern"), F.map_filter(data, lambda k, v: v.isNotNull()).alias("data"),
+            none.alias("offenders"), none.alias("subjects"), F.lit(not rule.mark_only).alias("consumes"), F.lit(rule.weight).alias("w"),
+        )
+        return F.when(found.isNotNull() | part, sight)
 
-        def made(found: Column) -> Column:
-            held = of | {n: found[n] for n in names}
-            data = F.create_map(*(x for n, c in held.items() for x in (F.lit(n), c.cast("string")))) if held else F.create_map().cast("map<string,string>")
-            return F.struct(F.lit(number).alias("rule_int"), F.lit(rule.name).alias("rule"), found.isNotNull().alias("matched"), F.map_filter(data, lambda k, v: v.isNotNull()).alias("data"))
+    match = first_match(message, rule.patterns) if rule.patterns else F.struct(F.lit(0).alias("pattern"))
+    return F.when(match_type_gate(rule.only, of) & ~ignored(message, rule.ignore), let(match, made))
 
-        match = first_match(message, rule.patterns) if rule.patterns else F.struct(F.lit(0).alias("pattern"))
-        return F.when(match_type_gate(rule.only, of) & ~ignored(message, rule.ignore), let(match, made))
 
-    seen = explode_hits(match_rules(rows, rules, "message", fields, sight)).withColumns({"_ok": F.lit(True), "ord": F.struct("ord", "rule_int")})
-    seen = written(seen, "sights")  # one pass over the patterns, whatever the number of records
+def _tracked_hits(seen: DataFrame, rules: list[Rule], fields: list[str], tracks_before: DataFrame | None) -> DataFrame:
+    """The hits of rules that are party to records, of their sights: the records before a sight are windows over its key, and the
+    rule's tests and offenders see what they lift."""
+    party = [(k, rule) for k, rule in enumerate(rules) if rule.track]
+    kept = [c for c in seen.columns if c != "pattern"]
+    seen = seen.withColumns({"_ok": F.col("pattern").isNotNull(), "ord": F.struct("ord", "rule_int")}).drop("pattern", "offenders", "subjects")
     value_of = lambda n: F.try_element_at("data", F.lit(n))
     by_rule = lambda of: F.coalesce(F.lit(None), *(F.when(F.col("rule_int") == k, c) for k, c in of))
     for name in dict.fromkeys(t.name for _, r in party for t in r.track):
@@ -423,11 +446,12 @@ def _tracked_hits(rows: DataFrame, rules: list[Rule], fields: list[str], tracks_
                 seen = seen.withColumn("_ok", F.col("_ok") & ~(here & F.col("live_before")))
         extra = [x for c in columns.values() for x in (c, f"before_{c}", f"after_{c}")]
         seen = seen.drop("key", "harvests", "live_before", *extra)
-    parts = []
+    passes, offenders, subjects = [], [], []
+    listed = lambda vs: F.array(*(value_of(v) for v in vs)).cast("array<string>")
     for k, rule in party:
         names = {*fields, *capture_names(rule.patterns), *(f for g in rule.tracked for f in g.into)}
-        held = {n: value_of(n) for n in names}
-        listed = lambda vs: F.array(*(value_of(v) for v in vs)).cast("array<string>")
-        mine = seen.where((F.col("rule_int") == k) & F.col("matched") & F.col("_ok") & gate(rule.tests, held))
-        parts.append(mine.withColumns({"offenders": listed(rule.ban_vars), "subjects": listed(rule.detection_vars), "ord": F.col("ord.ord")}))
-    return reduce(DataFrame.unionByName, parts)
+        passes.append((F.col("rule_int") == k) & gate(rule.tests, {n: value_of(n) for n in names}))
+        offenders.append((k, listed(rule.ban_vars)))
+        subjects.append((k, listed(rule.detection_vars)))
+    mine = seen.where(F.col("_ok") & any_of(passes))
+    return mine.withColumns({"offenders": by_rule(offenders), "subjects": by_rule(subjects), "ord": F.col("ord.ord")}).select(kept)
