@@ -160,10 +160,12 @@ def correlate_context(offenses: DataFrame, captures: DataFrame, fields: list[str
     return _as_of(offenses, captures, fields, ttl, id_col, forward=False)
 
 
-def correlate_deferred(offenses: DataFrame, captures: DataFrame, fields: list[str], defer: int, most: int = 100, id_col: str = "id") -> DataFrame:
+def correlate_deferred(offenses: DataFrame, captures: DataFrame, fields: list[str], defer: int, most: int | None = None, id_col: str = "id") -> DataFrame:
     """Offenses that the first later capture of their key completes within ``defer`` seconds: (id, key, us and ord of the
-    capture, fields). Of the offenses that wait for one capture the ``most`` newest are completed."""
+    capture, fields). With ``most``, of the offenses that wait for one capture only so many, the newest, are completed."""
     got = _as_of(offenses.where("key is not null"), captures, fields, defer, id_col, forward=True).where("resolved")
+    if most is None:
+        return got
     newest = Window.partitionBy("key", "at_us", "at_ord").orderBy(F.desc("us"), F.desc("ord"))
     return got.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).drop("_n")
 
