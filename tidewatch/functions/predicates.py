@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .ip import v4_network, v4_number, v6_key, v6_masked
-from .parse import let, parts
+from .parse import found_parts, let, parts
 
 NUMERIC = r"^-?\d+(\.\d+)?$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -393,8 +393,8 @@ def first_match(text: Column, patterns: list[str]) -> Column:
             return F.when(x.isNotNull(), F.struct(number, *(mine.get(n, absent).alias(n) for n in names)))
 
         # before and after the match anything may stand; the pattern's own dots stay as they are
-        whole = f"(?s:.*?)(?-s:{java})(?s:.*)"
-        hit = let(parts(text, whole, [f"g{g}" for g in range(len(groups))]), read) if groups else F.when(text.rlike(java), F.struct(number, *(absent.alias(n) for n in names)))
+        take = found_parts if needed_text(java) else lambda text, java, names: parts(text, f"(?s:.*?)(?-s:{java})(?s:.*)", names)
+        hit = let(take(text, java, [f"g{g}" for g in range(len(groups))]), read) if groups else F.when(text.rlike(java), F.struct(number, *(absent.alias(n) for n in names)))
         out = F.when(holds(text, java), hit)
         return F.coalesce(out, attempt(k + 1)) if k + 1 < len(patterns) else out
 
